@@ -48,6 +48,32 @@ EXPRESSION_SQL = """samples AS (
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 
+def distribution_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(species_name, geneId, TPM)`` with species = '<supplier nation> <brand>'
+    so that the first word (genus) groups many species."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (
+        li.join(part, li.l_partkey == part.p_partkey)
+        .join(sup, li.l_suppkey == sup.s_suppkey)
+        .join(nation, sup.s_nationkey == nation.n_nationkey)
+        .select(
+            F.concat_ws(" ", "n_name", "p_brand").alias("species_name"),
+            F.col("l_partkey").cast("string").alias("geneId"),
+            (F.col("l_extendedprice") / F.lit(10000.0)).alias("TPM"),
+        )
+    )
+
+
+DISTRIBUTION_SQL = """dist AS (
+  SELECT concat_ws(' ', n.n_name, p.p_brand) AS species_name, CAST(l.l_partkey AS VARCHAR) AS geneId,
+         l.l_extendedprice / 10000.0 AS TPM
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+
 def raw_expression_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expression rows as read from text: TPM is a STRING that may be junk.
 
