@@ -338,3 +338,127 @@ JOIN (SELECT * FROM m WHERE replicate = 2) b ON a.geneId = b.geneId
 JOIN (SELECT * FROM m WHERE replicate = 3) c ON a.geneId = c.geneId""")
 def q_validation_three_way(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(va.three_way_r(_merged_logs(spark, sf), [1, 2, 3]))
+
+
+# ---------------------------------------------------------------------------
+# sequences and features
+# ---------------------------------------------------------------------------
+
+from sporeframe.functions import seq as sq  # noqa: E402
+from sporeframe.plans import features as fe  # noqa: E402
+
+
+def _kmer_index_sql(col: str, k: int) -> str:
+    return " + ".join(f"(instr('ACGT', substr({col}, {j + 1}, 1)) - 1) * {4 ** (k - 1 - j)}" for j in range(k))
+
+
+@register("kmer_counts_long", _with(tb.sequences_sql(), """w AS (
+  SELECT gene_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer
+  FROM seqs WHERE length(seq) >= 3)""") + """
+SELECT gene_id, kmer, count(*) AS n FROM w WHERE NOT contains(kmer, 'N') GROUP BY gene_id, kmer""")
+def q_kmer_counts_long(spark: SparkSession, sf: str) -> DataFrame:
+    return fe.kmer_counts_long(tb.sequences(spark, sf), "gene_id", "seq", 3, overlap=True)
+
+
+@register("kmer_vector_codon", _with(tb.sequences_sql(), """w AS (
+  SELECT gene_id, length(seq) AS L,
+         unnest(list_transform(range(0, length(seq) // 3), lambda j: substr(seq, j * 3 + 1, 3))) AS kmer
+  FROM seqs WHERE length(seq) >= 3)""") + f"""
+SELECT gene_id, CAST({_kmer_index_sql('kmer', 3)} AS INTEGER) AS kmer_index, round(ln(count(*) / L + 1), 7) AS value
+FROM w WHERE NOT contains(kmer, 'N') GROUP BY gene_id, kmer, L""")
+def q_kmer_vector_codon(spark: SparkSession, sf: str) -> DataFrame:
+    s = tb.sequences(spark, sf)
+    v = s.select("gene_id", sq.kmer_vector("seq", 3, overlap=False, divide=True, log=True).alias("v"))
+    return rnd(fe.dense_to_long(v, ["gene_id"], "v"))
+
+
+_MOTIF_SQL = ", ".join(f"CAST(len(regexp_extract_all(seq, '{m}')) AS INTEGER) AS {m}" for m in sq.MPRA_MOTIFS)
+
+
+@register("mpra_features", _with(tb.sequences_sql()) + f"""
+SELECT s.gene_id, s.source AS block, round(log2(d.n_chars), 7) AS y, {_MOTIF_SQL},
+       round(CASE WHEN length(seq) > 0
+                  THEN (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq) END, 7)
+         AS GC_content_UTR3
+FROM seqs s JOIN documents d ON s.gene_id = CAST(d.doc_id AS VARCHAR)""")
+def q_mpra_features(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tb.read_table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    oligo = docs.select(
+        F.col("doc_id").cast("string").alias("gene_id"),
+        tb.dna_from_text("text").alias("Oligo Sequence"),
+        # description in the reference's '<name>#<...>context_<block><suffix>' shape
+        F.concat(F.lit("oligo"), F.col("doc_id"), F.lit("#lib_context_native_"), F.col("source"), F.lit("_one_ins"))
+        .alias("Description"),
+        F.col("n_chars").cast("double").alias("Expression"),
+    )
+    return rnd(fe.mpra_features(oligo, keep=("gene_id",)))
+
+
+def _ends_sql() -> str:
+    return """ends AS (
+  SELECT gene_id, substr(seq, 1, length(seq) // 2) AS five, substr(seq, length(seq) // 2 + 1) AS three FROM seqs)"""
+
+
+def _windows_sql(col: str, k: int) -> str:
+    return (f"(SELECT count(*) FROM (SELECT unnest(list_transform(range(1, length({col}) - {k - 2}), "
+            f"lambda i: substr({col}, i, {k}))) AS km) WHERE NOT contains(km, 'N'))")
+
+
+_REGISTRY_ROWS = " UNION ALL ".join(
+    f"SELECT '{k}-mer-{end}' AS feature_set, gene_id, {w} AS width, {tot} AS total FROM ends"
+    for k in (3, 4, 5)
+    for end, w, tot in (
+        ("fiveprime", 4 ** k, f"CASE WHEN length(five) >= {k} THEN {_windows_sql('five', k)} ELSE 0 END"),
+        ("threeprime", 4 ** k, f"CASE WHEN length(three) >= {k} THEN {_windows_sql('three', k)} ELSE 0 END"),
+        ("combined", 2 * 4 ** k, f"CASE WHEN length(five) >= {k} THEN {_windows_sql('five', k)} ELSE 0 END"
+                                 f" + CASE WHEN length(three) >= {k} THEN {_windows_sql('three', k)} ELSE 0 END"),
+    )
+)
+
+
+@register("feature_registry_summary", _with(tb.sequences_sql(), _ends_sql(), f"r AS ({_REGISTRY_ROWS})") + """
+SELECT feature_set, count(*) AS n_genes, CAST(max(width) AS INTEGER) AS width, round(sum(total), 7) AS total
+FROM r GROUP BY feature_set""")
+def q_feature_registry_summary(spark: SparkSession, sf: str) -> DataFrame:
+    ends = fe.split_ends(tb.sequences(spark, sf))
+    reg = fe.feature_registry(ends)
+    return rnd(reg.groupBy("feature_set").agg(
+        F.count(F.lit(1)).alias("n_genes"),
+        F.max(F.size("features")).alias("width"),
+        F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+    ))
+
+
+@register("sequence_sentences", _with(tb.sequences_sql(), """t AS (SELECT gene_id, source, substr(seq, 1, 300) AS s FROM seqs)""") + """
+SELECT gene_id, source || ' ' || array_to_string(list_transform(range(1, length(s) - 4), lambda i: substr(s, i, 6)), ' ')
+       AS sentence
+FROM t WHERE length(s) = 300""")
+def q_sequence_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))
+    return t.where(F.length("s") == 300).select("gene_id", sq.species_sentence("source", "s", 6).alias("sentence"))
+
+
+_TOKEN_SQL = _with(tb.sequences_sql(), """t AS (SELECT gene_id, substr(seq, 1, 300) AS s FROM seqs)""", f"""ids AS (
+  SELECT gene_id, [2, 1] || list_transform(
+           CASE WHEN length(s) >= 6 THEN list_transform(range(1, length(s) - 4), lambda i: substr(s, i, 6)) ELSE [] END,
+           lambda km: CASE WHEN regexp_full_match(km, '[ACGT]+') THEN 5 + {_kmer_index_sql('km', 6)} ELSE 1 END)[1:509]
+         || [3] AS body
+  FROM t)""")
+
+
+@register("token_runs", _TOKEN_SQL + """
+SELECT gene_id, CAST(len(body) AS INTEGER) AS n_attended,
+       CAST(coalesce(list_position(list_transform(body, lambda x: x >= 5), true) - 1, 512) AS INTEGER) AS leading_special,
+       CAST(coalesce(list_position(list_transform(list_reverse(body), lambda x: x >= 5), true) - 1 + 512 - len(body), 512)
+            AS INTEGER) AS trailing_special,
+       CAST(list_sum(body) AS BIGINT) AS id_sum
+FROM ids""")
+def q_token_runs(spark: SparkSession, sf: str) -> DataFrame:
+    t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))
+    tt = fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512)
+    return tt.select(
+        "gene_id",
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
+        "leading_special", "trailing_special",
+        F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+    )
