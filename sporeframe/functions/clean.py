@@ -18,24 +18,26 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# pandas.to_numeric accepts decimal / exponent notation, inf and nan; Spark's
-# cast also accepts Java suffixes such as '1d' and '2f', which pandas rejects.
-_NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+# pandas.to_numeric accepts decimal / exponent notation (inf / nan too, but
+# those become NULL below anyway); Spark's cast also accepts Java suffixes
+# such as '1d' and '2f', which pandas rejects.  Group 1 is the number.
+_NUMERIC_TEXT = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 
 def clean_numeric(x: ColumnOrName) -> Column:
     """NaN and +/-Inf become NULL (P8).  Spark treats ``NaN > 0`` as true and
-    orders NaN last in ``median``, so this runs before any filter or aggregate."""
+    orders NaN last in ``median``, so this runs before any filter or aggregate.
+    (``abs(NaN) < inf`` is false in Spark, so one comparison covers both.)"""
     v = _c(x).cast("double")
-    return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(v)
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
 def lenient_double(x: ColumnOrName) -> Column:
     """Text to double like ``pd.to_numeric(errors='coerce')`` (P4): junk, empty
-    text and NULL give NULL, never an error under ANSI mode."""
-    s = _c(x).cast("string")
-    parsed = F.when(s.rlike(_NUMERIC_TEXT), F.trim(s).try_cast("double"))
-    return clean_numeric(parsed)
+    text and NULL give NULL, never an error under ANSI mode.  The input is
+    referenced once, so pushed-down filters do not copy a parsing chain."""
+    number = F.regexp_extract(_c(x).cast("string"), _NUMERIC_TEXT, 1)
+    return clean_numeric(number.try_cast("double"))
 
 
 def species_from_filename(path: ColumnOrName, lower: bool = True, check: bool = True) -> Column:

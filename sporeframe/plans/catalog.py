@@ -9,7 +9,7 @@ carries the same alias on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -462,3 +462,167 @@ def q_token_runs(spark: SparkSession, sf: str) -> DataFrame:
         "leading_special", "trailing_special",
         F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
     )
+
+
+# ---------------------------------------------------------------------------
+# splits, folds, positional zip, cross-species gene table
+# ---------------------------------------------------------------------------
+
+from sporeframe.functions.transform import boxcox as _boxcox  # noqa: E402
+from sporeframe.functions.transform import log10p1  # noqa: E402
+from sporeframe.operators import joins as jn  # noqa: E402
+from sporeframe.operators import ranking as rk  # noqa: E402
+from sporeframe.operators import split as spl  # noqa: E402
+from sporeframe.plans import models as md  # noqa: E402
+from sporeframe.session import reliable_checkpoint  # noqa: E402
+
+_RIDGE_INPUT_SQL = """ri AS (
+  SELECT e.*, 'sp' || CAST(label AS VARCHAR) AS species, CAST(vec_id AS VARCHAR) AS gene_id FROM embeddings e)"""
+
+
+@register("holdout_split", _with(_RIDGE_INPUT_SQL, """r AS (
+  SELECT species, gene_id,
+         row_number() OVER (PARTITION BY species ORDER BY md5(concat('42:', gene_id)), gene_id) AS rn,
+         count(*) OVER (PARTITION BY species) AS n FROM ri)""", """t AS (
+  SELECT species, gene_id, rn <= ceil(0.1::DOUBLE * n) AS is_test, rn - CAST(ceil(0.1::DOUBLE * n) AS BIGINT) AS trn,
+         n - CAST(ceil(0.1::DOUBLE * n) AS BIGINT) AS tn FROM r)""") + """
+SELECT species, gene_id, is_test,
+       CAST(CASE WHEN is_test THEN 0 ELSE ntile(5) OVER (PARTITION BY species, is_test ORDER BY trn) END AS INTEGER) AS fold
+FROM t""")
+def q_holdout_split(spark: SparkSession, sf: str) -> DataFrame:
+    d = tb.ridge_input(spark, sf).where(F.col("end") == "upstream").select("species", "gene_id")
+    return spl.holdout_split(d, ["species"], "gene_id", 0.1, 42, n_folds=5)
+
+
+@register("group_kfold_assignment", _with(tb.sequences_sql(), """b AS (
+  SELECT source, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS p FROM seqs GROUP BY source)""",
+                                           """f AS (SELECT source, CAST(CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END + 1 AS INTEGER) AS fold FROM b)""") + """
+SELECT s.gene_id, s.source, f.fold FROM seqs s JOIN f ON s.source = f.source""")
+def q_group_kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    s = tb.sequences(spark, sf).select("gene_id", "source", F.lit("all").alias("_g"))
+    return spl.group_kfold(s, ["_g"], "source", 10).select("gene_id", "source", "fold")
+
+
+@register("positional_zip_embeddings", """
+SELECT d.gene_id, d.row_idx, e.vec_id, e.label FROM
+  (SELECT CAST(doc_id AS VARCHAR) AS gene_id, row_number() OVER (ORDER BY doc_id) AS row_idx FROM documents) d
+JOIN (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row_idx FROM embeddings) e ON d.row_idx = e.row_idx""")
+def q_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tb.read_table(spark, sf, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("gene_id"),
+                                                        F.lit(1).alias("_g"))
+    emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "label", F.lit(1).alias("_g"))
+    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="inner", check_counts=False)
+    return z.select("gene_id", "row_idx", "vec_id", "label")
+
+
+# Lower bound on per-sample Box-Cox TPM: the reference keeps >= 5 on its TPM
+# scale; the driver TPM is divided by 10^4, so the stand-in keeps >= 0 (TPM >= 1).
+MIN_BOXCOX = 0.0
+
+
+def gene_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Per gene median Box-Cox(0.22) and TPM of the kept samples (P5, F28,
+    A1), log10 TPM (F27), test flag from ``labels`` (J7), joined to both
+    sequence ends (W2 first per gene, J2)."""
+    s = tb.expression_samples(spark, sf).select("geneId", "TPM", _boxcox("TPM", 0.22).alias("boxcox_tpm"))
+    s = s.where(F.col("boxcox_tpm") >= MIN_BOXCOX)
+    expr = s.groupBy("geneId").agg(F.median("boxcox_tpm").alias("boxcox_tpm"), F.median("TPM").alias("TPM"))
+    expr = expr.withColumn("log_TPM", log10p1("TPM"))
+    labels = tb.read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("names_test"))
+    expr = jn.membership_flag(expr, labels, "geneId", "names_test", "is_test")
+    ends = fe.split_ends(tb.sequences(spark, sf))
+    five = rk.first_per_key(ends.select(F.col("gene_id").alias("geneId"), "five_prime_seq"), ["geneId"], ["five_prime_seq"])
+    three = rk.first_per_key(ends.select(F.col("gene_id").alias("geneId"), "three_prime_seq"), ["geneId"], ["three_prime_seq"])
+    return jn.inner_join_all([expr, five, three], "geneId")
+
+
+@register("cross_species_genes", _with(tb.EXPRESSION_SQL, tb.sequences_sql(), f"""e AS (
+  SELECT geneId, median(bc) AS boxcox_tpm, median(TPM) AS TPM FROM (
+    SELECT geneId, TPM, CASE WHEN TPM > 0 THEN (power(TPM, 0.22) - 1) / 0.22 END AS bc FROM samples) WHERE bc >= {MIN_BOXCOX}
+  GROUP BY geneId)""") + """
+SELECT e.geneId, round(e.boxcox_tpm, 7) AS boxcox_tpm, round(e.TPM, 7) AS TPM, round(log10(e.TPM + 1), 7) AS log_TPM,
+       e.geneId IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AS is_test,
+       CAST(length(seq) // 2 AS INTEGER) AS five_len, CAST(length(seq) - length(seq) // 2 AS INTEGER) AS three_len
+FROM e JOIN seqs s ON e.geneId = s.gene_id""")
+def q_cross_species_genes(spark: SparkSession, sf: str) -> DataFrame:
+    g = gene_table(spark, sf)
+    return rnd(g.select("geneId", "boxcox_tpm", "TPM", "log_TPM", "is_test",
+                        F.length("five_prime_seq").alias("five_len"), F.length("three_prime_seq").alias("three_len")))
+
+
+# ---------------------------------------------------------------------------
+# ridge jobs (M1, M3-M9, M13): no SQL form; checked against numpy in tests
+# ---------------------------------------------------------------------------
+
+@register("species_ridge_r2")
+def q_species_ridge_r2(spark: SparkSession, sf: str) -> DataFrame:
+    models, _ = md.species_ridge(tb.ridge_input(spark, sf))
+    return rnd(models.select("end", "species", "alpha", "cv_score", "n_train", "n_test",
+                             F.col("test_r2").alias("R2")))
+
+
+@register("species_ridge_predictions")
+def q_species_ridge_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    _, preds = md.species_ridge(tb.ridge_input(spark, sf))
+    return rnd(preds)
+
+
+@register("r2_trend")
+def q_r2_trend(spark: SparkSession, sf: str) -> DataFrame:
+    models, _ = md.species_ridge(tb.ridge_input(spark, sf))
+    up = models.where(F.col("end") == "upstream").select("species", F.col("test_r2").alias("R2"))
+    return rnd(md.r2_trend(up))
+
+
+def feature_set_input(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 input: the C7 gene table's k-mer feature sets (M10) plus the
+    embedding set attached by position (J8), target = median Box-Cox TPM."""
+    genes = gene_table(spark, sf).select(F.col("geneId").alias("gene_id"), "five_prime_seq", "three_prime_seq",
+                                         F.col("boxcox_tpm").alias("y"), "is_test")
+    reg = fe.feature_registry(genes).join(genes.select("gene_id", "y", "is_test"), "gene_id")
+    docs = tb.read_table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"),
+                                                        F.lit(1).alias("_g"))
+    emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
+    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="inner", check_counts=False)
+    emb_set = z.select(F.lit("Downstream: embedding").alias("feature_set"), "gene_id",
+                       F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
+    out = reg.unionByName(emb_set).withColumn("row_order", F.col("gene_id").cast("long"))
+    # features feed CV, refit, bootstrap and predictions: compute them once
+    return reliable_checkpoint(out)
+
+
+@register("feature_set_ridge_metrics")
+def q_feature_set_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    metrics, _ = md.feature_set_ridge(feature_set_input(spark, sf))
+    return rnd(metrics)
+
+
+@register("bootstrap_spread")
+def q_bootstrap_spread(spark: SparkSession, sf: str) -> DataFrame:
+    data = feature_set_input(spark, sf)
+    _, models = md.feature_set_ridge(data)
+    sel = F.col("feature_set").contains("Downstream") & ~F.col("feature_set").contains("6-mer")
+    boot = md.bootstrap_ridge(data, models, replicates=100, name_filter=sel)
+    return rnd(md.bootstrap_spread(boot))
+
+
+def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
+    docs = tb.read_table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    oligo = docs.select(
+        F.col("doc_id").cast("string").alias("gene_id"), F.col("doc_id").alias("row_order"),
+        tb.dna_from_text("text").alias("Oligo Sequence"),
+        F.concat(F.lit("oligo"), F.col("doc_id"), F.lit("#lib_context_native_"), F.col("source"), F.lit("_one_ins"))
+        .alias("Description"),
+        F.col("n_chars").cast("double").alias("Expression"),
+    )
+    feats = fe.mpra_features(oligo, keep=("gene_id", "row_order", "Oligo Sequence"))
+    parts = [feats.select(F.lit(f"{k}-mer counts").alias("feature_set"), "gene_id", "row_order", "block", "y",
+                          sq.kmer_vector(F.col("`Oligo Sequence`"), k).alias("features")) for k in ks]
+    from sporeframe.operators.reshape import union_all_by_name
+    return reliable_checkpoint(union_all_by_name(parts))
+
+
+@register("mpra_group_kfold")
+def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(md.group_kfold_ridge(mpra_input(spark, sf)))

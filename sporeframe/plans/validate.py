@@ -19,15 +19,18 @@ from sporeframe.operators.joins import inner_join_all
 
 def pipeline_tpm(gtf: DataFrame, prefix: str = "^gene-SPOM_", replicate: str = "replicate") -> DataFrame:
     """Parsed GTF to ``(replicate, geneId, Pipeline_TPM)``."""
-    d = gtf.select(replicate, strip_pattern("ref_gene_id", prefix).alias("geneId"),
-                   F.col("TPM").alias("Pipeline_TPM")).dropna()
-    return d.groupBy(replicate, "geneId").agg(F.avg("Pipeline_TPM").alias("Pipeline_TPM"))
+    d = gtf.select(replicate, strip_pattern("ref_gene_id", prefix).alias("geneId"), F.col("TPM").alias("Pipeline_TPM"))
+    # na.omit after the mean (which skips NULLs): same rows, and the NULL
+    # test is not pushed into (and repeated inside) the parsing expressions
+    agg = d.groupBy(replicate, "geneId").agg(F.avg("Pipeline_TPM").alias("Pipeline_TPM"))
+    return agg.where(F.col("geneId").isNotNull() & F.col("Pipeline_TPM").isNotNull())
 
 
 def published_tpm(published: DataFrame, replicate: str = "replicate") -> DataFrame:
     """Published table to ``(replicate, geneId, FungiExp_TPM)``."""
-    d = published.select(replicate, "geneId", F.col("TPM").alias("FungiExp_TPM")).dropna()
-    return d.groupBy(replicate, "geneId").agg(F.avg("FungiExp_TPM").alias("FungiExp_TPM"))
+    d = published.select(replicate, "geneId", F.col("TPM").alias("FungiExp_TPM"))
+    agg = d.groupBy(replicate, "geneId").agg(F.avg("FungiExp_TPM").alias("FungiExp_TPM"))
+    return agg.where(F.col("geneId").isNotNull() & F.col("FungiExp_TPM").isNotNull())
 
 
 def merged_logs(pipe: DataFrame, pub: DataFrame, replicate: str = "replicate") -> DataFrame:

@@ -111,8 +111,7 @@ def gtf_attribute(attrs: Column | str, key: str) -> Column:
     """Value of one ``key "value";`` attribute; NULL when absent.  Quoted
     values may hold ``;`` (which ``str_to_map`` would split on)."""
     a = F.col(attrs) if isinstance(attrs, str) else attrs
-    v = F.regexp_extract(a, rf'(?:^|;)\s*{key} "([^"]*)"', 1)
-    return F.when(v != "", v)
+    return F.nullif(F.regexp_extract(a, rf'(?:^|;)\s*{key} "([^"]*)"', 1), F.lit(""))
 
 
 def parse_gtf(lines: DataFrame, column: str = "value", attributes: Sequence[str] = ("gene_id", "ref_gene_id", "TPM"),
@@ -122,9 +121,11 @@ def parse_gtf(lines: DataFrame, column: str = "value", attributes: Sequence[str]
     Comment lines (``#``) are dropped; '.' in score / frame is NULL; the
     ``TPM`` attribute is parsed leniently to DOUBLE.
     """
-    parts = F.split(F.col(column), "\t")
-    body = lines.where(~F.col(column).startswith("#") & (F.size(parts) >= 9)).select(
-        *keep, *[parts.getItem(i).alias(n) for i, n in enumerate(GTF_FIELDS)]
+    # split once into its own projection; Catalyst will not copy a non-cheap
+    # expression into each of the nine field references
+    split = lines.where(~F.col(column).startswith("#")).select(*keep, F.split(F.col(column), "\t").alias("_f"))
+    body = split.where(F.size("_f") >= 9).select(
+        *keep, *[F.col("_f").getItem(i).alias(n) for i, n in enumerate(GTF_FIELDS)]
     )
     dot_null = lambda c: F.when(F.col(c) != ".", F.col(c))
     out = body.select(
