@@ -574,7 +574,7 @@ def q_r2_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(md.r2_trend(up))
 
 
-def feature_set_input(spark: SparkSession, sf: str) -> DataFrame:
+def feature_set_input(spark: SparkSession, sf: str, name_filter=None) -> DataFrame:
     """M7 input: the C7 gene table's k-mer feature sets (M10) plus the
     embedding set attached by position (J8), target = median Box-Cox TPM."""
     genes = gene_table(spark, sf).select(F.col("geneId").alias("gene_id"), "five_prime_seq", "three_prime_seq",
@@ -588,6 +588,8 @@ def feature_set_input(spark: SparkSession, sf: str) -> DataFrame:
                        F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
     out = reg.unionByName(emb_set).withColumn("row_order", F.col("gene_id").cast("long"))
+    if name_filter is not None:
+        out = out.where(name_filter)
     # features feed CV, refit, bootstrap and predictions: compute them once
     return reliable_checkpoint(out)
 
@@ -600,10 +602,11 @@ def q_feature_set_ridge(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bootstrap_spread")
 def q_bootstrap_spread(spark: SparkSession, sf: str) -> DataFrame:
-    data = feature_set_input(spark, sf)
-    _, models = md.feature_set_ridge(data)
     sel = F.col("feature_set").contains("Downstream") & ~F.col("feature_set").contains("6-mer")
-    boot = md.bootstrap_ridge(data, models, replicates=100, name_filter=sel)
+    # only the bootstrapped sets need their M7 alpha (P14 before fitting)
+    data = feature_set_input(spark, sf, name_filter=sel)
+    _, models = md.feature_set_ridge(data)
+    boot = md.bootstrap_ridge(data, models, replicates=100)
     return rnd(md.bootstrap_spread(boot))
 
 
