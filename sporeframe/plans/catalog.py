@@ -629,3 +629,151 @@ def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -
 @register("mpra_group_kfold")
 def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(md.group_kfold_ridge(mpra_input(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# fitted transforms, QQ, Spearman, KDE
+# ---------------------------------------------------------------------------
+
+from sporeframe.operators import aggregates as ag  # noqa: E402
+from sporeframe.operators import normalise as nm  # noqa: E402
+
+
+@register("threshold_search_fitted")
+def q_threshold_search_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    best, _, _ = ex.threshold_search_fitted(tb.expression_samples(spark, sf), FIXTURE_TPM_THRESHOLDS,
+                                            FIXTURE_RSD_THRESHOLDS)
+    return rnd(best)
+
+
+@register("normalised_expression")
+def q_normalised_expression(spark: SparkSession, sf: str) -> DataFrame:
+    best, genes, lambdas = ex.threshold_search_fitted(tb.expression_samples(spark, sf), FIXTURE_TPM_THRESHOLDS,
+                                                      FIXTURE_RSD_THRESHOLDS)
+    return rnd(ex.normalised_table(best, genes, lambdas))
+
+
+def _acklam_sql(p: str) -> str:
+    def horner(coefs, x):
+        out = repr(coefs[0])
+        for c in coefs[1:]:
+            out = f"({out}) * {x} + {c!r}"
+        return out
+    q_lo, q_hi, r = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"(({p}) - 0.5) * (({p}) - 0.5)"
+    low = f"({horner(nm._C, q_lo)}) / (({horner(nm._D, q_lo)}) * {q_lo} + 1)"
+    high = f"-({horner(nm._C, q_hi)}) / (({horner(nm._D, q_hi)}) * {q_hi} + 1)"
+    mid = f"({horner(nm._A, r)}) * (({p}) - 0.5) / (({horner(nm._B, r)}) * {r} + 1)"
+    return f"CASE WHEN {p} < {nm._P_LOW!r} THEN {low} WHEN {p} > 1 - {nm._P_LOW!r} THEN {high} ELSE {mid} END"
+
+
+@register("species_qq_fit", _with(tb.EXPRESSION_SQL, """o AS (
+  SELECT species, TPM, row_number() OVER (PARTITION BY species ORDER BY TPM, sample_id, line) AS i,
+         count(*) OVER (PARTITION BY species) AS n FROM samples)""", """m AS (
+  SELECT species, TPM, CASE WHEN i = n THEN power(0.5, 1.0 / n) WHEN i = 1 THEN 1 - power(0.5, 1.0 / n)
+                            ELSE (i - 0.3175) / (n + 0.365) END AS u FROM o)""",
+                                     f"""q AS (SELECT species, TPM, {_acklam_sql('u')} AS osm FROM m)""") + """
+SELECT species, round(regr_slope(TPM, osm), 7) AS slope, round(regr_intercept(TPM, osm), 7) AS intercept,
+       round(corr(TPM, osm), 7) AS r
+FROM q GROUP BY species""")
+def q_species_qq_fit(spark: SparkSession, sf: str) -> DataFrame:
+    s = tb.expression_samples(spark, sf)
+    return rnd(nm.qq_fit(s, ["species"], "TPM", tiebreak=["sample_id", "line"]))
+
+
+@register("replicate_spearman", _with(tb.EXPRESSION_SQL, """g AS (
+  SELECT species, geneId, avg(TPM) FILTER (WHERE line = 1) AS a, avg(TPM) FILTER (WHERE line = 2) AS b
+  FROM samples GROUP BY species, geneId)""", """h AS (SELECT * FROM g WHERE a IS NOT NULL AND b IS NOT NULL)""",
+                                        """r AS (SELECT species, geneId, rank() OVER (PARTITION BY species ORDER BY a)
+          + (count(*) OVER (PARTITION BY species, a) - 1) / 2.0 AS ra,
+          rank() OVER (PARTITION BY species ORDER BY b) + (count(*) OVER (PARTITION BY species, b) - 1) / 2.0 AS rb FROM h)""") + """
+SELECT species, round(corr(ra, rb), 7) AS spearman FROM r GROUP BY species""")
+def q_replicate_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    s = tb.expression_samples(spark, sf)
+    g = s.groupBy("species", "geneId").agg(F.avg(F.when(F.col("line") == 1, F.col("TPM"))).alias("a"),
+                                           F.avg(F.when(F.col("line") == 2, F.col("TPM"))).alias("b"))
+    g = g.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return rnd(ag.spearman(g, ["species"], "a", "b", "geneId"))
+
+
+@register("experiment_density")
+def q_experiment_density(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(ag.kde(tb.experiment_counts(spark, sf), "Experiment_number"))
+
+
+# ---------------------------------------------------------------------------
+# taxonomy tree (T1-T3, J5, F12, S13) over region -> nation -> customer
+# ---------------------------------------------------------------------------
+
+from sporeframe.operators import tree as tr  # noqa: E402
+
+
+def taxonomy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(child, parent)`` and names ``(node, name)`` of the
+    region -> nation -> customer hierarchy; node ids are 'r..', 'n..', 'c..'."""
+    region = tb.read_table(spark, sf, "region")
+    nation = tb.read_table(spark, sf, "nation")
+    cust = tb.read_table(spark, sf, "customer")
+    edges = nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("child"),
+                          F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent")).unionByName(
+        cust.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("child"),
+                    F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent")))
+    names = (region.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.col("r_name").alias("name"))
+             .unionByName(nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), F.col("n_name").alias("name")))
+             .unionByName(cust.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.col("c_name").alias("name"))))
+    return edges, names
+
+
+def chosen_taxa(spark: SparkSession, sf: str) -> DataFrame:
+    """The taxon list: customers of the 'BUILDING' segment with a balance above 9000."""
+    c = tb.read_table(spark, sf, "customer")
+    return c.where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000)).select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+
+
+_TREE_SQL = _with("""edges AS (
+  SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)""", """names AS (
+  SELECT 'r' || r_regionkey AS node, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation
+  UNION ALL SELECT 'c' || c_custkey, c_name FROM customer)""", """chosen AS (
+  SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)""",
+                  """members AS (SELECT node FROM chosen UNION SELECT parent FROM edges WHERE child IN (SELECT node FROM chosen)
+  UNION SELECT e2.parent FROM edges e1 JOIN edges e2 ON e1.parent = e2.child WHERE e1.child IN (SELECT node FROM chosen))""",
+                  """fan AS (SELECT e.parent AS node, count(DISTINCT e.child) AS kids FROM edges e
+  WHERE e.child IN (SELECT node FROM members) GROUP BY e.parent)""", """kept AS (
+  SELECT m.node FROM members m LEFT JOIN fan f ON m.node = f.node
+  WHERE m.node IN (SELECT node FROM chosen) OR coalesce(f.kids, 0) >= 2)""", """anc AS (
+  SELECT e.child AS node, e.parent AS a1, e2.parent AS a2 FROM edges e LEFT JOIN edges e2 ON e.parent = e2.child)""")
+
+
+@register("taxonomy_subtree", _TREE_SQL + """
+SELECT k.node AS child,
+       CASE WHEN anc.a1 IN (SELECT node FROM kept) THEN anc.a1 WHEN anc.a2 IN (SELECT node FROM kept) THEN anc.a2 END AS parent,
+       names.name
+FROM kept k LEFT JOIN anc ON k.node = anc.node LEFT JOIN names ON k.node = names.node""")
+def q_taxonomy_subtree(spark: SparkSession, sf: str) -> DataFrame:
+    edges, names = taxonomy(spark, sf)
+    return tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names)
+
+
+@register("taxonomy_newick")
+def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
+    edges, names = taxonomy(spark, sf)
+    return tr.newick(tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names))
+
+
+# ---------------------------------------------------------------------------
+# batch embedding and pooling
+# ---------------------------------------------------------------------------
+
+from sporeframe.operators import pool as pl  # noqa: E402
+
+
+@register("sequence_embeddings")
+def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))
+    t = t.where(F.length("s") == 300)
+    toks = fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512)
+    enc = pl.ProjectionEncoder(vocab_size=len(sq.kmer_vocabulary(6)), hidden=16, layers=4)
+    emb = pl.embed(toks, ["gene_id"], enc, batch_size=50, target_layer=(2,))
+    return rnd(emb.select("gene_id", F.size("embedding").alias("dim"),
+                          F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))

@@ -86,17 +86,20 @@ def rsd_sweep(stats: DataFrame, medians: Sequence[int] = SWEEP_MEDIANS,
         .where(F.col("tmp_threshold").isin(list(medians)))
     )
     keys = ["species", "tmp_threshold"]
-    moments = passing.groupBy(*keys).agg(
+    # A group here holds one species' genes: its size is bounded by the
+    # genome (tens of thousands), not by the number of samples, so the exact
+    # ``percentile`` aggregate (one buffer per group) is safe and one pass.
+    pct = F.percentile("rsd", F.array(*[F.lit(float(p)) for p in percentiles]))
+    agg = passing.groupBy(*keys).agg(
         F.count("rsd").alias("count"),
         F.avg("rsd").alias("mean"),
         F.stddev_samp("rsd").alias("std"),
         F.min("rsd").alias("min"),
         F.max("rsd").alias("max"),
+        pct.alias("_p"),
     )
-    pcts = exact_percentiles(passing, keys, "rsd", {pct_name(p): p for p in percentiles})
-    return moments.join(pcts, keys, "left").select(
-        *keys, "count", "mean", "std", "min", *[pct_name(p) for p in percentiles], "max"
-    )
+    return agg.select(*keys, "count", "mean", "std", "min",
+                      *[F.col("_p")[i].alias(pct_name(p)) for i, p in enumerate(percentiles)], "max")
 
 
 def _combos(tpm_thresholds: Sequence[float], rsd_thresholds: Sequence[float]) -> list[tuple[int, float, float]]:
@@ -173,3 +176,37 @@ def threshold_search(samples: DataFrame, tpm_thresholds: Sequence[float] = REFER
     stats = gene_stats(samples, median_method=median_method)
     genes = filter_genes(stats, tpm_thresholds, rsd_thresholds)
     return best_thresholds(score_combos(genes, lam=lam))
+
+
+def threshold_search_fitted(samples: DataFrame, tpm_thresholds: Sequence[float] = REFERENCE_TPM_THRESHOLDS,
+                            rsd_thresholds: Sequence[float] = REFERENCE_RSD_THRESHOLDS,
+                            checkpoint: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C4 with fitted transforms (F29, F30): per (species, pair) the Box-Cox
+    and Yeo-Johnson lambdas are fitted by maximum likelihood, the gene set
+    is scored, and the best pair per species kept.
+
+    Returns ``(best, genes, lambdas)``; ``genes`` (one row per gene and
+    passing pair) is materialised once because four jobs read it.
+    """
+    from sporeframe.operators.normalise import fit_lambda
+    from sporeframe.session import reliable_checkpoint
+
+    stats = gene_stats(samples)
+    genes = filter_genes(stats, tpm_thresholds, rsd_thresholds)
+    if checkpoint:
+        genes = reliable_checkpoint(genes)
+    keys = ["species", "combo"]
+    lam_bc = fit_lambda(genes, keys, "TPM", "boxcox", "lam_bc").drop("llf")
+    lam_yj = fit_lambda(genes, keys, "TPM", "yeojohnson", "lam_yj").drop("llf")
+    lambdas = lam_bc.join(lam_yj, keys, "full")
+    best = best_thresholds(score_combos(genes, fitted=lambdas))
+    return best, genes, lambdas
+
+
+def normalised_table(best: DataFrame, genes: DataFrame, lambdas: DataFrame) -> DataFrame:
+    """The chosen gene set per species with ``geneId, TPM, boxcox_tpm, yj_tpm``
+    (the reference's per-species output table)."""
+    keys = ["species", "combo"]
+    g = genes.join(best.select(*keys), keys, "left_semi").join(lambdas, keys)
+    return g.select("species", "geneId", "TPM", boxcox("TPM", F.col("lam_bc")).alias("boxcox_tpm"),
+                    yeojohnson("TPM", F.col("lam_yj")).alias("yj_tpm"), "tpm_threshold", "rsd_threshold")
