@@ -148,7 +148,8 @@ _SCORES_SQL = _with(
           FROM st JOIN combos c ON st.med > c.tpm_threshold AND st.rsd < c.rsd_threshold)""",
     """m AS (SELECT *, avg(bc) OVER (PARTITION BY species, combo) AS mu FROM g)""",
     """sc AS (SELECT species, combo, tpm_threshold, rsd_threshold, count(*) AS n_genes,
-                  abs(avg(power(bc - mu, 3)) / power(avg(power(bc - mu, 2)), 1.5)) AS skew,
+                  CASE WHEN avg(power(bc - mu, 2)) > 0
+                       THEN abs(avg(power(bc - mu, 3)) / power(avg(power(bc - mu, 2)), 1.5)) END AS skew,
                   abs(kurtosis_pop(bc)) AS kurtosis
            FROM m GROUP BY species, combo, tpm_threshold, rsd_threshold)""",
 )
@@ -157,7 +158,7 @@ _SCORES_SQL = _with(
 @register("threshold_search", _SCORES_SQL + """
 SELECT species, combo, tpm_threshold, rsd_threshold, n_genes, 'boxcox' AS scored_on,
        round(skew, 7) AS skew, round(kurtosis, 7) AS kurtosis, round(skew + kurtosis, 7) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY skew + kurtosis, combo) AS rk
+FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY round(skew + kurtosis, 9), combo) AS rk
       FROM sc WHERE skew + kurtosis IS NOT NULL AND NOT isnan(skew + kurtosis)) WHERE rk = 1""")
 def q_threshold_search(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(ex.threshold_search(tb.expression_samples(spark, sf), FIXTURE_TPM_THRESHOLDS,

@@ -166,7 +166,11 @@ def best_thresholds(scores: DataFrame) -> DataFrame:
     """The lowest score per species, the earlier pair winning ties; NaN /
     NULL scores never win and a species with none is dropped (skipped)."""
     valid = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return first_per_key(valid, ["species"], ["score", "combo"])
+    # identical gene sets (e.g. every gene passing two pairs) give equal
+    # scores whose last bits depend on summation order; compare at 1e-9 so
+    # the earlier pair wins, as the reference's strict '<' does
+    ranked = valid.withColumn("_score_key", F.round("score", 9))
+    return first_per_key(ranked, ["species"], ["_score_key", "combo"]).drop("_score_key")
 
 
 def threshold_search(samples: DataFrame, tpm_thresholds: Sequence[float] = REFERENCE_TPM_THRESHOLDS,

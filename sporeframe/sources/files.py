@@ -111,7 +111,8 @@ def gtf_attribute(attrs: Column | str, key: str) -> Column:
     """Value of one ``key "value";`` attribute; NULL when absent.  Quoted
     values may hold ``;`` (which ``str_to_map`` would split on)."""
     a = F.col(attrs) if isinstance(attrs, str) else attrs
-    return F.nullif(F.regexp_extract(a, rf'(?:^|;)\s*{key} "([^"]*)"', 1), F.lit(""))
+    # \b: 'gene_id' must not match inside 'ref_gene_id' ('_' is a word character)
+    return F.nullif(F.regexp_extract(a, rf'\b{key} "([^"]*)"', 1), F.lit(""))
 
 
 def parse_gtf(lines: DataFrame, column: str = "value", attributes: Sequence[str] = ("gene_id", "ref_gene_id", "TPM"),
