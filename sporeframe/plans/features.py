@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sporeframe.functions import seq as sq
 from sporeframe.functions.clean import block_from_description
-from sporeframe.operators.reshape import concat_features, union_all_by_name
+from sporeframe.operators.reshape import concat_features
 
 
 def kmer_string(index: str | F.Column, k: int) -> F.Column:
@@ -66,17 +66,18 @@ def split_ends(df: DataFrame, seq_col: str = "seq") -> DataFrame:
 def feature_registry(df: DataFrame, id_col: str = "gene_id", ks: Sequence[int] = (3, 4, 5)) -> DataFrame:
     """``(feature_set, id, features)`` for k-mer counts of each end and
     both ends side by side (U4).  One long table instead of a dict of
-    matrices, so every feature set is a key of later grouped jobs."""
-    parts = []
+    matrices, so every feature set is a key of later grouped jobs.  Each
+    vector is computed once per row; the sets are exploded from them."""
+    vecs = df.select(id_col, *[sq.kmer_vector(f"{end}_prime_seq", k).alias(f"_{end}{k}")
+                               for k in ks for end in ("five", "three")])
+    sets = []
     for k in ks:
-        five, three = sq.kmer_vector("five_prime_seq", k), sq.kmer_vector("three_prime_seq", k)
-        v = df.select(id_col, five.alias("f"), three.alias("t"))
-        parts += [
-            v.select(F.lit(f"{k}-mer-fiveprime").alias("feature_set"), id_col, F.col("f").alias("features")),
-            v.select(F.lit(f"{k}-mer-threeprime").alias("feature_set"), id_col, F.col("t").alias("features")),
-            v.select(F.lit(f"{k}-mer-combined").alias("feature_set"), id_col, concat_features("f", "t").alias("features")),
-        ]
-    return union_all_by_name(parts)
+        f, t = F.col(f"_five{k}"), F.col(f"_three{k}")
+        sets += [F.struct(F.lit(f"{k}-mer-fiveprime").alias("feature_set"), f.alias("features")),
+                 F.struct(F.lit(f"{k}-mer-threeprime").alias("feature_set"), t.alias("features")),
+                 F.struct(F.lit(f"{k}-mer-combined").alias("feature_set"), concat_features(f, t).alias("features"))]
+    e = vecs.select(id_col, F.explode(F.array(*sets)).alias("_s"))
+    return e.select(F.col("_s.feature_set").alias("feature_set"), id_col, F.col("_s.features").alias("features"))
 
 
 def mpra_features(df: DataFrame, seq_col: str = "Oligo Sequence", desc_col: str = "Description",
