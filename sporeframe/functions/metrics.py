@@ -6,6 +6,7 @@ Each is an ordinary aggregate column, so Spark computes it with partial
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +46,18 @@ def line_fit(y: ColumnOrName, x: ColumnOrName) -> list[Column]:
         F.regr_intercept(_c(y), _c(x)).alias("intercept"),
         F.corr(_c(y), _c(x)).alias("r"),
     ]
+
+
+def user_aggregate(func, return_type: str = "double"):
+    """Wrap a Python reducer ``pandas.Series -> scalar`` as a grouped
+    aggregate for ``agg`` (Arrow batches, partial results are not merged,
+    so use it on bounded groups; prefer the built-in expressions above).
+    Spark does not mix such aggregates with built-in ones in one ``agg``.
+
+    ``groupBy(k).agg(user_aggregate(my_rsd)("TPM"))``
+    """
+    @F.pandas_udf(return_type)
+    def _agg(s: pd.Series) -> float:
+        return func(s)
+
+    return _agg

@@ -67,37 +67,51 @@ def kmer_index(kmer: ColumnOrName) -> Column:
     return F.when(km.rlike("^[ACGT]+$"), F.conv(F.translate(km, BASES, "0123"), 4, 10).cast("int"))
 
 
-def _kmer_vector_np(seqs: pd.Series, k: int, overlap: bool, divide: bool, log: bool, drop_last: bool) -> pd.Series:
+_LUT = np.full(256, 255, dtype=np.uint8)
+for _code, _base in enumerate(BASES):
+    _LUT[ord(_base)] = _code
+_LUT[ord("N")] = 4
+
+
+def _kmer_counts_block(seqs: list[str], k: int, overlap: bool, width: int) -> np.ndarray:
+    """Counts ``[len(seqs), width]`` for a block of sequences in one pass:
+    all windows of all sequences are indexed at once and counted with one
+    ``bincount`` over (row, k-mer) pairs."""
     size = 4 ** k
-    width = size - 1 if drop_last else size
-    lut = np.full(256, 255, dtype=np.uint8)
-    for code, base in enumerate(BASES):
-        lut[ord(base)] = code
-    lut[ord("N")] = 4
-    weights = 4 ** np.arange(k - 1, -1, -1, dtype=np.int64)
-    out = []
-    for s in seqs:
-        if s is None:
-            out.append(None)
-            continue
-        codes = lut[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
-        if (codes == 255).any():
-            raise ValueError("k-mer vector: letters other than A, C, G, T, N")
-        counts = np.zeros(width, dtype=np.float64)
-        n = codes.shape[0]
-        if n >= k:
-            win = np.lib.stride_tricks.sliding_window_view(codes, k)[:: (1 if overlap else k)]
-            ok = ~(win == 4).any(axis=1)
-            idx = (win[ok].astype(np.int64) * weights).sum(axis=1)
-            if drop_last:
-                idx = idx[idx < width]
-            counts += np.bincount(idx, minlength=size)[:width]
-        if divide and n:
-            counts = counts / n
+    lens = np.fromiter((len(x) for x in seqs), dtype=np.int64, count=len(seqs))
+    codes = _LUT[np.frombuffer("".join(seqs).encode("ascii", "replace"), dtype=np.uint8)]
+    if (codes == 255).any():
+        raise ValueError("k-mer vector: letters other than A, C, G, T, N")
+    step = 1 if overlap else k
+    nwin = np.where(lens >= k, (lens - k) // step + 1, 0)
+    row = np.repeat(np.arange(len(seqs)), nwin)
+    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    within = (np.arange(nwin.sum()) - np.repeat(np.cumsum(nwin) - nwin, nwin)) * step
+    win = codes[(first[row] + within)[:, None] + np.arange(k)]
+    ok = ~(win == 4).any(axis=1)
+    idx = (win[ok].astype(np.int64) * (4 ** np.arange(k - 1, -1, -1, dtype=np.int64))).sum(axis=1)
+    row = row[ok]
+    keep = idx < width
+    flat = np.bincount(row[keep] * size + idx[keep], minlength=len(seqs) * size)
+    return flat.reshape(len(seqs), size)[:, :width].astype(np.float64)
+
+
+def _kmer_vector_np(seqs: pd.Series, k: int, overlap: bool, divide: bool, log: bool, drop_last: bool) -> pd.Series:
+    width = 4 ** k - 1 if drop_last else 4 ** k
+    valid = seqs.notna().to_numpy()
+    text = seqs.where(valid, "").tolist()
+    rows_per_block = max(1, (1 << 24) // (4 ** k))  # keep a block's count matrix near 128 MB
+    out: list = []
+    for start in range(0, len(text), rows_per_block):
+        block = text[start:start + rows_per_block]
+        counts = _kmer_counts_block(block, k, overlap, width)
+        if divide:
+            lens = np.fromiter((len(x) for x in block), dtype=np.float64, count=len(block))
+            counts = counts / np.where(lens > 0, lens, 1.0)[:, None]
         if log:
             counts = np.log(counts + 1)
-        out.append(counts)
-    return pd.Series(out)
+        out.extend(counts)
+    return pd.Series([v if ok else None for v, ok in zip(out, valid)], dtype=object)
 
 
 def kmer_vector(seq: ColumnOrName, k: int, overlap: bool = True, divide: bool = False, log: bool = False,

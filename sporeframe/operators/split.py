@@ -23,13 +23,27 @@ def seeded_order(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+def _number_narrow(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], extra: Sequence[str] = ()):
+    """Number only the key columns (group + order, unique by contract) and
+    join the positions back, so wide rows (feature arrays) are not
+    range-shuffled and checkpointed just to be numbered."""
+    from sporeframe.operators.joins import small_side
+
+    keys = [*group_cols, *order_cols]
+    narrow = df.select(*keys, *extra)
+    ranked = group_row_number(narrow, group_cols, order_cols, "_rn", count_name="_n")
+    # broadcast when provably small, so the wide side is not shuffled at all
+    return small_side(ranked), keys
+
+
 def holdout_split(df: DataFrame, group_cols: Sequence[str], key: str, test_size: float = 0.1, seed: int = 42,
                   n_folds: int | None = None) -> DataFrame:
     """M2 (+ W6): per group, the first ``ceil(test_size * n)`` rows in seeded
     order are test (``is_test``); with ``n_folds`` the remaining rows, in
     the same order, get contiguous folds 1..k (``fold``; 0 for test rows)."""
     d = df.withColumn("_ord", seeded_order(key, seed))
-    ranked = group_row_number(d, group_cols, ["_ord", key], "_rn", count_name="_n")
+    pos, keys = _number_narrow(d, group_cols, ["_ord", key])
+    ranked = d.join(pos, keys)
     n_test = F.ceil(F.lit(float(test_size)) * F.col("_n"))
     out = ranked.withColumn("is_test", F.col("_rn") <= n_test)
     if n_folds:
@@ -46,11 +60,12 @@ def kfold(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n
     shuffle), first ``n mod k`` folds one row larger.  Rows outside
     ``where`` get fold 0."""
     if where is None:
-        ranked = group_row_number(df, group_cols, order_cols, "_rn", count_name="_n")
-        return ranked.withColumn(name, ntile_of("_rn", "_n", n_folds)).drop("_rn", "_n")
+        pos, keys = _number_narrow(df, group_cols, list(order_cols))
+        return df.join(pos, keys).withColumn(name, ntile_of("_rn", "_n", n_folds)).drop("_rn", "_n")
     # one numbering over all rows, the in/out flag being part of the group
     flagged = df.withColumn("_in", F.coalesce(where, F.lit(False)))
-    ranked = group_row_number(flagged, [*group_cols, "_in"], order_cols, "_rn", count_name="_n")
+    pos, keys = _number_narrow(flagged, [*group_cols, "_in"], list(order_cols))
+    ranked = flagged.join(pos, keys)
     fold = F.when(F.col("_in"), ntile_of("_rn", "_n", n_folds)).otherwise(F.lit(0))
     return ranked.withColumn(name, fold).drop("_rn", "_n", "_in")
 

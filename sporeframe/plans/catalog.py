@@ -778,3 +778,76 @@ def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     emb = pl.embed(toks, ["gene_id"], enc, batch_size=50, target_layer=(2,))
     return rnd(emb.select("gene_id", F.size("embedding").alias("dim"),
                           F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+
+
+# ---------------------------------------------------------------------------
+# embedding mapping and match report (C6: J3, J6, J8, J9, F10, U2); A11 + F8
+# ---------------------------------------------------------------------------
+
+from sporeframe.plans import mapping as mp  # noqa: E402
+
+
+def _mapping_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Embeddings keyed 'src<label>' in vec_id order, document ids keyed by
+    source in doc_id order, and a per-gene Box-Cox TPM table keyed by the
+    document's source."""
+    emb = tb.read_table(spark, sf, "embeddings").select(
+        F.concat(F.lit("src"), F.col("label").cast("string")).alias("species"), F.col("vec_id").alias("row_order"),
+        "embedding")
+    docs = tb.read_table(spark, sf, "documents").select(
+        F.col("source").alias("species"), F.col("doc_id").alias("row_order"),
+        F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("gene_id"))
+    samples = tb.expression_samples(spark, sf).select("geneId", _boxcox("TPM", 0.22).alias("bc"))
+    per_gene = samples.groupBy("geneId").agg(F.median("bc").alias("boxcox_tpm"))
+    tpm = (tb.read_table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("geneId"))
+           .join(per_gene, "geneId").select(F.col("source").alias("species"), F.col("geneId").alias("gene_id"),
+                                            "boxcox_tpm"))
+    return emb, docs, tpm
+
+
+_MAPPING_SQL = _with("""e AS (SELECT 'src' || CAST(label AS VARCHAR) AS species, vec_id,
+                 row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)""",
+                     """d AS (SELECT source AS species, CAST(doc_id AS VARCHAR) AS gene_id,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)""",
+                     tb.EXPRESSION_SQL, """pg AS (SELECT geneId, median(CASE WHEN TPM > 0 THEN (power(TPM, 0.22) - 1) / 0.22 END) AS bc
+           FROM samples GROUP BY geneId)""", """t AS (SELECT doc.source AS species, pg.geneId AS gene_id, pg.bc AS boxcox_tpm
+          FROM documents doc JOIN pg ON CAST(doc.doc_id AS VARCHAR) = pg.geneId)""",
+                     """m AS (SELECT d.species, d.gene_id, e.vec_id, t.boxcox_tpm FROM d JOIN e ON d.species = e.species AND d.rn = e.rn
+          LEFT JOIN t ON d.species = t.species AND d.gene_id = t.gene_id)""")
+
+
+@register("embedding_tpm_mapping", _MAPPING_SQL + """
+SELECT species, gene_id, CAST(vec_id AS BIGINT) AS vec_id, round(boxcox_tpm, 7) AS boxcox_tpm FROM m""")
+def q_embedding_tpm_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    emb, docs, tpm = _mapping_inputs(spark, sf)
+    emb = emb.withColumn("embedding", F.struct(F.col("row_order").alias("vec_id"), "embedding"))
+    mapped = mp.map_embeddings(emb, docs, tpm)
+    return rnd(mapped.select("species", "gene_id", F.col("embedding.vec_id").alias("vec_id"), "boxcox_tpm"))
+
+
+@register("embedding_match_report", _MAPPING_SQL + """
+SELECT m.species, count(*) AS n_embeddings, coalesce(max(tt.n), 0) AS n_tpm,
+       coalesce(max(cm.c), 0) AS matching
+FROM m
+LEFT JOIN (SELECT species, count(*) AS n FROM t GROUP BY species) tt ON m.species = tt.species
+LEFT JOIN (SELECT species, count(*) AS c FROM (SELECT species, gene_id FROM m INTERSECT SELECT species, gene_id FROM t)
+           GROUP BY species) cm ON m.species = cm.species
+GROUP BY m.species""")
+def q_embedding_match_report(spark: SparkSession, sf: str) -> DataFrame:
+    emb, docs, tpm = _mapping_inputs(spark, sf)
+    return mp.match_report(mp.map_embeddings(emb, docs, tpm), tpm)
+
+
+@register("model_dataset_map", """
+SELECT dataset, array_to_string(list_sort(list(DISTINCT folder)), ',') AS folders, count(DISTINCT folder) AS n_models
+FROM (SELECT 'out-specieslm-tok_' || lang || '-' || source || '-v1' AS folder, source AS dataset FROM documents)
+GROUP BY dataset""")
+def q_model_dataset_map(spark: SparkSession, sf: str) -> DataFrame:
+    """F8 + A11: output folders named ``a-b-<model>-<dataset>-e`` grouped into
+    a sorted folder list per dataset (a dataset has few models)."""
+    from sporeframe.functions.clean import five_part_name
+    docs = tb.read_table(spark, sf, "documents")
+    folders = docs.select(F.concat(F.lit("out-specieslm-tok_"), "lang", F.lit("-"), "source", F.lit("-v1")).alias("folder"))
+    parsed = folders.distinct().select("folder", five_part_name("folder").alias("p")).where(F.col("p").isNotNull())
+    lists = ag.group_to_list(parsed.select(F.col("p.dataset").alias("dataset"), "folder"), "dataset", "folder", "folders")
+    return lists.select("dataset", F.array_join("folders", ",").alias("folders"), F.size("folders").cast("long").alias("n_models"))

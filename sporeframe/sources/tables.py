@@ -16,9 +16,28 @@ TABLES = (
 ).split()
 
 
+# Key of each large table, used to spread an under-split scan (see read_table).
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",), "documents": ("doc_id",),
+               "pages": ("page_id",), "events": ("event_id",), "conversations": ("conv_id", "turn")}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; column pruning and filters reach the parquet scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; column pruning and filters reach the parquet scan.
+
+    A file smaller than one split (here: one Parquet row group per table)
+    scans in ONE task, so everything up to the first shuffle would run on
+    one core.  When a large table's scan has fewer partitions than the
+    session's parallelism, it is spread by a hash of its key (deterministic,
+    so retries see the same rows).  On a cluster reading many files the scan
+    already has enough splits and nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = SPREAD_KEYS.get(name)
+    if keys:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want, *[F.col(k) for k in keys])
+    return df
 
 
 # ---------------------------------------------------------------------------

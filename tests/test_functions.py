@@ -146,3 +146,18 @@ def test_transforms(spark):
             else:
                 want = -math.log1p(-x) if lam == 2 else -((1 - x) ** (2 - lam) - 1) / (2 - lam)
             assert y == pytest.approx(want)
+
+
+def test_leave_one_out_vocabulary(spark):
+    got = one(spark, sq.kmer_vector("x", 2, leave_one_out=True), [("AATTT",)])[0]
+    assert len(got) == 15 and got[0] == 1.0 and got[3] == 1.0 and sum(got) == 2.0  # AA, AT counted; TT skipped
+
+
+def test_user_aggregate_matches_builtin_rsd(spark):
+    from sporeframe.functions.metrics import rsd, user_aggregate
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 3.0), ("b", 5.0)], "g string, x double")
+    py_rsd = user_aggregate(lambda s: float(s.std(ddof=1) / s.mean()))
+    a = {r["g"]: r["a"] for r in df.groupBy("g").agg(rsd("x").alias("a")).collect()}
+    b = {r["g"]: r["b"] for r in df.groupBy("g").agg(py_rsd("x").alias("b")).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
