@@ -15,7 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sporeframe.functions import seq as sq
+from sporeframe.functions.transform import boxcox as _boxcox
+from sporeframe.functions.transform import log10p1
+from sporeframe.operators import aggregates as ag
+from sporeframe.operators import joins as jn
+from sporeframe.operators import normalise as nm
+from sporeframe.operators import pool as pl
+from sporeframe.operators import ranking as rk
+from sporeframe.operators import split as spl
+from sporeframe.operators import tree as tr
 from sporeframe.plans import expression as ex
+from sporeframe.plans import features as fe
+from sporeframe.plans import mapping as mp
+from sporeframe.plans import models as md
+from sporeframe.plans import reports as rp
+from sporeframe.plans import validate as va
+from sporeframe.session import reliable_checkpoint
+from sporeframe.sources import files as fl
 from sporeframe.sources import tables as tb
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -189,10 +206,6 @@ def q_passing_gene_rows(spark: SparkSession, sf: str) -> DataFrame:
 # experiment-count report (C9: A3, A8, A9, A10, A21, O2)
 # ---------------------------------------------------------------------------
 
-from sporeframe.plans import reports as rp  # noqa: E402
-from sporeframe.plans import validate as va  # noqa: E402
-from sporeframe.sources import files as fl  # noqa: E402
-
 
 @register("experiment_species_totals", _with(tb.EXPERIMENT_COUNTS_SQL) + """
 SELECT Species_name, split_part(Species_name, ' ', 1) AS genus,
@@ -345,9 +358,6 @@ def q_validation_three_way(spark: SparkSession, sf: str) -> DataFrame:
 # sequences and features
 # ---------------------------------------------------------------------------
 
-from sporeframe.functions import seq as sq  # noqa: E402
-from sporeframe.plans import features as fe  # noqa: E402
-
 
 def _kmer_index_sql(col: str, k: int) -> str:
     return " + ".join(f"(instr('ACGT', substr({col}, {j + 1}, 1)) - 1) * {4 ** (k - 1 - j)}" for j in range(k))
@@ -469,13 +479,6 @@ def q_token_runs(spark: SparkSession, sf: str) -> DataFrame:
 # splits, folds, positional zip, cross-species gene table
 # ---------------------------------------------------------------------------
 
-from sporeframe.functions.transform import boxcox as _boxcox  # noqa: E402
-from sporeframe.functions.transform import log10p1  # noqa: E402
-from sporeframe.operators import joins as jn  # noqa: E402
-from sporeframe.operators import ranking as rk  # noqa: E402
-from sporeframe.operators import split as spl  # noqa: E402
-from sporeframe.plans import models as md  # noqa: E402
-from sporeframe.session import reliable_checkpoint  # noqa: E402
 
 _RIDGE_INPUT_SQL = """ri AS (
   SELECT e.*, 'sp' || CAST(label AS VARCHAR) AS species, CAST(vec_id AS VARCHAR) AS gene_id FROM embeddings e)"""
@@ -636,9 +639,6 @@ def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
 # fitted transforms, QQ, Spearman, KDE
 # ---------------------------------------------------------------------------
 
-from sporeframe.operators import aggregates as ag  # noqa: E402
-from sporeframe.operators import normalise as nm  # noqa: E402
-
 
 @register("threshold_search_fitted")
 def q_threshold_search_fitted(spark: SparkSession, sf: str) -> DataFrame:
@@ -705,8 +705,6 @@ def q_experiment_density(spark: SparkSession, sf: str) -> DataFrame:
 # taxonomy tree (T1-T3, J5, F12, S13) over region -> nation -> customer
 # ---------------------------------------------------------------------------
 
-from sporeframe.operators import tree as tr  # noqa: E402
-
 
 def taxonomy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Edges ``(child, parent)`` and names ``(node, name)`` of the
@@ -766,8 +764,6 @@ def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
 # batch embedding and pooling
 # ---------------------------------------------------------------------------
 
-from sporeframe.operators import pool as pl  # noqa: E402
-
 
 @register("sequence_embeddings")
 def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -784,8 +780,6 @@ def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 # embedding mapping and match report (C6: J3, J6, J8, J9, F10, U2); A11 + F8
 # ---------------------------------------------------------------------------
 
-from sporeframe.plans import mapping as mp  # noqa: E402
-
 
 def _mapping_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Embeddings keyed 'src<label>' in vec_id order, document ids keyed by
