@@ -54,7 +54,8 @@ def best_lambda(x: np.ndarray, method: str = "boxcox") -> tuple[float, float]:
     center = 0.0
     for lo, hi, step in STAGES:
         n = int(round((hi - lo) / step))
-        lams = center + np.round(lo + step * np.arange(n + 1), 10)
+        # rounded, so a candidate that should be 0 is exactly 0 (the log case)
+        lams = np.round(center + np.round(lo + step * np.arange(n + 1), 10), 10)
         vals = llf(x, lams, method)
         order = np.lexsort((np.abs(lams), -vals))
         center = float(lams[order[0]])

@@ -64,8 +64,9 @@ NUDGE = 1e-9
 
 
 def nudge_rounds(sql: str) -> str:
-    """Rewrite every ``round(<expr>, 7)`` of an oracle text as
-    ``round((<expr>) + NUDGE, 7)`` (matching parentheses)."""
+    """Rewrite every output ``round(<expr>, 7)`` of an oracle text as
+    ``round((<expr>) + NUDGE, 7)`` (matching parentheses); other roundings
+    (lambda grids, tie keys) are left exact."""
     out, i, key = [], 0, "round("
     while True:
         j = sql.find(key, i)
@@ -83,7 +84,11 @@ def nudge_rounds(sql: str) -> str:
                 comma = k
             k += 1
         inner = nudge_rounds(sql[j + len(key):comma])
-        out.append(sql[i:j] + f"round(({inner}) + CAST({NUDGE!r} AS DOUBLE),{sql[comma + 1:k]}")
+        digits = sql[comma + 1:k - 1].strip()
+        if digits == str(DIGITS):  # only the output rounding, not grids or tie keys
+            out.append(sql[i:j] + f"round(({inner}) + CAST({NUDGE!r} AS DOUBLE),{sql[comma + 1:k]}")
+        else:
+            out.append(sql[i:j] + f"round({inner},{sql[comma + 1:k]}")
         i = k
 
 
@@ -578,12 +583,13 @@ def q_r2_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(md.r2_trend(up))
 
 
-def feature_set_input(spark: SparkSession, sf: str, name_filter=None) -> DataFrame:
+def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets: bool = True) -> DataFrame:
     """M7 input: the C7 gene table's k-mer feature sets (M10) plus the
-    embedding set attached by position (J8), target = median Box-Cox TPM."""
+    embedding set attached by position (J8), target = median Box-Cox TPM.
+    ``kmer_sets=False`` skips computing the k-mer vectors when the caller's
+    filter keeps none of them (a filter after the explode would not)."""
     genes = gene_table(spark, sf).select(F.col("geneId").alias("gene_id"), "five_prime_seq", "three_prime_seq",
                                          F.col("boxcox_tpm").alias("y"), "is_test")
-    reg = fe.feature_registry(genes).join(genes.select("gene_id", "y", "is_test"), "gene_id")
     docs = tb.read_table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"),
                                                         F.lit(1).alias("_g"))
     emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
@@ -591,7 +597,10 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None) -> DataFra
     emb_set = z.select(F.lit("Downstream: embedding").alias("feature_set"), "gene_id",
                        F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
-    out = reg.unionByName(emb_set).withColumn("row_order", F.col("gene_id").cast("long"))
+    if kmer_sets:
+        reg = fe.feature_registry(genes).join(genes.select("gene_id", "y", "is_test"), "gene_id")
+        emb_set = reg.unionByName(emb_set)
+    out = emb_set.withColumn("row_order", F.col("gene_id").cast("long"))
     if name_filter is not None:
         out = out.where(name_filter)
     # features feed CV, refit, bootstrap and predictions: compute them once
@@ -608,7 +617,8 @@ def q_feature_set_ridge(spark: SparkSession, sf: str) -> DataFrame:
 def q_bootstrap_spread(spark: SparkSession, sf: str) -> DataFrame:
     sel = F.col("feature_set").contains("Downstream") & ~F.col("feature_set").contains("6-mer")
     # only the bootstrapped sets need their M7 alpha (P14 before fitting)
-    data = feature_set_input(spark, sf, name_filter=sel)
+    # the k-mer sets are named '<k>-mer-...': none is a Downstream set
+    data = feature_set_input(spark, sf, name_filter=sel, kmer_sets=False)
     _, models = md.feature_set_ridge(data)
     boot = md.bootstrap_ridge(data, models, replicates=100)
     return rnd(md.bootstrap_spread(boot))
@@ -640,7 +650,56 @@ def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-@register("threshold_search_fitted")
+def _fitted_search_sql() -> str:
+    """DuckDB twin of the staged maximum-likelihood Box-Cox search (F29) and
+    the scoring / choice of C4 with the fitted lambdas."""
+    def bc(lam: str) -> str:
+        return f"CASE WHEN abs({lam}) < 1e-12 THEN ln(g.x) ELSE (power(g.x, {lam}) - 1) / {lam} END"
+
+    ctes = [
+        tb.EXPRESSION_SQL,
+        """st AS (SELECT species, geneId, median(TPM) AS med, stddev_samp(TPM) / avg(TPM) AS rsd
+          FROM samples GROUP BY species, geneId)""",
+        _combo_values_sql(),
+        """g AS (SELECT st.species, c.combo, c.tpm_threshold, c.rsd_threshold, st.med AS x
+         FROM st JOIN combos c ON st.med > c.tpm_threshold AND st.rsd < c.rsd_threshold)""",
+        """gs AS (SELECT species, combo, count(*) AS n, sum(ln(x)) AS j FROM g GROUP BY species, combo
+          HAVING count(*) >= 2 AND min(x) > 0)""",
+    ]
+    prev = None
+    for k, (lo, hi, step) in enumerate(nm.STAGES, start=1):
+        n = int(round((hi - lo) / step))
+        off = f"round(CAST({lo!r} AS DOUBLE) + CAST({step!r} AS DOUBLE) * i, 10)"
+        base = "0.0" if prev is None else f"{prev}.lam"
+        src = "gs" if prev is None else f"gs JOIN {prev} USING (species, combo)"
+        ctes.append(f"""c{k} AS (SELECT gs.species, gs.combo, gs.n, gs.j, round({base} + {off}, 10) AS lam
+          FROM {src}, range(0, {n + 1}) t(i))""")
+        ctes.append(f"""l{k} AS (SELECT c.species, c.combo, c.lam,
+                 (c.lam - 1) * c.j - c.n / 2.0 * ln(var_pop({bc('c.lam')})) AS llf
+          FROM c{k} c JOIN g ON c.species = g.species AND c.combo = g.combo
+          GROUP BY c.species, c.combo, c.lam, c.j, c.n)""")
+        ctes.append(f"""b{k} AS (SELECT species, combo, lam FROM (
+            SELECT *, row_number() OVER (PARTITION BY species, combo
+                                         ORDER BY coalesce(llf, '-inf'::DOUBLE) DESC, abs(lam)) AS rk FROM l{k})
+          WHERE rk = 1)""")
+        prev = f"b{k}"
+    ctes.append(f"""t AS (SELECT g.species, g.combo, g.tpm_threshold, g.rsd_threshold,
+                 CASE WHEN {prev}.lam = 0 THEN ln(g.x) ELSE (power(g.x, {prev}.lam) - 1) / {prev}.lam END AS bc
+          FROM g JOIN {prev} ON g.species = {prev}.species AND g.combo = {prev}.combo)""")
+    ctes.append("""m AS (SELECT *, avg(bc) OVER (PARTITION BY species, combo) AS mu FROM t)""")
+    ctes.append("""sc AS (SELECT species, combo, tpm_threshold, rsd_threshold, count(*) AS n_genes,
+                  CASE WHEN avg(power(bc - mu, 2)) > 0
+                       THEN abs(avg(power(bc - mu, 3)) / power(avg(power(bc - mu, 2)), 1.5)) END AS skew,
+                  abs(kurtosis_pop(bc)) AS kurtosis
+           FROM m GROUP BY species, combo, tpm_threshold, rsd_threshold)""")
+    return _with(*ctes) + """
+SELECT species, combo, tpm_threshold, rsd_threshold, n_genes, 'boxcox' AS scored_on,
+       round(skew, 7) AS skew, round(kurtosis, 7) AS kurtosis, round(skew + kurtosis, 7) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY round(skew + kurtosis, 9), combo) AS rk
+      FROM sc WHERE skew + kurtosis IS NOT NULL AND NOT isnan(skew + kurtosis)) WHERE rk = 1"""
+
+
+@register("threshold_search_fitted", _fitted_search_sql())
 def q_threshold_search_fitted(spark: SparkSession, sf: str) -> DataFrame:
     best, _, _ = ex.threshold_search_fitted(tb.expression_samples(spark, sf), FIXTURE_TPM_THRESHOLDS,
                                             FIXTURE_RSD_THRESHOLDS)
