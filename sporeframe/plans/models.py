@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sporeframe.functions.metrics import line_fit, r2_score
+from sporeframe.operators.joins import small_side
 from sporeframe.operators.ranking import group_row_number, ntile_of
 from sporeframe.operators.ridge import REFERENCE_ALPHAS, predict, ridge_bootstrap, ridge_cv
 from sporeframe.operators.split import group_kfold, holdout_split, kfold, poisson_weights
@@ -65,8 +66,12 @@ def group_kfold_ridge(data: DataFrame, block: str = "block", id_col: str = "gene
     copies = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(outer))).alias("outer_fold"))
     train = copies.where(F.col("outer_fold") != F.col("outer_of_row"))
     test = copies.where(F.col("outer_fold") == F.col("outer_of_row")).withColumn("cell", F.lit(0))
-    ranked = group_row_number(train, ["feature_set", "outer_fold"], [order_col, id_col], "_rn", count_name="_n")
-    train = ranked.withColumn("cell", ntile_of("_rn", "_n", inner)).drop("_rn", "_n")
+    # inner folds from the narrow keys only; the wide copies are not numbered
+    keys = ["feature_set", "outer_fold", order_col, id_col]
+    ranked = group_row_number(train.select(*keys), ["feature_set", "outer_fold"], [order_col, id_col], "_rn",
+                              count_name="_n")
+    inner_of = small_side(ranked.select(*keys, ntile_of("_rn", "_n", inner).alias("cell")))
+    train = train.join(inner_of, keys)
     cells = train.unionByName(test)
     models = ridge_cv(cells, ["feature_set", "outer_fold"], "cell", "features", "y", alphas, inner)
     return models.select(F.col("feature_set").alias("model"), F.col("outer_fold").alias("fold"),

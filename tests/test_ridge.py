@@ -59,3 +59,52 @@ def test_salted_statistics_equal_unsalted(spark):
         k = (r["end"], r["species"])
         assert r["alpha"] == a[k]["alpha"]
         assert np.allclose(r["coef"], a[k]["coef"], rtol=1e-8, atol=1e-10)
+
+
+def test_group_kfold_ridge_matches_numpy(spark):
+    emb = tb.read_table(spark, SF01, "embeddings").select(
+        F.lit("emb").alias("feature_set"), F.col("vec_id").cast("string").alias("gene_id"),
+        F.col("vec_id").alias("row_order"), F.concat(F.lit("b"), (F.col("vec_id") % 13).cast("string")).alias("block"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("features"),
+        (F.col("label") + 20.0 * F.col("embedding")[0]).alias("y"))
+    got = {r["fold"]: r for r in md.group_kfold_ridge(emb).collect()}
+    pdf = emb.toPandas().sort_values("row_order").reset_index(drop=True)
+    sizes = pdf.groupby("block").size().reset_index(name="n").sort_values(["n", "block"], ascending=[False, True])
+    fold_of = {}
+    for p, b in enumerate(sizes["block"]):
+        cycle, r = divmod(p, 10)
+        fold_of[b] = (r if cycle % 2 == 0 else 9 - r) + 1
+    pdf["fold"] = pdf["block"].map(fold_of)
+    for f in range(1, 11):
+        tr, te = pdf[pdf["fold"] != f], pdf[pdf["fold"] == f]
+        alpha, beta, b0, _ = np_ridge_cv(np.stack(tr["features"]), tr["y"].to_numpy(), [10.0, 100.0, 1000.0], 3)
+        pred = np.stack(te["features"]) @ beta + b0
+        assert got[f]["alpha"] == alpha
+        assert got[f]["r2"] == pytest.approx(pearson_r2(te["y"].to_numpy(), pred), rel=1e-6)
+
+
+def test_bootstrap_replicate_equals_fit_on_repeated_rows(spark):
+    from brute import ridge_fit, scaler
+    from sporeframe.operators.ridge import ridge_bootstrap
+    from sporeframe.operators.split import poisson_weights
+
+    emb = tb.read_table(spark, SF01, "embeddings").select(
+        F.lit("emb").alias("feature_set"), F.col("vec_id").cast("string").alias("gene_id"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("features"),
+        (F.col("label") + 20.0 * F.col("embedding")[0]).alias("y"), (F.col("label") == 3).alias("is_test"))
+    d = emb.select("feature_set", "features", "y", F.lit(100.0).alias("alpha"),
+                   F.when(~F.col("is_test"), poisson_weights("gene_id", 3)).alias("w"),
+                   F.when(F.col("is_test"), 0).otherwise(1).alias("cell"))
+    got = {r["replicate"]: r["pearson_r2"] for r in ridge_bootstrap(d, ["feature_set"], "cell", "features", "y", "w", "alpha").collect()}
+    pdf = d.toPandas()
+    tr, te = pdf[pdf["cell"] == 1], pdf[pdf["cell"] == 0]
+    X, y = np.stack(tr["features"]), tr["y"].to_numpy()
+    W = np.stack(tr["w"])
+    assert set(np.unique(W)) <= set(range(8)) and abs(W.mean() - 1) < 0.2  # Poisson(1) counts
+    for b in range(3):
+        reps = W[:, b].astype(int)
+        Xr, yr = np.repeat(X, reps, axis=0), np.repeat(y, reps)
+        mu, sd = scaler(Xr)
+        beta, b0 = ridge_fit((Xr - mu) / sd, yr, 100.0)
+        pred = ((np.stack(te["features"]) - mu) / sd) @ beta + b0
+        assert got[b + 1] == pytest.approx(pearson_r2(te["y"].to_numpy(), pred), rel=1e-6)
