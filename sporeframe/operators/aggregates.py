@@ -1,8 +1,8 @@
 """Grouped statistics beyond the plain built-ins.
 
-Whole-table constants (min / max / bandwidth) enter as scalar subqueries
-(``DataFrame.scalar()``): Spark runs them first and uses the value as a
-literal, so no join with a one-row table is needed.
+Whole-table constants (min / max / bandwidth) are computed by one aggregate
+each and enter the next plan as literals (a few numbers reach the driver;
+no join with a one-row table is needed).
 """
 
 from __future__ import annotations
@@ -99,18 +99,17 @@ def histogram_bins(df: DataFrame, value: str, bins: int, limits: tuple[float, fl
     )
 
 
-def nrd0_bandwidth(df: DataFrame, value: str) -> Column:
-    """R's default bandwidth 0.9 * min(sd, IQR / 1.34) * n^(-1/5), as a scalar
-    subquery (quartiles from the distributed exact percentile)."""
+def nrd0_bandwidth(df: DataFrame, value: str) -> float:
+    """R's default bandwidth 0.9 * min(sd, IQR / 1.34) * n^(-1/5); one
+    aggregate for sd and n, the quartiles from the distributed exact
+    percentile; only the resulting number reaches the driver."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_g"))
-    q = exact_percentiles(v, ["_g"], "_v", {"q1": 0.25, "q3": 0.75})
-    mom = v.agg(F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n"))
-    iqr = q.select((F.col("q3") - F.col("q1")) / F.lit(1.34)).scalar()
-    sd = mom.select("sd").scalar()
-    n = mom.select("n").scalar()
-    lo = F.least(sd, iqr)
-    lo = F.when(lo > 0, lo).otherwise(sd)
-    return F.lit(0.9) * lo * F.pow(n.cast("double"), F.lit(-0.2))
+    q = exact_percentiles(v, ["_g"], "_v", {"q1": 0.25, "q3": 0.75}).first()
+    mom = v.agg(F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    iqr = (q["q3"] - q["q1"]) / 1.34
+    lo = min(mom["sd"], iqr)
+    lo = lo if lo > 0 else mom["sd"]
+    return 0.9 * lo * mom["n"] ** -0.2
 
 
 def kde(df: DataFrame, value: str, n_points: int = 512, n_bins: int = 1024) -> DataFrame:
@@ -123,10 +122,10 @@ def kde(df: DataFrame, value: str, n_points: int = 512, n_bins: int = 1024) -> D
     """
     v = F.col(value).cast("double")
     data = df.where(F.col(value).isNotNull())
-    lo = data.select(F.min(v)).scalar()
-    hi = data.select(F.max(v)).scalar()
-    n = data.select(F.count(F.lit(1)).cast("double")).scalar()
-    bw = nrd0_bandwidth(data, value)
+    # whole-column constants: one aggregate, a handful of numbers to the driver
+    st = data.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = F.lit(float(st["lo"])), F.lit(float(st["hi"])), F.lit(float(st["n"]))
+    bw = F.lit(nrd0_bandwidth(data, value))
     step = (hi - lo) / F.lit(float(n_bins - 1))
     pos = F.when(step > 0, (v - lo) / step).otherwise(F.lit(0.0))
     left = F.least(F.floor(pos), F.lit(n_bins - 2)).cast("int")

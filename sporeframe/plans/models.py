@@ -17,6 +17,7 @@ from sporeframe.operators.joins import small_side
 from sporeframe.operators.ranking import group_row_number, ntile_of
 from sporeframe.operators.ridge import REFERENCE_ALPHAS, predict, ridge_bootstrap, ridge_cv
 from sporeframe.operators.split import group_kfold, holdout_split, kfold, poisson_weights
+from sporeframe.session import reliable_checkpoint
 
 
 def species_ridge(data: DataFrame, key_cols: Sequence[str] = ("end", "species"), id_col: str = "gene_id",
@@ -30,7 +31,8 @@ def species_ridge(data: DataFrame, key_cols: Sequence[str] = ("end", "species"),
     """
     d = data.where(F.col("y").isNotNull() & ~F.isnan("y"))
     split = holdout_split(d, key_cols, id_col, test_size, seed, n_folds)
-    models = ridge_cv(split, key_cols, "fold", "features", "y", alphas, n_folds)
+    # one row per model: materialised once, read by predictions and reports
+    models = reliable_checkpoint(ridge_cv(split, key_cols, "fold", "features", "y", alphas, n_folds))
     test_rows = split.where(F.col("is_test"))
     preds = predict(test_rows, models, key_cols, "features").select(
         *key_cols, id_col, F.col("y").alias("True_Value"), "Predicted_Value")
@@ -84,7 +86,8 @@ def bootstrap_ridge(data: DataFrame, models: DataFrame, id_col: str = "gene_id",
     (Poisson(1) weights from a hash, so any cluster draws the same), ridge
     with the alpha M7 chose, Pearson r2 on the test genes.  ``name_filter``
     is a Column predicate on ``feature_set`` (P14)."""
-    d = data.join(models.select("feature_set", "alpha"), "feature_set")
+    # the alpha table (one row per model) is computed once, not per reading job
+    d = data.join(reliable_checkpoint(models.select("feature_set", "alpha")), "feature_set")
     if name_filter is not None:
         d = d.where(name_filter)
     w = F.when(~F.col("is_test"), poisson_weights(F.concat_ws(":", "feature_set", id_col), replicates, seed))
