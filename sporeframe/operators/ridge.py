@@ -254,7 +254,7 @@ CV_FIELDS = [
 
 def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features: str, y: str,
              alphas: Sequence[float] = REFERENCE_ALPHAS, n_folds: int = 5, cv_metric: str = "r2",
-             rows_per_task: int = 500_000) -> DataFrame:
+             rows_per_task: int = 500_000, fanin: int = 64) -> DataFrame:
     """M3 (+ M1, M4, M6-M8): one ridge model per key.
 
     ``cell_col``: 0 = test rows, 1..n_folds = CV folds of the training rows.
@@ -263,7 +263,7 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
     rows, and the test cell gives ``test_r2`` / ``test_pearson_r2``.
     """
     key_cols = list(key_cols)
-    merged = model_statistics(data, key_cols, cell_col, features, y, rows_per_task=rows_per_task)
+    merged = model_statistics(data, key_cols, cell_col, features, y, rows_per_task=rows_per_task, fanin=fanin)
     key_fields = [data.schema[k] for k in key_cols]
     schema = T.StructType(key_fields + CV_FIELDS)
     alphas = [float(a) for a in alphas]
@@ -303,7 +303,7 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
 
 
 def ridge_bootstrap(data: DataFrame, key_cols: Sequence[str], cell_col: str, features: str, y: str,
-                    weights: str, alpha: str, rows_per_task: int = 500_000) -> DataFrame:
+                    weights: str, alpha: str, rows_per_task: int = 500_000, fanin: int = 64) -> DataFrame:
     """M9 (+ M4): for each key and replicate, a fixed-alpha ridge fit on the
     weighted training rows, scored on the test rows (cell 0).
 
@@ -311,7 +311,8 @@ def ridge_bootstrap(data: DataFrame, key_cols: Sequence[str], cell_col: str, fea
     rows); ``alpha`` is a per-key column (e.g. the alpha ``ridge_cv`` chose).
     """
     key_cols = list(key_cols)
-    parts = model_statistics(data, key_cols, cell_col, features, y, weights, rows_per_task=rows_per_task)
+    parts = model_statistics(data, key_cols, cell_col, features, y, weights, rows_per_task=rows_per_task,
+                             fanin=fanin)
     alphas = data.select(*key_cols, alpha).distinct()
     merged = parts.join(alphas, key_cols)
     key_fields = [data.schema[k] for k in key_cols]
