@@ -813,7 +813,28 @@ def q_taxonomy_subtree(spark: SparkSession, sf: str) -> DataFrame:
     return tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names)
 
 
-@register("taxonomy_newick")
+# The stand-in taxonomy is at most three levels deep (region, nation,
+# customer), so the oracle builds the Newick text level by level.
+_NEWICK_SQL = _TREE_SQL[:-1] + """,
+tt AS (SELECT k.node AS child,
+              CASE WHEN anc.a1 IN (SELECT node FROM kept) THEN anc.a1 WHEN anc.a2 IN (SELECT node FROM kept) THEN anc.a2 END
+                AS parent,
+              regexp_replace(coalesce(names.name, k.node), '[(),:;]', '_', 'g') AS label
+       FROM kept k LEFT JOIN anc ON k.node = anc.node LEFT JOIN names ON k.node = names.node),
+d AS (SELECT t.*, CASE WHEN t.parent IS NULL THEN 0 WHEN p.parent IS NULL THEN 1 ELSE 2 END AS depth
+      FROM tt t LEFT JOIN tt p ON t.parent = p.child),
+t2 AS (SELECT child, parent, label || ':1' AS txt FROM d WHERE depth = 2),
+t1 AS (SELECT d.child, d.parent,
+              CASE WHEN count(t2.txt) > 0 THEN '(' || string_agg(t2.txt, ',' ORDER BY t2.txt) || ')' || d.label
+                   ELSE d.label END || ':1' AS txt
+       FROM d LEFT JOIN t2 ON t2.parent = d.child WHERE d.depth = 1 GROUP BY d.child, d.parent, d.label)
+SELECT CASE WHEN count(t1.txt) > 0 THEN '(' || string_agg(t1.txt, ',' ORDER BY t1.txt) || ')' || d.label
+            ELSE d.label END || ';' AS newick
+FROM d LEFT JOIN t1 ON t1.parent = d.child WHERE d.depth = 0 GROUP BY d.child, d.label
+"""
+
+
+@register("taxonomy_newick", _NEWICK_SQL)
 def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
     edges, names = taxonomy(spark, sf)
     return tr.newick(tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names))
