@@ -50,14 +50,16 @@ def llf(x: np.ndarray, lams: np.ndarray, method: str) -> np.ndarray:
 
 
 def best_lambda(x: np.ndarray, method: str = "boxcox") -> tuple[float, float]:
-    """Grid search with two refinements; the smaller |lambda| wins exact ties."""
+    """Grid search with two refinements.  Likelihoods equal to 9 decimals are
+    ties (flat likelihoods of tiny groups differ by rounding noise between
+    neighbouring candidates); the smaller |lambda| wins a tie."""
     center = 0.0
     for lo, hi, step in STAGES:
         n = int(round((hi - lo) / step))
         # rounded, so a candidate that should be 0 is exactly 0 (the log case)
         lams = np.round(center + np.round(lo + step * np.arange(n + 1), 10), 10)
         vals = llf(x, lams, method)
-        order = np.lexsort((np.abs(lams), -vals))
+        order = np.lexsort((np.abs(lams), -np.round(vals, 9)))
         center = float(lams[order[0]])
         top = float(vals[order[0]])
     return center, top

@@ -650,53 +650,93 @@ def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _fitted_search_sql() -> str:
-    """DuckDB twin of the staged maximum-likelihood Box-Cox search (F29) and
-    the scoring / choice of C4 with the fitted lambdas."""
-    def bc(lam: str) -> str:
-        return f"CASE WHEN abs({lam}) < 1e-12 THEN ln(g.x) ELSE (power(g.x, {lam}) - 1) / {lam} END"
+def _yj_sql(x: str, lam: str) -> str:
+    pos = f"CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (power(1 + {x}, {lam}) - 1) / {lam} END"
+    neg = (f"CASE WHEN abs(2 - {lam}) < 1e-12 THEN -ln(1 - {x}) "
+           f"ELSE -(power(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END")
+    return f"CASE WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
 
-    ctes = [
-        tb.EXPRESSION_SQL,
-        """st AS (SELECT species, geneId, median(TPM) AS med, stddev_samp(TPM) / avg(TPM) AS rsd
-          FROM samples GROUP BY species, geneId)""",
-        _combo_values_sql(),
-        """g AS (SELECT st.species, c.combo, c.tpm_threshold, c.rsd_threshold, st.med AS x
-         FROM st JOIN combos c ON st.med > c.tpm_threshold AND st.rsd < c.rsd_threshold)""",
-        """gs AS (SELECT species, combo, count(*) AS n, sum(ln(x)) AS j FROM g GROUP BY species, combo
-          HAVING count(*) >= 2 AND min(x) > 0)""",
-    ]
+
+def _bc_sql(x: str, lam: str) -> str:
+    return f"CASE WHEN abs({lam}) < 1e-12 THEN ln({x}) ELSE (power({x}, {lam}) - 1) / {lam} END"
+
+
+def _lambda_stage_ctes(method: str) -> tuple[list[str], str]:
+    """CTEs of the staged maximum-likelihood lambda search (F29 / F30) over
+    the gene sets ``g``; returns them and the name of the final best table."""
+    tf = _bc_sql if method == "boxcox" else _yj_sql
+    p = "bc" if method == "boxcox" else "yj"
+    jac = "ln(x)" if method == "boxcox" else "sign(x) * ln(1 + abs(x))"
+    having = "HAVING count(*) >= 2 AND min(x) > 0" if method == "boxcox" else "HAVING count(*) >= 2"
+    ctes = [f"""{p}gs AS (SELECT species, combo, count(*) AS n, sum({jac}) AS j FROM g GROUP BY species, combo {having})"""]
     prev = None
     for k, (lo, hi, step) in enumerate(nm.STAGES, start=1):
         n = int(round((hi - lo) / step))
         off = f"round(CAST({lo!r} AS DOUBLE) + CAST({step!r} AS DOUBLE) * i, 10)"
         base = "0.0" if prev is None else f"{prev}.lam"
-        src = "gs" if prev is None else f"gs JOIN {prev} USING (species, combo)"
-        ctes.append(f"""c{k} AS (SELECT gs.species, gs.combo, gs.n, gs.j, round({base} + {off}, 10) AS lam
+        src = f"{p}gs" if prev is None else f"{p}gs JOIN {prev} USING (species, combo)"
+        ctes.append(f"""{p}c{k} AS (SELECT {p}gs.species, {p}gs.combo, {p}gs.n, {p}gs.j, round({base} + {off}, 10) AS lam
           FROM {src}, range(0, {n + 1}) t(i))""")
-        ctes.append(f"""l{k} AS (SELECT c.species, c.combo, c.lam,
-                 (c.lam - 1) * c.j - c.n / 2.0 * ln(var_pop({bc('c.lam')})) AS llf
-          FROM c{k} c JOIN g ON c.species = g.species AND c.combo = g.combo
+        ctes.append(f"""{p}l{k} AS (SELECT c.species, c.combo, c.lam,
+                 (c.lam - 1) * c.j - c.n / 2.0 * ln(var_pop({tf('g.x', 'c.lam')})) AS llf
+          FROM {p}c{k} c JOIN g ON c.species = g.species AND c.combo = g.combo
           GROUP BY c.species, c.combo, c.lam, c.j, c.n)""")
-        ctes.append(f"""b{k} AS (SELECT species, combo, lam FROM (
+        ctes.append(f"""{p}b{k} AS (SELECT species, combo, lam FROM (
             SELECT *, row_number() OVER (PARTITION BY species, combo
-                                         ORDER BY coalesce(llf, '-inf'::DOUBLE) DESC, abs(lam)) AS rk FROM l{k})
+                                         ORDER BY round(coalesce(llf, '-inf'::DOUBLE), 9) DESC, abs(lam)) AS rk
+            FROM {p}l{k})
           WHERE rk = 1)""")
-        prev = f"b{k}"
-    ctes.append(f"""t AS (SELECT g.species, g.combo, g.tpm_threshold, g.rsd_threshold,
-                 CASE WHEN {prev}.lam = 0 THEN ln(g.x) ELSE (power(g.x, {prev}.lam) - 1) / {prev}.lam END AS bc
-          FROM g JOIN {prev} ON g.species = {prev}.species AND g.combo = {prev}.combo)""")
-    ctes.append("""m AS (SELECT *, avg(bc) OVER (PARTITION BY species, combo) AS mu FROM t)""")
-    ctes.append("""sc AS (SELECT species, combo, tpm_threshold, rsd_threshold, count(*) AS n_genes,
+        prev = f"{p}b{k}"
+    return ctes, prev
+
+
+def _fitted_ctes() -> list[str]:
+    """Gene sets per (species, pair), both fitted lambdas, Box-Cox scores and
+    the chosen pair per species (``best``)."""
+    bc_ctes, bc_best = _lambda_stage_ctes("boxcox")
+    yj_ctes, yj_best = _lambda_stage_ctes("yeojohnson")
+    return [
+        tb.EXPRESSION_SQL,
+        """st AS (SELECT species, geneId, median(TPM) AS med, stddev_samp(TPM) / avg(TPM) AS rsd
+          FROM samples GROUP BY species, geneId)""",
+        _combo_values_sql(),
+        """g AS (SELECT st.species, st.geneId, c.combo, c.tpm_threshold, c.rsd_threshold, st.med AS x
+         FROM st JOIN combos c ON st.med > c.tpm_threshold AND st.rsd < c.rsd_threshold)""",
+        *bc_ctes, *yj_ctes,
+        f"""lams AS (SELECT coalesce(b.species, y.species) AS species, coalesce(b.combo, y.combo) AS combo,
+                     b.lam AS lam_bc, y.lam AS lam_yj
+          FROM {bc_best} b FULL JOIN {yj_best} y ON b.species = y.species AND b.combo = y.combo)""",
+        f"""t AS (SELECT g.*, lams.lam_bc, lams.lam_yj,
+                 CASE WHEN g.x <= 0 THEN NULL WHEN lams.lam_bc = 0 THEN ln(g.x)
+                      ELSE (power(g.x, lams.lam_bc) - 1) / lams.lam_bc END AS bc
+          FROM g JOIN lams ON g.species = lams.species AND g.combo = lams.combo)""",
+        """m AS (SELECT *, avg(bc) OVER (PARTITION BY species, combo) AS mu FROM t)""",
+        """sc AS (SELECT species, combo, tpm_threshold, rsd_threshold, count(*) AS n_genes,
                   CASE WHEN avg(power(bc - mu, 2)) > 0
                        THEN abs(avg(power(bc - mu, 3)) / power(avg(power(bc - mu, 2)), 1.5)) END AS skew,
                   abs(kurtosis_pop(bc)) AS kurtosis
-           FROM m GROUP BY species, combo, tpm_threshold, rsd_threshold)""")
-    return _with(*ctes) + """
+           FROM m GROUP BY species, combo, tpm_threshold, rsd_threshold)""",
+        """best AS (SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY species ORDER BY round(skew + kurtosis, 9), combo) AS rk
+            FROM sc WHERE skew + kurtosis IS NOT NULL AND NOT isnan(skew + kurtosis)) WHERE rk = 1)""",
+    ]
+
+
+def _fitted_search_sql() -> str:
+    """DuckDB twin of C4 with fitted lambdas (F29): the chosen pair per species."""
+    return _with(*_fitted_ctes()) + """
 SELECT species, combo, tpm_threshold, rsd_threshold, n_genes, 'boxcox' AS scored_on,
-       round(skew, 7) AS skew, round(kurtosis, 7) AS kurtosis, round(skew + kurtosis, 7) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY round(skew + kurtosis, 9), combo) AS rk
-      FROM sc WHERE skew + kurtosis IS NOT NULL AND NOT isnan(skew + kurtosis)) WHERE rk = 1"""
+       round(skew, 7) AS skew, round(kurtosis, 7) AS kurtosis, round(skew + kurtosis, 7) AS score FROM best"""
+
+
+def _normalised_sql() -> str:
+    """DuckDB twin of the per-species normalised table."""
+    return _with(*_fitted_ctes()) + f"""
+SELECT t.species, t.geneId, round(t.x, 7) AS TPM,
+       round(CASE WHEN t.x <= 0 THEN NULL WHEN t.lam_bc = 0 THEN ln(t.x)
+                  ELSE (power(t.x, t.lam_bc) - 1) / t.lam_bc END, 7) AS boxcox_tpm,
+       round({_yj_sql('t.x', 't.lam_yj')}, 7) AS yj_tpm, t.tpm_threshold, t.rsd_threshold
+FROM t SEMI JOIN best ON t.species = best.species AND t.combo = best.combo"""
 
 
 @register("threshold_search_fitted", _fitted_search_sql())
@@ -706,7 +746,7 @@ def q_threshold_search_fitted(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(best)
 
 
-@register("normalised_expression")
+@register("normalised_expression", _normalised_sql())
 def q_normalised_expression(spark: SparkSession, sf: str) -> DataFrame:
     best, genes, lambdas = ex.threshold_search_fitted(tb.expression_samples(spark, sf), FIXTURE_TPM_THRESHOLDS,
                                                       FIXTURE_RSD_THRESHOLDS)
