@@ -795,7 +795,21 @@ def q_replicate_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(ag.spearman(g, ["species"], "a", "b", "geneId"))
 
 
-@register("experiment_density")
+@register("experiment_density", _with(tb.EXPERIMENT_COUNTS_SQL, """d AS (
+  SELECT CAST(Experiment_number AS DOUBLE) AS v FROM expcounts WHERE Experiment_number IS NOT NULL)""", """st AS (
+  SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) AS sd,
+         (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM d)""", """k AS (
+  SELECT lo, hi, CAST(n AS DOUBLE) AS n,
+         0.9 * (CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) ELSE sd END) * power(CAST(n AS DOUBLE), -0.2) AS bw,
+         (hi - lo) / 1023.0 AS step, (hi - lo) / 511.0 AS ostep FROM st)""", """p AS (
+  SELECT CASE WHEN step > 0 THEN (v - lo) / step ELSE 0.0 END AS pos FROM d, k)""", """l AS (
+  SELECT CAST(least(floor(pos), 1022) AS INTEGER) AS lft, pos FROM p)""", """w AS (
+  SELECT b, sum(w) AS w FROM (SELECT lft AS b, 1.0 - (pos - lft) AS w FROM l
+                              UNION ALL SELECT lft + 1 AS b, pos - lft AS w FROM l) GROUP BY b)""") + """
+SELECT CAST(j AS INTEGER) AS point, round(lo + j * ostep, 7) AS x,
+       round(sum(w.w * exp(-power(((lo + j * ostep) - (lo + b * step)) / bw, 2) / 2))
+             * ((1.0 / sqrt(2 * pi())) / (n * bw)), 7) AS density
+FROM w, k, range(0, 512) t(j) GROUP BY j, lo, ostep, bw, n""")
 def q_experiment_density(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(ag.kde(tb.experiment_counts(spark, sf), "Experiment_number"))
 
