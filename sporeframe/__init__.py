@@ -1,15 +1,3 @@
 """sporeframe: expression and sequence analytics as Spark DataFrame jobs."""
 
-import sys as _sys
-
 __version__ = "0.1.0"
-
-# Ship the package's functions by value inside pickled UDFs / mapInPandas
-# closures, so Python workers need no installed copy (and no particular
-# working directory) to run them.
-try:
-    from pyspark import cloudpickle as _cp
-
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older pyspark without the hook
-    pass

@@ -55,8 +55,12 @@ def inner_join_all(dfs: Sequence[DataFrame], key: str | Sequence[str], suffixes:
 
 def lookup(df: DataFrame, table: DataFrame, left_key: str, right_key: str, value: str, out: str,
            default: str | None = "") -> DataFrame:
-    """Dictionary lookup with a default (J4: ``.map(d).fillna('')``)."""
-    t = small_side(table.select(F.col(right_key).alias("_lk"), F.col(value).alias("_lv")).dropDuplicates(["_lk"]))
+    """Dictionary lookup with a default (J4: ``.map(d).fillna('')``).
+
+    A key listed twice keeps one value, chosen deterministically (the
+    largest), so reruns and retries give the same answer."""
+    pairs = table.select(F.col(right_key).alias("_lk"), F.col(value).alias("_lv"))
+    t = small_side(pairs.groupBy("_lk").agg(F.max("_lv").alias("_lv")))
     joined = df.join(t, df[left_key] == t["_lk"], "left")
     val = F.coalesce(F.col("_lv"), F.lit(default)) if default is not None else F.col("_lv")
     return joined.withColumn(out, val).drop("_lk", "_lv")

@@ -32,9 +32,34 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sporeframe`` importable in the Python workers of this
+    application, as ``--py-files`` would: a zip of the package is added once
+    with ``addPyFile`` (Spark distributes the driver's copy to every
+    executor), so UDF and ``mapInPandas`` code is pickled by reference.
+    Skipped when the package is already importable from an installed copy
+    that the caller manages (set ``SPOREFRAME_SHIP=0``)."""
+    if os.environ.get("SPOREFRAME_SHIP", "1") == "0":
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="sporeframe-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "sporeframe"), "zip", os.path.dirname(pkg_dir), "sporeframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only in local mode.
 
