@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sporeframe.llm.common import table
 from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
+from sporeframe.llm.simhash import near_duplicates
 
 
 def word_tokenizer() -> str:
@@ -39,6 +40,12 @@ FROM keyed LEFT JOIN often USING (k) GROUP BY doc_id
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its sequence, with the checksum of its ids."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -49,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op8_line_dedup": op8_line_dedup,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
