@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sporeframe.llm.common import table
+from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
 from sporeframe.llm.simhash import near_duplicates
@@ -17,6 +18,42 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS s FROM b WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item_id, s, array_to_string(w[i : i + s - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM sized)),
+dw AS (
+  SELECT doc_id, s, i, array_to_string(w[i : i + s - 1], ' ') AS k
+  FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS i
+        FROM d, (SELECT DISTINCT s FROM sized) WHERE len(w) >= s)),
+hits AS (SELECT doc_id, i, dw.s, item_id FROM dw JOIN win ON dw.s = win.s AND dw.k = win.k),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(cover.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent lines removed: digest of each document's remaining text."""
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,11 +92,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
 ORACLE = {
+    "op1_decontamination": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
 }
