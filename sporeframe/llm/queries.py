@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sporeframe.llm import quality, toxicity
 from sporeframe.llm.common import table
 from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.lines import dedup_lines
@@ -54,6 +55,24 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document by a model that never saw the held-out labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out()))
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "severity", F.col("toxicity").alias("score"), "grade",
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), (F.col("toxicity") >= 0.5).alias("toxic"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model that never saw the held-out labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent lines removed: digest of each document's remaining text."""
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -93,6 +112,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
