@@ -10,6 +10,7 @@ from sporeframe.llm.common import table
 from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
+from sporeframe.llm.sharding import shard_documents
 from sporeframe.llm.simhash import near_duplicates
 
 
@@ -55,6 +56,15 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards hold equally many rows but for one."""
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("k1").alias("text_group"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document by a model that never saw the held-out labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,6 +122,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_sharding": op3_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
