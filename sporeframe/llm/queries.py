@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sporeframe.llm import quality, toxicity
+from sporeframe.llm.capfilter import near_vectors
 from sporeframe.llm.common import table
 from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.lines import dedup_lines
@@ -65,6 +66,29 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector within its label."""
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP5_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN degree ON vec_id = degree.a
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document by a model that never saw the held-out labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +147,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
@@ -132,5 +157,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontamination": OP1_SQL,
+    "op5_embedding_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
 }
