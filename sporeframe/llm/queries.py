@@ -14,6 +14,7 @@ from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
 from sporeframe.llm.sharding import shard_documents
 from sporeframe.llm.simhash import near_duplicates
+from sporeframe.llm.substring import dedup_substrings
 
 
 def word_tokenizer() -> str:
@@ -97,6 +98,28 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated windows cover removed: digest of each document's other words."""
+    kept = dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+kept AS (
+  SELECT o.doc_id, count(*) AS n, string_agg(o.word, ' ' ORDER BY o.p) AS words
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) o ANTI JOIN gone ON o.doc_id = gone.doc_id AND o.p = gone.p
+  GROUP BY o.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector within its label."""
     found = near_vectors(table(spark, sf_dir, "embeddings"))
@@ -179,6 +202,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
@@ -190,6 +214,7 @@ QUERIES = {
 ORACLE = {
     "op1_decontamination": OP1_SQL,
     "op2_chat_format": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op5_embedding_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
 }

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sporeframe.llm.common import LOWER, NOT_SPACE, byte_slices, components, materialise, text_key, word_spans
+from sporeframe.llm.common import LOWER, NOT_SPACE, byte_slices, components, materialise, replace_columns, text_key, word_spans
 
 SHINGLE_WORDS, MAX_BITS, BITS, SEED = 4, 4, 64, 42
 #: a byte's bits, each in a byte of its own: 255 hashes can be added without a carry
@@ -137,7 +137,9 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """``(id, k1, k2, fingerprint, component_id)`` of every row; ``component_id`` is the smallest id that links reach.
+    """``(id, k1, k2, fingerprint, component_id, component)`` of every row.
+
+    ``component_id`` is the smallest id that links reach, ``component`` the smallest fingerprint.
 
     Words are split at ASCII white space after lower-casing A-Z; a text of
     fewer words than a shingle is one shingle.
@@ -154,5 +156,20 @@ def near_duplicates(
     label = F.coalesce("component", "fingerprint")
     groups = groups.join(joined, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", label.alias("label"))
     least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = groups.join(least, "label").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("id", "k1", "k2", "fingerprint", "component_id")
+    named = groups.join(least, "label").select("fingerprint", "component_id", F.col("label").alias("component"))
+    return rows.join(named, "fingerprint").select("id", "k1", "k2", "fingerprint", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each component of near duplicates: the smallest id's (null last; a repeated id's
+    smallest text digest; one of equal rows).  Columns unchanged; see `near_duplicates`."""
+    found = materialise(near_duplicates(docs, id_col, text_col, **options), "simhash-components")
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2")).alias("best")
+    best = found.groupBy("component").agg(best).select(F.col("best.id").alias("_id"), F.col("best.k1").alias("_k1"), F.col("best.k2").alias("_k2"))
+    k1, k2 = text_key(docs[text_col])
+    keyed = docs.select(replace_columns(docs, {"_key1": k1, "_key2": k2}))
+    on = keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_key1") == F.col("_k1")) & (F.col("_key2") == F.col("_k2"))
+    kept = keyed.join(best, on, "left_semi")
+    if not found.groupBy("id", "k1", "k2").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_key1", "_key2"])
+    return kept.select(*docs.columns)
