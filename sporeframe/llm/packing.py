@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,33 +32,66 @@ from sporeframe.llm.common import byte_slices
 
 CAPACITY = 4096
 END_ID = 2
-_SPLIT_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t\n\r\v\f]|\Z)")
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class WordCache:
     """Token ids of white-space separated pieces, remembered by each worker.
 
     The vocabulary drops white space and never merges across it, so the ids
-    of a text are those of its pieces in order; a full stop or comma after an
-    ASCII letter or digit is a piece of its own for the same reason.  The
-    memory is emptied when it holds `most` pieces.
+    of a text are those of its pieces in order.  A piece of small Latin
+    letters is one word as it is (nothing to normalise or split), so it goes
+    straight to the merges, spelled in the vocabulary's byte letters; a full
+    stop or comma after such letters is a word of its own.  Other pieces go
+    through the whole tokenizer.  The memory is emptied when it holds more
+    than `most` pieces.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.merges = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _plain(self, word: bytes) -> bytes:
+        spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+        found = self.merges.tokenize(spelled)
+        return np.array([t.id for t in found], dtype="<u4").tobytes()
+
+    def learn(self, pieces: set[bytes]) -> None:
+        known, rest = self.known, []
+        for piece in pieces:
+            text = piece.decode()
+            if _PLAIN.fullmatch(text):
+                if piece not in known:
+                    known[piece] = self._plain(piece)
+            elif text[-1] in ".," and _PLAIN.fullmatch(text, 0, len(text) - 1):
+                stem = piece[:-1]
+                if stem not in known:
+                    known[stem] = self._plain(stem)
+                known[piece] = known[stem] + self.stops[text[-1]]
+            else:
+                rest.append(piece)
+        known.update(zip(rest, self._whole([p.decode() for p in rest])))
+
+    @cached_property
+    def stops(self) -> dict[str, bytes]:
+        return dict(zip(".,", self._whole([".", ","])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces = [_SPLIT_STOP.sub(rb" \1", t.lower()).split() for t in texts]
+        pieces = [t.lower().split() for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in pieces for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in pieces]
+        self.learn(set().union(*pieces) - self.known.keys())
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in pieces]
 
 
 _CACHES: dict[str, WordCache] = {}
