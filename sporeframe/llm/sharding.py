@@ -5,8 +5,8 @@ names.  In every round a group's members look for the shard that holds most of
 them; those elsewhere ask to move there, and as many go as the shard's quota of
 linked documents allows (its free capacity plus what leaves it), picked by a hash
 of the row, so a group larger than a shard fills it and the rest goes on to the next.  At the end the shards
-are made exactly even: the rows beyond a shard's share, last of all those linked
-to others in it, move to the shards that lack rows.
+are made exactly even: the rows beyond a shard's share, those without links and then the
+smallest groups, move to the shards that lack rows.
 
 Only narrow rows (id, size, checksums) are shuffled; votes are combined before
 the shuffle, so a group of any size costs one row per task and shard, and the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sporeframe.llm.common import materialise, text_key
 from sporeframe.operators.ranking import group_row_number
 
-SHARDS, ROUNDS = 8, 6
+SHARDS, ROUNDS, OVERFULL = 8, 6, 1.5
 
 
 def _pick(values: list, at: Column) -> Column:
@@ -44,8 +44,8 @@ def _by_shard(df: DataFrame, column: str, value: Column, n: int) -> list[int]:
 def propagate(nodes: DataFrame, n_shards: int, rounds: int, capacity: float) -> DataFrame:
     """Moves linked nodes ``(row, k1, k2, shard, ...)`` towards their group's main shard under quotas.
 
-    A shard's quota is `capacity` linked nodes: nodes without links give way at
-    the end.  A full shard takes no more; the rest of its groups gathers in the
+    A shard's quota is `capacity` linked nodes, more than its share at the end,
+    when nodes without links and then the smallest groups give way.  A full shard takes no more; the rest of its groups gathers in the
     next best one.
     """
     for turn in range(rounds):
@@ -92,10 +92,11 @@ def shard_documents(
     total = nodes.count()
     groups = nodes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     linked = materialise(nodes.join(groups, ["k1", "k2"], "left_semi"), "shard-linked")
-    nodes = nodes.join(groups, ["k1", "k2"], "left_anti").unionByName(propagate(linked, n_shards, rounds, total / n_shards))
+    nodes = nodes.join(groups, ["k1", "k2"], "left_anti").unionByName(propagate(linked, n_shards, rounds, OVERFULL * total / n_shards))
 
-    here = nodes.groupBy("k1", "k2", "shard").agg((F.count(F.lit(1)) == 1).alias("alone"))
-    ranked = group_row_number(nodes.join(here, ["k1", "k2", "shard"]), ["shard"], ["alone", "k1", "k2", "row"], "place")
+    # the smallest families of a shard give way first, each as a whole while it can
+    here = nodes.groupBy("k1", "k2", "shard").agg((-F.count(F.lit(1))).alias("family"))
+    ranked = group_row_number(nodes.join(here, ["k1", "k2", "shard"]), ["shard"], ["family", "k1", "k2", "row"], "place")
     load = _by_shard(nodes, "shard", F.count(F.lit(1)), n_shards)
     larger = sorted(range(n_shards), key=lambda s: (-load[s], s))[: total % n_shards]
     quota = [total // n_shards + (s in larger) for s in range(n_shards)]
