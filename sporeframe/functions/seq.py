@@ -8,9 +8,13 @@ into a 4^k array is one ``np.bincount`` per sequence, where a SQL
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +32,7 @@ def _c(x: ColumnOrName) -> Column:
 
 def motif_count(seq: ColumnOrName, motif: str) -> Column:
     """Non-overlapping occurrences of a literal motif (F13, ``str.count``)."""
-    return F.regexp_count(_c(seq), F.lit(motif))
+    return F.regexp_count(_c(seq), F.lit(re.escape(motif)))
 
 
 def gc_fraction(seq: ColumnOrName) -> Column:
@@ -73,40 +77,55 @@ for _code, _base in enumerate(BASES):
 _LUT[ord("N")] = 4
 
 
-def _kmer_counts_block(seqs: list[str], k: int, overlap: bool, width: int) -> np.ndarray:
-    """Counts ``[len(seqs), width]`` for a block of sequences in one pass:
-    all windows of all sequences are indexed at once and counted with one
-    ``bincount`` over (row, k-mer) pairs."""
-    size = 4 ** k
+def _kmer_windows(seqs: list[str], k: int, overlap: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and base-4 index of every window without N, all sequences at once.
+
+    The index is built letter by letter over the joined text, so memory grows
+    with the letters and not with letters times k."""
     lens = np.fromiter((len(x) for x in seqs), dtype=np.int64, count=len(seqs))
     codes = _LUT[np.frombuffer("".join(seqs).encode("ascii", "replace"), dtype=np.uint8)]
     if (codes == 255).any():
-        raise ValueError("k-mer vector: letters other than A, C, G, T, N")
-    step = 1 if overlap else k
-    nwin = np.where(lens >= k, (lens - k) // step + 1, 0)
-    row = np.repeat(np.arange(len(seqs)), nwin)
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    within = (np.arange(nwin.sum()) - np.repeat(np.cumsum(nwin) - nwin, nwin)) * step
-    win = codes[(first[row] + within)[:, None] + np.arange(k)]
-    ok = ~(win == 4).any(axis=1)
-    idx = (win[ok].astype(np.int64) * (4 ** np.arange(k - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-    row = row[ok]
-    keep = idx < width
-    flat = np.bincount(row[keep] * size + idx[keep], minlength=len(seqs) * size)
-    return flat.reshape(len(seqs), size)[:, :width].astype(np.float64)
+        raise ValueError("k-mers: letters other than A, C, G, T, N")
+    ends = np.cumsum(lens)
+    n = max(0, len(codes) - k + 1)
+    index, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for j in range(k if n else 0):
+        part = codes[j:j + n]
+        index = index * 4 + (part & 3)
+        bad |= part == 4
+    row = np.repeat(np.arange(len(seqs)), lens)[:n]
+    at = np.arange(n) - (ends - lens)[row]
+    good = ~bad & (at + k <= lens[row])
+    if not overlap:
+        good &= at % k == 0
+    return row[good], index[good]
+
+
+def _blocks(text: list[str], max_rows: int, max_letters: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of bounded number and letters (a longer text is a block of its own)."""
+    lo = letters = 0
+    for i, x in enumerate(text):
+        if i > lo and (i - lo >= max_rows or letters + len(x) > max_letters):
+            yield lo, i
+            lo, letters = i, 0
+        letters += len(x)
+    if text:
+        yield lo, len(text)
 
 
 def _kmer_vector_np(seqs: pd.Series, k: int, overlap: bool, divide: bool, log: bool, drop_last: bool) -> pd.Series:
-    width = 4 ** k - 1 if drop_last else 4 ** k
+    size = 4 ** k
     valid = seqs.notna().to_numpy()
     text = seqs.where(valid, "").tolist()
-    rows_per_block = max(1, (1 << 24) // (4 ** k))  # keep a block's count matrix near 128 MB
     out: list = []
-    for start in range(0, len(text), rows_per_block):
-        block = text[start:start + rows_per_block]
-        counts = _kmer_counts_block(block, k, overlap, width)
+    for lo, hi in _blocks(text, max(1, (1 << 23) // size)):  # a block's count matrix stays near 64 MB
+        row, index = _kmer_windows(text[lo:hi], k, overlap)
+        if drop_last:
+            keep = index < size - 1
+            row, index = row[keep], index[keep]
+        counts = np.bincount(row * size + index, minlength=(hi - lo) * size).reshape(hi - lo, size).astype(np.float64)
         if divide:
-            lens = np.fromiter((len(x) for x in block), dtype=np.float64, count=len(block))
+            lens = np.fromiter((len(x) for x in text[lo:hi]), dtype=np.float64, count=hi - lo)
             counts = counts / np.where(lens > 0, lens, 1.0)[:, None]
         if log:
             counts = np.log(counts + 1)
@@ -114,21 +133,47 @@ def _kmer_vector_np(seqs: pd.Series, k: int, overlap: bool, divide: bool, log: b
     return pd.Series([v if ok else None for v, ok in zip(out, valid)], dtype=object)
 
 
+def kmer_pairs(df: DataFrame, id_col: str, seq_col: str, k: int, overlap: bool = True) -> DataFrame:
+    """``(id, kmer_index, n)`` of the k-mers present in each row (F17-F19, sparse): the same counts and the
+    same rule for letters as ``kmer_vector``, for any k up to 31."""
+    if not 1 <= k <= 31:
+        raise ValueError("k must be 1 to 31")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).fill_null("").to_pylist()
+            for lo, hi in _blocks(text, len(text)):
+                row, index = _kmer_windows(text[lo:hi], k, overlap)
+                order = np.lexsort((index, row))
+                row, index = row[order], index[order]
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (index[1:] != index[:-1])
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[at] + lo)), pa.array(index[at]), pa.array(np.diff(np.append(at, len(row))))],
+                    names=[id_col, "kmer_index", "n"])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("kmer_index", T.LongType()),
+                           T.StructField("n", T.LongType())])
+    return df.select(id_col, seq_col).mapInArrow(run, schema)
+
+
 def kmer_vector(seq: ColumnOrName, k: int, overlap: bool = True, divide: bool = False, log: bool = False,
                 leave_one_out: bool = False) -> Column:
     """Dense k-mer count vector of length 4^k.
 
     Windows holding N are skipped; ``divide`` divides by the sequence length
     (not the window count), then ``log`` applies ln(1 + x);
-    ``leave_one_out`` drops the last (all-T) k-mer from the vocabulary and
-    skips its windows.  Other letters raise.
+    ``leave_one_out`` skips the windows of the last (all-T) k-mer, whose slot
+    stays 0 (the width is 4^k as without it).  Other letters raise.
     """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _vec(s: pd.Series) -> pd.Series:
         return _kmer_vector_np(s, k, overlap, divide, log, leave_one_out)
 
-    return _vec(_c(seq))
+    # non-deterministic for the optimizer, so that a filter on the vector never evaluates it a second time
+    return _vec.asNondeterministic()(_c(seq))
 
 
 def one_hot(seq: ColumnOrName, dim: int = 5, strict: bool = True) -> Column:

@@ -1,7 +1,7 @@
 """Join helpers (J1-J9).  Only equi-joins; Catalyst picks the strategy.
 
-``F.broadcast`` is used only behind ``small_side``, which proves the size
-with a bounded count; above the bound the join is left to the planner
+``F.broadcast`` is used only behind ``small_side``, which counts the bytes;
+above the bound the join is left to the planner
 (sort-merge, with AQE's runtime broadcast / skew-split).
 """
 
@@ -10,21 +10,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows above which a lookup table is not broadcast by hand.
-BROADCAST_MAX_ROWS = 1_000_000
+# Bytes above which a lookup table is not broadcast by hand.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it provably holds at most ``max_rows`` rows.
+def _field_bytes(col: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a broadcast row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            inner = F.aggregate(col, F.lit(0), lambda a, x: a + _field_bytes(x, kind.elementType).cast("int"))
+            return F.coalesce(inner, F.lit(0)) + 24
+        return F.greatest(F.size(col), F.lit(0)) * 8 + 24
+    if isinstance(kind, T.StructType):
+        return sum((_field_bytes(col[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
 
-    The check reads at most ``max_rows + 1`` rows, so it costs little even
-    when the table turns out to be large; then the planner decides.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its rows take at most ``max_bytes`` in all (counted, wide rows as wide);
+    else the planner decides."""
+    width = sum((_field_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    size = df.select(width.cast("long").alias("b")).agg(F.sum("b")).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def inner_join_all(dfs: Sequence[DataFrame], key: str | Sequence[str], suffixes: Sequence[str] | None = None,
@@ -34,7 +47,7 @@ def inner_join_all(dfs: Sequence[DataFrame], key: str | Sequence[str], suffixes:
     Non-key columns present in more than one table are renamed first.  With
     ``r_style`` the names follow R's nested ``merge``: the first two
     tables' clashing columns get ``.x`` / ``.y`` and the third keeps its
-    plain name; otherwise ``suffixes[i]`` is appended to table i's clashes.
+    plain name (later ones get ``.4``, ``.5``, ...); otherwise ``suffixes[i]`` is appended to table i's clashes.
     """
     keys = [key] if isinstance(key, str) else list(key)
     counts: dict[str, int] = {}
@@ -45,7 +58,7 @@ def inner_join_all(dfs: Sequence[DataFrame], key: str | Sequence[str], suffixes:
     renamed = []
     for i, d in enumerate(dfs):
         if r_style:
-            suffix = [".x", ".y"][i] if i < 2 else ""
+            suffix = [".x", ".y", ""][i] if i < 3 else f".{i + 1}"
         else:
             suffix = (suffixes or [f"_{j}" for j in range(len(dfs))])[i]
         renamed.append(d.select(*keys, *[F.col(c).alias(c + suffix if counts[c] > 1 else c)

@@ -8,8 +8,8 @@ Data flow (no model's rows are ever gathered in one place):
    salt by content (repeatable after an executor loss) and shuffled once on
    (key, cell, salt), so a model holding a third of all rows is spread over
    many tasks.
-2. ``moment_partials`` (``mapInArrow``) folds each task's rows into
-   ``n, sum z, sum z z^T`` (z = [x, y]) per (key, cell, salt).
+2. ``moment_partials`` (``mapInArrow``) folds each task's rows into count,
+   mean and scatter of z = [x, y] per (key, cell, salt).
 3. Partials are merged in levels of at most ``fanin`` (``applyInPandas``),
    so a solver sees at most ``fanin`` partials per cell.
 4. ``ridge_cv`` / ``ridge_bootstrap`` solve per model key on
@@ -18,14 +18,14 @@ Data flow (no model's rows are ever gathered in one place):
    and population std (a constant column keeps scale 1), held-out scores as
    quadratic forms of the fold statistics, first best alpha wins.
 
-Sums are raw (not shifted); float64 keeps ~14 digits for features whose
-mean is within ~100 standard deviations of zero, which covers counts,
-embeddings and transformed TPM.
+Moments are centred from the start and merged by the pairwise update, so
+features far from zero lose no digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sporeframe.session import reliable_checkpoint
+
 REFERENCE_ALPHAS = (10.0, 100.0, 1000.0)
 
 
@@ -56,8 +58,8 @@ def _feature_matrix(col: pa.Array) -> np.ndarray:
 
 def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, features: str, y: str,
                     weights: str | None = None) -> DataFrame:
-    """Per task and (key, cell): ``n``, ``s = sum z`` and ``q = sum z z^T``
-    (row-major) with z = [features, y].
+    """Per task and (key, cell): ``n``, the mean ``s`` of z and the scatter
+    ``q = sum (z - s)(z - s)^T`` (row-major) with z = [features, y].
 
     With ``weights`` (``ARRAY<DOUBLE>`` of R replicate weights, NULL on test
     rows) a weighted row adds to cells 1..R with its weights instead of to
@@ -75,14 +77,13 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, list] = {}
 
-        def add(key: tuple, n: float, s: np.ndarray, q: np.ndarray) -> None:
-            cur = acc.get(key)
-            if cur is None:
-                acc[key] = [n, s.copy(), q.copy()]
-            else:
-                cur[0] += n
-                cur[1] += s
-                cur[2] += q
+        def add(key: tuple, z: np.ndarray, w: np.ndarray | None = None) -> None:
+            n = float(len(z) if w is None else w.sum())
+            if n:
+                mu = z.mean(axis=0) if w is None else w @ z / n
+                d = z - mu
+                new = (n, mu, d.T @ d if w is None else (d * w[:, None]).T @ d)
+                acc[key] = _add(acc[key], new) if key in acc else new
 
         for rb in batches:
             if rb.num_rows == 0:
@@ -106,14 +107,12 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
                         W = _feature_matrix(wcol.take(pa.array(idx[wmask])))
                         Zw = Zg[local[wmask]]
                         for b in range(W.shape[1]):
-                            wb = W[:, b]
-                            add(gkey + (b + 1,), float(wb.sum()), Zw.T @ wb, (Zw * wb[:, None]).T @ Zw)
+                            add(gkey + (b + 1,), Zw, W[:, b])
                     local = local[~wmask]
                 gcells = cells[idx]
                 for cell in np.unique(gcells[local]):
                     ci = local[gcells[local] == cell]
-                    Zc = Zg[ci]
-                    add(gkey + (int(cell),), float(len(ci)), Zc.sum(axis=0), Zc.T @ Zc)
+                    add(gkey + (int(cell),), Zg[ci])
         if acc:
             rows = list(acc.items())
             arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
@@ -149,9 +148,8 @@ def _sum_partials(pdf: pd.DataFrame, group_cols: list[str]) -> pd.DataFrame:
     rows = []
     for _, g in pdf.groupby(group_cols + ["cell"], sort=False, dropna=False):
         first = g.iloc[0]
-        rows.append({**{c: first[c] for c in group_cols}, "cell": int(first["cell"]), "n": float(g["n"].sum()),
-                     "s": np.sum(np.stack(g["s"].to_numpy()), axis=0),
-                     "q": np.sum(np.stack(g["q"].to_numpy()), axis=0)})
+        n, s, q = _merged(g)
+        rows.append({**{c: first[c] for c in group_cols}, "cell": int(first["cell"]), "n": n, "s": s, "q": q.ravel()})
     return pd.DataFrame(rows, columns=[*group_cols, *_PART_FIELDS])
 
 
@@ -184,27 +182,24 @@ def model_statistics(data: DataFrame, key_cols: Sequence[str], cell_col: str, fe
 def _cells(pdf: pd.DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     out = {}
     for cell, g in pdf.groupby("cell"):
-        s = np.sum(np.stack(g["s"].to_numpy()), axis=0)
-        q = np.sum(np.stack(g["q"].to_numpy()), axis=0)
-        m = len(s)
-        out[int(cell)] = (float(g["n"].sum()), s, q.reshape(m, m))
+        out[int(cell)] = _merged(g)
     return out
 
 
-# --------------------------------------------------------------------------- algebra
+def _merged(g: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """Statistics of a cell from its partials, one pair at a time."""
+    parts = ((float(n), np.asarray(s), np.asarray(q).reshape(len(s), len(s))) for n, s, q in zip(g["n"], g["s"], g["q"]))
+    return reduce(_add, parts)
 
 
-def _moments(n: float, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mu = s / n
-    return mu, q - n * np.outer(mu, mu)
+# --------------------------------------------------------------------------- algebra
 
 
 def _fit(stats: tuple[float, np.ndarray, np.ndarray], alpha: float, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge with intercept on features scaled by ``scale``; returns
     coefficients for the unscaled features and the intercept."""
-    n, s, q = stats
-    mu, C = _moments(n, s, q)
-    p = len(s) - 1
+    n, mu, C = stats
+    p = len(mu) - 1
     dinv = 1.0 / scale
     A = dinv[:, None] * C[:p, :p] * dinv[None, :] + alpha * np.eye(p)
     bz = np.linalg.solve(A, dinv * C[:p, p])
@@ -214,8 +209,7 @@ def _fit(stats: tuple[float, np.ndarray, np.ndarray], alpha: float, scale: np.nd
 
 def _scores(stats: tuple[float, np.ndarray, np.ndarray], beta: np.ndarray, b0: float) -> tuple[float, float]:
     """(R^2, squared Pearson r) of predictions on a cell, from its moments."""
-    n, s, q = stats
-    mu, C = _moments(n, s, q)
+    n, mu, C = stats
     p = len(beta)
     cyy, cxy, cxx = C[p, p], C[:p, p], C[:p, :p]
     off = mu[p] - b0 - mu[:p] @ beta
@@ -227,17 +221,29 @@ def _scores(stats: tuple[float, np.ndarray, np.ndarray], beta: np.ndarray, b0: f
 
 
 def _train_scale(train: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
-    n, s, q = train
-    mu, C = _moments(n, s, q)
-    p = len(s) - 1
+    n, mu, C = train
+    p = len(mu) - 1
     var = np.clip(np.diag(C)[:p] / n, 0.0, None)
     sd = np.sqrt(var)
     sd[sd < 10 * np.finfo(float).eps * np.maximum(1.0, np.abs(mu[:p]))] = 1.0
     return sd
 
 
-def _add(a, b, sign=1.0):
-    return (a[0] + sign * b[0], a[1] + sign * b[1], a[2] + sign * b[2])
+def _add(a, b):
+    """Statistics ``(n, mean, scatter)`` of two sets together (pairwise update)."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _without(a, b):
+    """Statistics of a set less those of a part of it; empty if nothing is left."""
+    n = a[0] - b[0]
+    if n < 1:
+        return 0.0, a[1], a[2] * 0.0
+    mu = a[1] + (a[1] - b[1]) * (b[0] / n)
+    d = b[1] - mu
+    return n, mu, a[2] - b[2] - np.outer(d, d) * (n * b[0] / a[0])
 
 
 # --------------------------------------------------------------------------- jobs
@@ -267,6 +273,8 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
     key_fields = [data.schema[k] for k in key_cols]
     schema = T.StructType(key_fields + CV_FIELDS)
     alphas = [float(a) for a in alphas]
+    if cv_metric not in ("r2", "pearson_r2"):
+        raise ValueError(f"cv_metric must be 'r2' or 'pearson_r2', not {cv_metric!r}")
     pick = 0 if cv_metric == "r2" else 1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -283,7 +291,7 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
         for a in alphas:
             sc = []
             for f in folds:
-                fit_set = _add(train, cells[f], -1.0)
+                fit_set = _without(train, cells[f])
                 if fit_set[0] < 1:
                     continue
                 beta, b0 = _fit(fit_set, a, scale)
@@ -313,8 +321,11 @@ def ridge_bootstrap(data: DataFrame, key_cols: Sequence[str], cell_col: str, fea
     key_cols = list(key_cols)
     parts = model_statistics(data, key_cols, cell_col, features, y, weights, rows_per_task=rows_per_task,
                              fanin=fanin)
-    alphas = data.select(*key_cols, alpha).distinct()
-    merged = parts.join(alphas, key_cols)
+    parts = reliable_checkpoint(parts)  # read for the replicates and for their test statistics
+    fitted = parts.where("cell > 0").withColumn("replicate", F.col("cell"))
+    models = fitted.select(*key_cols, "replicate").distinct().join(data.select(*key_cols, alpha).distinct(), key_cols)
+    test = parts.where("cell = 0").join(models.select(*key_cols, "replicate"), key_cols)
+    merged = fitted.unionByName(test).join(models, [*key_cols, "replicate"])
     key_fields = [data.schema[k] for k in key_cols]
     schema = T.StructType(key_fields + [
         T.StructField("replicate", T.IntegerType()), T.StructField("r2", T.DoubleType()),
@@ -322,21 +333,18 @@ def ridge_bootstrap(data: DataFrame, key_cols: Sequence[str], cell_col: str, fea
     ])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = {k: pdf[k].iloc[0] for k in key_cols}
-        a = float(pdf[alpha].iloc[0])
+        first = pdf.iloc[0]
         cells = _cells(pdf)
-        test = cells.get(0)
+        test, fit_set = cells.get(0), cells[int(first["replicate"])]
         rows = []
-        for b in sorted(c for c in cells if c > 0):
-            fit_set = cells[b]
-            if fit_set[0] < 2 or test is None:
-                continue
-            beta, b0 = _fit(fit_set, a, _train_scale(fit_set))
+        if fit_set[0] >= 2 and test is not None:
+            beta, b0 = _fit(fit_set, float(first[alpha]), _train_scale(fit_set))
             r2, pr2 = _scores(test, beta, b0)
-            rows.append({**key, "replicate": b, "r2": r2, "pearson_r2": pr2})
+            rows.append({**{k: first[k] for k in key_cols}, "replicate": int(first["replicate"]), "r2": r2, "pearson_r2": pr2})
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    return merged.groupBy(*key_cols).applyInPandas(solve, schema)
+    # one task group per replicate: the solves of a model spread over the cluster
+    return merged.groupBy(*key_cols, "replicate").applyInPandas(solve, schema)
 
 
 def predict(rows: DataFrame, models: DataFrame, key_cols: Sequence[str], features: str,

@@ -8,11 +8,15 @@ skew-safe ``group_row_number``.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sporeframe.operators.ranking import group_row_number, ntile_of
 
@@ -23,27 +27,27 @@ def seeded_order(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
-def _number_narrow(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], extra: Sequence[str] = ()):
-    """Number only the key columns (group + order, unique by contract) and
-    join the positions back, so wide rows (feature arrays) are not
-    range-shuffled and checkpointed just to be numbered."""
+def _numbered(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """``df`` with ``_rn`` (1-based position of the row's key in its group) and ``_n`` (keys in the group).
+
+    Only the distinct keys (group + order) are numbered and joined back null-safe, so wide rows are not
+    range-shuffled, no row is lost or multiplied, and rows of one key (also a NULL one) share a position."""
     from sporeframe.operators.joins import small_side
 
     keys = [*group_cols, *order_cols]
-    narrow = df.select(*keys, *extra)
-    ranked = group_row_number(narrow, group_cols, order_cols, "_rn", count_name="_n")
-    # broadcast when provably small, so the wide side is not shuffled at all
-    return small_side(ranked), keys
+    ranked = group_row_number(df.select(*keys).distinct(), group_cols, order_cols, "_rn", count_name="_n")
+    pos = small_side(ranked.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_rn", "_n"))
+    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(pos[f"_k_{c}"]) for c in keys])
+    return df.join(pos, on).drop(*[f"_k_{c}" for c in keys])
 
 
 def holdout_split(df: DataFrame, group_cols: Sequence[str], key: str, test_size: float = 0.1, seed: int = 42,
                   n_folds: int | None = None) -> DataFrame:
-    """M2 (+ W6): per group, the first ``ceil(test_size * n)`` rows in seeded
-    order are test (``is_test``); with ``n_folds`` the remaining rows, in
-    the same order, get contiguous folds 1..k (``fold``; 0 for test rows)."""
-    d = df.withColumn("_ord", seeded_order(key, seed))
-    pos, keys = _number_narrow(d, group_cols, ["_ord", key])
-    ranked = d.join(pos, keys)
+    """M2 (+ W6): per group, the first ``ceil(test_size * n)`` keys in seeded
+    order are test (``is_test``); with ``n_folds`` the remaining keys, in
+    the same order, get contiguous folds 1..k (``fold``; 0 for test rows).
+    Rows that share a key stay together, NULL keys too."""
+    ranked = _numbered(df.withColumn("_ord", seeded_order(key, seed)), group_cols, ["_ord", key])
     n_test = F.ceil(F.lit(float(test_size)) * F.col("_n"))
     out = ranked.withColumn("is_test", F.col("_rn") <= n_test)
     if n_folds:
@@ -57,31 +61,40 @@ def holdout_split(df: DataFrame, group_cols: Sequence[str], key: str, test_size:
 def kfold(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_folds: int,
           where: Column | None = None, name: str = "fold") -> DataFrame:
     """Contiguous k folds in ``order_cols`` order (KFold without
-    shuffle), first ``n mod k`` folds one row larger.  Rows outside
+    shuffle), first ``n mod k`` folds one key larger.  Rows outside
     ``where`` get fold 0."""
     if where is None:
-        pos, keys = _number_narrow(df, group_cols, list(order_cols))
-        return df.join(pos, keys).withColumn(name, ntile_of("_rn", "_n", n_folds)).drop("_rn", "_n")
+        return _numbered(df, group_cols, list(order_cols)).withColumn(name, ntile_of("_rn", "_n", n_folds)).drop("_rn", "_n")
     # one numbering over all rows, the in/out flag being part of the group
     flagged = df.withColumn("_in", F.coalesce(where, F.lit(False)))
-    pos, keys = _number_narrow(flagged, [*group_cols, "_in"], list(order_cols))
-    ranked = flagged.join(pos, keys)
+    ranked = _numbered(flagged, [*group_cols, "_in"], list(order_cols))
     fold = F.when(F.col("_in"), ntile_of("_rn", "_n", n_folds)).otherwise(F.lit(0))
     return ranked.withColumn(name, fold).drop("_rn", "_n", "_in")
 
 
 def group_kfold(df: DataFrame, group_cols: Sequence[str], block: str, n_folds: int, name: str = "fold") -> DataFrame:
-    """Folds 1..k that never split a block.  Blocks are sorted by size
-    (largest first, name breaks ties) and dealt in snake order, which keeps
-    fold sizes close (the reference's greedy rule may differ slightly)."""
-    sizes = df.groupBy(*group_cols, block).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = group_row_number(sizes, group_cols, [F.col("_size").desc(), F.col(block)], "_pos")
-    p = F.col("_pos") - 1
-    cycle = F.floor(p / n_folds)
-    r = p - cycle * n_folds
-    fold = F.when(cycle % 2 == 0, r).otherwise(F.lit(n_folds - 1) - r) + 1
-    assign = ranked.select(*group_cols, block, fold.cast("int").alias(name))
-    return df.join(assign, [*group_cols, block])
+    """Folds 1..k that never split a block.  Blocks go, largest first
+    (name breaks ties), to the fold that holds the fewest rows so far (the
+    first of equal ones).  The greedy rule is sequential: it runs on the block
+    sizes, one row per block, never on the rows."""
+    keys = [*group_cols, block]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    schema = T.StructType([sizes.schema[c] for c in keys] + [T.StructField(name, T.IntegerType())])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_size", block], ascending=[False, True], na_position="first", kind="stable")
+        loads = [(0, f) for f in range(1, n_folds + 1)]
+        folds = []
+        for size in pdf["_size"]:
+            load, fold = heapq.heappop(loads)
+            folds.append(fold)
+            heapq.heappush(loads, (load + int(size), fold))
+        return pdf[keys].assign(**{name: folds})
+
+    assign = sizes.groupBy(*group_cols).applyInPandas(deal, schema)
+    assign = assign.select(*[F.col(c).alias(f"_k_{c}") for c in keys], name)
+    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(assign[f"_k_{c}"]) for c in keys])
+    return df.drop(name).join(assign, on).drop(*[f"_k_{c}" for c in keys])
 
 
 def poisson_weights(key: str | Column, replicates: int, seed: int = 42) -> Column:

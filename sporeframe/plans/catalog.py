@@ -503,9 +503,17 @@ def q_holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return spl.holdout_split(d, ["species"], "gene_id", 0.1, 42, n_folds=5)
 
 
-@register("group_kfold_assignment", _with(tb.sequences_sql(), """b AS (
-  SELECT source, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS p FROM seqs GROUP BY source)""",
-                                           """f AS (SELECT source, CAST(CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END + 1 AS INTEGER) AS fold FROM b)""") + """
+# greedy rule: the largest block goes to the fold with the fewest rows so far
+@register("group_kfold_assignment", _with("""RECURSIVE b AS (
+  SELECT source, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, source) AS p FROM documents GROUP BY source)""",
+                                           """dealt AS (
+  SELECT CAST(0 AS BIGINT) AS p, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS fold,
+         CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads
+  UNION ALL
+  SELECT b.p, b.source, CAST(list_position(loads, list_min(loads)) AS BIGINT),
+         list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + b.size ELSE x END)
+  FROM dealt JOIN b ON b.p = dealt.p + 1)""", """f AS (SELECT source, CAST(fold AS INTEGER) AS fold FROM dealt WHERE p > 0)""",
+                                           tb.sequences_sql()) + """
 SELECT s.gene_id, s.source, f.fold FROM seqs s JOIN f ON s.source = f.source""")
 def q_group_kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
     s = tb.sequences(spark, sf).select("gene_id", "source", F.lit("all").alias("_g"))
@@ -515,12 +523,12 @@ def q_group_kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
 @register("positional_zip_embeddings", """
 SELECT d.gene_id, d.row_idx, e.vec_id, e.label FROM
   (SELECT CAST(doc_id AS VARCHAR) AS gene_id, row_number() OVER (ORDER BY doc_id) AS row_idx FROM documents) d
-JOIN (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row_idx FROM embeddings) e ON d.row_idx = e.row_idx""")
+LEFT JOIN (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row_idx FROM embeddings) e ON d.row_idx = e.row_idx""")
 def q_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
     docs = tb.read_table(spark, sf, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("gene_id"),
                                                         F.lit(1).alias("_g"))
     emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "label", F.lit(1).alias("_g"))
-    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="inner", check_counts=False)
+    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False)
     return z.select("gene_id", "row_idx", "vec_id", "label")
 
 
@@ -593,7 +601,8 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets:
     docs = tb.read_table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"),
                                                         F.lit(1).alias("_g"))
     emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
-    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="inner", check_counts=False)
+    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False)
+    z = z.where(F.col("embedding").isNotNull())  # a gene beyond the embedding rows has no embedding set
     emb_set = z.select(F.lit("Downstream: embedding").alias("feature_set"), "gene_id",
                        F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
@@ -940,8 +949,8 @@ _MAPPING_SQL = _with("""e AS (SELECT 'src' || CAST(label AS VARCHAR) AS species,
                      tb.EXPRESSION_SQL, """pg AS (SELECT geneId, median(CASE WHEN TPM > 0 THEN (power(TPM, 0.22) - 1) / 0.22 END) AS bc
            FROM samples GROUP BY geneId)""", """t AS (SELECT doc.source AS species, pg.geneId AS gene_id, pg.bc AS boxcox_tpm
           FROM documents doc JOIN pg ON CAST(doc.doc_id AS VARCHAR) = pg.geneId)""",
-                     """m AS (SELECT d.species, d.gene_id, e.vec_id, t.boxcox_tpm FROM d JOIN e ON d.species = e.species AND d.rn = e.rn
-          LEFT JOIN t ON d.species = t.species AND d.gene_id = t.gene_id)""")
+                     """m AS (SELECT e.species, d.gene_id, e.vec_id, t.boxcox_tpm FROM e LEFT JOIN d ON d.species = e.species AND d.rn = e.rn
+          LEFT JOIN t ON d.species = t.species AND d.gene_id = t.gene_id WHERE e.species IN (SELECT species FROM d))""")
 
 
 @register("embedding_tpm_mapping", _MAPPING_SQL + """
@@ -968,14 +977,14 @@ def q_embedding_match_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("model_dataset_map", """
 SELECT dataset, array_to_string(list_sort(list(DISTINCT folder)), ',') AS folders, count(DISTINCT folder) AS n_models
-FROM (SELECT 'out-specieslm-tok_' || lang || '-' || source || '-v1' AS folder, source AS dataset FROM documents)
+FROM (SELECT 'out-lm-tok_' || lang || '-' || source || '-v1' AS folder, source AS dataset FROM documents)
 GROUP BY dataset""")
 def q_model_dataset_map(spark: SparkSession, sf: str) -> DataFrame:
     """F8 + A11: output folders named ``a-b-<model>-<dataset>-e`` grouped into
     a sorted folder list per dataset (a dataset has few models)."""
     from sporeframe.functions.clean import five_part_name
     docs = tb.read_table(spark, sf, "documents")
-    folders = docs.select(F.concat(F.lit("out-specieslm-tok_"), "lang", F.lit("-"), "source", F.lit("-v1")).alias("folder"))
+    folders = docs.select(F.concat(F.lit("out-lm-tok_"), "lang", F.lit("-"), "source", F.lit("-v1")).alias("folder"))
     parsed = folders.distinct().select("folder", five_part_name("folder").alias("p")).where(F.col("p").isNotNull())
     lists = ag.group_to_list(parsed.select(F.col("p.dataset").alias("dataset"), "folder"), "dataset", "folder", "folders")
     return lists.select("dataset", F.array_join("folders", ",").alias("folders"), F.size("folders").cast("long").alias("n_models"))

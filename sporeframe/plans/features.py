@@ -24,26 +24,12 @@ def kmer_string(index: str | F.Column, k: int) -> F.Column:
     return F.translate(digits, "0123", sq.BASES)
 
 
-def kmer_counts_long(df: DataFrame, id_col: str, seq_col: str, k: int, overlap: bool = True,
-                     dense_max_k: int = 8) -> DataFrame:
-    """``(id, kmer, n)`` for every k-mer present; windows holding N skipped.
-
-    For ``k <= dense_max_k`` each sequence is counted into its 4^k vector
-    (one vectorised bincount per row, no shuffle) and the non-zero entries
-    are exploded.  Larger k explode window starts, cut them with
-    ``substring`` and count with a grouped aggregate, whose map-side partial
-    collapses each sequence to its distinct k-mers before the shuffle.
-    """
-    if k <= dense_max_k:
-        v = df.select(id_col, sq.kmer_vector(seq_col, k, overlap).alias("_v"))
-        e = v.select(id_col, F.posexplode("_v").alias("_i", "_n")).where(F.col("_n") > 0)
-        return e.select(id_col, kmer_string("_i", k).alias("kmer"), F.col("_n").cast("long").alias("n"))
-    step = 1 if overlap else k
-    n_win = F.length(seq_col) - k + 1
-    starts = F.when(n_win >= 1, F.sequence(F.lit(1), n_win, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    w = df.select(id_col, seq_col, F.explode(starts).alias("_i"))
-    w = w.select(id_col, F.expr(f"substring({seq_col}, _i, {k})").alias("kmer"))
-    return w.where(~F.col("kmer").contains("N")).groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
+def kmer_counts_long(df: DataFrame, id_col: str, seq_col: str, k: int, overlap: bool = True) -> DataFrame:
+    """``(id, kmer, n)`` for every k-mer present; windows holding N skipped, other letters raise.
+
+    Sparse pairs come straight from the vectorised counting pass, for any k: no 4^k vector, no shuffle."""
+    pairs = sq.kmer_pairs(df, id_col, seq_col, k, overlap)
+    return pairs.select(id_col, kmer_string("kmer_index", k).alias("kmer"), "n")
 
 
 def dense_to_long(df: DataFrame, id_cols: Sequence[str], vec_col: str, index: str = "kmer_index",

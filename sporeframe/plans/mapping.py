@@ -19,12 +19,14 @@ def map_embeddings(embeddings: DataFrame, gene_rows: DataFrame, tpm: DataFrame)
     row_order, gene_id)``, ``tpm(species, gene_id, boxcox_tpm)`` ->
     ``(species, gene_id, embedding, boxcox_tpm)``.
 
-    Only species present in both row tables are mapped (J6); ids are trimmed
+    Only species present in both row tables are mapped (J6), with all their
+    embedding rows; ids are trimmed
     text (F10); duplicate TPM rows multiply, as a pandas left merge does (J3).
     """
     emb = keep_present(embeddings, gene_rows.select("species").distinct(), "species")
     genes = keep_present(gene_rows, embeddings.select("species").distinct(), "species")
-    zipped = positional_zip(genes, emb, ["species"], ["row_order"], ["row_order"], how="inner", check_counts=False)
+    # every embedding row stays; one beyond its species' gene rows has no gene id
+    zipped = positional_zip(emb, genes, ["species"], ["row_order"], ["row_order"], how="left", check_counts=False)
     zipped = zipped.select("species", trim_id("gene_id").alias("gene_id"), "embedding")
     t = tpm.select("species", trim_id("gene_id").alias("gene_id"), "boxcox_tpm")
     return zipped.join(t, ["species", "gene_id"], "left")

@@ -27,17 +27,17 @@ def pipeline_tpm(gtf: DataFrame, prefix: str = "^gene-SPOM_", replicate: str = "
 
 
 def published_tpm(published: DataFrame, replicate: str = "replicate") -> DataFrame:
-    """Published table to ``(replicate, geneId, FungiExp_TPM)``."""
-    d = published.select(replicate, "geneId", F.col("TPM").alias("FungiExp_TPM"))
-    agg = d.groupBy(replicate, "geneId").agg(F.avg("FungiExp_TPM").alias("FungiExp_TPM"))
-    return agg.where(F.col("geneId").isNotNull() & F.col("FungiExp_TPM").isNotNull())
+    """Published table to ``(replicate, geneId, Published_TPM)``."""
+    d = published.select(replicate, "geneId", F.col("TPM").alias("Published_TPM"))
+    agg = d.groupBy(replicate, "geneId").agg(F.avg("Published_TPM").alias("Published_TPM"))
+    return agg.where(F.col("geneId").isNotNull() & F.col("Published_TPM").isNotNull())
 
 
 def merged_logs(pipe: DataFrame, pub: DataFrame, replicate: str = "replicate") -> DataFrame:
     """Per replicate: inner join on gene (J1), log10(x + 1) of both."""
     return pub.join(pipe, [replicate, "geneId"]).select(
-        replicate, "geneId", "Pipeline_TPM", "FungiExp_TPM",
-        log10p1("Pipeline_TPM").alias("log_Pipeline_TPM"), log10p1("FungiExp_TPM").alias("log_FungiExp_TPM"),
+        replicate, "geneId", "Pipeline_TPM", "Published_TPM",
+        log10p1("Pipeline_TPM").alias("log_Pipeline_TPM"), log10p1("Published_TPM").alias("log_Published_TPM"),
     )
 
 
@@ -45,9 +45,9 @@ def per_replicate_r(merged: DataFrame, replicate: str = "replicate") -> DataFram
     """Pearson r of the logs per replicate (A15) and the fitted line."""
     return merged.groupBy(replicate).agg(
         F.count(F.lit(1)).alias("n_genes"),
-        F.corr("log_Pipeline_TPM", "log_FungiExp_TPM").alias("pearson_r"),
-        F.regr_slope("log_FungiExp_TPM", "log_Pipeline_TPM").alias("slope"),
-        F.regr_intercept("log_FungiExp_TPM", "log_Pipeline_TPM").alias("intercept"),
+        F.corr("log_Pipeline_TPM", "log_Published_TPM").alias("pearson_r"),
+        F.regr_slope("log_Published_TPM", "log_Pipeline_TPM").alias("slope"),
+        F.regr_intercept("log_Published_TPM", "log_Pipeline_TPM").alias("intercept"),
     )
 
 
@@ -57,9 +57,9 @@ def three_way_r(merged: DataFrame, replicates: Sequence, replicate: str = "repli
     reference's number) - next to the mean r over the replicates."""
     parts = [merged.where(F.col(replicate) == r).drop(replicate) for r in replicates]
     wide = inner_join_all(parts, "geneId", r_style=True)
-    per = [F.corr(F.col(f"`log_Pipeline_TPM{s}`"), F.col(f"`log_FungiExp_TPM{s}`")) for s in (".x", ".y", "")]
+    per = [F.corr(F.col(f"`log_Pipeline_TPM{s}`"), F.col(f"`log_Published_TPM{s}`")) for s in (".x", ".y", "")]
     return wide.agg(
         F.count(F.lit(1)).alias("n_genes"),
-        F.corr("log_Pipeline_TPM", "log_FungiExp_TPM").alias("pearson_r_last"),
+        F.corr("log_Pipeline_TPM", "log_Published_TPM").alias("pearson_r_last"),
         ((per[0] + per[1] + per[2]) / 3).alias("pearson_r_mean"),
     )

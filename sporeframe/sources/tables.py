@@ -164,28 +164,27 @@ EXPERIMENT_COUNTS_SQL = """expcounts AS (
 # DNA sequences from documents
 # ---------------------------------------------------------------------------
 
-def dna_from_text(text: Column | str, max_len: int = 1003) -> Column:
-    """Letters only, lower case, mapped onto ACGT (z gives N), cut to ``max_len``."""
+def dna_from_text(text: Column | str) -> Column:
+    """Letters of the whole text, lower case, mapped onto ACGT (z gives N)."""
     letters = F.lower(F.regexp_replace(F.col(text) if isinstance(text, str) else text, "[^A-Za-z]", ""))
-    dna = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN")
-    return F.substring(dna, 1, max_len)
+    return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN")
 
 
-def sequences(spark: SparkSession, sf_dir: str, max_len: int = 1003) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(gene_id, source, seq)`` over A,C,G,T,N from ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.select(
         F.col("doc_id").cast("string").alias("gene_id"),
         F.col("source"),
-        dna_from_text("text", max_len).alias("seq"),
+        dna_from_text("text").alias("seq"),
     )
 
 
-def sequences_sql(max_len: int = 1003) -> str:
-    return f"""seqs AS (
+def sequences_sql() -> str:
+    return """seqs AS (
   SELECT CAST(doc_id AS VARCHAR) AS gene_id, source,
-         substr(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')),
-                'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN'), 1, {max_len}) AS seq
+         translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')),
+                   'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') AS seq
   FROM documents)"""
 
 
