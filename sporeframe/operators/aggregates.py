@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeframe.operators.ranking import average_rank, exact_percentiles
@@ -50,14 +50,19 @@ def histogram_width(df: DataFrame, value: str, width: float, boundary: float = 0
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Fixed-width bins with an edge at ``boundary``, closed on the right.
 
-    Bin k is ``(boundary + k*w, boundary + (k+1)*w]``; only bins holding
-    rows are returned (``count``) - a value on the lowest edge counts in
-    the bin to its left, as R's right-closed bins do for every edge but the
-    first.
+    Bin k is ``(boundary + k*w, boundary + (k+1)*w]``, and a group's first bin
+    is closed on the left too: smallest values that lie on an edge count in
+    the bin to its right.  Only bins holding rows are returned (``count``).
     """
-    k = (F.ceil((F.col(value) - F.lit(boundary)) / F.lit(width)) - 1).cast("long")
-    binned = df.where(F.col(value).isNotNull()).select(*group_cols, k.alias("bin"))
-    return binned.groupBy(*group_cols, "bin").agg(F.count(F.lit(1)).alias("count")).select(
+    place = (F.col(value) - F.lit(boundary)) / F.lit(width)
+    k = (F.ceil(place) - 1).cast("long")
+    binned = df.where(F.col(value).isNotNull()).select(*group_cols, k.alias("bin"), F.floor(place).cast("long").alias("_left"))
+    counts = binned.groupBy(*group_cols, "bin").agg(F.count(F.lit(1)).alias("count"), F.min("_left").alias("_left"))
+    # one row per bin from here on: the first bin's rows move if its smallest value is an edge
+    first = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    moved = F.greatest("bin", F.min("_left").over(first))
+    counts = counts.withColumn("bin", moved).groupBy(*group_cols, "bin").agg(F.sum("count").alias("count"))
+    return counts.select(
         *group_cols, "bin",
         (F.lit(boundary) + F.col("bin") * F.lit(width)).alias("bin_lo"),
         (F.lit(boundary) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
@@ -83,13 +88,14 @@ def histogram_bins(df: DataFrame, value: str, bins: int, limits: tuple[float, fl
     else:
         lo_c = data.select(F.min(v).cast("double")).scalar()
         hi_c = data.select(F.max(v).cast("double")).scalar()
-    width = (hi_c - lo_c) / F.lit(float(bins - 1)) if bins > 1 else hi_c - lo_c
+    # a constant column has one bin of width 1; an empty one has no limits and no bins
+    width = F.when(hi_c > lo_c, (hi_c - lo_c) / F.lit(float(max(1, bins - 1)))).when(hi_c == lo_c, F.lit(1.0))
     # first edge at or below the low end, aligned to the boundary
     first = F.lit(boundary) + F.floor((lo_c - F.lit(boundary)) / width) * width
     k = F.greatest(F.ceil((v - first) / width) - 1, F.lit(0)).cast("long")
     counts = data.select(k.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
-    last = F.ceil((hi_c - first) / width).cast("long")
+    last = F.greatest(F.ceil((hi_c - first) / width), F.when(hi_c.isNotNull(), F.lit(1))).cast("long")
     all_bins = spark.range(0, bins + 1).select(F.col("id").alias("bin")).where(F.col("bin") < last)
     return all_bins.join(counts, "bin", "left").select(
         "bin",
@@ -104,12 +110,13 @@ def nrd0_bandwidth(df: DataFrame, value: str) -> float:
     aggregate for sd and n, the quartiles from the distributed exact
     percentile; only the resulting number reaches the driver."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_g"))
+    mom = v.agg(F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n"), F.min("_v").alias("least")).first()
+    if not mom["n"]:
+        return float("nan")
     q = exact_percentiles(v, ["_g"], "_v", {"q1": 0.25, "q3": 0.75}).first()
-    mom = v.agg(F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    iqr = (q["q3"] - q["q1"]) / 1.34
-    lo = min(mom["sd"], iqr)
-    lo = lo if lo > 0 else mom["sd"]
-    return 0.9 * lo * mom["n"] ** -0.2
+    sd, iqr = mom["sd"] or 0.0, (q["q3"] - q["q1"]) / 1.34
+    # a column without spread takes its value's size, or 1
+    return 0.9 * (min(sd, iqr) or sd or abs(mom["least"]) or 1.0) * mom["n"] ** -0.2
 
 
 def kde(df: DataFrame, value: str, n_points: int = 512, n_bins: int = 1024) -> DataFrame:
@@ -118,13 +125,14 @@ def kde(df: DataFrame, value: str, n_points: int = 512, n_bins: int = 1024) -> D
     As R's ``density`` does, rows are first linearly binned onto
     ``n_bins`` grid points (one aggregate, bounded output), then each bin
     spreads its weight onto the output points.  The work after the
-    aggregate is ``n_bins x n_points`` whatever the row count.
+    aggregate is ``n_bins x n_points`` whatever the row count.  A constant
+    column gives ``n_points`` equal points, an empty one none.
     """
     v = F.col(value).cast("double")
     data = df.where(F.col(value).isNotNull())
     # whole-column constants: one aggregate, a handful of numbers to the driver
     st = data.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = F.lit(float(st["lo"])), F.lit(float(st["hi"])), F.lit(float(st["n"]))
+    lo, hi, n = (F.lit(float(st[c] or 0.0)) for c in ("lo", "hi", "n"))
     bw = F.lit(nrd0_bandwidth(data, value))
     step = (hi - lo) / F.lit(float(n_bins - 1))
     pos = F.when(step > 0, (v - lo) / step).otherwise(F.lit(0.0))

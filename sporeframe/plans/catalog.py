@@ -283,7 +283,8 @@ MEDIAN_BIN_WIDTH = 0.25
 SELECT bin, round(0.0::DOUBLE + bin * {MEDIAN_BIN_WIDTH}::DOUBLE, 7) AS bin_lo,
        round(0.0::DOUBLE + (bin + 1) * {MEDIAN_BIN_WIDTH}::DOUBLE, 7) AS bin_hi,
        count(*) AS count
-FROM (SELECT CAST(ceil((median(TPM) - 0.0) / {MEDIAN_BIN_WIDTH}) - 1 AS BIGINT) AS bin FROM dist GROUP BY species_name)
+FROM (SELECT CAST(greatest(ceil(m / {MEDIAN_BIN_WIDTH}) - 1, floor(min(m) OVER () / {MEDIAN_BIN_WIDTH})) AS BIGINT) AS bin
+      FROM (SELECT median(TPM) AS m FROM dist GROUP BY species_name))
 GROUP BY bin""")
 def q_species_median_histogram(spark: SparkSession, sf: str) -> DataFrame:
     from sporeframe.operators.aggregates import histogram_width
@@ -548,9 +549,10 @@ def gene_table(spark: SparkSession, sf: str) -> DataFrame:
     labels = tb.read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("names_test"))
     expr = jn.membership_flag(expr, labels, "geneId", "names_test", "is_test")
     ends = fe.split_ends(tb.sequences(spark, sf))
-    five = rk.first_per_key(ends.select(F.col("gene_id").alias("geneId"), "five_prime_seq"), ["geneId"], ["five_prime_seq"])
-    three = rk.first_per_key(ends.select(F.col("gene_id").alias("geneId"), "three_prime_seq"), ["geneId"], ["three_prime_seq"])
-    return jn.inner_join_all([expr, five, three], "geneId")
+    # both ends come from one row, so one de-duplication serves both: the first row by the document's key
+    first = rk.first_per_key(ends.select(F.col("gene_id").alias("geneId"), F.col("gene_id").cast("long").alias("_row"),
+                                         "five_prime_seq", "three_prime_seq"), ["geneId"], ["_row", "five_prime_seq"])
+    return jn.inner_join_all([expr, first.drop("_row")], "geneId")
 
 
 @register("cross_species_genes", _with(tb.EXPRESSION_SQL, tb.sequences_sql(), f"""e AS (
@@ -607,8 +609,7 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets:
                        F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
     if kmer_sets:
-        reg = fe.feature_registry(genes).join(genes.select("gene_id", "y", "is_test"), "gene_id")
-        emb_set = reg.unionByName(emb_set)
+        emb_set = fe.feature_registry(genes, keep=("y", "is_test")).unionByName(emb_set)
     out = emb_set.withColumn("row_order", F.col("gene_id").cast("long"))
     if name_filter is not None:
         out = out.where(name_filter)
@@ -643,10 +644,11 @@ def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -
         F.col("n_chars").cast("double").alias("Expression"),
     )
     feats = fe.mpra_features(oligo, keep=("gene_id", "row_order", "Oligo Sequence"))
-    parts = [feats.select(F.lit(f"{k}-mer counts").alias("feature_set"), "gene_id", "row_order", "block", "y",
-                          sq.kmer_vector(F.col("`Oligo Sequence`"), k).alias("features")) for k in ks]
-    from sporeframe.operators.reshape import union_all_by_name
-    return reliable_checkpoint(union_all_by_name(parts))
+    # every k in one pass over the sequences
+    vecs = feats.select("gene_id", "row_order", "block", "y", *[sq.kmer_vector(F.col("`Oligo Sequence`"), k).alias(f"_k{k}") for k in ks])
+    sets = F.array(*[F.struct(F.lit(f"{k}-mer counts").alias("feature_set"), F.col(f"_k{k}").alias("features")) for k in ks])
+    e = vecs.select("gene_id", "row_order", "block", "y", F.explode(sets).alias("_s"))
+    return reliable_checkpoint(e.select("_s.feature_set", "gene_id", "row_order", "block", "y", "_s.features"))
 
 
 @register("mpra_group_kfold")

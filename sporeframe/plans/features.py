@@ -49,12 +49,13 @@ def split_ends(df: DataFrame, seq_col: str = "seq") -> DataFrame:
     )
 
 
-def feature_registry(df: DataFrame, id_col: str = "gene_id", ks: Sequence[int] = (3, 4, 5)) -> DataFrame:
+def feature_registry(df: DataFrame, id_col: str = "gene_id", ks: Sequence[int] = (3, 4, 5), keep: Sequence[str] = ()) -> DataFrame:
     """``(feature_set, id, features)`` for k-mer counts of each end and
     both ends side by side (U4).  One long table instead of a dict of
     matrices, so every feature set is a key of later grouped jobs.  Each
-    vector is computed once per row; the sets are exploded from them."""
-    vecs = df.select(id_col, *[sq.kmer_vector(f"{end}_prime_seq", k).alias(f"_{end}{k}")
+    vector is computed once per row; the sets are exploded from them, with
+    the ``keep`` columns carried along."""
+    vecs = df.select(id_col, *keep, *[sq.kmer_vector(f"{end}_prime_seq", k).alias(f"_{end}{k}")
                                for k in ks for end in ("five", "three")])
     sets = []
     for k in ks:
@@ -62,8 +63,8 @@ def feature_registry(df: DataFrame, id_col: str = "gene_id", ks: Sequence[int] =
         sets += [F.struct(F.lit(f"{k}-mer-fiveprime").alias("feature_set"), f.alias("features")),
                  F.struct(F.lit(f"{k}-mer-threeprime").alias("feature_set"), t.alias("features")),
                  F.struct(F.lit(f"{k}-mer-combined").alias("feature_set"), concat_features(f, t).alias("features"))]
-    e = vecs.select(id_col, F.explode(F.array(*sets)).alias("_s"))
-    return e.select(F.col("_s.feature_set").alias("feature_set"), id_col, F.col("_s.features").alias("features"))
+    e = vecs.select(id_col, *keep, F.explode(F.array(*sets)).alias("_s"))
+    return e.select(F.col("_s.feature_set").alias("feature_set"), id_col, F.col("_s.features").alias("features"), *keep)
 
 
 def mpra_features(df: DataFrame, seq_col: str = "Oligo Sequence", desc_col: str = "Description",

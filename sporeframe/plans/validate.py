@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from sporeframe.functions.clean import strip_pattern
 from sporeframe.functions.transform import log10p1
-from sporeframe.operators.joins import inner_join_all
 
 
 def pipeline_tpm(gtf: DataFrame, prefix: str = "^gene-SPOM_", replicate: str = "replicate") -> DataFrame:
@@ -52,14 +51,15 @@ def per_replicate_r(merged: DataFrame, replicate: str = "replicate") -> DataFram
 
 
 def three_way_r(merged: DataFrame, replicates: Sequence, replicate: str = "replicate") -> DataFrame:
-    """Genes in all listed replicates, merged R-style (J2), and r on the
-    plain-named columns - those of the LAST replicate (quirk Q6, the
-    reference's number) - next to the mean r over the replicates."""
-    parts = [merged.where(F.col(replicate) == r).drop(replicate) for r in replicates]
-    wide = inner_join_all(parts, "geneId", r_style=True)
-    per = [F.corr(F.col(f"`log_Pipeline_TPM{s}`"), F.col(f"`log_Published_TPM{s}`")) for s in (".x", ".y", "")]
+    """Genes in all listed replicates (J2) and r of the LAST replicate (quirk
+    Q6: the plain-named columns of the reference's merge, its number), next to
+    the mean r over the replicates."""
+    logs = ("log_Pipeline_TPM", "log_Published_TPM")
+    # one row per gene with each replicate's pair: the source is read once, for any number of replicates
+    pairs = [F.max(F.when(F.col(replicate) == r, F.struct(*logs))).alias(f"r{i}") for i, r in enumerate(replicates)]
+    wide = merged.where(F.col(replicate).isin(list(replicates))).groupBy("geneId").agg(*pairs)
+    wide = wide.dropna(how="any", subset=[f"r{i}" for i in range(len(replicates))])
+    per = [F.corr(*[F.col(f"r{i}.{c}") for c in logs]) for i in range(len(replicates))]
     return wide.agg(
-        F.count(F.lit(1)).alias("n_genes"),
-        F.corr("log_Pipeline_TPM", "log_Published_TPM").alias("pearson_r_last"),
-        ((per[0] + per[1] + per[2]) / 3).alias("pearson_r_mean"),
+        F.count(F.lit(1)).alias("n_genes"), per[-1].alias("pearson_r_last"), (sum(per[1:], per[0]) / len(per)).alias("pearson_r_mean")
     )

@@ -6,8 +6,12 @@ file a row came from is ``_metadata.file_path`` / ``_metadata.file_name``.
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -23,24 +27,52 @@ from sporeframe.functions.clean import lenient_double
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",", schema: str | T.StructType | None = None,
-                   encoding: str = "UTF-8", glob_filter: str | None = None, recursive: bool = False) -> DataFrame:
+                   encoding: str = "UTF-8", glob_filter: str | None = None, recursive: bool = False,
+                   source: str | None = None) -> DataFrame:
     """Header CSV / TSV, all columns STRING unless a schema is given.
 
+    Columns go by each file's own header line, whatever their order: files are
+    grouped by header, each layout is read with its own schema, and the
+    layouts are united by name (a column that a file lacks is NULL there).
+    With a schema its columns are returned, cast leniently.
     ``encoding="ISO-8859-1"`` reads legacy files (S4); ``glob_filter``
-    picks files by name (S8, e.g. ``"upstream*"``).
+    picks files by name (S8, e.g. ``"upstream*"``); ``source`` names a column
+    for each row's file path (S9).
     """
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE")
-    if glob_filter:
-        r = r.option("pathGlobFilter", glob_filter)
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
+    def reader():
+        r = spark.read.option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE")
+        if isinstance(path, str) and not recursive and not re.search(r"[*?\[{]", path) and not path.endswith((".csv", ".tsv", ".txt")):
+            r = r.option("basePath", path)  # a folder's partition columns stay
+        if glob_filter:
+            r = r.option("pathGlobFilter", glob_filter)
+        return r.option("recursiveFileLookup", True) if recursive else r
+
+    # the first line of every file, read as one column; only (header, file names) reach the driver
+    lines = reader().option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
+    lines = lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", "id").alias("line"))
+    layouts = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    parts = []
+    for layout in layouts:
+        names = next(csv.reader([layout["line"] or ""], delimiter=sep))
+        kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = reader().option("header", True).schema(kind).csv([unquote(f) for f in layout["files"]])
+        parts.append(part.withColumn(source, F.col("_metadata.file_path")) if source else part)
+    if not parts:
+        empty = schema if schema is not None else T.StructType()
+        return spark.createDataFrame([], empty)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        have = set(out.columns)
+        cols = [F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType) for f in wanted.fields]
+        out = out.select(*[c.alias(f.name) for c, f in zip(cols, wanted.fields)], *([source] if source else []))
+    return out
 
 
 def with_source(df: DataFrame, name: str = "source_file", full_path: bool = False) -> DataFrame:
-    """Tag rows with the file they came from (S9, S14 ``assign(name, df)``)."""
+    """Tag rows of a plain file read with the file they came from (S9, S14 ``assign(name, df)``); a
+    ``read_delimited`` over several layouts takes ``source=`` instead."""
     field = "_metadata.file_path" if full_path else "_metadata.file_name"
     return df.withColumn(name, F.col(field))
 
@@ -54,8 +86,8 @@ def file_stem(col: Column | str, suffix_pattern: str = r"\.[^.]*$") -> Column:
 def read_taxon_folders(spark: SparkSession, base: str, columns: Sequence[str] = ("geneId", "TPM")) -> DataFrame:
     """Every ``<base>/<taxon>/*.tsv`` with an all-digit folder name, all
     strings, the wanted columns plus ``taxon`` from the folder name."""
-    df = read_delimited(spark, f"{base.rstrip('/')}/*/*.tsv", sep="\t")
-    taxon = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    df = read_delimited(spark, f"{base.rstrip('/')}/*/*.tsv", sep="\t", source="_file")
+    taxon = F.regexp_extract(F.col("_file"), r"/([^/]+)/[^/]+$", 1)
     return df.select(*columns, taxon.alias("taxon")).where(F.col("taxon").rlike("^[0-9]+$"))
 
 
@@ -64,16 +96,19 @@ def read_parquet_tree(spark: SparkSession, base: str, name_glob: str) -> DataFra
     ``name_glob`` (e.g. ``"*five_prime.parquet"``).  Partition discovery is
     off with recursive lookup, so species comes from the file name."""
     return (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).parquet(base)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).option("mergeSchema", True).parquet(base)
         .withColumn("source_file", F.col("_metadata.file_name"))
     )
 
 
 def normalise_gene_key(df: DataFrame) -> DataFrame:
-    """Quirk Q4: some sequence files call the key ``geneId``; use ``gene_id``."""
-    if "gene_id" not in df.columns and "geneId" in df.columns:
+    """Quirk Q4: some sequence files call the key ``geneId``; use ``gene_id``
+    (row by row where the files of one read differ)."""
+    if "geneId" not in df.columns:
+        return df
+    if "gene_id" not in df.columns:
         return df.withColumnRenamed("geneId", "gene_id")
-    return df
+    return df.withColumn("gene_id", F.coalesce("gene_id", "geneId")).drop("geneId")
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite",

@@ -23,8 +23,11 @@ RAW_SCHEMA = "geneId string, TPM string"
 
 
 def read_expression_stream(spark: SparkSession, base: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """``<base>/<taxon>/*.tsv`` as a stream of ``(geneId, TPM text, taxon)``."""
-    df = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("sep", "\t")
+    """``<base>/<taxon>/*.tsv`` as a stream of ``(geneId, TPM text, taxon)``.
+
+    A stream has one fixed layout: a file whose header line differs from
+    ``geneId, TPM`` fails the query instead of being read by position."""
+    df = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("sep", "\t").option("enforceSchema", False)
           .option("maxFilesPerTrigger", max_files_per_trigger).csv(f"{base.rstrip('/')}/*/"))
     taxon = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
     return df.select("geneId", "TPM", taxon.alias("taxon")).where(F.col("taxon").rlike("^[0-9]+$"))

@@ -150,7 +150,7 @@ def test_transforms(spark):
 
 def test_leave_one_out_vocabulary(spark):
     got = one(spark, sq.kmer_vector("x", 2, leave_one_out=True), [("AATTT",)])[0]
-    assert len(got) == 15 and got[0] == 1.0 and got[3] == 1.0 and sum(got) == 2.0  # AA, AT counted; TT skipped
+    assert len(got) == 16 and got[0] == 1.0 and got[3] == 1.0 and sum(got) == 2.0  # AA, AT counted; TT skipped
 
 
 def test_user_aggregate_matches_builtin_rsd(spark):

@@ -74,3 +74,22 @@ def test_per_species_writes_and_skipped(spark, tmp_path):
     wanted = spark.createDataFrame([("sp a",), ("sp b",), ("sp c",)], "species string")
     skipped = {r["species"]: r["reason"] for r in fl.skipped_report(wanted, df, "species", "TPM").collect()}
     assert skipped == {"sp b": "no TPM", "sp c": "no data"}
+
+
+def test_columns_go_by_each_files_header(spark, tmp_path):
+    base = tmp_path / "fungi"
+    _write(str(base / "1" / "a.tsv"), "geneId\tTPM\ng1\t1.5\n")
+    _write(str(base / "2" / "b b.tsv"), "TPM\tlen\tgeneId\n2.5\t9\tg2\n")
+    _write(str(base / "3" / "empty.tsv"), "TPM\tgeneId\n")
+    rows = sorted(tuple(r) for r in fl.read_taxon_folders(spark, str(base)).collect())
+    assert rows == [("g1", "1.5", "1"), ("g2", "2.5", "2")]
+    typed = fl.read_delimited(spark, f"{base}/*/*.tsv", sep="\t", schema="geneId string, TPM double, len int", source="file")
+    got = sorted((r["geneId"], r["TPM"], r["len"], r["file"].rsplit("/", 1)[1]) for r in typed.collect())
+    assert got == [("g1", 1.5, None, "a.tsv"), ("g2", 2.5, 9, "b%20b.tsv")]
+
+
+def test_both_spellings_of_the_gene_key(spark, tmp_path):
+    for name, key in (("a", "gene_id"), ("b", "geneId")):
+        pd.DataFrame({key: [f"g{name}"], "five_prime_seq": ["ACGT"]}).to_parquet(tmp_path / f"{name}_five_prime.parquet")
+    df = fl.normalise_gene_key(fl.read_parquet_tree(spark, str(tmp_path), "*five_prime.parquet"))
+    assert sorted(r[0] for r in df.select("gene_id").collect()) == ["ga", "gb"] and "geneId" not in df.columns
