@@ -91,6 +91,17 @@ class ProjectionEncoder:
         return np.stack(states)
 
 
+class SineEncoder:
+    """Encoder given by one rule: ``hidden[l, b, t, j] = sin((id + 1) (j + 1) / 100 + l)``."""
+
+    def __init__(self, hidden: int, layers: int):
+        self.hidden, self.layers = hidden, layers
+
+    def __call__(self, input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
+        angle = (input_ids[..., None] + 1) * (np.arange(self.hidden) + 1) * 0.01
+        return np.stack([np.sin(angle + layer) for layer in range(self.layers + 1)])
+
+
 def token_mean_column(tokens: Column | str) -> Column:
     """F32 on an ``ARRAY<ARRAY<FLOAT>>`` column: element-wise mean of the
     token vectors, for hidden states already stored as rows."""

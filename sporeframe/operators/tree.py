@@ -2,8 +2,10 @@
 
 The reference asks a local taxonomy database for the topology of a taxon
 list; here the taxonomy is an edge DataFrame ``(child, parent)`` and every
-step is a join / aggregate.  Depth loops run one small job per tree level
-(taxonomies are tens of levels deep), never per node.
+step is a join / aggregate.  Ancestors, new parents and depths come from
+pointer doubling: jumps of 1, 2, 4, ... levels, so the number of rounds is the
+logarithm of the depth and there is no limit on depth or width.  Only the text
+of T3, whose sorting needs its children's texts, is built level by level.
 """
 
 from __future__ import annotations
@@ -13,23 +15,63 @@ from pyspark.sql import functions as F
 
 from sporeframe.session import reliable_checkpoint
 
-MAX_DEPTH = 100
+MAX_ROUNDS = 40  # 2^40 levels: more can only be a cycle
+LEVELS_PER_PLAN = 8
 
 
-def ancestor_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, ancestor, dist)`` for every node in ``nodes`` (column
-    ``node``) and each of its ancestors (dist 0 = itself): one recursive
-    CTE, which Spark runs level by level (at most ``MAX_DEPTH`` levels)."""
-    spark = edges.sparkSession
-    e = edges.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))
-    n = nodes.select(F.col("node").cast("string").alias("node"))
-    return spark.sql(
-        """WITH RECURSIVE anc(node, ancestor, dist) AS (
-             SELECT node, node, 0 FROM {n}
-             UNION ALL
-             SELECT a.node, e.parent, a.dist + 1 FROM anc a JOIN {e} e ON a.ancestor = e.child
-             WHERE e.parent IS NOT NULL AND a.dist < {depth})
-           SELECT node, ancestor, dist FROM anc""", n=n, e=e, depth=MAX_DEPTH)
+def _pointers(edges: DataFrame) -> DataFrame:
+    """``(node, up)`` of every node with a parent."""
+    up = edges.where(F.col("parent").isNotNull()).select(
+        F.col("child").cast("string").alias("node"), F.col("parent").cast("string").alias("up"))
+    return reliable_checkpoint(up.distinct())
+
+
+def _rounds():
+    yield from range(MAX_ROUNDS)
+    raise ValueError("the parent-child table has a cycle")
+
+
+def with_ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``: the given nodes and all their ancestors, each once."""
+    up = _pointers(edges)
+    seen = nodes.select(F.col("node").cast("string").alias("node")).distinct()
+    for _ in _rounds():
+        seen = reliable_checkpoint(seen.union(seen.join(up, "node").select("up")).distinct())
+        far = up.join(up.toDF("via", "far"), F.col("up") == F.col("via")).select("node", F.col("far").alias("up"))
+        up = reliable_checkpoint(far)
+        if up.isEmpty():
+            return seen
+
+
+def node_depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, depth)``: levels from each node to its root (0 for a root)."""
+    up = _pointers(edges)
+    state = nodes.select(F.col("node").cast("string").alias("node")).distinct().join(up, "node", "left").select(
+        "node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
+    for _ in _rounds():
+        state = reliable_checkpoint(state)
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("node", "depth")
+        via = state.toDF("via", "far", "more")
+        state = state.join(via, F.col("up") == F.col("via"), "left").select(
+            "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+
+
+def nearest_kept(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(node, parent)``: each kept node's nearest proper ancestor among the kept ones, NULL if it has none."""
+    flag = kept.select(F.col("node").alias("_kept"), F.lit(True).alias("_is"))
+    up = _pointers(edges)
+    nodes = up.select("node").union(up.select("up")).union(kept.select("node")).distinct()
+    state = nodes.join(up, "node", "left").join(flag, F.col("up") == F.col("_kept"), "left").select(
+        "node", "up", (F.col("up").isNull() | F.col("_is").isNotNull()).alias("done"))
+    for _ in _rounds():
+        state = reliable_checkpoint(state)
+        if state.where("NOT done").isEmpty():
+            return kept.select("node").join(state, "node").select("node", F.col("up").alias("parent"))
+        via = state.toDF("via", "far", "ends")
+        state = state.join(via, F.col("up") == F.col("via"), "left").select(
+            "node", F.when(F.col("done"), F.col("up")).otherwise(F.col("far")).alias("up"),
+            (F.col("done") | F.coalesce("ends", F.lit(True))).alias("done"))
 
 
 def induced_subtree(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -37,23 +79,18 @@ def induced_subtree(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     non-chosen node with a single child removed (its child moves up), and the
     chain above the lowest common ancestor dropped.  Returns ``(child,
     parent)`` edges of the kept nodes; the root has parent NULL."""
-    chosen = chosen.select(F.col("node")).distinct()
-    clos = ancestor_closure(edges, chosen)
-    members = clos.select(F.col("ancestor").alias("node")).distinct()
+    chosen = chosen.select(F.col("node").cast("string").alias("node")).distinct()
+    members = with_ancestors(edges, chosen)
     # children of each member inside the induced tree
-    e = edges.join(members.withColumnRenamed("node", "child"), "child").join(
-        members.withColumnRenamed("node", "parent"), "parent")
+    e = edges.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))
+    e = e.join(members.withColumnRenamed("node", "child"), "child").join(members.withColumnRenamed("node", "parent"), "parent")
     fan = e.groupBy("parent").agg(F.countDistinct("child").alias("_kids"))
     kept = (members.join(fan.withColumnRenamed("parent", "node"), "node", "left")
             .join(chosen.withColumn("_chosen", F.lit(True)), "node", "left")
             .where(F.col("_chosen").isNotNull() | (F.coalesce("_kids", F.lit(0)) >= 2))
             .select("node"))
-    # nearest kept proper ancestor = new parent
-    all_clos = ancestor_closure(edges, kept)
-    up = all_clos.where(F.col("dist") >= 1).join(kept.withColumnRenamed("node", "ancestor"), "ancestor")
-    parent = up.groupBy("node").agg(F.min_by("ancestor", "dist").alias("parent"))
     # the topology (one row per kept node) is read by every later step
-    return reliable_checkpoint(kept.join(parent, "node", "left").select(F.col("node").alias("child"), "parent"))
+    return reliable_checkpoint(nearest_kept(e, kept).select(F.col("node").alias("child"), "parent"))
 
 
 def name_nodes(tree: DataFrame, names: DataFrame) -> DataFrame:
@@ -65,15 +102,14 @@ def name_nodes(tree: DataFrame, names: DataFrame) -> DataFrame:
 def newick(tree: DataFrame, branch_length: str | None = "1") -> DataFrame:
     """One-row Newick string of a named tree ``(child, parent, name)``.
 
-    Built bottom-up one level at a time: a node's text is its children's
-    texts, sorted and comma-joined in parentheses, then its name; leaves are
-    their names.  ``branch_length`` is written after every non-root node
+    Built bottom-up one level at a time, with a checkpoint every few levels: a
+    node's text is its children's texts, sorted and comma-joined in
+    parentheses, then its name; leaves are their names.  The result is one
+    string, so the tree must fit in one row (2 GB).  ``branch_length`` is written after every non-root node
     (ete3's format 1 writes the default length 1).
     """
     suffix = F.lit(f":{branch_length}") if branch_length else F.lit("")
-    depth_tbl = ancestor_closure(tree.where(F.col("parent").isNotNull()),
-                                 tree.select(F.col("child").alias("node"))).groupBy("node").agg(
-        F.max("dist").alias("depth"))
+    depth_tbl = node_depths(tree, tree.select(F.col("child").alias("node")))
     t = reliable_checkpoint(tree.join(depth_tbl.withColumnRenamed("node", "child"), "child"))
     max_depth = t.agg(F.max("depth")).first()[0] or 0
     label = F.regexp_replace(F.coalesce(F.col("name"), F.col("child").cast("string")), "[(),:;]", "_")
@@ -90,4 +126,6 @@ def newick(tree: DataFrame, branch_length: str | None = "1") -> DataFrame:
         own = F.when(F.col("kids").isNull(), F.col("label")).otherwise(F.concat(F.lit("("), "kids", F.lit(")"), "label"))
         done = level.select("child", "parent", F.when(F.col("parent").isNull(), own)
                             .otherwise(F.concat(own, suffix)).alias("txt"))
+        if d and (max_depth - d) % LEVELS_PER_PLAN == LEVELS_PER_PLAN - 1:
+            done = reliable_checkpoint(done)
     return done.where(F.col("parent").isNull()).select(F.concat("txt", F.lit(";")).alias("newick"))

@@ -573,6 +573,90 @@ def q_cross_species_genes(spark: SparkSession, sf: str) -> DataFrame:
 # ridge jobs (M1, M3-M9, M13): no SQL form; checked against numpy in tests
 # ---------------------------------------------------------------------------
 
+def _ridge2_sql(keys: str, n_folds: int, pick: str, alphas: Sequence[float] = (10.0, 100.0, 1000.0)) -> list[str]:
+    """CTEs of a two-feature ridge in closed form over ``cells(keys, cell, x1, x2, y)`` (cell 0: test rows): the
+    same choice of alpha, scaling and refit as the wide jobs.  Ends in ``model(keys, alpha, b0, b1, b2, cv_score,
+    n_train, n_test, r2, pr2)``."""
+    sums = ("count(*)", "sum(x1)", "sum(x2)", "sum(y)", "sum(x1*x1)", "sum(x1*x2)", "sum(x2*x2)", "sum(x1*y)", "sum(x2*y)", "sum(y*y)")
+    names = ("n", "x1", "x2", "y", "x11", "x12", "x22", "x1y", "x2y", "yy")
+    cols = ", ".join(f"CAST({s} AS DOUBLE) AS {c}" for s, c in zip(sums, names))
+    less = ", ".join(f"t.{c} - CASE WHEN e.cell > 0 THEN e.{c} ELSE 0 END AS f{c}, e.{c} AS e{c}" for c in names)
+
+    def cov(p: str, a: str, b: str, ab: str) -> str:
+        return f"({p}{ab} - {p}{a} * {p}{b} / {p}n)"
+
+    return [
+        f"stat AS (SELECT {keys}, cell, {cols} FROM cells GROUP BY {keys}, cell)",
+        f"tot AS (SELECT {keys}, {', '.join(f'sum({c}) AS {c}' for c in names)} FROM stat WHERE cell > 0 GROUP BY {keys})",
+        f"scale AS (SELECT {keys}, sqrt({cov('', 'x1', 'x1', 'x11')} / n) AS s1, sqrt({cov('', 'x2', 'x2', 'x22')} / n) AS s2 FROM tot)",
+        f"fit AS (SELECT e.cell, t.n AS n_train, {less}, {keys} FROM stat e JOIN tot t USING ({keys}))",
+        f"""solved AS (SELECT *, (a22 * g1 - a12 * g2) / (a11 * a22 - a12 * a12) / s1 AS b1, (a11 * g2 - a12 * g1) / (a11 * a22 - a12 * a12) / s2 AS b2
+          FROM (SELECT *, {cov('f', 'x1', 'x1', 'x11')} / (s1 * s1) + alpha AS a11, {cov('f', 'x1', 'x2', 'x12')} / (s1 * s2) AS a12,
+                       {cov('f', 'x2', 'x2', 'x22')} / (s2 * s2) + alpha AS a22, {cov('f', 'x1', 'y', 'x1y')} / s1 AS g1,
+                       {cov('f', 'x2', 'y', 'x2y')} / s2 AS g2
+                FROM fit JOIN scale USING ({keys}), (SELECT unnest([{', '.join(str(a) for a in alphas)}]::DOUBLE[]) AS alpha)))""",
+        f"""lines AS (SELECT *, fy / fn - b1 * fx1 / fn - b2 * fx2 / fn AS b0,
+                 b1 * b1 * {cov('e', 'x1', 'x1', 'x11')} + 2 * b1 * b2 * {cov('e', 'x1', 'x2', 'x12')} + b2 * b2 * {cov('e', 'x2', 'x2', 'x22')} AS vp,
+                 b1 * {cov('e', 'x1', 'y', 'x1y')} + b2 * {cov('e', 'x2', 'y', 'x2y')} AS cp, {cov('e', 'y', 'y', 'yy')} AS vy FROM solved)""",
+        f"""scored AS (SELECT *, 1 - (vy - 2 * cp + vp + en * power(ey / en - b0 - b1 * ex1 / en - b2 * ex2 / en, 2)) / vy AS r2,
+                 cp * cp / (vy * vp) AS pr2 FROM lines)""",
+        f"cv AS (SELECT {keys}, alpha, avg({pick}) AS cv_score FROM scored WHERE cell BETWEEN 1 AND {n_folds} GROUP BY {keys}, alpha)",
+        f"best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY cv_score DESC, alpha) = 1)",
+        f"""model AS (SELECT {keys}, alpha, b0, b1, b2, cv_score, n_train, en AS n_test, r2, pr2
+          FROM scored JOIN best USING ({keys}, alpha) WHERE cell = 0)""",
+    ]
+
+
+def two_features(df: DataFrame) -> DataFrame:
+    """The first two features of each row: models whose algebra SQL can repeat."""
+    return df.withColumn("features", F.slice("features", 1, 2))
+
+
+_SPECIES2_SQL = ("""ri AS (
+  SELECT 'upstream' AS "end", 'sp' || CAST(label AS VARCHAR) AS species, CAST(vec_id AS VARCHAR) AS gene_id, CAST(embedding[1] AS DOUBLE) AS x1,
+         CAST(embedding[2] AS DOUBLE) AS x2, label + 20.0 * CAST(embedding[1] AS DOUBLE) AS y FROM embeddings
+  UNION ALL SELECT 'downstream', 'sp' || CAST(label AS VARCHAR), CAST(vec_id AS VARCHAR), CAST(embedding[len(embedding) // 2 + 1] AS DOUBLE),
+         CAST(embedding[len(embedding) // 2 + 2] AS DOUBLE), label + 20.0 * CAST(embedding[1] AS DOUBLE) FROM embeddings)""", """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY "end", species ORDER BY md5(concat('42:', gene_id)), gene_id)
+              <= ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY "end", species)) AS is_test,
+         row_number() OVER (PARTITION BY "end", species ORDER BY md5(concat('42:', gene_id)), gene_id) AS rn FROM ri)""", """cells AS (
+  SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(5) OVER (PARTITION BY "end", species, is_test ORDER BY rn) END AS cell FROM ranked)""",
+                 *_ridge2_sql('"end", species', 5, "r2"))
+
+
+@register("species_ridge_two_features", _with(*_SPECIES2_SQL) + """
+SELECT "end", species, alpha, round(cv_score, 7) AS cv_score, n_train, n_test, round(r2, 7) AS "R2" FROM model""")
+def q_species_ridge_two(spark: SparkSession, sf: str) -> DataFrame:
+    models, _ = md.species_ridge(two_features(tb.ridge_input(spark, sf)))
+    return rnd(models.select("end", "species", "alpha", "cv_score", "n_train", "n_test", F.col("test_r2").alias("R2")))
+
+
+@register("species_predictions_two_features", _with(*_SPECIES2_SQL) + """
+SELECT "end", species, gene_id, round(y, 7) AS "True_Value", round(b0 + b1 * x1 + b2 * x2, 7) AS "Predicted_Value"
+FROM cells JOIN model USING ("end", species) WHERE cell = 0""")
+def q_species_predictions_two(spark: SparkSession, sf: str) -> DataFrame:
+    _, preds = md.species_ridge(two_features(tb.ridge_input(spark, sf)))
+    return rnd(preds)
+
+
+@register("prediction_r2_two_features", _with(*_SPECIES2_SQL) + """
+SELECT "end", species, round(1 - sum(power(y - b0 - b1 * x1 - b2 * x2, 2)) / (count(*) * var_pop(y)), 7) AS "R2"
+FROM cells JOIN model USING ("end", species) WHERE cell = 0 GROUP BY "end", species""")
+def q_prediction_r2_two(spark: SparkSession, sf: str) -> DataFrame:
+    """A18 from the predictions table (M5)."""
+    _, preds = md.species_ridge(two_features(tb.ridge_input(spark, sf)))
+    return rnd(md.r2_from_predictions(preds, ["end", "species"]))
+
+
+@register("r2_trend_two_features", _with(*_SPECIES2_SQL) + """
+SELECT "end", round(regr_slope(r2, x), 7) AS slope, round(regr_intercept(r2, x), 7) AS intercept
+FROM (SELECT "end", r2, row_number() OVER (PARTITION BY "end" ORDER BY species) - 1 AS x FROM model) GROUP BY "end" """)
+def q_r2_trend_two(spark: SparkSession, sf: str) -> DataFrame:
+    """M13 for both ends."""
+    models, _ = md.species_ridge(two_features(tb.ridge_input(spark, sf)))
+    return rnd(md.r2_trend(models.select("end", "species", F.col("test_r2").alias("R2")), group_cols=("end",)).select("end", "slope", "intercept"))
+
+
 @register("species_ridge_r2")
 def q_species_ridge_r2(spark: SparkSession, sf: str) -> DataFrame:
     models, _ = md.species_ridge(tb.ridge_input(spark, sf))
@@ -589,8 +673,7 @@ def q_species_ridge_predictions(spark: SparkSession, sf: str) -> DataFrame:
 @register("r2_trend")
 def q_r2_trend(spark: SparkSession, sf: str) -> DataFrame:
     models, _ = md.species_ridge(tb.ridge_input(spark, sf))
-    up = models.where(F.col("end") == "upstream").select("species", F.col("test_r2").alias("R2"))
-    return rnd(md.r2_trend(up))
+    return rnd(md.r2_trend(models.select("end", "species", F.col("test_r2").alias("R2")), group_cols=("end",)))
 
 
 def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets: bool = True) -> DataFrame:
@@ -617,6 +700,54 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets:
     return reliable_checkpoint(out)
 
 
+def two_feature_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 input with two features a set: sequence shape (length in thousands, GC), and the first two embedding values."""
+    genes = gene_table(spark, sf).select(F.col("geneId").alias("gene_id"), F.col("geneId").cast("long").alias("row_order"), F.col("boxcox_tpm").alias("y"),
+                                         "is_test", F.concat("five_prime_seq", "three_prime_seq").alias("seq"))
+    shape = genes.where(F.length("seq") > 0).select(F.lit("shape").alias("feature_set"), "gene_id", "row_order", "y", "is_test",
+                                                    F.array(F.length("seq") / 1000.0, sq.gc_fraction("seq")).alias("features"))
+    docs = tb.read_table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"), F.lit(1).alias("_g"))
+    emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
+    z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False).where(F.col("embedding").isNotNull())
+    vec = z.select("gene_id", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("features"))
+    near = genes.join(vec, "gene_id").select(F.lit("embedding").alias("feature_set"), "gene_id", "row_order", "y", "is_test", "features")
+    return reliable_checkpoint(shape.unionByName(near))
+
+
+_SETS2_SQL = (tb.EXPRESSION_SQL, tb.sequences_sql(), f"""e AS (
+  SELECT geneId, median(bc) AS y FROM (
+    SELECT geneId, CASE WHEN TPM > 0 THEN (power(TPM, 0.22) - 1) / 0.22 END AS bc FROM samples) WHERE bc >= {MIN_BOXCOX} GROUP BY geneId)""",
+              """g AS (SELECT s.gene_id, CAST(s.gene_id AS BIGINT) AS row_order, e.y, s.seq,
+         s.gene_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AS is_test FROM e JOIN seqs s ON e.geneId = s.gene_id)""",
+              """zip AS (SELECT CAST(d.doc_id AS VARCHAR) AS gene_id, v.embedding FROM
+    (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents) d
+    JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings) v ON d.k = v.k)""",
+              """sets AS (
+  SELECT 'shape' AS feature_set, gene_id, row_order, y, is_test, length(seq) / 1000.0::DOUBLE AS x1,
+         (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq) AS x2 FROM g WHERE length(seq) > 0
+  UNION ALL SELECT 'embedding', g.gene_id, row_order, y, is_test, CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)
+  FROM g JOIN zip ON g.gene_id = zip.gene_id)""",
+              """cells AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(5) OVER (PARTITION BY feature_set, is_test ORDER BY row_order, gene_id) END AS cell
+         FROM sets)""", *_ridge2_sql("feature_set", 5, "r2"))
+
+
+@register("feature_set_ridge_two_features", _with(*_SETS2_SQL) + """
+SELECT feature_set AS model, round(pr2, 7) AS r2, alpha FROM model""")
+def q_feature_set_ridge_two(spark: SparkSession, sf: str) -> DataFrame:
+    metrics, _ = md.feature_set_ridge(two_feature_sets(spark, sf))
+    return rnd(metrics)
+
+
+@register("feature_set_predictions_two_features", _with(*_SETS2_SQL) + """
+SELECT feature_set AS model, gene_id, round(b0 + b1 * x1 + b2 * x2, 7) AS y_pred, round(y, 7) AS y_true
+FROM cells JOIN model USING (feature_set) WHERE cell = 0""")
+def q_feature_set_predictions_two(spark: SparkSession, sf: str) -> DataFrame:
+    """M7's predictions table."""
+    data = two_feature_sets(spark, sf)
+    _, models = md.feature_set_ridge(data)
+    return rnd(md.feature_set_predictions(data, models))
+
+
 @register("feature_set_ridge_metrics")
 def q_feature_set_ridge(spark: SparkSession, sf: str) -> DataFrame:
     metrics, _ = md.feature_set_ridge(feature_set_input(spark, sf))
@@ -910,6 +1041,20 @@ def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+@register("rule_embeddings", _TOKEN_SQL.replace("AS s FROM seqs)", "AS s FROM seqs WHERE length(seq) >= 300)", 1) + """,
+padded AS (SELECT gene_id, body || list_transform(range(0, 512 - len(body)), lambda i: 0) AS ids FROM ids),
+dims AS (SELECT unnest(range(0, 8)) AS dim)
+SELECT gene_id, CAST(dim AS INTEGER) AS dim,
+       round((list_sum(list_transform(ids, lambda t: sin((t + 1) * (dim + 1) * 0.01 + 2))) / 512
+            + list_sum(list_transform(ids, lambda t: sin((t + 1) * (dim + 1) * 0.01 + 3))) / 512) / 2, 4) AS value
+FROM padded, dims""")
+def q_rule_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M12, F31, F32 with an encoder that SQL can repeat: the whole pooled vector, one row per value."""
+    t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s")).where(F.length("s") == 300)
+    emb = pl.embed(fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512), ["gene_id"], pl.SineEncoder(8, 3), target_layer=(2,))
+    return emb.select("gene_id", F.posexplode("embedding").alias("dim", "value")).select("gene_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 @register("sequence_embeddings")
 def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))

@@ -55,6 +55,12 @@ def feature_set_ridge(data: DataFrame, id_col: str = "gene_id", order_col: str =
     return metrics, models
 
 
+def feature_set_predictions(data: DataFrame, models: DataFrame, id_col: str = "gene_id") -> DataFrame:
+    """M7's predictions table ``(model, id, y_pred, y_true)`` of the test genes."""
+    preds = predict(data.where(F.col("is_test") & F.col("y").isNotNull()), models, ["feature_set"], "features", "y_pred")
+    return preds.select(F.col("feature_set").alias("model"), id_col, "y_pred", F.col("y").alias("y_true"))
+
+
 def group_kfold_ridge(data: DataFrame, block: str = "block", id_col: str = "gene_id", order_col: str = "row_order",
                       outer: int = 10, inner: int = 3, alphas: Sequence[float] = REFERENCE_ALPHAS) -> DataFrame:
     """M8: ``outer`` group folds (W7); for each, a ridge with ``inner``-fold
@@ -102,8 +108,8 @@ def bootstrap_spread(boot: DataFrame) -> DataFrame:
             .agg((F.lit(2.0) * F.stddev_samp("pearson_r2")).alias("r2")).orderBy("r2"))
 
 
-def r2_trend(r2: DataFrame, order_cols: Sequence[str] = ("species",)) -> DataFrame:
-    """Index species in order (W3) and fit a straight line R2 ~ index."""
-    numbered = group_row_number(r2.withColumn("_all", F.lit(1)), ["_all"], list(order_cols), "_pos")
+def r2_trend(r2: DataFrame, order_cols: Sequence[str] = ("species",), group_cols: Sequence[str] = ()) -> DataFrame:
+    """Index species in order (W3) and fit a straight line R2 ~ index (A19), per group (such as the end)."""
+    numbered = group_row_number(r2.withColumn("_all", F.lit(1)), ["_all", *group_cols], list(order_cols), "_pos")
     x = (F.col("_pos") - 1).cast("double")
-    return numbered.select(x.alias("x"), F.col("R2").alias("y")).agg(*line_fit("y", "x"))
+    return numbered.select(*group_cols, x.alias("x"), F.col("R2").alias("y")).groupBy(*group_cols).agg(*line_fit("y", "x"))

@@ -17,3 +17,25 @@ def test_induced_subtree_contracts_single_child_nodes(spark):
     names = spark.createDataFrame([(n, n.upper()) for n in ["k", "p1", "s1", "s2", "s3"]], "node string, name string")
     nwk = tr.newick(tr.name_nodes(tr.induced_subtree(edges, chosen), names)).first()[0]
     assert nwk == "((S1:1,S2:1)P1:1,S3:1)K;"
+
+
+def test_a_deep_chain_and_a_wide_tree(spark):
+    depth = 150
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(depth)] + [("leaf", "n149"), ("twig", "n75")]
+    edges = spark.createDataFrame(chain, "child string, parent string")
+    tree = tr.induced_subtree(edges, spark.createDataFrame([("leaf",), ("twig",), ("n149",)], "node string"))
+    assert {(r["child"], r["parent"]) for r in tree.collect()} == {("leaf", "n149"), ("twig", "n75"), ("n149", "n75"), ("n75", None)}
+    names = edges.select(F.col("child").alias("node"), F.col("child").alias("name"))
+    whole = tr.newick(tr.name_nodes(edges, names)).first()["newick"]
+    assert whole.count("(") == depth and whole.endswith("n0;")
+    wide = spark.range(1_100_000).select(F.concat(F.lit("c"), "id").alias("child"), F.lit("root").alias("parent"))
+    assert tr.with_ancestors(wide, wide.select(F.col("child").alias("node"))).count() == 1_100_001
+
+
+def test_a_cycle_is_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(tr, "MAX_ROUNDS", 3)
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
+    with pytest.raises(ValueError, match="cycle"):
+        tr.with_ancestors(loop, loop.select(F.col("child").alias("node")))
