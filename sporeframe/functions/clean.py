@@ -52,7 +52,7 @@ def species_from_filename(path: ColumnOrName, lower: bool = True, check: bool =
         name = F.lower(name)
     if check:
         name = F.when(F.size(parts) >= 2, name).otherwise(
-            F.raise_error(F.concat(F.lit("Unexpected filename format: "), base))
+            F.raise_error(F.concat(F.lit("cannot read a species from the file name "), base))
         )
     return name
 
@@ -65,7 +65,7 @@ def species_from_result_file(path: ColumnOrName, check: bool = True) -> Column:
     name = F.lower(F.array_join(F.slice(parts, -2, 2), "_"))
     if check:
         name = F.when(F.size(parts) <= 4, name).otherwise(
-            F.raise_error(F.concat(F.lit("Unexpected filename format: "), base))
+            F.raise_error(F.concat(F.lit("cannot read a species from the file name "), base))
         )
     return name
 

@@ -223,10 +223,12 @@ def kmer_vocabulary(k: int = 6, specials: tuple[str, ...] = SPECIAL_TOKENS, extr
 
 
 def token_ids(tokens: ColumnOrName, vocab: dict[str, int] | None = None, max_len: int = 512, k: int = 6,
-              cls: str = "[CLS]", sep: str = "[SEP]", pad: str = "[PAD]", unk: str = "[UNK]") -> Column:
+              cls: str = "[CLS]", sep: str = "[SEP]", pad: str = "[PAD]", unk: str = "[UNK]", lead: Column | None = None) -> Column:
     """Struct ``(input_ids, attention_mask)`` (F25): ``[CLS]`` + the first
     ``max_len - 2`` token ids + ``[SEP]``, padded with ``[PAD]`` to
-    ``max_len``; unknown tokens map to ``[UNK]``.
+    ``max_len``; unknown tokens map to ``[UNK]``.  ``lead`` is an id that goes
+    before the tokens (the species token's, from a joined table) and counts
+    as one of them.
 
     With ``vocab=None`` the vocabulary is ``kmer_vocabulary(k)`` and an id is
     computed (specials + base-4 index), O(1) per token.  A caller-supplied
@@ -247,7 +249,9 @@ def token_ids(tokens: ColumnOrName, vocab: dict[str, int] | None = None, max_len
         def lookup(t: Column) -> Column:
             return F.coalesce(F.element_at(vmap, t), F.lit(vocab[unk]))
 
-    body = F.transform(F.slice(_c(tokens), 1, max_len - 2), lookup)
+    body = F.transform(F.slice(_c(tokens), 1, max_len - 2 - (lead is not None)), lookup)
+    if lead is not None:
+        body = F.concat(F.array(lead.cast("int")), body)
     ids = F.concat(F.array(F.lit(ids_of[cls])), body, F.array(F.lit(ids_of[sep])))
     n_pad = F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))
     padded = F.concat(ids, F.array_repeat(F.lit(ids_of[pad]), n_pad))

@@ -455,8 +455,9 @@ def q_sequence_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return t.where(F.length("s") == 300).select("gene_id", sq.species_sentence("source", "s", 6).alias("sentence"))
 
 
-_TOKEN_SQL = _with(tb.sequences_sql(), """t AS (SELECT gene_id, substr(seq, 1, 300) AS s FROM seqs)""", f"""ids AS (
-  SELECT gene_id, [2, 1] || list_transform(
+_TOKEN_SQL = _with(tb.sequences_sql(), """t AS (SELECT gene_id, substr(seq, 1, 300) AS s,
+         CAST(5 + 4096 - 1 + dense_rank() OVER (ORDER BY source) AS INTEGER) AS lead FROM seqs)""", f"""ids AS (
+  SELECT gene_id, [2, lead] || list_transform(
            CASE WHEN length(s) >= 6 THEN list_transform(range(1, length(s) - 4), lambda i: substr(s, i, 6)) ELSE [] END,
            lambda km: CASE WHEN regexp_full_match(km, '[ACGT]+') THEN 5 + {_kmer_index_sql('km', 6)} ELSE 1 END)[1:509]
          || [3] AS body
@@ -472,7 +473,7 @@ SELECT gene_id, CAST(len(body) AS INTEGER) AS n_attended,
 FROM ids""")
 def q_token_runs(spark: SparkSession, sf: str) -> DataFrame:
     t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))
-    tt = fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512)
+    tt = fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512, species_ids=fe.species_vocabulary(t, "source"))
     return tt.select(
         "gene_id",
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
@@ -1041,7 +1042,7 @@ def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-@register("rule_embeddings", _TOKEN_SQL.replace("AS s FROM seqs)", "AS s FROM seqs WHERE length(seq) >= 300)", 1) + """,
+@register("rule_embeddings", _TOKEN_SQL.replace("AS lead FROM seqs)", "AS lead FROM seqs QUALIFY length(seq) >= 300)", 1) + """,
 padded AS (SELECT gene_id, body || list_transform(range(0, 512 - len(body)), lambda i: 0) AS ids FROM ids),
 dims AS (SELECT unnest(range(0, 8)) AS dim)
 SELECT gene_id, CAST(dim AS INTEGER) AS dim,
@@ -1051,7 +1052,8 @@ FROM padded, dims""")
 def q_rule_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """M12, F31, F32 with an encoder that SQL can repeat: the whole pooled vector, one row per value."""
     t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s")).where(F.length("s") == 300)
-    emb = pl.embed(fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512), ["gene_id"], pl.SineEncoder(8, 3), target_layer=(2,))
+    ids = fe.species_vocabulary(tb.sequences(spark, sf), "source")
+    emb = pl.embed(fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512, species_ids=ids), ["gene_id"], pl.SineEncoder(8, 3), target_layer=(2,))
     return emb.select("gene_id", F.posexplode("embedding").alias("dim", "value")).select("gene_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
@@ -1122,6 +1124,91 @@ def q_embedding_match_report(spark: SparkSession, sf: str) -> DataFrame:
     return mp.match_report(mp.map_embeddings(emb, docs, tpm), tpm)
 
 
+# ---------------------------------------------------------------------------
+# names, letters, columns, user aggregate, skip report
+# ---------------------------------------------------------------------------
+
+
+@register("name_functions", """
+SELECT c_custkey, 'genus' || c_nationkey || '_sp' || c_custkey AS species, 'Genus' || c_nationkey || '_Sp' || c_custkey AS loose,
+       'genus' || c_nationkey || '_sp' || c_custkey AS result_species,
+       CASE WHEN c_nationkey % 2 = 0 THEN 'Agnostic' ELSE 'Aware:' || lower(c_mktsegment) || ' ' || c_nationkey END AS label,
+       replace(c_name || ' x', ' ', '_') AS safe, CAST(CASE WHEN c_nationkey % 5 > 0 THEN c_custkey END AS INTEGER) AS number
+FROM customer""")
+def q_name_functions(spark: SparkSession, sf: str) -> DataFrame:
+    from sporeframe.functions import clean as cl
+    c = tb.read_table(spark, sf, "customer")
+    stem = F.concat(F.lit("Genus"), "c_nationkey", F.lit("_Sp"), "c_custkey")
+    model = F.when(F.col("c_nationkey") % 2 == 0, F.lit("tok_agnostic x")).otherwise(F.concat(F.lit("tok_"), F.lower("c_mktsegment"), F.lit("_"), "c_nationkey", F.lit("_more")))
+    digits = F.concat(F.when(F.col("c_nationkey") % 5 > 0, F.lit("")).otherwise(F.lit("x")), F.lit("\u00a0"), F.col("c_custkey").cast("string"))
+    return c.select(
+        "c_custkey", cl.species_from_filename(F.concat(F.lit("a/b/"), stem, F.lit("_five_prime.tsv"))).alias("species"),
+        cl.species_from_filename(F.concat(stem, F.lit("_x")), lower=False, check=False).alias("loose"),
+        cl.species_from_result_file(F.concat(F.lit("r/upstream_r2_"), stem, F.lit(".csv"))).alias("result_species"),
+        cl.model_label(F.concat(F.lit("out-lm-"), model, F.lit("-set-v1"))).alias("label"), cl.path_safe(F.concat("c_name", F.lit(" x"))).alias("safe"),
+        cl.int_without_nbsp(digits).alias("number"))
+
+
+@register("sequence_pieces", _with(tb.sequences_sql()) + """
+SELECT gene_id, CAST(ceil(length(seq) / 100.0) AS INTEGER) AS n_chunks,
+       md5(array_to_string(list_transform(range(0, CAST(ceil(length(seq) / 100.0) AS BIGINT)), lambda j: substr(seq, j * 100 + 1, 100)), '|')) AS chunks,
+       md5(array_to_string(list_transform(range(0, length(seq) // 7), lambda j: substr(seq, j * 7 + 1, 7)), '|')) AS kmers
+FROM seqs""")
+def q_sequence_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    s = tb.sequences(spark, sf)
+    return s.select("gene_id", F.size(sq.chunks("seq", 100)).alias("n_chunks"), F.md5(F.array_join(sq.chunks("seq", 100), "|")).alias("chunks"),
+                    F.md5(F.array_join(sq.kmers("seq", 7, overlap=False), "|")).alias("kmers"))
+
+
+@register("letter_codes", _with(tb.sequences_sql(), """p AS (SELECT gene_id, substr(seq, 1, 300) AS s FROM seqs WHERE length(seq) > 0)""") + """
+SELECT gene_id, array_to_string(list_transform(string_split(s, ''), lambda b: CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END), '')
+         AS hot_slots,
+       array_to_string(list_transform(string_split(replace(s, 'N', 'A'), ''), lambda b: instr('ACGT', b) - 1), '') AS classes
+FROM p""")
+def q_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """the slot that is 1 in each letter's row, and the class of each letter (N read as A)."""
+    p = tb.sequences(spark, sf).where(F.length("seq") > 0).select("gene_id", sq.truncate("seq", 300).alias("s"))
+    slots = F.transform(sq.one_hot("s", 5, strict=False), lambda row: (F.array_position(row, F.lit(1.0)) - 1).cast("string"))
+    classes = F.transform(sq.class_labels(F.translate("s", "N", "A")), lambda x: x.cast("string"))
+    return p.select("gene_id", F.array_join(slots, "").alias("hot_slots"), F.array_join(classes, "").alias("classes"))
+
+
+@register("embedding_columns", """
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS embed_0, round(CAST(embedding[2] AS DOUBLE), 7) AS embed_1, round(CAST(embedding[3] AS DOUBLE), 7) AS embed_2,
+       round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[3] AS DOUBLE), 7) AS back FROM embeddings""")
+def q_embedding_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """U5 both ways, P3: an array to named columns, some of them, and back to an array."""
+    from sporeframe.operators.reshape import array_to_columns, columns_to_array
+    e = tb.read_table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("v"))
+    wide = array_to_columns(e, "v", 3)
+    back = columns_to_array(wide.select("vec_id", "embed_0", "embed_2"), name="a").select("vec_id", (F.col("a")[0] + F.col("a")[1]).alias("back"))
+    return rnd(wide.join(back, "vec_id").select("vec_id", "embed_0", "embed_1", "embed_2", "back"))
+
+
+@register("brand_scores", _with(tb.EXPRESSION_SQL) + """
+SELECT species, round(power(corr(TPM, line), 2), 7) AS pearson_r2, round(stddev_samp(TPM) / avg(TPM), 7) AS user_rsd
+FROM samples WHERE line <= 3 GROUP BY species""")
+def q_brand_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A16 as a metric expression, X1 as a Python reducer (bounded groups: one brand's first three lines)."""
+    from sporeframe.functions.metrics import pearson_r2, user_aggregate
+    s = tb.expression_samples(spark, sf).where(F.col("line") <= 3).withColumn("line", F.col("line").cast("double"))
+    rsd = user_aggregate(lambda x: float(x.std(ddof=1) / x.mean()))
+    stats = s.groupBy("species").agg(pearson_r2("TPM", "line").alias("pearson_r2"))
+    return rnd(stats.join(s.groupBy("species").agg(rsd("TPM").alias("user_rsd")), "species"))
+
+
+@register("skipped_species", """
+SELECT 'NATION_' || n_nationkey AS species, CASE WHEN max(c_custkey) IS NULL THEN 'no data' ELSE 'no c_acctbal' END AS reason
+FROM nation LEFT JOIN (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 40 < 2) c ON n_nationkey = c_nationkey
+GROUP BY n_nationkey HAVING count(CASE WHEN c_acctbal > 9000 THEN 1 END) = 0""")
+def q_skipped_species(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations without customers, or without one whose balance counts."""
+    wanted = tb.read_table(spark, sf, "nation").select(F.concat(F.lit("NATION_"), "n_nationkey").alias("species"))
+    c = tb.read_table(spark, sf, "customer").where(F.col("c_custkey") % 40 < 2)
+    data = c.select(F.concat(F.lit("NATION_"), "c_nationkey").alias("species"), F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("c_acctbal"))
+    return fl.skipped_report(wanted, data, "species", "c_acctbal")
+
+
 @register("model_dataset_map", """
 SELECT dataset, array_to_string(list_sort(list(DISTINCT folder)), ',') AS folders, count(DISTINCT folder) AS n_models
 FROM (SELECT 'out-lm-tok_' || lang || '-' || source || '-v1' AS folder, source AS dataset FROM documents)

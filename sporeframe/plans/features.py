@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sporeframe.functions import seq as sq
 from sporeframe.functions.clean import block_from_description
+from sporeframe.operators.joins import small_side
+from sporeframe.operators.ranking import group_row_number
 from sporeframe.operators.reshape import concat_features
 
 
@@ -82,12 +84,28 @@ def mpra_features(df: DataFrame, seq_col: str = "Oligo Sequence", desc_col: str
     )
 
 
+def species_vocabulary(df: DataFrame, species_col: str, k: int = 6) -> DataFrame:
+    """``(species, id)``: ids after the special tokens and the 4^k k-mers, in the order of the names."""
+    names = df.where(F.col(species_col).isNotNull()).select(F.col(species_col).alias("species"), F.lit(1).alias("_all")).distinct()
+    first = len(sq.SPECIAL_TOKENS) + 4 ** k
+    return group_row_number(names, ["_all"], ["species"], "_n").select("species", (F.lit(first - 1) + F.col("_n")).alias("id"))
+
+
 def token_table(df: DataFrame, id_col: str, species_col: str, seq_col: str, k: int = 6, max_len: int = 512,
-                vocab: dict[str, int] | None = None) -> DataFrame:
+                vocab: dict[str, int] | None = None, species_ids: DataFrame | None = None) -> DataFrame:
     """Species token + stride-1 k-mers, ids padded to ``max_len``
-    with the attention mask, and the special-token runs at both ends."""
-    toks = F.concat(F.array(F.col(species_col)), sq.kmers(seq_col, k, overlap=True))
-    enc = df.select(id_col, sq.token_ids(toks, vocab, max_len, k).alias("t"))
+    with the attention mask, and the special-token runs at both ends.
+
+    ``species_ids`` (see ``species_vocabulary``) gives each species its own
+    id by a join; a species it lacks, or any without it, is ``[UNK]``."""
+    words = sq.kmers(seq_col, k, overlap=True)
+    if vocab is None and species_ids is not None:
+        ids = small_side(species_ids.select(F.col("species").alias("_species"), F.col("id").alias("_id")))
+        df = df.join(ids, F.col(species_col) == F.col("_species"), "left")
+        unk = sq.SPECIAL_TOKENS.index("[UNK]")
+        enc = df.select(id_col, sq.token_ids(words, None, max_len, k, lead=F.coalesce("_id", F.lit(unk))).alias("t"))
+    else:
+        enc = df.select(id_col, sq.token_ids(F.concat(F.array(F.col(species_col)), words), vocab, max_len, k).alias("t"))
     special = list(range(len(sq.SPECIAL_TOKENS))) if vocab is None else [vocab[t] for t in sq.SPECIAL_TOKENS if t in vocab]
     return enc.select(
         id_col,
