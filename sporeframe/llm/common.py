@@ -32,15 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "none") -> DataFrame:
     """Write `df` to a table in the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps Parquet's column pruning;
-    a lost executor costs a re-read, not a recomputation.
+    a lost executor costs a re-read, not a recomputation.  Narrow tables are
+    not compressed: a codec's native buffers per file cost more than they save.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -178,9 +179,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating star contraction: each node's larger neighbours move to its
     smallest neighbour, then its smaller neighbours to the smallest of them,
     until every node hangs on its component's smallest node.  The number of
-    rows never grows, a hub's rows are combined before the shuffle (`min`) and
-    its join is one that Spark can split, and the number of rounds grows with
-    the logarithm of the longest path.  Nothing comes to the driver but a sum.
+    rows never grows; a hub's rows are combined before the shuffle (`min`), and
+    as the minima are written out, both sides of its join are exchanges that
+    Spark can split.  The number of rounds grows with the logarithm of the
+    longest path.  Nothing comes to the driver but a count and a sum.
     """
     # columns of the link table are renamed once; a link runs from the larger to the smaller node
     def tidy(df: DataFrame) -> DataFrame:
@@ -193,9 +195,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = signature(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "link-minima")
         large = tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "large-stars")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "link-minima")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             least.select("u", F.col("m").alias("v"))

@@ -242,7 +242,7 @@ def _drop_lines(id_col: str, text_col: str, names: list[str], shared, n_shards:
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-    shard_keys: int = SHARD_KEYS, wave_bytes: int = 256 << 20,
+    shard_keys: int = SHARD_KEYS, wave_bytes: int = 64 << 20,
 ) -> DataFrame:
     """`docs` with frequent lines removed from the text, plus ``n_lines`` (before) and ``n_dropped``.
 
@@ -267,5 +267,5 @@ def dedup_lines(
         rows = shards.where(F.col("shard") % n_waves == w).collect()  # at most about wave_bytes
         shared = spark.sparkContext.broadcast([r.asDict() for r in rows])
         step = out.mapInArrow(_drop_lines(id_col, text_col, names, shared, n_shards, min_chars, min_docs, w == 0), schema)
-        out = step if w == n_waves - 1 else materialise(step, "line-wave")
+        out = step if w == n_waves - 1 else materialise(step, "line-wave", "zstd")
     return out

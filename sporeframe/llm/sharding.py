@@ -36,8 +36,8 @@ def _uniform(row: Column, salt: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(row, F.lit(salt)), 11) / F.lit(float(1 << 53))
 
 
-def _by_shard(df: DataFrame, column: str, value: Column, n: int) -> list[int]:
-    found = {r[0]: int(r[1]) for r in df.groupBy(column).agg(value).collect()}  # one row per shard
+def _loads(df: DataFrame, n: int) -> list[int]:
+    found = {r[0]: r[1] for r in df.groupBy("shard").count().collect()}  # one row per shard
     return [found.get(s, 0) for s in range(n)]
 
 
@@ -45,11 +45,11 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int, capacity: float) ->
     """Moves linked nodes ``(row, k1, k2, shard, ...)`` towards their group's main shard under quotas.
 
     A shard's quota is `capacity` linked nodes, more than its share at the end,
-    when nodes without links and then the smallest groups give way.  A full shard takes no more; the rest of its groups gathers in the
-    next best one.
+    when nodes without links and then the smallest groups give way.  A full
+    shard takes no more; the rest of its groups gathers in the next best one.
     """
     for turn in range(rounds):
-        load = _by_shard(nodes, "shard", F.count(F.lit(1)), n_shards)
+        load = _loads(nodes, n_shards)
         room = [s for s in range(n_shards) if load[s] < 0.99 * capacity]
         votes = nodes.groupBy("k1", "k2", "shard").agg(F.count(F.lit(1)).alias("n"))
         # ties go to the shard that the group's own hash prefers, so that they don't all pull one way
@@ -57,9 +57,11 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int, capacity: float) ->
         best = votes.where(F.col("shard").isin(room)).groupBy("k1", "k2").agg(F.max(order).alias("best"))
         wishes = votes.join(best, ["k1", "k2"]).where((F.col("shard") != F.col("best.shard")) & (F.col("n") <= F.col("best.n")))
         wishes = materialise(wishes.select("k1", "k2", "shard", "n", F.col("best.shard").alias("to")), "shard-wishes")
-        asked, leaving = _by_shard(wishes, "to", F.sum("n"), n_shards), _by_shard(wishes, "shard", F.sum("n"), n_shards)
-        if not any(asked):
+        flows = {(r[0], r[1]): r[2] for r in wishes.groupBy("shard", "to").agg(F.sum("n")).collect()}  # a row per two shards
+        if not flows:
             break
+        asked = [sum(n for (_, to), n in flows.items() if to == s) for s in range(n_shards)]
+        leaving = [sum(n for (at, _), n in flows.items() if at == s) for s in range(n_shards)]
         share = [1.0] * n_shards
         for _ in range(20):  # what leaves a shard depends on the quotas of others: iterate to the fixed point
             goes = sum(asked[s] * share[s] for s in range(n_shards)) / sum(asked)
@@ -90,14 +92,16 @@ def shard_documents(
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string"), "k1"), F.lit(n_shards)).cast("int"))
     nodes = materialise(nodes, "shard-nodes")
     total = nodes.count()
-    groups = nodes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    # written out, so that both sides of the joins below are exchanges, of which Spark can split a hot group
+    groups = materialise(nodes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "shard-groups")
     linked = materialise(nodes.join(groups, ["k1", "k2"], "left_semi"), "shard-linked")
     nodes = nodes.join(groups, ["k1", "k2"], "left_anti").unionByName(propagate(linked, n_shards, rounds, OVERFULL * total / n_shards))
+    nodes = materialise(nodes, "shard-labels")
 
     # the smallest families of a shard give way first, each as a whole while it can
-    here = nodes.groupBy("k1", "k2", "shard").agg((-F.count(F.lit(1))).alias("family"))
+    here = materialise(nodes.groupBy("k1", "k2", "shard").agg((-F.count(F.lit(1))).alias("family")), "shard-families")
     ranked = group_row_number(nodes.join(here, ["k1", "k2", "shard"]), ["shard"], ["family", "k1", "k2", "row"], "place")
-    load = _by_shard(nodes, "shard", F.count(F.lit(1)), n_shards)
+    load = _loads(nodes, n_shards)
     larger = sorted(range(n_shards), key=lambda s: (-load[s], s))[: total % n_shards]
     quota = [total // n_shards + (s in larger) for s in range(n_shards)]
     kept = [min(a, b) for a, b in zip(load, quota)]
