@@ -2,67 +2,34 @@
 
 Lambda is chosen per group by maximum likelihood, as ``boxcox`` /
 ``yeojohnson`` without a given lambda do: a scan of -5..5 in steps of 0.1,
-then two refinements around the best value (steps 0.005 and 0.0001), all
-vectorised in numpy inside ``applyInPandas``.  A group is one species' gene
-set (one value per gene), so its size is bounded by the genome, not by the
-number of samples; Spark shuffles and parallelises the groups.
+then two refinements around the best value (steps 0.005 and 0.0001), each a
+grouped aggregate in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sporeframe.functions.metrics import line_fit
 from sporeframe.operators.ranking import group_row_number
+from sporeframe.session import reliable_checkpoint
 
 STAGES = ((-5.0, 5.0, 0.1), (-0.1, 0.1, 0.005), (-0.005, 0.005, 0.0001))
 
 
-def _transform(x: np.ndarray, lams: np.ndarray, method: str) -> np.ndarray:
-    """``[len(lams), len(x)]`` transformed values (expm1 keeps lambda ~ 0 exact)."""
-    lam = lams[:, None]
-    small = np.abs(lam) < 1e-12
-    safe = np.where(small, 1.0, lam)
+def power_transform(x: Column, lam: Column, method: str) -> Column:
+    """Box-Cox or Yeo-Johnson of ``x`` (``expm1`` keeps lambda near 0 exact)."""
+    def one(log: Column, power: Column) -> Column:
+        return F.when(F.abs(power) < 1e-12, log).otherwise(F.expm1(power * log) / power)
+
     if method == "boxcox":
-        lx = np.log(x)[None, :]
-        return np.where(small, lx, np.expm1(safe * lx) / safe)
-    pos = np.log1p(np.abs(x))[None, :]
-    out_pos = np.where(small, pos, np.expm1(safe * pos) / safe)
-    two = 2.0 - lam
-    small2 = np.abs(two) < 1e-12
-    safe2 = np.where(small2, 1.0, two)
-    out_neg = np.where(small2, -pos, -np.expm1(safe2 * pos) / safe2)
-    return np.where(x[None, :] >= 0, out_pos, out_neg)
-
-
-def llf(x: np.ndarray, lams: np.ndarray, method: str) -> np.ndarray:
-    """Profile log-likelihood ``(lam-1) sum J(x) - n/2 ln var_pop(t_lam(x))``."""
-    jac = np.log(x).sum() if method == "boxcox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
-    var = _transform(x, lams, method).var(axis=1)
-    with np.errstate(divide="ignore"):
-        out = (lams - 1) * jac - len(x) / 2 * np.log(var)
-    return np.where(np.isfinite(out), out, -np.inf)
-
-
-def best_lambda(x: np.ndarray, method: str = "boxcox") -> tuple[float, float]:
-    """Grid search with two refinements.  Likelihoods equal to 9 decimals are
-    ties (flat likelihoods of tiny groups differ by rounding noise between
-    neighbouring candidates); the smaller |lambda| wins a tie."""
-    center = 0.0
-    for lo, hi, step in STAGES:
-        n = int(round((hi - lo) / step))
-        # rounded, so a candidate that should be 0 is exactly 0 (the log case)
-        lams = np.round(center + np.round(lo + step * np.arange(n + 1), 10), 10)
-        vals = llf(x, lams, method)
-        order = np.lexsort((np.abs(lams), -np.round(vals, 9)))
-        center = float(lams[order[0]])
-        top = float(vals[order[0]])
-    return center, top
+        return one(F.log(x), lam)
+    size = F.log1p(F.abs(x))
+    return F.when(x >= 0, one(size, lam)).otherwise(-one(size, 2 - lam))
 
 
 def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str = "boxcox",
@@ -70,23 +37,34 @@ def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str
     """Maximum-likelihood lambda per group: ``(group..., <name>, llf)``.
 
     Box-Cox needs positive values: a group holding x <= 0 gets no row.
-    Groups with fewer than two values get none either.
+    Groups with fewer than two values get none either.  Each stage is one
+    grouped aggregate over (value, candidate) pairs, combined before the
+    shuffle, so a group of any size spreads over all tasks; only (group,
+    lambda) rows pass from stage to stage.
     """
     group_cols = list(group_cols)
-    d = df.select(*group_cols, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    fields = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in group_cols)
-    schema = f"{fields}, `{name}` double, llf double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["_x"].to_numpy(dtype=np.float64)
-        if len(x) < 2 or (method == "boxcox" and (x <= 0).any()):
-            return pd.DataFrame(columns=[*group_cols, name, "llf"])
-        lam, top = best_lambda(x, method)
-        row = {c: pdf[c].iloc[0] for c in group_cols}
-        row.update({name: lam, "llf": top})
-        return pd.DataFrame([row])
-
-    return d.groupBy(*group_cols).applyInPandas(fit, schema)
+    x = F.col("_x")
+    d = df.select(*group_cols, F.col(value).cast("double").alias("_x")).where(x.isNotNull())
+    slope = F.log(x) if method == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
+    groups = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.sum(slope).alias("_jac"), F.min("_x").alias("_least"))
+    groups = groups.where(F.col("_n") >= 2)
+    if method == "boxcox":
+        groups = groups.where(F.col("_least") > 0)
+    best = reliable_checkpoint(groups.select(*group_cols, "_n", "_jac", F.lit(0.0).alias("_center")))
+    for lo, hi, step in STAGES:
+        grid = [round(lo + step * i, 10) for i in range(int(round((hi - lo) / step)) + 1)]
+        # rounded, so a candidate that should be 0 is exactly 0 (the log case)
+        lams = F.transform(F.array(*[F.lit(g) for g in grid]), lambda g: F.round(F.col("_center") + g, 10))
+        now = best.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_n", "_jac", "_center")
+        on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols], F.lit(True))
+        pairs = d.join(now, on).select(*group_cols, "_n", "_jac", "_x", F.explode(lams).alias("_lam"))
+        var = pairs.groupBy(*group_cols, "_n", "_jac", "_lam").agg(F.var_pop(power_transform(x, F.col("_lam"), method)).alias("_var"))
+        llf = (F.col("_lam") - 1) * F.col("_jac") - F.col("_n") / 2 * F.log("_var")
+        # likelihoods equal to 9 decimals are ties (flat ones of tiny groups differ by rounding noise): the smaller |lambda| wins
+        order = F.struct(F.round(F.coalesce(llf, F.lit(float("-inf"))), 9).alias("l"), (-F.abs("_lam")).alias("a"), (-F.col("_lam")).alias("b"))
+        top = var.groupBy(*group_cols, "_n", "_jac").agg(F.max(order).alias("_best"))
+        best = reliable_checkpoint(top.select(*group_cols, "_n", "_jac", (-F.col("_best.b")).alias("_center"), F.col("_best.l").alias("_llf")))
+    return best.select(*group_cols, F.col("_center").alias(name), F.col("_llf").alias("llf"))
 
 
 def apply_fitted(df: DataFrame, lambdas: DataFrame, group_cols: Sequence[str], value: str, method: str,

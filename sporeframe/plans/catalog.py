@@ -207,6 +207,34 @@ def q_passing_gene_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(ex.filter_gene_rows(samples, stats, 5, 0.55))
 
 
+_BEST_SQL = _SCORES_SQL + """, best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY round(skew + kurtosis, 9), combo) AS pos
+                 FROM sc WHERE skew + kurtosis IS NOT NULL AND NOT isnan(skew + kurtosis)) WHERE pos = 1)"""
+
+
+@register("chosen_gene_rows", _BEST_SQL + """
+SELECT s.species, s.geneId, s.sample_id, s.line, round(s.TPM, 7) AS TPM FROM samples s JOIN st USING (species, geneId)
+JOIN best ON s.species = best.species AND st.med > best.tpm_threshold AND st.rsd < best.rsd_threshold""")
+def q_chosen_gene_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each species' rows under its own best pair."""
+    samples = tb.expression_samples(spark, sf)
+    stats = reliable_checkpoint(ex.gene_stats(samples))  # one row per gene, read three times
+    best = ex.best_thresholds(ex.score_combos(ex.filter_genes(stats, FIXTURE_TPM_THRESHOLDS, FIXTURE_RSD_THRESHOLDS), lam=0.22))
+    return rnd(ex.chosen_gene_rows(samples, stats, best))
+
+
+@register("skipped_models", """
+SELECT lang, source, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_targets, 'no target' AS reason FROM documents
+GROUP BY lang, source HAVING count(CASE WHEN n_chars > 1000 THEN 1 END) = 0
+UNION ALL SELECT lang, source, count(*), count(CASE WHEN n_chars > 1000 THEN 1 END), 'too few rows' FROM documents
+GROUP BY lang, source HAVING count(CASE WHEN n_chars > 1000 THEN 1 END) BETWEEN 1 AND 9""")
+def q_skipped_models(spark: SparkSession, sf: str) -> DataFrame:
+    """M6's skip table, for models keyed by language and source whose target long documents have."""
+    docs = tb.read_table(spark, sf, "documents")
+    data = docs.select("lang", "source", F.when(F.col("n_chars") > 1000, F.col("n_chars")).cast("double").alias("y"))
+    return md.skipped_models(data, ("lang", "source"))
+
+
 # ---------------------------------------------------------------------------
 # experiment-count report (C9: A3, A8, A9, A10, A21, O2)
 # ---------------------------------------------------------------------------
@@ -292,6 +320,37 @@ def q_species_median_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(histogram_width(med, "median_tpm", MEDIAN_BIN_WIDTH, 0.0))
 
 
+_NORMALISED_GENES_SQL = _with(tb.DISTRIBUTION_SQL, """ng AS (
+  SELECT species_name, split_part(species_name, ' ', 1) AS genus, (power(m, 0.22) - 1) / 0.22 AS v
+  FROM (SELECT species_name, geneId, median(TPM) AS m FROM dist GROUP BY species_name, geneId) WHERE m > 0)""")
+
+
+@register("normalised_species_summary", _NORMALISED_GENES_SQL + """
+SELECT species_name, count(v) AS n, round(avg(v), 7) AS mean_tpm, round(median(v), 7) AS median_tpm FROM ng GROUP BY species_name""")
+def q_normalised_species_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(rp.species_summary(rp.normalised_genes(tb.distribution_samples(spark, sf)), value="boxcox_tpm"))
+
+
+@register("normalised_genus_summary", _NORMALISED_GENES_SQL + """
+SELECT genus, count(v) AS n, round(avg(v), 7) AS mean_tpm, round(median(v), 7) AS median_tpm FROM ng WHERE genus <> 'NATION_3' GROUP BY genus""")
+def q_normalised_genus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """C8 on the normalised table, the outlier removed by its name."""
+    return rnd(rp.genus_summary(rp.normalised_genes(tb.distribution_samples(spark, sf)), value="boxcox_tpm", drop_at=None, drop_key="NATION_3"))
+
+
+@register("normalised_mean_histogram", _NORMALISED_GENES_SQL + """,
+m AS (SELECT avg(v) AS v FROM ng GROUP BY species_name),
+r AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 49.0 AS w FROM m),
+e AS (SELECT lo, hi, w, floor(lo / w) * w AS f FROM r),
+b AS (SELECT CAST(greatest(ceil((v - f) / w) - 1, 0) AS BIGINT) AS bin, count(*) AS n FROM m, e GROUP BY 1)
+SELECT CAST(k AS BIGINT) AS bin, round(f + k * w, 7) AS bin_lo, round(f + (k + 1) * w, 7) AS bin_hi, CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM e, range(0, 51) t(k) LEFT JOIN b ON b.bin = k WHERE k < ceil((hi - f) / w)""")
+def q_normalised_mean_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """50 bins over the species' mean Box-Cox values."""
+    means = rp.normalised_genes(tb.distribution_samples(spark, sf)).groupBy("species_name").agg(F.avg("boxcox_tpm").alias("mean_tpm"))
+    return rnd(ag.histogram_bins(reliable_checkpoint(means), "mean_tpm", 50))
+
+
 # ---------------------------------------------------------------------------
 # replicate table (C10: P9, W1, P7, U3, A23, A5)
 # ---------------------------------------------------------------------------
@@ -689,8 +748,10 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets:
     emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
     z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False)
     z = z.where(F.col("embedding").isNotNull())  # a gene beyond the embedding rows has no embedding set
-    emb_set = z.select(F.lit("Downstream: embedding").alias("feature_set"), "gene_id",
-                       F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    vec, half = F.transform("embedding", lambda v: v.cast("double")), F.floor(F.size("embedding") / 2).cast("int")
+    ends = [("Upstream", F.slice(vec, F.lit(1), half)), ("Downstream", F.slice(vec, half + 1, F.size("embedding") - half)), ("Combined", vec)]
+    sets = F.array(*[F.struct(F.lit(f"{end}: embedding").alias("feature_set"), v.alias("features")) for end, v in ends])
+    emb_set = z.select("gene_id", F.explode(sets).alias("s")).select("s.feature_set", "gene_id", "s.features")
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
     if kmer_sets:
         emb_set = fe.feature_registry(genes, keep=("y", "is_test")).unionByName(emb_set)
@@ -909,6 +970,22 @@ def _acklam_sql(p: str) -> str:
     return f"CASE WHEN {p} < {nm._P_LOW!r} THEN {low} WHEN {p} > 1 - {nm._P_LOW!r} THEN {high} ELSE {mid} END"
 
 
+@register("chosen_qq_fit", _BEST_SQL + f""", o AS (
+  SELECT g.species, bc AS v, row_number() OVER (PARTITION BY g.species ORDER BY bc, st.geneId) AS i, count(*) OVER (PARTITION BY g.species) AS n
+  FROM best g JOIN st ON st.species = g.species AND st.med > g.tpm_threshold AND st.rsd < g.rsd_threshold,
+       LATERAL (SELECT (power(st.med, 0.22) - 1) / 0.22 AS bc) b),
+m2 AS (SELECT species, v, CASE WHEN i = n THEN power(0.5, 1.0 / n) WHEN i = 1 THEN 1 - power(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS u FROM o),
+q AS (SELECT species, v, {_acklam_sql('u')} AS osm FROM m2)
+SELECT species, round(regr_slope(v, osm), 7) AS slope, round(regr_intercept(v, osm), 7) AS intercept, round(corr(v, osm), 7) AS r FROM q GROUP BY species""")
+def q_chosen_qq_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """W5 on the Box-Cox values of each species' chosen gene set."""
+    stats = reliable_checkpoint(ex.gene_stats(tb.expression_samples(spark, sf)))
+    genes = ex.filter_genes(stats, FIXTURE_TPM_THRESHOLDS, FIXTURE_RSD_THRESHOLDS)
+    best = ex.best_thresholds(ex.score_combos(genes, lam=0.22)).select("species", "combo")
+    chosen = genes.join(best, ["species", "combo"], "left_semi").select("species", "geneId", _boxcox("TPM", 0.22).alias("boxcox_tpm"))
+    return rnd(nm.qq_fit(chosen, ["species"], "boxcox_tpm", tiebreak=["geneId"]))
+
+
 @register("species_qq_fit", _with(tb.EXPRESSION_SQL, """o AS (
   SELECT species, TPM, row_number() OVER (PARTITION BY species ORDER BY TPM, sample_id, line) AS i,
          count(*) OVER (PARTITION BY species) AS n FROM samples)""", """m AS (

@@ -132,6 +132,13 @@ def filter_gene_rows(samples: DataFrame, stats: DataFrame, tpm_threshold: float,
     return samples.join(keep, ["species", "geneId"], "left_semi")
 
 
+def chosen_gene_rows(samples: DataFrame, stats: DataFrame, best: DataFrame) -> DataFrame:
+    """C3 for every species' own best pair: the sample rows of the genes that pass it."""
+    pair = best.select("species", "tpm_threshold", "rsd_threshold")
+    keep = stats.join(pair, "species").where((F.col("median") > F.col("tpm_threshold")) & (F.col("rsd") < F.col("rsd_threshold")))
+    return samples.join(keep.select("species", "geneId"), ["species", "geneId"], "left_semi")
+
+
 def score_combos(genes: DataFrame, lam: float | None = 0.22, fitted: DataFrame | None = None) -> DataFrame:
     """Transform each (species, combo) gene set and score its normality.
 

@@ -39,6 +39,14 @@ def species_ridge(data: DataFrame, key_cols: Sequence[str] = ("end", "species"),
     return models, preds
 
 
+def skipped_models(data: DataFrame, key_cols: Sequence[str] = ("end", "species"), y: str = "y", min_rows: int = 10) -> DataFrame:
+    """M6's skip table ``(keys, n_rows, n_targets, reason)``: models that have no target, or fewer than ``min_rows``."""
+    n = F.count(F.when(F.col(y).isNotNull() & ~F.isnan(y), 1))
+    sizes = data.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_rows"), n.alias("n_targets"))
+    reason = F.when(F.col("n_targets") == 0, F.lit("no target")).when(F.col("n_targets") < min_rows, F.lit("too few rows"))
+    return sizes.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def r2_from_predictions(preds: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """A18 over a predictions table: one R2 per key."""
     return preds.groupBy(*key_cols).agg(r2_score("True_Value", "Predicted_Value").alias("R2"))

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sporeframe.functions.clean import genus
+from sporeframe.functions.transform import boxcox
 from sporeframe.operators.aggregates import histogram_bins, row_mean, row_sd
 from sporeframe.operators.ranking import drop_position, exact_median, group_row_number, keep_repeated
 from sporeframe.operators.reshape import pivot_wider
+from sporeframe.plans.expression import gene_stats
 
 # --------------------------------------------------------------------------- C9
 
@@ -76,16 +78,26 @@ def species_summary(tpm_df: DataFrame, key: str = "species_name", value: str = "
 
 
 def genus_summary(tpm_df: DataFrame, key: str = "species_name", value: str = "TPM", separators: str = " ",
-                  drop_at: int | None = 73) -> DataFrame:
+                  drop_at: int | None = 73, drop_key: str | None = None) -> DataFrame:
     """Median and mean TPM per genus (F4, A1, A2), with the row at sorted
-    position ``drop_at`` removed as the reference removes its outlier (P13)."""
+    position ``drop_at`` removed as the reference removes its outlier (P13),
+    or the genus named ``drop_key`` (quirk Q11: a position moves with the data)."""
     g = tpm_df.withColumn("genus", genus(key, separators))
     out = species_summary(g, "genus", value)
     if drop_at is not None:
         out = drop_position(out, ["genus"], drop_at)
+    if drop_key is not None:
+        out = out.where(~F.col("genus").eqNullSafe(drop_key))
     return out
 
 
+def normalised_genes(tpm_df: DataFrame, lam: float = 0.22, key: str = "species_name") -> DataFrame:
+    """C8's normalised table: Box-Cox of each gene's median TPM, where it exists."""
+    stats = gene_stats(tpm_df, keys=(key, "geneId"))
+    out = stats.select(key, "geneId", boxcox("median", lam).alias("boxcox_tpm"))
+    return out.where(F.col("boxcox_tpm").isNotNull())
+
+
 # --------------------------------------------------------------------------- C10
 
 

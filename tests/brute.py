@@ -55,3 +55,24 @@ def ridge_cv(X, y, alphas, k, metric=r2):
     b, b0 = ridge_fit(Z, y, alphas[best])
     beta = b / sd
     return alphas[best], beta, b0 - mu @ beta, means[best]
+
+
+def power_transform(x, lams, method):
+    """``[len(lams), len(x)]`` Box-Cox or Yeo-Johnson values."""
+    lam = np.asarray(lams)[:, None]
+
+    def one(log, power):
+        small = np.abs(power) < 1e-12
+        safe = np.where(small, 1.0, power)
+        return np.where(small, log, np.expm1(safe * log) / safe)
+
+    if method == "boxcox":
+        return one(np.log(x)[None, :], lam)
+    size = np.log1p(np.abs(x))[None, :]
+    return np.where(x[None, :] >= 0, one(size, lam), -one(size, 2.0 - lam))
+
+
+def llf(x, lams, method):
+    """Profile log-likelihood of each lambda."""
+    jac = np.log(x).sum() if method == "boxcox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
+    return (np.asarray(lams) - 1) * jac - len(x) / 2 * np.log(power_transform(x, lams, method).var(axis=1))
