@@ -18,9 +18,9 @@ Memory: at most ``buffer_tokens`` plus one document are held at a time.
 from __future__ import annotations
 
 import re
+import struct
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,12 @@ from sporeframe.llm.common import byte_slices
 
 CAPACITY = 4096
 END_ID = 2
-_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: small Latin letters, and a run of ASCII signs (no apostrophe, which may begin a contraction) after them
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordCache:
@@ -41,9 +46,9 @@ class WordCache:
     The vocabulary drops white space and never merges across it, so the ids
     of a text are those of its pieces in order.  A piece of small Latin
     letters is one word as it is (nothing to normalise or split), so it goes
-    straight to the merges, spelled in the vocabulary's byte letters; a full
-    stop or comma after such letters is a word of its own.  Other pieces go
-    through the whole tokenizer.  The memory is emptied when it holds more
+    straight to the merges, spelled in the vocabulary's byte letters; a run of
+    signs after such letters is a word of its own.  Other pieces go through
+    the whole tokenizer.  The memory is emptied when it holds more
     than `most` pieces.
     """
 
@@ -51,45 +56,42 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.merges = self.tokenizer.model
+        self.merges, self.signs = self.tokenizer.model, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [_little(e.ids) for e in found]
 
-    def _plain(self, word: bytes) -> bytes:
-        spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
-        found = self.merges.tokenize(spelled)
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+    def _plain(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return _little([t.id for t in self.merges.tokenize(spelled)])
 
     def learn(self, pieces: set[bytes]) -> None:
         known, rest = self.known, []
         for piece in pieces:
-            text = piece.decode()
-            if _PLAIN.fullmatch(text):
-                if piece not in known:
-                    known[piece] = self._plain(piece)
-            elif text[-1] in ".," and _PLAIN.fullmatch(text, 0, len(text) - 1):
-                stem = piece[:-1]
-                if stem not in known:
-                    known[stem] = self._plain(stem)
-                known[piece] = known[stem] + self.stops[text[-1]]
-            else:
+            m = _PLAIN.fullmatch(piece.decode())
+            if not m:
                 rest.append(piece)
+                continue
+            word, signs = m.groups()
+            stem = piece[: len(piece) - len(signs)]
+            if stem not in known:
+                known[stem] = self._plain(word)
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs], = self._whole([signs])
+                known[piece] = known[stem] + self.signs[signs]
         known.update(zip(rest, self._whole([p.decode() for p in rest])))
 
-    @cached_property
-    def stops(self) -> dict[str, bytes]:
-        return dict(zip(".,", self._whole([".", ","])))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         pieces = [t.lower().split() for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
+            self.signs.clear()
         self.learn(set().union(*pieces) - self.known.keys())
         return [b"".join(map(self.known.__getitem__, ws)) for ws in pieces]
 
