@@ -75,10 +75,10 @@ def test_group_kfold_ridge_matches_numpy(spark):
     got = {r["fold"]: r for r in md.group_kfold_ridge(emb).collect()}
     pdf = emb.toPandas().sort_values("row_order").reset_index(drop=True)
     sizes = pdf.groupby("block").size().reset_index(name="n").sort_values(["n", "block"], ascending=[False, True])
-    fold_of = {}
-    for p, b in enumerate(sizes["block"]):
-        cycle, r = divmod(p, 10)
-        fold_of[b] = (r if cycle % 2 == 0 else 9 - r) + 1
+    fold_of, loads = {}, [0] * 10
+    for b, n in zip(sizes["block"], sizes["n"]):  # the largest block to the lightest fold
+        fold_of[b] = loads.index(min(loads)) + 1
+        loads[fold_of[b] - 1] += n
     pdf["fold"] = pdf["block"].map(fold_of)
     for f in range(1, 11):
         tr, te = pdf[pdf["fold"] != f], pdf[pdf["fold"] == f]
