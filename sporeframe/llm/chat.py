@@ -147,12 +147,12 @@ def prefix_trees(
     turns = conversations.select(F.col(conv_col).alias("conv_id"), F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(role_col, empty).alias("role"), F.coalesce(text_col, empty).alias("text")).alias("t"))
     turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
-    whole = materialise(turns.withColumn("conv", F.monotonically_increasing_id()), "chat-conversations")
-    chained = materialise(whole.select("conv", "turns").mapInArrow(_chain(vocabulary, pattern), _TURNS), "chat-turns")
+    whole = materialise(turns.withColumn("conv", F.monotonically_increasing_id()), "chat-conversations", "zstd")
+    chained = materialise(whole.select("conv", "turns").mapInArrow(_chain(vocabulary, pattern), _TURNS), "chat-turns", "zstd")
     nodes = chained.groupBy("node").agg(
         F.min("conv").alias("owner"), *[F.first(c).alias(c) for c in ("tree", "depth", "path", "position", "length", "ids", "loss_from", "loss_to")]
     )
-    nodes = materialise(nodes, "chat-nodes")
+    nodes = materialise(nodes, "chat-nodes", "zstd")
     at = materialise(place_nodes(nodes), "chat-places")
     roots = nodes.where("depth = 0").select("node", F.col("tree").alias("root")).join(at, "node").select("root", F.col("at").alias("root_at"))
     # the tree's own coordinates, by turn of every conversation
@@ -187,7 +187,7 @@ def prefix_trees(
     tree = chained.where("depth = 0").select("conv", F.hex("tree").alias("tree"))
     convs = whole.select("conv", "conv_id").join(lines, "conv").join(tree, "conv").select(
         "conv_id", "tree", F.size("line").cast("long").alias("n_turns"), F.col("line.start").alias("path"))
-    return Tree(materialise(out, "chat-tree"), materialise(convs, "chat-paths"))
+    return Tree(materialise(out, "chat-tree", "zstd"), materialise(convs, "chat-paths"))
 
 
 def _by_turn(a, b):
