@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sporeframe.functions.metrics import line_fit
+from sporeframe.operators.joins import small_side
 from sporeframe.operators.ranking import group_row_number
 from sporeframe.session import reliable_checkpoint
 
@@ -45,6 +46,10 @@ def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str
     group_cols = list(group_cols)
     x = F.col("_x")
     d = df.select(*group_cols, F.col(value).cast("double").alias("_x")).where(x.isNotNull())
+    # read by every stage; dealt evenly, as each row becomes a hundred candidates that few small partitions would compute
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = reliable_checkpoint(d.repartition(parts))
     slope = F.log(x) if method == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
     groups = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.sum(slope).alias("_jac"), F.min("_x").alias("_least"))
     groups = groups.where(F.col("_n") >= 2)
@@ -57,7 +62,7 @@ def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str
         lams = F.transform(F.array(*[F.lit(g) for g in grid]), lambda g: F.round(F.col("_center") + g, 10))
         now = best.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_n", "_jac", "_center")
         on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols], F.lit(True))
-        pairs = d.join(now, on).select(*group_cols, "_n", "_jac", "_x", F.explode(lams).alias("_lam"))
+        pairs = d.join(small_side(now), on).select(*group_cols, "_n", "_jac", "_x", F.explode(lams).alias("_lam"))
         var = pairs.groupBy(*group_cols, "_n", "_jac", "_lam").agg(F.var_pop(power_transform(x, F.col("_lam"), method)).alias("_var"))
         llf = (F.col("_lam") - 1) * F.col("_jac") - F.col("_n") / 2 * F.log("_var")
         # likelihoods equal to 9 decimals are ties (flat ones of tiny groups differ by rounding noise): the smaller |lambda| wins
