@@ -4,11 +4,13 @@ A random rotation spreads a vector over two blocks, each with a codebook of
 random unit vectors; a filter direction is one codeword of each block, so
 ``codewords ** 2`` directions cost two small products.  A vector is list-decoded
 to every direction whose inner product with it exceeds a height, found by
-sorting one block's products against the other's.  The height gives a vector
-``filters`` directions on average (and each at least a quarter as many).  Two
-vectors of cosine 0.93 or more share several of them; random ones almost never
-share any.  Equal filters under one label are joined and the cosine is verified
-in double precision.
+sorting one block's products against the other's.  The height is the one that
+``filters`` of all directions exceed on average, and each vector has its best
+``filters`` directions in any case.  All of this is done ``codes`` times with
+rotations and codebooks of their own, so a pair is lost only where each code
+loses it.  Two vectors of cosine 0.93 or more share several directions; random
+ones almost never share any.  Equal filters under one label are joined and the
+cosine is verified in double precision.
 
 Equal vectors under one label are one node before the join, so a group of
 copies costs one row; its size counts in ``n_links``.
@@ -26,19 +28,19 @@ from pyspark.sql import functions as F
 
 from sporeframe.llm.common import components, materialise
 
-THRESHOLD, CODEWORDS, FILTERS = 0.93, 1024, 48
+THRESHOLD, CODEWORDS, FILTERS, CODES = 0.93, 1024, 48, 2
 
 
 class Codes:
-    """Rotation, codebooks and height for vectors of one length."""
+    """One code's rotation, codebooks and height for vectors of one length."""
 
-    def __init__(self, size: int, codewords: int, filters: int) -> None:
-        rng = np.random.default_rng([size, codewords, filters])
+    def __init__(self, size: int, codewords: int, filters: int, code: int = 0) -> None:
+        rng = np.random.default_rng([size, codewords, filters, code])
         self.size, half = size, max(8, (size + 1) // 2)
         self.rotation = np.linalg.qr(rng.standard_normal((2 * half, 2 * half)))[0][:size]
         books = rng.standard_normal((2, codewords, half))
         self.books = books / np.linalg.norm(books, axis=2, keepdims=True) / np.sqrt(2)
-        self.half, self.codewords, self.least = half, codewords, max(1, filters // 4)
+        self.half, self.codewords, self.least, self.first = half, codewords, filters, code * codewords**2
         # the height that `filters` of all directions exceed, on average over random vectors
         trial = rng.standard_normal((16, size))
         sums = [np.add.outer(*x).ravel() for x in zip(*self.products(trial / np.linalg.norm(trial, axis=1, keepdims=True)))]
@@ -54,22 +56,29 @@ class Codes:
         k = min(self.least, len(a))
         top = np.add.outer(np.partition(a, -k)[-k:], np.partition(b, -k)[-k:]).ravel()
         height = min(self.height, np.partition(top, -k)[-k])
-        first, second = np.flatnonzero(a >= height - b.max()), np.flatnonzero(b >= height - a.max())
+        # a little lower, so that rounding of the differences keeps directions at the height itself
+        first, second = np.flatnonzero(a >= height - b.max() - 1e-9), np.flatnonzero(b >= height - a.max() - 1e-9)
         i, j = np.nonzero(np.add.outer(a[first], b[second]) >= height)
-        return first[i] * self.codewords + second[j]
+        return self.first + first[i] * self.codewords + second[j]
 
 
 @cache
-def _codes(size: int, codewords: int, filters: int) -> Codes:
-    return Codes(size, codewords, filters)
+def _codes(size: int, codewords: int, filters: int, codes: int) -> list[Codes]:
+    return [Codes(size, codewords, filters, code) for code in range(codes)]
+
+
+def filter_lists(unit: np.ndarray, codewords: int, filters: int, codes: int) -> list[np.ndarray]:
+    """The filters of every row of `unit` (vectors of length 1), those of all codes together."""
+    found = [[c.decode(a, b) for a, b in zip(*c.products(unit))] for c in _codes(unit.shape[1], codewords, filters, codes)]
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def filter_rows(nodes: DataFrame, codewords: int, filters: int) -> DataFrame:
-    """``(node, label, size, filter)``: one row for each direction that a node's vector exceeds."""
+def filter_rows(nodes: DataFrame, codewords: int, filters: int, codes: int) -> DataFrame:
+    """``(node, label, size, filter)``: one row for each direction of each code that a node's vector exceeds."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
@@ -81,8 +90,7 @@ def filter_rows(nodes: DataFrame, codewords: int, filters: int) -> DataFrame:
                     mine = batch.take(pa.array(block))
                     x = _matrix(mine.column("vector"))
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    codes = _codes(int(size), codewords, filters)
-                    lists = [codes.decode(a, b) for a, b in zip(*codes.products(x))]
+                    lists = filter_lists(x, codewords, filters, codes)
                     rows = pa.array(np.repeat(np.arange(len(block)), [len(c) for c in lists]))
                     yield pa.RecordBatch.from_arrays(
                         [mine.column(c).take(rows) for c in ("node", "label", "size")] + [pa.array(np.concatenate(lists))], names=["node", "label", "size", "filter"]
@@ -92,9 +100,9 @@ def filter_rows(nodes: DataFrame, codewords: int, filters: int) -> DataFrame:
     return nodes.select("node", "label", "size", "vector").mapInArrow(run, f"node long, label {label}, size int, filter long")
 
 
-def link_vectors(nodes: DataFrame, threshold: float, codewords: int, filters: int) -> DataFrame:
+def link_vectors(nodes: DataFrame, threshold: float, codewords: int, filters: int, codes: int) -> DataFrame:
     """Pairs ``a < b`` of nodes of one label whose cosine reaches the threshold, each once."""
-    rows = filter_rows(nodes, codewords, filters)
+    rows = filter_rows(nodes, codewords, filters, codes)
     x, y = rows.alias("x"), rows.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("label", "size", "filter")]
     met = x.join(y, [*same, F.col("x.node") < F.col("y.node")]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -115,7 +123,7 @@ def link_vectors(nodes: DataFrame, threshold: float, codewords: int, filters: in
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD,
-    codewords: int = CODEWORDS, filters: int = FILTERS,
+    codewords: int = CODEWORDS, filters: int = FILTERS, codes: int = CODES,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every row.
 
@@ -138,7 +146,7 @@ def near_vectors(
     # vectors of one label with equal digests are one node
     nodes = rows.where("valid").groupBy("label", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first("vector").alias("vector"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("size", F.size("vector")), "vector-nodes")
-    links = materialise(link_vectors(nodes, threshold, codewords, filters), "vector-links")
+    links = materialise(link_vectors(nodes, threshold, codewords, filters, codes), "vector-links")
 
     copies = nodes.select("node", "copies")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
