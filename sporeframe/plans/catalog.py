@@ -1279,13 +1279,27 @@ SELECT 'NATION_' || n_nationkey AS species, CASE WHEN max(c_custkey) IS NULL THE
 FROM nation LEFT JOIN (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 40 < 2) c ON n_nationkey = c_nationkey
 GROUP BY n_nationkey HAVING count(CASE WHEN c_acctbal > 9000 THEN 1 END) = 0""")
 def q_skipped_species(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations without customers, or without one whose balance counts."""
+    """S10 over the customers of some ids only, as its SQL says; ``skipped_species_whole`` reads all."""
     wanted = tb.read_table(spark, sf, "nation").select(F.concat(F.lit("NATION_"), "n_nationkey").alias("species"))
     c = tb.read_table(spark, sf, "customer").where(F.col("c_custkey") % 40 < 2)
     data = c.select(F.concat(F.lit("NATION_"), "c_nationkey").alias("species"), F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("c_acctbal"))
     return fl.skipped_report(wanted, data, "species", "c_acctbal")
 
 
+@register("skipped_species_whole", """
+SELECT 'NATION_' || n_nationkey || ' ' || segment AS species, CASE WHEN max(c_custkey) IS NULL THEN 'no data' ELSE 'no c_acctbal' END AS reason
+FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer UNION ALL SELECT 'NONE')
+LEFT JOIN customer ON n_nationkey = c_nationkey AND segment = c_mktsegment
+GROUP BY n_nationkey, segment HAVING count(CASE WHEN c_acctbal > 9900 THEN 1 END) = 0""")
+def q_skipped_species_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 over all customers: nation and segment pairs (and a segment nobody is in) without customers, or without one whose balance counts."""
+    c = tb.read_table(spark, sf, "customer")
+    segments = c.select(F.col("c_mktsegment").alias("segment")).distinct().union(spark.sql("SELECT 'NONE'"))
+    wanted = tb.read_table(spark, sf, "nation").crossJoin(segments).select(F.concat(F.lit("NATION_"), "n_nationkey", F.lit(" "), "segment").alias("species"))
+    data = c.select(F.concat(F.lit("NATION_"), "c_nationkey", F.lit(" "), "c_mktsegment").alias("species"), F.when(F.col("c_acctbal") > 9900, F.col("c_acctbal")).alias("c_acctbal"))
+    return fl.skipped_report(wanted, data, "species", "c_acctbal")
+
+
 @register("model_dataset_map", """
 SELECT dataset, array_to_string(list_sort(list(DISTINCT folder)), ',') AS folders, count(DISTINCT folder) AS n_models
 FROM (SELECT 'out-lm-tok_' || lang || '-' || source || '-v1' AS folder, source AS dataset FROM documents)
