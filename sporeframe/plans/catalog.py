@@ -1243,13 +1243,27 @@ SELECT gene_id, array_to_string(list_transform(string_split(s, ''), lambda b: CA
        array_to_string(list_transform(string_split(replace(s, 'N', 'A'), ''), lambda b: instr('ACGT', b) - 1), '') AS classes
 FROM p""")
 def q_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """the slot that is 1 in each letter's row, and the class of each letter (N read as A)."""
+    """F22 and F23 on the first 300 letters only, as its SQL says; ``letter_codes_whole`` encodes all."""
     p = tb.sequences(spark, sf).where(F.length("seq") > 0).select("gene_id", sq.truncate("seq", 300).alias("s"))
     slots = F.transform(sq.one_hot("s", 5, strict=False), lambda row: (F.array_position(row, F.lit(1.0)) - 1).cast("string"))
     classes = F.transform(sq.class_labels(F.translate("s", "N", "A")), lambda x: x.cast("string"))
     return p.select("gene_id", F.array_join(slots, "").alias("hot_slots"), F.array_join(classes, "").alias("classes"))
 
 
+@register("letter_codes_whole", _with(tb.sequences_sql(), """p AS (SELECT gene_id, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS piece FROM seqs)""",
+                                      """c AS (SELECT gene_id, CAST(piece AS INTEGER) AS piece, substr(seq, piece * 1000 + 1, 1000) AS s FROM p)""") + """
+SELECT gene_id, piece, array_to_string(list_transform(string_split(s, ''), lambda b: CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END), '')
+         AS hot_slots,
+       array_to_string(list_transform(string_split(replace(s, 'N', 'A'), ''), lambda b: instr('ACGT', b) - 1), '') AS classes
+FROM c""")
+def q_letter_codes_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """F22 and F23 over the whole sequence, in pieces of 1,000 letters: the slot that is 1 in each letter's row, and the class of each letter (N read as A)."""
+    p = tb.sequences(spark, sf).select("gene_id", F.posexplode(sq.chunks("seq", 1000)).alias("piece", "s"))
+    slots = F.transform(sq.one_hot("s", 5, strict=False), lambda row: (F.array_position(row, F.lit(1.0)) - 1).cast("string"))
+    classes = F.transform(sq.class_labels(F.translate("s", "N", "A")), lambda x: x.cast("string"))
+    return p.select("gene_id", "piece", F.array_join(slots, "").alias("hot_slots"), F.array_join(classes, "").alias("classes"))
+
+
 @register("embedding_columns", """
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS embed_0, round(CAST(embedding[2] AS DOUBLE), 7) AS embed_1, round(CAST(embedding[3] AS DOUBLE), 7) AS embed_2,
        round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[3] AS DOUBLE), 7) AS back FROM embeddings""")

@@ -20,3 +20,16 @@ def test_skipped_species_reads_customers_of_every_id(spark, tmp_path):
     got = {r["species"]: r["reason"] for r in entry_mod.queries()["skipped_species_whole"](spark, folder).collect()}
     assert have and not have & set(got) and set(got.values()) == {"no data"}
     assert sum(s.endswith(" NONE") for s in got) == 25
+
+
+def test_letter_codes_cover_whole_sequences(spark):
+    from sporeframe.sources.tables import sequences
+
+    want = {r["gene_id"]: r["seq"] for r in sequences(spark, SF001).where("length(seq) > 0").collect()}
+    slots, classes = {}, {}
+    for r in sorted(entry_mod.queries()["letter_codes_whole"](spark, SF001).collect(), key=lambda r: r["piece"]):
+        slots[r["gene_id"]] = slots.get(r["gene_id"], "") + r["hot_slots"]
+        classes[r["gene_id"]] = classes.get(r["gene_id"], "") + r["classes"]
+    assert max(map(len, want.values())) > 1000
+    assert slots == {k: v.translate(str.maketrans("ACGTN", "01234")) for k, v in want.items()}
+    assert classes == {k: v.translate(str.maketrans("ACGTN", "01230")) for k, v in want.items()}
