@@ -1280,7 +1280,7 @@ def q_embedding_columns(spark: SparkSession, sf: str) -> DataFrame:
 SELECT species, round(power(corr(TPM, line), 2), 7) AS pearson_r2, round(stddev_samp(TPM) / avg(TPM), 7) AS user_rsd
 FROM samples WHERE line <= 3 GROUP BY species""")
 def q_brand_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A16 as a metric expression, X1 as a Python reducer (bounded groups: one brand's first three lines)."""
+    """A16 and X1 (one Python group a brand) over each order's first three lines only, as its SQL says; ``brand_scores_whole`` takes all rows."""
     from sporeframe.functions.metrics import pearson_r2, user_aggregate
     s = tb.expression_samples(spark, sf).where(F.col("line") <= 3).withColumn("line", F.col("line").cast("double"))
     rsd = user_aggregate(lambda x: float(x.std(ddof=1) / x.mean()))
@@ -1288,6 +1288,26 @@ def q_brand_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(stats.join(s.groupBy("species").agg(rsd("TPM").alias("user_rsd")), "species"))
 
 
+@register("brand_scores_whole", _with(tb.EXPRESSION_SQL) + """
+SELECT species, round(power(corr(TPM, line), 2), 7) AS pearson_r2, round(stddev_samp(TPM) / avg(TPM), 7) AS user_rsd
+FROM samples GROUP BY species""")
+def q_brand_scores_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """A16 as a metric expression over all samples, X1 as Python reducers over
+    a brand's samples of 4,096 order keys (bounded by an order's seven lines),
+    whose counts, means and squared deviations are merged per brand."""
+    from sporeframe.functions.metrics import pearson_r2, user_aggregate
+    s = tb.expression_samples(spark, sf).withColumn("line", F.col("line").cast("double"))
+    count, mean = user_aggregate(lambda x: float(len(x))), user_aggregate(lambda x: float(x.mean()))
+    spread = user_aggregate(lambda x: float(((x - x.mean()) ** 2).sum()))
+    parts = s.groupBy("species", F.floor(F.col("sample_id") / 4096).alias("part")).agg(count("TPM").alias("n"), mean("TPM").alias("m"), spread("TPM").alias("d"))
+    # squared deviations from the brand's mean: those inside the parts and those of the parts' means
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("m"))
+    between = F.sum(F.col("n") * F.col("m") * F.col("m")) - total * total / n
+    merged = parts.groupBy("species").agg((F.sqrt(F.try_divide(F.sum("d") + between, n - 1)) / (total / n)).alias("user_rsd"))
+    stats = s.groupBy("species").agg(pearson_r2("TPM", "line").alias("pearson_r2"))
+    return rnd(stats.join(merged, "species"))
+
+
 @register("skipped_species", """
 SELECT 'NATION_' || n_nationkey AS species, CASE WHEN max(c_custkey) IS NULL THEN 'no data' ELSE 'no c_acctbal' END AS reason
 FROM nation LEFT JOIN (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 40 < 2) c ON n_nationkey = c_nationkey

@@ -1,5 +1,7 @@
 """The whole queries beside those whose SQL reads a part of the input."""
 
+import numpy as np
+
 import __spark_entry__ as entry_mod
 from conftest import SF001
 from pyspark.sql import functions as F
@@ -33,3 +35,15 @@ def test_letter_codes_cover_whole_sequences(spark):
     assert max(map(len, want.values())) > 1000
     assert slots == {k: v.translate(str.maketrans("ACGTN", "01234")) for k, v in want.items()}
     assert classes == {k: v.translate(str.maketrans("ACGTN", "01230")) for k, v in want.items()}
+
+
+def test_brand_scores_take_every_line(spark):
+    from sporeframe.sources.tables import expression_samples
+
+    want = {}
+    for brand, x in expression_samples(spark, SF001).toPandas().groupby("species"):
+        tpm, line = x["TPM"].astype(float), x["line"].astype(float)
+        want[brand] = (np.corrcoef(tpm, line)[0, 1] ** 2, tpm.std(ddof=1) / tpm.mean())
+    got = {r["species"]: (r["pearson_r2"], r["user_rsd"]) for r in entry_mod.queries()["brand_scores_whole"](spark, SF001).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
