@@ -40,6 +40,15 @@ def _little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _lowered(pieces: list[bytes]) -> list[bytes]:
+    """Pieces as keys of the cache: small letters where the tokenizer comes to the same ids.
+
+    It looks for special tokens first, then composes (NFC), then lowers, so
+    only pure ASCII without ``<|`` may be lowered before it.
+    """
+    return [p.lower() if p.isascii() and b"<|" not in p else p for p in pieces]
+
+
 class WordCache:
     """Token ids of white-space separated pieces, remembered by each worker.
 
@@ -88,7 +97,7 @@ class WordCache:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces = [t.lower().split() for t in texts]
+        pieces = [_lowered(t.split()) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
             self.signs.clear()
