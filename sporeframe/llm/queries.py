@@ -10,6 +10,7 @@ from sporeframe.llm.capfilter import near_vectors
 from sporeframe.llm.chat import prefix_trees, read_back
 from sporeframe.llm.common import table
 from sporeframe.llm.decontaminate import contamination
+from sporeframe.llm.digest import compare_neighbours
 from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
 from sporeframe.llm.sharding import shard_documents
@@ -198,6 +199,62 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartile bucket digest of every document and of its edited text, and how alike they are."""
+    found = compare_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, row_number() OVER (ORDER BY doc_id) AS i,
+         count(*) OVER () AS rows
+  FROM documents),
+e AS (
+  SELECT d.doc_id, d.i, x.i AS next_i, d.n,
+         CASE WHEN d.n // 4 > 0 THEN left(d.t, d.n - d.n // 4) || left(x.t, d.n // 4) ELSE d.t END AS changed, d.t
+  FROM d JOIN d x ON x.i = d.i % d.rows + 1),
+texts AS (SELECT i, false AS changed, t FROM e UNION ALL SELECT i, true, changed FROM e),
+bytes AS (
+  SELECT i, changed, octet_length(encode(t)) AS n,
+         list_transform(regexp_extract_all(hex(encode(t)), '..'),
+                        lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) AS b
+  FROM texts),
+triplets AS (
+  SELECT i, changed, CAST(b[k] AS BIGINT) * 65536 + b[k + 1] * 256 + b[k + 2] AS v
+  FROM (SELECT *, unnest(range(1, n - 1)) AS k FROM bytes WHERE n > 2)),
+counts AS (SELECT i, changed, ((v * 2654435761) % 4294967296) >> 24 AS bucket, count(*) AS c FROM triplets GROUP BY ALL),
+dense AS (
+  SELECT i, changed, bucket, coalesce(c, 0) AS c
+  FROM (SELECT i, changed, unnest(range(256)) AS bucket FROM bytes) LEFT JOIN counts USING (i, changed, bucket)),
+quarters AS (
+  SELECT i, changed, s[64] AS q1, s[128] AS q2, s[192] AS q3
+  FROM (SELECT i, changed, list_sort(list(c)) AS s FROM dense GROUP BY i, changed)),
+codes AS (SELECT i, changed, bucket, CAST(c > q1 AS INT) + CAST(c > q2 AS INT) + CAST(c > q3 AS INT) AS code FROM dense JOIN quarters USING (i, changed)),
+heads AS (
+  SELECT i, changed, CASE WHEN n < 4 THEN n ELSE 4 * (length(bin(n)) - 1) + (n >> (length(bin(n)) - 3)) % 4 END AS size,
+         least(16 * q1 // greatest(q3, 1), 15) AS r1, least(16 * q2 // greatest(q3, 1), 15) AS r2
+  FROM bytes JOIN quarters USING (i, changed)),
+packed AS (
+  SELECT i, changed, bucket // 4 AS k, CAST(sum(code << (6 - 2 * (bucket % 4))) AS INT) AS v FROM codes GROUP BY ALL),
+prints AS (
+  SELECT i, changed, printf('%02x%02x', CAST(any_value(size) AS INT), CAST(any_value(r1 * 16 + r2) AS INT)) || string_agg(printf('%02x', v), '' ORDER BY k) AS print
+  FROM packed JOIN heads USING (i, changed) GROUP BY i, changed),
+pairs AS (
+  SELECT i, true AS edit, i AS j, true AS other FROM e UNION ALL SELECT i, false, next_i, false FROM e),
+body AS (
+  SELECT p.i, p.edit, sum(CASE abs(a.code - b.code) WHEN 3 THEN 6 ELSE abs(a.code - b.code) END) AS gap
+  FROM pairs p JOIN codes a ON a.i = p.i AND NOT a.changed JOIN codes b ON b.i = p.j AND b.changed = p.other AND b.bucket = a.bucket
+  GROUP BY p.i, p.edit),
+likeness AS (
+  SELECT p.i, p.edit, 1 - least(gap + least(2 * abs(a.size - b.size), 24) + least(2 * abs(a.r1 - b.r1), 24) + least(2 * abs(a.r2 - b.r2), 24), 320) / 320.0::DOUBLE AS near
+  FROM pairs p JOIN body USING (i, edit) JOIN heads a ON a.i = p.i AND NOT a.changed JOIN heads b ON b.i = p.j AND b.changed = p.other)
+SELECT doc_id, n AS n_chars, sha256(e.changed) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint, x.near AS near_edited, y.near AS near_next
+FROM e JOIN prints a ON a.i = e.i AND NOT a.changed JOIN prints b ON b.i = e.i AND b.changed
+JOIN likeness x ON x.i = e.i AND x.edit JOIN likeness y ON y.i = e.i AND NOT y.edit
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -209,6 +266,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLE = {
@@ -217,4 +275,5 @@ ORACLE = {
     "op4_substring_dedup": OP4_SQL,
     "op5_embedding_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_fingerprints": OP11_SQL,
 }
