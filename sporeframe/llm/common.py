@@ -8,6 +8,7 @@ longer than that is a slice of its own.
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -113,41 +114,96 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: modulus of the span hashes, a Mersenne prime
+PRIME = (1 << 61) - 1
+_M31, _M30, _P = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(PRIME)
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    """Numbers below `PRIME` + 8, equal to any 64-bit numbers modulo `PRIME`."""
+    return (x & _P) + (x >> np.uint64(61))
+
+
+def reduce61(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo `PRIME`."""
+    x = fold61(x)
+    return x - _P * (x >= _P)
+
+
+def times61(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo `PRIME` (folded) of folded numbers, from their halves of 31 and 30 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _M31, b >> np.uint64(31), b & _M31
+    mid = a0 * b1 + a1 * b0
+    return fold61(((a1 * b1) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _M30) << np.uint64(31)) + a0 * b0)
+
+
+def _times_2_31(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(30)) + ((x & _M30) << np.uint64(31))
+
+
 class SpanHash:
-    """Rabin-Karp hash of any span of a sequence of codes, from prefix sums modulo 2^64.
+    """Rabin-Karp hash of any span of a sequence of codes, from prefix sums modulo the prime 2^61 - 1.
 
     ``sum(code[i] * base^i)`` over a span, divided by ``base^start``, depends on
-    the span's codes alone; `mix` then spreads it.  Two objects with different
-    seeds give 128 independent bits.
+    the span's codes alone.  Two spans that differ are roots of a polynomial of
+    their length: a base drawn at random is one of them with a probability of
+    at most length / 2^61, whatever the spans look like.  Two objects with
+    different seeds have independent bases.
+
+    Prefix sums are kept as two rows (factors of 2^31 and of 1), each reduced
+    only every ``STRIDE`` codes, so a code costs two products and two sums.
     """
 
+    STRIDE = 1 << 22
+
     def __init__(self, seed: int) -> None:
-        table = mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919 + 1))
-        self.codes = table | np.uint64(1)
-        self.base = int(mix(np.array([seed + 0x1234567], dtype=np.uint64))[0]) | 5
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.base = random.Random(seed * 7919 + 1).randrange(1 << 60, PRIME - 1)
+        self._powers(1)
 
     def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << n.bit_length()
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                p = np.full(n, b, dtype=np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
+        def powers(b: int) -> np.ndarray:
+            p = np.ones(1, dtype=np.uint64)
+            while len(p) < n:
+                p = np.concatenate([p, reduce61(times61(p, np.uint64(pow(b, len(p), PRIME))))])
+            return p
+
+        self.up, self.down = powers(self.base), powers(pow(self.base, -1, PRIME))
+        self.up_high, self.up_low = self.up >> np.uint64(31), self.up & _M31
+
+    def _sums(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Two rows of prefix sums, for terms below 2^40."""
+        out = np.zeros((2, len(high) + 1), dtype=np.uint64)
+        for k, terms in enumerate((high, low)):
+            for lo in range(0, len(terms), self.STRIDE):
+                part = out[k, lo + 1 : lo + 1 + self.STRIDE]
+                np.cumsum(terms[lo : lo + self.STRIDE], out=part)
+                if lo:
+                    part += reduce61(out[k, lo : lo + 1])
+        return out
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
         """Prefix sums of 64-bit codes."""
-        self._powers(len(codes) + 1)
-        out = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * self.up[: len(codes)], out=out[1:])
-        return out
+        if len(self.up) <= len(codes):
+            self._powers(len(codes) + 1)
+        terms = times61(fold61(codes), self.up[: len(codes)])
+        return self._sums(terms >> np.uint64(31), terms & _M31)
 
     def byte_prefix(self, data: np.ndarray) -> np.ndarray:
-        return self.prefix(self.codes[data])
+        """Prefix sums of bytes (as codes 1 to 256, so no span equals a longer one)."""
+        n = len(data)
+        if len(self.up) <= n:
+            self._powers(n + 1)
+        codes = data.astype(np.uint64)
+        codes += np.uint64(1)
+        return self._sums(codes * self.up_high[:n], codes * self.up_low[:n])
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (prefix[ends] - prefix[starts]) * self.down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        """Hashes of spans, spread over 64 bits by a one-to-one function."""
+        if prefix.shape[1] > self.STRIDE:  # sums were folded on the way: a later one may be smaller
+            high, low = (reduce61(row[ends]) + _P - reduce61(row[starts]) for row in prefix)
+        else:
+            high, low = (row[ends] - row[starts] for row in prefix)
+        return mix(reduce61(times61(fold61(_times_2_31(fold61(high)) + fold61(low)), self.down[starts])))
 
 
 @cache

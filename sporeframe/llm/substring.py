@@ -70,16 +70,20 @@ class Chunk(NamedTuple):
 
 
 def chunk_windows(texts: pa.ChunkedArray, width: int) -> Chunk:
-    h, outer, inner = span_hash(41), span_hash(42), span_hash(43)
+    """Both hashes of a window cover its bytes, with one space between words."""
+    h1, h2 = span_hash(41), span_hash(42)
     found, words, rows, before = [], [], 0, 0
     for _, _, data, offsets in byte_slices(texts):
         starts, ends, bounds = word_spans(data, offsets, NOT_SPACE)
-        codes = h.spans(h.byte_prefix(data), starts, ends)
         first = windows(bounds, width)
         row = np.searchsorted(bounds, first, "right") - 1
-        h1 = outer.spans(outer.prefix(codes), first, first + width)
-        h2 = inner.spans(inner.prefix(codes), first, first + width)
-        found.append((first + before, row + rows, first - bounds[row], h1, h2))
+        keep = NOT_SPACE[data]
+        spaced = np.where(keep, data, 32).astype(np.uint8)
+        keep[ends[ends < len(data)]] = True  # one byte after each word: a space, or the next row's first
+        place = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(keep, out=place[1:])
+        spaced, begin, end = spaced[keep], place[starts[first]], place[ends[first + width - 1]]
+        found.append((first + before, row + rows, first - bounds[row], *(h.spans(h.byte_prefix(spaced), begin, end) for h in (h1, h2))))
         words.append(np.diff(bounds))
         rows, before = rows + len(offsets) - 1, before + len(starts)
     return Chunk(np.concatenate(words), *(np.concatenate(x) for x in zip(*found)))

@@ -173,6 +173,24 @@ def test_substring_dedup(spark, width, chunk, bucket):
         assert sum(b - a for a, b in spans) == r["n_removed"] and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
+def mirrored(n):
+    """A sequence of two letters and its complement, which collide under every polynomial hash modulo a power of two."""
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t[:n]), "".join("ba"[x] for x in t[:n])
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_and_lines_that_collide_modulo_powers_of_two(spark, n):
+    x, y = mirrored(n)
+    plain = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{plain} {x}"), (2, f"{plain} {y}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in dedup_substrings(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(k, x if k < 4 else y) for k in range(1, 6)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in dedup_lines(df).collect()] == [0] * 5
+
+
 def test_substring_dedup_string_ids_and_empty_table(spark):
     rows = [("b", "x " * 25), ("a", "x " * 21), (None, "z"), ("c", "x " * 20)]
     df = spark.createDataFrame(rows, "doc_id string, text string")
