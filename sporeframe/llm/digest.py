@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -109,8 +110,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def likeness(a: str | Column, b: str | Column) -> Column:
     """Likeness of two columns of digests (null if either is null)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
         out = pd.Series(np.full(len(x), np.nan))
@@ -136,7 +135,7 @@ def _compare(ids: pa.Array, texts: list[str], codes: np.ndarray, nexts: list[str
     changed = [edited(t, n, share).encode() for t, n in zip(texts, nexts)]
     changed_codes = text_codes(pa.array(changed, pa.binary()).cast(pa.string()))
     return [
-        ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in changed]),
+        ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in changed], pa.string()),
         pa.array(to_digest(codes), pa.string()), pa.array(to_digest(changed_codes), pa.string()),
         pa.array(code_likeness(codes, changed_codes)), pa.array(code_likeness(codes, next_codes)),
     ]
@@ -148,8 +147,6 @@ _EDGE = ["part", "first_text", "last_text"]
 
 def _stream(names: list[str], share: int, rows: int = 1024) -> Callable:
     """Results of a sorted partition's rows but the last, and one more row with the partition's first and last text."""
-    n_results = len(names) - len(_EDGE)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, held = TaskContext.get().partitionId(), None, None
         for batch in (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows)):
@@ -160,14 +157,13 @@ def _stream(names: list[str], share: int, rows: int = 1024) -> Callable:
                 texts, codes = [held[1], *texts], np.concatenate([held[2], codes])
             else:
                 first = texts[0]
+            n = len(texts) - 1
             made = _compare(ids[:-1], texts[:-1], codes[:-1], texts[1:], codes[1:], share)
-            n = len(made[0])
             edge = [pa.array([part] * n, pa.int32()), *[pa.nulls(n, pa.string())] * 2]
             held = ids[-1:], texts[-1], codes[-1:]
             yield pa.RecordBatch.from_arrays(made + edge, names=names)
         if held:
             none = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2]
-            assert len(none) + 1 == n_results
             yield pa.RecordBatch.from_arrays([held[0], *none, pa.array([part], pa.int32()), pa.array([first]), pa.array([held[1]])], names=names)
 
     return run
