@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sporeframe.llm import quality, toxicity
 from sporeframe.llm.capfilter import near_vectors
 from sporeframe.llm.chat import prefix_trees, read_back
-from sporeframe.llm.common import table
+from sporeframe.llm.common import materialise, table
 from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.digest import compare_neighbours
 from sporeframe.llm.lines import dedup_lines
@@ -16,6 +16,7 @@ from sporeframe.llm.packing import pack_documents
 from sporeframe.llm.sharding import shard_documents
 from sporeframe.llm.simhash import near_duplicates
 from sporeframe.llm.substring import dedup_substrings
+from sporeframe.llm.trie import depth_rows, number_turns, trie
 
 
 def word_tokenizer() -> str:
@@ -255,6 +256,75 @@ JOIN likeness x ON x.i = e.i AND x.edit JOIN likeness y ON y.i = e.i AND NOT y.e
 """
 
 
+def rebuilt_turns(turns: DataFrame) -> DataFrame:
+    """Turns by depth of every conversation c, its first h turns taken from conversation c - c % 100 (h = crc32(c) % 6).
+
+    At most five turns of a template conversation go to at most 100 others; a
+    conversation's own turns only get a new depth.
+    """
+    c = F.col("conv_id")
+    convs = turns.where("i = 0").select(c, "n", (F.crc32(c.cast("string")) % 6).alias("h"), (c - c % 100).alias("base"))
+    bases = turns.where((F.col("i") == 0) & (c % 100 == 0)).select(c.alias("base"), F.col("n").alias("base_n"))
+    convs = convs.join(bases, "base", "left").withColumn("taken", F.least("h", F.coalesce("base_n", F.lit(0)))).select(
+        "conv_id", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("last"))
+    convs = materialise(convs, "trie-rebuilt")
+    cols = ["conv_id", "depth", "last", "k1", "k2", "chars"]
+    zero = F.lit(0).cast("long")
+    roots = convs.select("conv_id", zero.alias("depth"), "last", *[zero.alias(k) for k in ("k1", "k2", "chars")])
+    heads = turns.where((F.col("i") < 5) & (c % 100 == 0)).select(F.col("conv_id").alias("base"), "i", "k1", "k2", "chars")
+    taken = convs.where("taken > 0").join(heads, "base").where(F.col("i") < F.col("taken")).withColumn("depth", F.col("i") + 1)
+    own = turns.select("conv_id", "i", "k1", "k2", "chars").join(convs, "conv_id").where(F.col("i") >= F.col("h")).withColumn("depth", F.col("taken") + F.col("i") - F.col("h") + 1)
+    return roots.unionAll(taken.select(*cols)).unionAll(own.select(*cols))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie(rebuilt_turns(materialise(number_turns(table(spark, sf_dir, "conversations")), "trie-numbered")))
+
+
+#: CRC-32 of a string of ASCII characters, bit by bit
+_CRC32 = """xor(list_reduce(
+  list_concat([4294967295], flatten(list_transform(string_split(s, ''), lambda ch: [-1 - ascii(ch)] || [0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda crc, x: CASE WHEN x < 0 THEN xor(crc, -1 - x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295)"""
+
+
+def crc32_sql(number: str) -> str:
+    return "(" + _CRC32.replace("string_split(s, '')", f"string_split(CAST({number} AS VARCHAR), '')") + ")"
+
+
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id, n, {crc32_sql('conv_id')} % 6 AS h FROM turns),
+shaped AS (SELECT c.conv_id, c.n, c.h, c.conv_id - c.conv_id % 100 AS base, least(c.h, coalesce(b.n, 0)) AS taken
+           FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+own AS (
+  SELECT t.conv_id, taken + i - h + 1 AS d, role, text FROM turns t JOIN shaped USING (conv_id) WHERE i >= h
+  UNION ALL SELECT s.conv_id, i + 1, role, text FROM shaped s JOIN turns t ON t.conv_id = s.base AND t.i < s.taken),
+chained AS (
+  SELECT conv_id, d, length(text) AS chars,
+         sha256(string_agg(sha256(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k
+  FROM own UNION ALL SELECT conv_id, 0, 0, '' FROM shaped),
+lasts AS (SELECT conv_id, max(d) AS last FROM chained GROUP BY conv_id),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY d, k) AS node, count(*) OVER (PARTITION BY d, k) AS n_convs FROM chained),
+nodes AS (
+  SELECT a.d, a.node, any_value(a.n_convs) AS n_convs, any_value(a.chars) AS chars, any_value(p.node) AS parent,
+         string_agg(CAST(a.conv_id AS VARCHAR), ',' ORDER BY a.conv_id) FILTER (a.d = l.last) AS ends
+  FROM named a JOIN lasts l USING (conv_id) LEFT JOIN named p ON p.conv_id = a.conv_id AND p.d = a.d - 1 GROUP BY a.d, a.node),
+children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+tree AS (SELECT *, coalesce(n_children, 0) AS kids FROM nodes LEFT JOIN children USING (d, node)),
+sums AS (
+  SELECT a.d, a.node, count(*) FILTER (u.kids = 0) AS n_leaves, sum((u.n_convs - 1) * u.chars) AS saved
+  FROM tree u JOIN named a ON a.conv_id = u.node AND a.d <= u.d GROUP BY a.d, a.node)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, kids AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ends, '')) AS ends_sha256
+FROM tree JOIN sums USING (d, node)
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -267,6 +337,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_fingerprints": op11_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE = {
@@ -276,4 +347,5 @@ ORACLE = {
     "op5_embedding_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_fingerprints": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
