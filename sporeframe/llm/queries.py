@@ -13,6 +13,7 @@ from sporeframe.llm.decontaminate import contamination
 from sporeframe.llm.digest import compare_neighbours
 from sporeframe.llm.lines import dedup_lines
 from sporeframe.llm.packing import pack_documents
+from sporeframe.llm.runs import periodic_runs
 from sporeframe.llm.sharding import shard_documents
 from sporeframe.llm.simhash import near_duplicates
 from sporeframe.llm.substring import dedup_substrings
@@ -325,6 +326,37 @@ FROM tree JOIN sums USING (d, node)
 """
 
 
+def repeated_ends(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; texts of ids with crc32 % 10 = 0 repeat a stretch of words from word a to their end.
+
+    With n words and g = crc32 / 10: a = g % n, the stretch has 1 + (n - a) / (3 + g % 8) words, so it is repeated at most
+    eleven times.
+    """
+    text = F.coalesce("text", F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = docs.select("doc_id", text.alias("text"), F.floor(h / 10).alias("g"),
+                        F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), 11))
+    rebuilt = F.array_join(F.concat(F.slice("words", 1, a), F.slice(again, 1, n - a)), " ")
+    return split.select("doc_id", F.when(n > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the longest of them, and the words left when each keeps its first period."""
+    found = periodic_runs(repeated_ends(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    found = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    length, period = F.col("best")["length"], -F.col("best")["col3"]
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best")["col2"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -338,6 +370,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_fingerprints": op11_fingerprints,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
