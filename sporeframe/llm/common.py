@@ -107,6 +107,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def span_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Spans of `data`, one after another."""
+    at = np.cumsum(lengths) - lengths
+    return data[np.minimum(np.repeat(starts - at, lengths) + np.arange(int(lengths.sum())), max(len(data) - 1, 0))]
+
+
+def binary_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """An Arrow column of the byte strings of the given lengths that lie one after another in `data`."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sporeframe.llm.common import byte_slices
+from sporeframe.llm.common import LOWER, NOT_SPACE, binary_array, byte_slices, span_bytes, word_spans
 
 CAPACITY = 4096
 END_ID = 2
@@ -40,13 +40,25 @@ def _little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _lowered(pieces: list[bytes]) -> list[bytes]:
-    """Pieces as keys of the cache: small letters where the tokenizer comes to the same ids.
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """White-space separated pieces, and where each row's begin in them (rows + 1 numbers).
 
-    It looks for special tokens first, then composes (NFC), then lowers, so
-    only pure ASCII without ``<|`` may be lowered before it.
+    Capitals become small where the tokenizer comes to the same ids: it
+    looks for special tokens first, then composes (NFC), then lowers, so only
+    pure ASCII without ``<|`` may be lowered before it.
     """
-    return [p.lower() if p.isascii() and b"<|" not in p else p for p in pieces]
+    starts, ends, bounds = word_spans(data, offsets, NOT_SPACE)
+    lengths = ends - starts
+    kept = data >= 0x80
+    kept[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    text = span_bytes(data, starts, lengths)
+    small = LOWER[text]
+    as_is = np.flatnonzero(before[ends] > before[starts])
+    at = np.cumsum(lengths) - lengths
+    spots = span_bytes(np.arange(len(text)), at[as_is], lengths[as_is])
+    small[spots] = text[spots]
+    return binary_array(small, lengths), bounds
 
 
 class WordCache:
@@ -57,14 +69,16 @@ class WordCache:
     letters is one word as it is (nothing to normalise or split), so it goes
     straight to the merges, spelled in the vocabulary's byte letters; a run of
     signs after such letters is a word of its own.  Other pieces go through
-    the whole tokenizer.  The memory is emptied when it holds more
-    than `most` pieces.
+    the whole tokenizer.  Each distinct piece of a slice of texts is looked up
+    once.  The memory holds two generations of up to `most` pieces: pieces
+    that a slice has used are young, and when there are too many
+    the young become old and the old are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
         self.merges, self.signs = self.tokenizer.model, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
@@ -78,31 +92,52 @@ class WordCache:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return _little([t.id for t in self.merges.tokenize(spelled)])
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         known, rest = self.known, []
         for piece in pieces:
+            if piece.isalpha() and piece.islower():  # ASCII
+                known[piece] = self._plain(piece.decode())
+                continue
             m = _PLAIN.fullmatch(piece.decode())
             if not m:
                 rest.append(piece)
                 continue
             word, signs = m.groups()
             stem = piece[: len(piece) - len(signs)]
-            if stem not in known:
-                known[stem] = self._plain(word)
+            ids = known.get(stem) or self.old.get(stem) or self._plain(word)
+            known[stem] = ids
             if signs:
                 if signs not in self.signs:
                     self.signs[signs], = self._whole([signs])
-                known[piece] = known[stem] + self.signs[signs]
+                known[piece] = ids + self.signs[signs]
         known.update(zip(rest, self._whole([p.decode() for p in rest])))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        pieces = [_lowered(t.split()) for t in texts]
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.old, self.known = self.known, {}
             self.signs.clear()
-        self.learn(set().union(*pieces) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in pieces]
+        known, old = self.known, self.old
+        new = [p for p in pieces if p not in known]
+        if old:
+            known.update((p, old[p]) for p in new if p in old)
+            new = [p for p in new if p not in known]
+        self.learn(new)
+        return [known[p] for p in pieces]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and where each text's begin in them (texts + 1 numbers)."""
+        pieces, bounds = _pieces(data, offsets)
+        if not len(pieces):
+            return np.empty(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)
+        coded = pieces.dictionary_encode()
+        found = self.look_up(coded.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        piece = coded.indices.to_numpy()
+        lengths = sizes[piece]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return span_bytes(ids, (np.cumsum(sizes) - sizes)[piece], lengths), ends[bounds]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -211,6 +246,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     buffer_tokens: int = 1 << 21,
+    slice_bytes: int = 1 << 21,
 ) -> DataFrame:
     """One row per piece: ``id, start, length, doc_tokens, sequence_id, offset, ids``.
 
@@ -260,13 +296,13 @@ def pack_documents(
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             id_type = keys.type
-            for lo, hi, data, offsets in byte_slices(texts):
-                raw = data.tobytes()
-                encoded = cache.encode([raw[offsets[i] : offsets[i + 1]] for i in range(hi - lo)])
+            for lo, hi, data, offsets in byte_slices(texts, slice_bytes):
+                ids, at = cache.encode(data, offsets)
+                raw, at = ids.tobytes(), at.tolist()
                 fresh = []
-                for i, ids in enumerate(encoded):
-                    tokens[n] = (keys[lo + i].as_py(), ids + end)
-                    length = len(ids) // 4 + 1
+                for i, key in enumerate(keys[lo:hi].to_pylist()):
+                    tokens[n] = (key, raw[4 * at[i] : 4 * at[i + 1]] + end)
+                    length = at[i + 1] - at[i] + 1
                     fresh.extend(packer.add(n, length))
                     held, n = held + length, n + 1
                 yield from emit(fresh)

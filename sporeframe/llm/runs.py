@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sporeframe.llm.common import NOT_SPACE, byte_slices, word_spans
+from sporeframe.llm.common import NOT_SPACE, binary_array, byte_slices, span_bytes, word_spans
 
 MIN_LENGTH = 12
 #: the smallest dyadic block: 2^BASE words, at every STRIDE-th place
@@ -255,19 +255,11 @@ def find_runs(codes: np.ndarray, end: np.ndarray, min_length: int = MIN_LENGTH)
 # documents
 # ---------------------------------------------------------------------------
 
-def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Spans of `data` one after another."""
-    at = np.cumsum(lengths) - lengths
-    return data[np.minimum(np.repeat(starts - at, lengths) + np.arange(int(lengths.sum())), max(len(data) - 1, 0))]
-
-
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
     """A number of each word's spelling and row."""
     if not len(starts):
         return np.empty(0, dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(_gather(data, starts, ends - starts).tobytes())])
-    spelled = words.dictionary_encode()
+    spelled = binary_array(span_bytes(data, starts, ends - starts), ends - starts).dictionary_encode()
     return row * len(spelled.dictionary) + spelled.indices.to_numpy().astype(np.int64)
 
 
@@ -276,11 +268,11 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarr
     last = np.ones(len(row), dtype=bool)
     last[:-1] = row[1:] != row[:-1]
     lengths = ends - starts + ~last
-    text = _gather(data, starts, lengths)
+    text = span_bytes(data, starts, lengths)
     stops = np.cumsum(lengths)
     text[stops[~last] - 1] = 32
     offsets = np.concatenate([[0], stops])[np.searchsorted(row, np.arange(rows + 1))]
-    return pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.string())
+    return binary_array(text, np.diff(offsets)).cast(pa.string())
 
 
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])

@@ -13,8 +13,25 @@ TEXTS = [
 ]
 
 
+def ids_of(cache, texts):
+    """Through one slice."""
+    raw = [t.encode() for t in texts]
+    ids, at = cache.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_are_those_of_the_tokenizer(text):
     file = path("word_bpe_49k.json")
-    got, = WordCache(file).encode([text.encode()])
-    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+    assert ids_of(WordCache(file), [text]) == [Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_slices_of_many_texts_and_forgotten_pieces(most):
+    """Texts next to each other without white space between, in slices that make the cache forget."""
+    file = path("word_bpe_49k.json")
+    whole, cache, rng = Tokenizer.from_file(file), WordCache(file, most), np.random.default_rng(0)
+    words = ["Word", "wörd", "it's", "don't!", "<|x", "A<|", "長い", "x.", "12ab", "...", "\x0b", "\u00a0", "\u2003z", "naïve,", "QQ"]
+    for _ in range(30):
+        texts = ["", *TEXTS, *("".join(rng.choice([*words, " ", "\n"]) for _ in range(rng.integers(0, 20))) for _ in range(5))]
+        assert ids_of(cache, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
