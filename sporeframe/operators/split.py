@@ -8,11 +8,12 @@ skew-safe ``group_row_number``.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,24 +98,72 @@ def group_kfold(df: DataFrame, group_cols: Sequence[str], block: str, n_folds: i
     return df.drop(name).join(assign, on).drop(*[f"_k_{c}" for c in keys])
 
 
-def poisson_weights(key: str | Column, replicates: int, seed: int = 42) -> Column:
-    """M9: ``ARRAY<DOUBLE>`` of Poisson(1) weights, one per replicate, drawn
-    from a hash of (seed, key, replicate) - the distributed bootstrap (each
-    row's count in an n-out-of-n resample is close to Poisson(1))."""
-    k = F.col(key) if isinstance(key, str) else key
-    # inverse CDF of Poisson(1) on a uniform from the hash
-    cdf, term, thresholds = 0.0, math.exp(-1.0), []
-    for j in range(20):
-        cdf += term
-        thresholds.append(cdf)
-        term /= j + 1
-
-    def draw(b: Column) -> Column:
-        h = F.xxhash64(F.lit(seed), k.cast("string"), b)
-        u = h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
-        out = F.lit(float(len(thresholds)))
-        for j in reversed(range(len(thresholds))):
-            out = F.when(u < F.lit(thresholds[j]), F.lit(float(j))).otherwise(out)
-        return out
-
-    return F.transform(F.sequence(F.lit(1), F.lit(replicates)), draw)
+def multinomial_draws(n: int, lo: int, hi: int, replicates: int, seed: int, group: str, leaf: int) -> np.ndarray:
+    """How often each of the places ``lo..hi-1`` is drawn when ``n`` of the places ``0..n-1`` are, with replacement, by replicate:
+    an array of (hi - lo, replicates).  ``lo`` and ``hi`` are the ends of one leaf of the tree of halves.
+
+    The n draws run down a binary tree over the places: a part's draws split into its halves by a binomial
+    whose generator is seeded by (seed, group, part), so every task that walks to a leaf draws the same numbers,
+    and all leaves together have exactly n draws.
+    """
+    def generator(a: int, b: int) -> np.random.Generator:
+        key = hashlib.blake2b(f"{seed}:{group}:{a}:{b}".encode(), digest_size=16).digest()
+        return np.random.Generator(np.random.Philox(key=int.from_bytes(key, "little")))
+
+    a, b, draws = 0, n, np.full(replicates, n, dtype=np.int64)
+    while b - a > leaf:
+        mid = (a + b) // 2
+        left = generator(a, b).binomial(draws, (mid - a) / (b - a))
+        a, b, draws = (a, mid, left) if lo < mid else (mid, b, draws - left)
+    if (a, b) != (lo, hi):
+        raise ValueError(f"{lo}..{hi} is not a leaf")
+    rng = generator(a, b)
+    return np.column_stack([np.bincount(rng.integers(0, b - a, k), minlength=b - a) for k in draws.tolist()])
+
+
+def bootstrap_weights(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], replicates: int, seed: int = 42,
+                      name: str = "weights", leaf: int = 1024) -> DataFrame:
+    """M9: ``df`` with ``ARRAY<DOUBLE>``: how often each replicate draws the row when it draws, from the group's n
+    distinct keys (group + order), n with replacement.  Rows of one key share their draws.
+
+    Only narrow rows are numbered; the draws are made by the leaves of a tree of halves (``multinomial_draws``), one task row
+    a leaf, and joined by place: no draw is a row of its own, and a lost task draws the same again.
+    """
+    keys = [*group_cols, *order_cols]
+    ranked = group_row_number(df.select(*keys).distinct(), group_cols, order_cols, "_rn", count_name="_n")
+    # a group of n places has at most 2 n / leaf leaves: a row for each stretch of them, cut by the task that walks it
+    sizes = ranked.groupBy(*group_cols).agg(F.max("_n").alias("_n"))
+    stretch = 64 * leaf
+    parts = sizes.select(*group_cols, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / stretch))).alias("_part"))
+    schema = T.StructType([sizes.schema[c] for c in group_cols] + [T.StructField("_rn", T.LongType()), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                group = "\x1f".join(repr(row[c]) for c in group_cols)
+                n, first = int(row["_n"]), int(row["_part"]) * stretch
+                for lo, hi in leaves_from(n, leaf, first, min(n, first + stretch)):
+                    w = multinomial_draws(n, lo, hi, replicates, seed, group, leaf).astype(np.float64)
+                    yield pd.DataFrame({**{c: [row[c]] * (hi - lo) for c in group_cols}, "_rn": np.arange(lo, hi) + 1, name: list(w)})
+
+    parts = parts.repartition(*group_cols, "_part")
+    drawn = parts.mapInPandas(draw, schema)
+    drawn = drawn.withColumnsRenamed({c: f"_k_{c}" for c in group_cols}).withColumnRenamed("_rn", "_k_rn")
+    on = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(drawn[f"_k_{c}"]) for c in group_cols], ranked["_rn"] == drawn["_k_rn"])
+    placed = ranked.join(drawn, on).select(*[F.col(c).alias(f"_k_{c}") for c in keys], name)
+    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(placed[f"_k_{c}"]) for c in keys])
+    return df.join(placed, on).drop(*[f"_k_{c}" for c in keys])
+
+
+def leaves_from(n: int, leaf: int, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The leaves that begin in ``lo..hi-1``, by walking down to them only."""
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a <= leaf:
+            if a >= lo:
+                yield a, b
+        else:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]

@@ -565,16 +565,18 @@ def q_holdout_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # greedy rule: the largest block goes to the fold with the fewest rows so far
-@register("group_kfold_assignment", _with("""RECURSIVE b AS (
+_W7_SQL = ("""RECURSIVE b AS (
   SELECT source, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, source) AS p FROM documents GROUP BY source)""",
-                                           """dealt AS (
+           """dealt AS (
   SELECT CAST(0 AS BIGINT) AS p, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS fold,
          CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads
   UNION ALL
   SELECT b.p, b.source, CAST(list_position(loads, list_min(loads)) AS BIGINT),
          list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + b.size ELSE x END)
-  FROM dealt JOIN b ON b.p = dealt.p + 1)""", """f AS (SELECT source, CAST(fold AS INTEGER) AS fold FROM dealt WHERE p > 0)""",
-                                           tb.sequences_sql()) + """
+  FROM dealt JOIN b ON b.p = dealt.p + 1)""", """f AS (SELECT source, CAST(fold AS INTEGER) AS fold FROM dealt WHERE p > 0)""", tb.sequences_sql())
+
+
+@register("group_kfold_assignment", _with(*_W7_SQL) + """
 SELECT s.gene_id, s.source, f.fold FROM seqs s JOIN f ON s.source = f.source""")
 def q_group_kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
     s = tb.sequences(spark, sf).select("gene_id", "source", F.lit("all").alias("_g"))
@@ -749,7 +751,9 @@ def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets:
     z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False)
     z = z.where(F.col("embedding").isNotNull())  # a gene beyond the embedding rows has no embedding set
     vec, half = F.transform("embedding", lambda v: v.cast("double")), F.floor(F.size("embedding") / 2).cast("int")
-    ends = [("Upstream", F.slice(vec, F.lit(1), half)), ("Downstream", F.slice(vec, half + 1, F.size("embedding") - half)), ("Combined", vec)]
+    # the set of both ends names its downstream part first, so a filter on that name takes it, too
+    ends = [("Upstream", F.slice(vec, F.lit(1), half)), ("Downstream", F.slice(vec, half + 1, F.size("embedding") - half)),
+            ("Combined: Downstream: embedding ! Upstream", vec)]
     sets = F.array(*[F.struct(F.lit(f"{end}: embedding").alias("feature_set"), v.alias("features")) for end, v in ends])
     emb_set = z.select("gene_id", F.explode(sets).alias("s")).select("s.feature_set", "gene_id", "s.features")
     emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
@@ -827,6 +831,18 @@ def q_bootstrap_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(md.bootstrap_spread(boot))
 
 
+@register("bootstrap_draws", _with(*_SETS2_SQL[:6]) + """
+SELECT feature_set, CAST(count(*) AS BIGINT) AS n_train, 100 AS replicates, CAST(count(*) AS DOUBLE) AS least, CAST(count(*) AS DOUBLE) AS most
+FROM sets WHERE NOT is_test GROUP BY feature_set""")
+def q_bootstrap_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """M9's draws: every replicate draws exactly as many rows as the training set has."""
+    data = two_feature_sets(spark, sf).where(~F.col("is_test"))
+    drawn = spl.bootstrap_weights(data, ["feature_set"], ["row_order", "gene_id"], 100)
+    each = drawn.select("feature_set", "gene_id", F.posexplode("weights").alias("replicate", "w"))
+    each = each.groupBy("feature_set", "replicate").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("feature_set").agg(F.max("rows").alias("n_train"), F.count(F.lit(1)).cast("int").alias("replicates"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
 def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
     docs = tb.read_table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
     oligo = docs.select(
@@ -846,7 +862,68 @@ def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -
 
 @register("mpra_group_kfold")
 def q_mpra_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
-    return rnd(md.group_kfold_ridge(mpra_input(spark, sf)))
+    return rnd(md.group_kfold_ridge(mpra_input(spark, sf))[0])
+
+
+@register("mpra_group_kfold_predictions")
+def q_mpra_group_kfold_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """M8's predictions table: every row of every feature set, predicted by the folds that don't hold it."""
+    return rnd(md.group_kfold_ridge(mpra_input(spark, sf))[1])
+
+
+def mpra_two_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 input with two features: length in thousands and GC fraction."""
+    docs = tb.read_table(spark, sf, "documents").select(F.col("doc_id").alias("row_order"), F.log2("n_chars").alias("y"))
+    s = tb.sequences(spark, sf).withColumn("row_order", F.col("gene_id").cast("long"))
+    d = s.join(docs, "row_order").where(F.length("seq") > 0)
+    return reliable_checkpoint(d.select(F.lit("shape").alias("feature_set"), "gene_id", "row_order", F.col("source").alias("block"), "y",
+                                        F.array(F.length("seq") / 1000.0, sq.gc_fraction("seq")).alias("features")))
+
+
+_MPRA2_SQL = (*_W7_SQL, """g AS (
+  SELECT s.gene_id, CAST(s.gene_id AS BIGINT) AS row_order, log2(d.n_chars) AS y, f.fold AS own, length(seq) / 1000.0::DOUBLE AS x1,
+         (length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq) AS x2
+  FROM seqs s JOIN documents d ON s.gene_id = CAST(d.doc_id AS VARCHAR) JOIN f ON s.source = f.source WHERE length(seq) > 0)""", """cells AS (
+  SELECT *, CASE WHEN own = outer_fold THEN 0 ELSE ntile(3) OVER (PARTITION BY outer_fold, own = outer_fold ORDER BY row_order) END AS cell
+  FROM (SELECT *, unnest(range(1, 11)) AS outer_fold FROM g))""", *_ridge2_sql("outer_fold", 3, "r2"))
+
+
+@register("mpra_group_kfold_two_features", _with(*_MPRA2_SQL) + """
+SELECT 'shape' AS model, CAST(outer_fold AS INTEGER) AS fold, round(pr2, 7) AS r2, alpha FROM model""")
+def q_mpra_group_kfold_two(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(md.group_kfold_ridge(mpra_two_features(spark, sf))[0])
+
+
+@register("mpra_predictions_two_features", _with(*_MPRA2_SQL) + """
+SELECT 'shape' AS model, CAST(outer_fold AS INTEGER) AS fold, gene_id, round(b0 + b1 * x1 + b2 * x2, 7) AS pred, round(y, 7) AS "true"
+FROM cells JOIN model USING (outer_fold) WHERE cell = 0""")
+def q_mpra_predictions_two(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(md.group_kfold_ridge(mpra_two_features(spark, sf))[1])
+
+
+@register("fixed_alpha_ridge_two_features", _with(*_SPECIES2_SQL[:-len(_ridge2_sql("x", 5, "r2"))], *_ridge2_sql('"end", species', 5, "r2", (100.0,))) + """
+SELECT "end", species, alpha, round(b0, 7) AS intercept, round(b1, 7) AS b1, round(b2, 7) AS b2, round(r2, 7) AS "R2" FROM model""")
+def q_fixed_alpha_ridge_two(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: one given alpha for every species and end."""
+    models, _ = md.species_ridge(two_features(tb.ridge_input(spark, sf)), alphas=(100.0,))
+    return rnd(models.select("end", "species", "alpha", "intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"), F.col("test_r2").alias("R2")))
+
+
+def minus_absolute_error(y: F.Column, pred: F.Column) -> F.Column:
+    return -F.avg(F.abs(y - pred))
+
+
+@register("feature_set_absolute_error_two_features", _with(*_SETS2_SQL[:-3], """errors AS (
+  SELECT feature_set, cell, alpha, avg(abs(c.y - b0 - b1 * c.x1 - b2 * c.x2)) AS mae
+  FROM cells c JOIN lines USING (feature_set, cell) GROUP BY feature_set, cell, alpha)""", """cv AS (
+  SELECT feature_set, alpha, avg(mae) AS cv_mae FROM errors WHERE cell > 0 GROUP BY feature_set, alpha
+  QUALIFY row_number() OVER (PARTITION BY feature_set ORDER BY cv_mae, alpha) = 1)""") + """
+SELECT feature_set, cv.alpha, round(cv.cv_mae, 7) AS cv_error, round(e.mae, 7) AS test_error FROM cv JOIN errors e USING (feature_set, alpha) WHERE e.cell = 0""")
+def q_feature_set_absolute_error(spark: SparkSession, sf: str) -> DataFrame:
+    """A scorer of the user's own (mean absolute error) chooses the alpha and scores the test genes."""
+    _, models = md.feature_set_ridge(two_feature_sets(spark, sf), cv_metric=minus_absolute_error)
+    return rnd(models.select("feature_set", "alpha", (-F.col("cv_score")).alias("cv_error"), (-F.col("test_score")).alias("test_error")))
+
 
 
 # ---------------------------------------------------------------------------
@@ -1237,26 +1314,13 @@ def q_sequence_pieces(spark: SparkSession, sf: str) -> DataFrame:
                     F.md5(F.array_join(sq.kmers("seq", 7, overlap=False), "|")).alias("kmers"))
 
 
-@register("letter_codes", _with(tb.sequences_sql(), """p AS (SELECT gene_id, substr(seq, 1, 300) AS s FROM seqs WHERE length(seq) > 0)""") + """
-SELECT gene_id, array_to_string(list_transform(string_split(s, ''), lambda b: CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END), '')
-         AS hot_slots,
-       array_to_string(list_transform(string_split(replace(s, 'N', 'A'), ''), lambda b: instr('ACGT', b) - 1), '') AS classes
-FROM p""")
-def q_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """F22 and F23 on the first 300 letters only, as its SQL says; ``letter_codes_whole`` encodes all."""
-    p = tb.sequences(spark, sf).where(F.length("seq") > 0).select("gene_id", sq.truncate("seq", 300).alias("s"))
-    slots = F.transform(sq.one_hot("s", 5, strict=False), lambda row: (F.array_position(row, F.lit(1.0)) - 1).cast("string"))
-    classes = F.transform(sq.class_labels(F.translate("s", "N", "A")), lambda x: x.cast("string"))
-    return p.select("gene_id", F.array_join(slots, "").alias("hot_slots"), F.array_join(classes, "").alias("classes"))
-
-
-@register("letter_codes_whole", _with(tb.sequences_sql(), """p AS (SELECT gene_id, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS piece FROM seqs)""",
+@register("letter_codes", _with(tb.sequences_sql(), """p AS (SELECT gene_id, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS piece FROM seqs)""",
                                       """c AS (SELECT gene_id, CAST(piece AS INTEGER) AS piece, substr(seq, piece * 1000 + 1, 1000) AS s FROM p)""") + """
 SELECT gene_id, piece, array_to_string(list_transform(string_split(s, ''), lambda b: CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END), '')
          AS hot_slots,
        array_to_string(list_transform(string_split(replace(s, 'N', 'A'), ''), lambda b: instr('ACGT', b) - 1), '') AS classes
 FROM c""")
-def q_letter_codes_whole(spark: SparkSession, sf: str) -> DataFrame:
+def q_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
     """F22 and F23 over the whole sequence, in pieces of 1,000 letters: the slot that is 1 in each letter's row, and the class of each letter (N read as A)."""
     p = tb.sequences(spark, sf).select("gene_id", F.posexplode(sq.chunks("seq", 1000)).alias("piece", "s"))
     slots = F.transform(sq.one_hot("s", 5, strict=False), lambda row: (F.array_position(row, F.lit(1.0)) - 1).cast("string"))
@@ -1278,20 +1342,8 @@ def q_embedding_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("brand_scores", _with(tb.EXPRESSION_SQL) + """
 SELECT species, round(power(corr(TPM, line), 2), 7) AS pearson_r2, round(stddev_samp(TPM) / avg(TPM), 7) AS user_rsd
-FROM samples WHERE line <= 3 GROUP BY species""")
-def q_brand_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A16 and X1 (one Python group a brand) over each order's first three lines only, as its SQL says; ``brand_scores_whole`` takes all rows."""
-    from sporeframe.functions.metrics import pearson_r2, user_aggregate
-    s = tb.expression_samples(spark, sf).where(F.col("line") <= 3).withColumn("line", F.col("line").cast("double"))
-    rsd = user_aggregate(lambda x: float(x.std(ddof=1) / x.mean()))
-    stats = s.groupBy("species").agg(pearson_r2("TPM", "line").alias("pearson_r2"))
-    return rnd(stats.join(s.groupBy("species").agg(rsd("TPM").alias("user_rsd")), "species"))
-
-
-@register("brand_scores_whole", _with(tb.EXPRESSION_SQL) + """
-SELECT species, round(power(corr(TPM, line), 2), 7) AS pearson_r2, round(stddev_samp(TPM) / avg(TPM), 7) AS user_rsd
 FROM samples GROUP BY species""")
-def q_brand_scores_whole(spark: SparkSession, sf: str) -> DataFrame:
+def q_brand_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A16 as a metric expression over all samples, X1 as Python reducers over
     a brand's samples of 4,096 order keys (bounded by an order's seven lines),
     whose counts, means and squared deviations are merged per brand."""
@@ -1308,28 +1360,20 @@ def q_brand_scores_whole(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(stats.join(merged, "species"))
 
 
-@register("skipped_species", """
-SELECT 'NATION_' || n_nationkey AS species, CASE WHEN max(c_custkey) IS NULL THEN 'no data' ELSE 'no c_acctbal' END AS reason
-FROM nation LEFT JOIN (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 40 < 2) c ON n_nationkey = c_nationkey
-GROUP BY n_nationkey HAVING count(CASE WHEN c_acctbal > 9000 THEN 1 END) = 0""")
-def q_skipped_species(spark: SparkSession, sf: str) -> DataFrame:
-    """S10 over the customers of some ids only, as its SQL says; ``skipped_species_whole`` reads all."""
-    wanted = tb.read_table(spark, sf, "nation").select(F.concat(F.lit("NATION_"), "n_nationkey").alias("species"))
-    c = tb.read_table(spark, sf, "customer").where(F.col("c_custkey") % 40 < 2)
-    data = c.select(F.concat(F.lit("NATION_"), "c_nationkey").alias("species"), F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("c_acctbal"))
-    return fl.skipped_report(wanted, data, "species", "c_acctbal")
+#: the customer segments that a user asks for; the last has no customer
+WANTED_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")
 
 
-@register("skipped_species_whole", """
+@register("skipped_species", f"""
 SELECT 'NATION_' || n_nationkey || ' ' || segment AS species, CASE WHEN max(c_custkey) IS NULL THEN 'no data' ELSE 'no c_acctbal' END AS reason
-FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer UNION ALL SELECT 'NONE')
+FROM (SELECT n_nationkey, unnest({list(WANTED_SEGMENTS)}) AS segment FROM nation)
 LEFT JOIN customer ON n_nationkey = c_nationkey AND segment = c_mktsegment
 GROUP BY n_nationkey, segment HAVING count(CASE WHEN c_acctbal > 9900 THEN 1 END) = 0""")
-def q_skipped_species_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """S10 over all customers: nation and segment pairs (and a segment nobody is in) without customers, or without one whose balance counts."""
+def q_skipped_species(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 over all customers: wanted pairs of nation and segment without customers, or without one whose balance counts."""
     c = tb.read_table(spark, sf, "customer")
-    segments = c.select(F.col("c_mktsegment").alias("segment")).distinct().union(spark.sql("SELECT 'NONE'"))
-    wanted = tb.read_table(spark, sf, "nation").crossJoin(segments).select(F.concat(F.lit("NATION_"), "n_nationkey", F.lit(" "), "segment").alias("species"))
+    segment = F.explode(F.array(*map(F.lit, WANTED_SEGMENTS))).alias("segment")
+    wanted = tb.read_table(spark, sf, "nation").select("n_nationkey", segment).select(F.concat(F.lit("NATION_"), "n_nationkey", F.lit(" "), "segment").alias("species"))
     data = c.select(F.concat(F.lit("NATION_"), "c_nationkey", F.lit(" "), "c_mktsegment").alias("species"), F.when(F.col("c_acctbal") > 9900, F.col("c_acctbal")).alias("c_acctbal"))
     return fl.skipped_report(wanted, data, "species", "c_acctbal")
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from sporeframe.functions.metrics import line_fit, r2_score
 from sporeframe.operators.joins import small_side
 from sporeframe.operators.ranking import group_row_number, ntile_of
-from sporeframe.operators.ridge import REFERENCE_ALPHAS, predict, ridge_bootstrap, ridge_cv
-from sporeframe.operators.split import group_kfold, holdout_split, kfold, poisson_weights
+from sporeframe.operators.ridge import REFERENCE_ALPHAS, Scorer, nested_ridge, predict, ridge_bootstrap, ridge_cv, with_keys
+from sporeframe.operators.split import bootstrap_weights, group_kfold, holdout_split, kfold
 from sporeframe.session import reliable_checkpoint
 
 
@@ -32,7 +32,7 @@ def species_ridge(data: DataFrame, key_cols: Sequence[str] = ("end", "species"),
     d = data.where(F.col("y").isNotNull() & ~F.isnan("y"))
     split = holdout_split(d, key_cols, id_col, test_size, seed, n_folds)
     # one row per model: materialised once, read by predictions and reports
-    models = reliable_checkpoint(ridge_cv(split, key_cols, "fold", "features", "y", alphas, n_folds))
+    models = reliable_checkpoint(ridge_cv(split, key_cols, "fold", "features", "y", alphas, n_folds, id_col=id_col))
     test_rows = split.where(F.col("is_test"))
     preds = predict(test_rows, models, key_cols, "features").select(
         *key_cols, id_col, F.col("y").alias("True_Value"), "Predicted_Value")
@@ -53,12 +53,12 @@ def r2_from_predictions(preds: DataFrame, key_cols: Sequence[str]) -> DataFrame:
 
 
 def feature_set_ridge(data: DataFrame, id_col: str = "gene_id", order_col: str = "row_order", n_folds: int = 5,
-                      alphas: Sequence[float] = REFERENCE_ALPHAS) -> tuple[DataFrame, DataFrame]:
+                      alphas: Sequence[float] = REFERENCE_ALPHAS, cv_metric: str | Scorer = "r2") -> tuple[DataFrame, DataFrame]:
     """M7: per feature set, train on non-test genes (``is_test`` from J7)
     with contiguous CV folds in table order, score Pearson r2 on the test
     genes.  Returns ``(metrics(model, r2, alpha), models)``."""
     folded = kfold(data, ["feature_set"], [order_col, id_col], n_folds, where=~F.col("is_test"))
-    models = ridge_cv(folded, ["feature_set"], "fold", "features", "y", alphas, n_folds)
+    models = ridge_cv(folded, ["feature_set"], "fold", "features", "y", alphas, n_folds, cv_metric, id_col)
     metrics = models.select(F.col("feature_set").alias("model"), F.col("test_pearson_r2").alias("r2"), "alpha")
     return metrics, models
 
@@ -69,45 +69,60 @@ def feature_set_predictions(data: DataFrame, models: DataFrame, id_col: str = "g
     return preds.select(F.col("feature_set").alias("model"), id_col, "y_pred", F.col("y").alias("y_true"))
 
 
+def nested_cells(data: DataFrame, block: str, id_col: str, order_col: str, outer: int, inner: int) -> DataFrame:
+    """``data`` with ``outer_fold`` (W7) and ``cell`` (see ``ridge.nested_plan``).
+
+    Only narrow rows are numbered: each outer fold's training rows in table order, and the places in the
+    table where its inner folds end.  A row's cell is its outer fold and, for every outer fold,
+    between which of these ends its place lies.
+    """
+    keys = ["feature_set", order_col, id_col]
+    g = group_kfold(data, ["feature_set"], block, outer, "outer_fold")
+    narrow = group_row_number(g.select(*keys, "outer_fold").distinct(), ["feature_set"], [order_col, id_col], "_place")
+    narrow = reliable_checkpoint(narrow)
+    others = narrow.select("feature_set", "_place", F.explode(F.expr(f"filter(sequence(1, {outer}), f -> f <> outer_fold)")).alias("_f"))
+    ranked = group_row_number(others, ["feature_set", "_f"], ["_place"], "_rn", count_name="_n")
+    ends = ranked.groupBy("feature_set", "_f", ntile_of("_rn", "_n", inner).alias("_fold")).agg(F.max("_place").alias("_end"))
+    # an array of ends for each outer fold, the last inner fold being open: a row for each feature set
+    ends = ends.where(F.col("_fold") < inner).groupBy("feature_set").agg(F.collect_list(F.struct("_f", "_end")).alias("_ends"))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(outer)), lambda f: (F.lit(1) + F.size(
+        F.filter("_ends", lambda e: (e["_f"] == f) & (e["_end"] < F.col("_place"))))).cast("string"))
+    named = with_keys(narrow, small_side(ends), ["feature_set"], "left").withColumn("_ends", F.coalesce("_ends", F.array().cast("array<struct<_f: int, _end: bigint>>")))
+    cells = named.select(*keys, "outer_fold", F.concat(F.col("outer_fold").cast("string"), F.lit(":"), F.array_join(digits, "")).alias("cell"))
+    return with_keys(data, small_side(cells), keys)
+
+
 def group_kfold_ridge(data: DataFrame, block: str = "block", id_col: str = "gene_id", order_col: str = "row_order",
-                      outer: int = 10, inner: int = 3, alphas: Sequence[float] = REFERENCE_ALPHAS) -> DataFrame:
+                      outer: int = 10, inner: int = 3, alphas: Sequence[float] = REFERENCE_ALPHAS) -> tuple[DataFrame, DataFrame]:
     """M8: ``outer`` group folds (W7); for each, a ridge with ``inner``-fold
     CV on the other folds' rows in table order, Pearson r2 on the fold.
 
-    Each row is copied once per outer fold (a fixed factor ``outer``): as
-    test row of its own fold and as training row of the others, where its
-    inner fold is its position among that fold's training rows.
+    Returns ``(metrics(model, fold, r2, alpha), predictions(model, fold, id, pred, true))``: every row is predicted once, by the
+    model of the folds that don't hold it.  No row is copied: training sets are sums of cells (``nested_cells``).
     """
-    g = group_kfold(data, ["feature_set"], block, outer, "outer_of_row")
-    copies = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(outer))).alias("outer_fold"))
-    train = copies.where(F.col("outer_fold") != F.col("outer_of_row"))
-    test = copies.where(F.col("outer_fold") == F.col("outer_of_row")).withColumn("cell", F.lit(0))
-    # inner folds from the narrow keys only; the wide copies are not numbered
-    keys = ["feature_set", "outer_fold", order_col, id_col]
-    ranked = group_row_number(train.select(*keys), ["feature_set", "outer_fold"], [order_col, id_col], "_rn",
-                              count_name="_n")
-    inner_of = small_side(ranked.select(*keys, ntile_of("_rn", "_n", inner).alias("cell")))
-    train = train.join(inner_of, keys)
-    cells = train.unionByName(test)
-    models = ridge_cv(cells, ["feature_set", "outer_fold"], "cell", "features", "y", alphas, inner)
-    return models.select(F.col("feature_set").alias("model"), F.col("outer_fold").alias("fold"),
-                         F.col("test_pearson_r2").alias("r2"), "alpha")
+    d = reliable_checkpoint(nested_cells(data.where(F.col("y").isNotNull() & ~F.isnan("y")), block, id_col, order_col, outer, inner))
+    models = reliable_checkpoint(nested_ridge(d, ["feature_set"], "cell", "features", "y", outer, inner, alphas, id_col))
+    models = models.withColumnRenamed("outer", "outer_fold")
+    metrics = models.select(F.col("feature_set").alias("model"), F.col("outer_fold").alias("fold"), F.col("pearson_r2").alias("r2"), "alpha")
+    preds = predict(d, models, ["feature_set", "outer_fold"], "features", "pred")
+    return metrics, preds.select(F.col("feature_set").alias("model"), F.col("outer_fold").alias("fold"), id_col, "pred", F.col("y").alias("true"))
 
 
 def bootstrap_ridge(data: DataFrame, models: DataFrame, id_col: str = "gene_id", replicates: int = 100,
                     seed: int = 42, name_filter=None) -> DataFrame:
-    """M9: per feature set, ``replicates`` resamples of the training genes
-    (Poisson(1) weights from a hash, so any cluster draws the same), ridge
+    """M9: per feature set, ``replicates`` resamples of the training genes (as many
+    draws with replacement as there are genes, see ``split.bootstrap_weights``), ridge
     with the alpha M7 chose, Pearson r2 on the test genes.  ``name_filter``
     is a Column predicate on ``feature_set`` (P14)."""
     # the alpha table (one row per model) is computed once, not per reading job
-    d = data.join(reliable_checkpoint(models.select("feature_set", "alpha")), "feature_set")
+    d = with_keys(data, reliable_checkpoint(models.select("feature_set", "alpha")), ["feature_set"])
     if name_filter is not None:
         d = d.where(name_filter)
-    w = F.when(~F.col("is_test"), poisson_weights(F.concat_ws(":", "feature_set", id_col), replicates, seed))
-    d = d.select("feature_set", "features", "y", "alpha", w.alias("w"),
-                 F.when(F.col("is_test"), F.lit(0)).otherwise(F.lit(1)).alias("cell"))
-    return ridge_bootstrap(d, ["feature_set"], "cell", "features", "y", "w", "alpha")
+    cols = ["feature_set", id_col, "features", "y", "alpha"]
+    train = bootstrap_weights(d.where(~F.col("is_test")), ["feature_set"], [id_col], replicates, seed, "w")
+    test = d.where("is_test").select(*cols, F.lit(None).cast("array<double>").alias("w"), F.lit(0).alias("cell"))
+    d = train.select(*cols, "w", F.lit(1).alias("cell")).unionByName(test)
+    return ridge_bootstrap(d, ["feature_set"], "cell", "features", "y", "w", "alpha", id_col)
 
 
 def bootstrap_spread(boot: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ def test_group_kfold_ridge_matches_numpy(spark):
         F.col("vec_id").alias("row_order"), F.concat(F.lit("b"), (F.col("vec_id") % 13).cast("string")).alias("block"),
         F.transform("embedding", lambda v: v.cast("double")).alias("features"),
         (F.col("label") + 20.0 * F.col("embedding")[0]).alias("y"))
-    got = {r["fold"]: r for r in md.group_kfold_ridge(emb).collect()}
+    got = {r["fold"]: r for r in md.group_kfold_ridge(emb)[0].collect()}
+    preds = {r["gene_id"]: r for r in md.group_kfold_ridge(emb)[1].collect()}
     pdf = emb.toPandas().sort_values("row_order").reset_index(drop=True)
     sizes = pdf.groupby("block").size().reset_index(name="n").sort_values(["n", "block"], ascending=[False, True])
     fold_of, loads = {}, [0] * 10
@@ -86,26 +87,29 @@ def test_group_kfold_ridge_matches_numpy(spark):
         pred = np.stack(te["features"]) @ beta + b0
         assert got[f]["alpha"] == alpha
         assert got[f]["r2"] == pytest.approx(pearson_r2(te["y"].to_numpy(), pred), rel=1e-6)
+        assert [preds[g]["pred"] for g in te["gene_id"]] == pytest.approx(pred.tolist(), rel=1e-6)
+        assert [(preds[g]["fold"], preds[g]["true"]) for g in te["gene_id"]] == [(f, y) for y in te["y"]]
+    assert len(preds) == len(pdf)
 
 
 def test_bootstrap_replicate_equals_fit_on_repeated_rows(spark):
     from brute import ridge_fit, scaler
     from sporeframe.operators.ridge import ridge_bootstrap
-    from sporeframe.operators.split import poisson_weights
+    from sporeframe.operators.split import bootstrap_weights
 
     emb = tb.read_table(spark, SF01, "embeddings").select(
         F.lit("emb").alias("feature_set"), F.col("vec_id").cast("string").alias("gene_id"),
         F.transform("embedding", lambda v: v.cast("double")).alias("features"),
         (F.col("label") + 20.0 * F.col("embedding")[0]).alias("y"), (F.col("label") == 3).alias("is_test"))
-    d = emb.select("feature_set", "features", "y", F.lit(100.0).alias("alpha"),
-                   F.when(~F.col("is_test"), poisson_weights("gene_id", 3)).alias("w"),
-                   F.when(F.col("is_test"), 0).otherwise(1).alias("cell"))
-    got = {r["replicate"]: r["pearson_r2"] for r in ridge_bootstrap(d, ["feature_set"], "cell", "features", "y", "w", "alpha").collect()}
+    train = bootstrap_weights(emb.where("not is_test"), ["feature_set"], ["gene_id"], 3, name="w")
+    test = emb.where("is_test").withColumn("w", F.lit(None).cast("array<double>"))
+    d = train.unionByName(test).withColumn("alpha", F.lit(100.0)).withColumn("cell", F.when(F.col("is_test"), 0).otherwise(1))
+    got = {r["replicate"]: r["pearson_r2"] for r in ridge_bootstrap(d, ["feature_set"], "cell", "features", "y", "w", "alpha", block=20).collect()}
     pdf = d.toPandas()
     tr, te = pdf[pdf["cell"] == 1], pdf[pdf["cell"] == 0]
     X, y = np.stack(tr["features"]), tr["y"].to_numpy()
     W = np.stack(tr["w"])
-    assert set(np.unique(W)) <= set(range(8)) and abs(W.mean() - 1) < 0.2  # Poisson(1) counts
+    assert (W.sum(axis=0) == len(tr)).all()  # n out of n
     for b in range(3):
         reps = W[:, b].astype(int)
         Xr, yr = np.repeat(X, reps, axis=0), np.repeat(y, reps)
@@ -113,3 +117,65 @@ def test_bootstrap_replicate_equals_fit_on_repeated_rows(spark):
         beta, b0 = ridge_fit((Xr - mu) / sd, yr, 100.0)
         pred = ((np.stack(te["features"]) - mu) / sd) @ beta + b0
         assert got[b + 1] == pytest.approx(pearson_r2(te["y"].to_numpy(), pred), rel=1e-6)
+
+
+def test_draws_are_exact_and_uniform(spark):
+    from sporeframe.operators.split import bootstrap_weights, leaves_from, multinomial_draws
+
+    for n in (1, 2, 7, 1000):
+        parts = [multinomial_draws(n, a, b, 50, 1, "g", 8) for a, b in leaves_from(n, 8, 0, n)]
+        w = np.concatenate(parts)
+        assert w.shape == (n, 50) and (w.sum(axis=0) == n).all()
+        cut = n // 3
+        assert sorted([*leaves_from(n, 8, 0, cut), *leaves_from(n, 8, cut, n)]) == sorted(leaves_from(n, 8, 0, n))
+    assert abs(w.var() - 1) < 0.05 and abs(w.mean(axis=1).std() - 1 / 50 ** 0.5) < 0.02  # as Poisson(1) nearly, no place preferred
+    rows = [(g, k) for g, n in (("a", 300), (None, 40), ("b", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows + [("a", 5)], "g string, k int")
+    first, again = (bootstrap_weights(x, ["g"], ["k"], 4, leaf=2).collect() for x in (df, df.repartition(7)))
+    assert sorted(first, key=str) == sorted(again, key=str) and len(first) == 342
+    for g, n in (("a", 300), (None, 40), ("b", 1)):
+        once = {r["k"]: r["weights"] for r in first if r["g"] == g}
+        assert [sum(c) for c in zip(*once.values())] == [n] * 4
+
+
+def test_null_model_keys_and_blocks(spark):
+    """A model whose key is NULL is a model, and the block width changes nothing."""
+    from sporeframe.operators import ridge
+
+    rng = np.random.default_rng(3)
+    rows = [(k, i, int(i % 6), rng.normal(size=9).tolist(), float(rng.normal())) for k in ("a", None) for i in range(60)]
+    rows += [("zeros", i, 1 + i % 5, [0.0] * 9, float(i % 3)) for i in range(40)]  # constant features, equal rows
+    df = spark.createDataFrame(rows, "k string, id long, cell int, x array<double>, y double")
+    whole = {r["k"]: r for r in ridge.ridge_cv(df, ["k"], "cell", "x", "y").collect()}
+    assert set(whole) == {"a", None, "zeros"} and whole["zeros"]["n_train"] == 40
+    for options in ({"block": 4}, {"block": 1}, {"block": 4, "rows_per_task": 2, "fanin": 3, "id_col": "id"}):
+        for r in ridge.ridge_cv(df, ["k"], "cell", "x", "y", **options).collect():
+            assert r["alpha"] == whole[r["k"]]["alpha"] and np.allclose(r["coef"], whole[r["k"]]["coef"], rtol=1e-9, atol=1e-12)
+    models = ridge.ridge_cv(df, ["k"], "cell", "x", "y")
+    assert ridge.predict(df, models, ["k"], "x").where("k is null").count() == 60
+    with pytest.raises(ValueError):
+        ridge.ridge_cv(df, ["k"], "cell", "x", "y", cv_metric="nonsense")
+
+
+def test_a_scorer_of_the_users_own(spark):
+    from brute import ridge_fit, scaler
+    from sporeframe.operators import ridge
+
+    rng = np.random.default_rng(4)
+    X, y = rng.normal(size=(80, 3)), rng.normal(size=80) * 3
+    y += X[:, 0]
+    cell = np.arange(80) % 4
+    df = spark.createDataFrame([("m", int(c), x.tolist(), float(v)) for c, x, v in zip(cell, X, y)], "k string, cell int, x array<double>, y double")
+    got, = ridge.ridge_cv(df, ["k"], "cell", "x", "y", n_folds=3, cv_metric=lambda t, p: -F.avg(F.abs(t - p))).collect()
+    mu, sd = scaler(X[cell > 0])
+    Z, errors = (X - mu) / sd, {}
+    for a in (10.0, 100.0, 1000.0):
+        each = []
+        for f in (1, 2, 3):
+            beta, b0 = ridge_fit(Z[(cell > 0) & (cell != f)], y[(cell > 0) & (cell != f)], a)
+            each.append(np.abs(y[cell == f] - Z[cell == f] @ beta - b0).mean())
+        errors[a] = np.mean(each)
+    best = min(errors, key=errors.get)
+    beta, b0 = ridge_fit(Z[cell > 0], y[cell > 0], best)
+    assert got["alpha"] == best and got["cv_score"] == pytest.approx(-errors[best])
+    assert got["test_score"] == pytest.approx(-np.abs(y[cell == 0] - Z[cell == 0] @ beta - b0).mean())
