@@ -10,11 +10,15 @@ table whose size is bounded by partitions + groups, not rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sporeframe.session import reliable_checkpoint
 
@@ -78,6 +82,33 @@ def group_row_number(
     return out.drop(*drop)
 
 
+def running_total(df: DataFrame, order_cols: Sequence[str | Column], value_col: str, name: str = "before") -> DataFrame:
+    """Add ``name`` = the sum of ``value_col`` over all rows that come before the row under ``order_cols``.
+
+    ``order_cols`` must give a total order.  One range shuffle on it; sums run inside each sorted
+    partition (``mapInArrow``, a batch in memory at a time) and get the partitions before added, from a table of a row each.
+    """
+    keys = _cols(order_cols)
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_here", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            values = batch.column(value_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = total + np.cumsum(values)
+            if len(values):
+                total = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part, dtype=np.int32)), pa.array(ends - values)], names=schema.names)
+
+    placed = reliable_checkpoint(ordered.mapInArrow(run, schema))
+    parts = placed.groupBy("_part").agg(F.sum(value_col).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = reliable_checkpoint(parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off")))
+    out = placed.join(F.broadcast(parts), placed["_part"] == parts["_p"]).withColumn(name, F.col("_here") + F.col("_off"))
+    return out.select(*[f"`{c}`" for c in df.columns], name)
+
+
 def ntile_of(rn: Column | str, n: Column | str, k: int) -> Column:
     """``ntile(k)`` from a 1-based position and the group size: the first
     ``n mod k`` tiles hold one row more (the usual k-fold sizes)."""

@@ -4,8 +4,8 @@ The reference asks a local taxonomy database for the topology of a taxon
 list; here the taxonomy is an edge DataFrame ``(child, parent)`` and every
 step is a join / aggregate.  Ancestors, new parents and depths come from
 pointer doubling: jumps of 1, 2, 4, ... levels, so the number of rounds is the
-logarithm of the depth and there is no limit on depth or width.  Only the text
-of T3, whose sorting needs its children's texts, is built level by level.
+logarithm of the depth and there is no limit on depth or width.  The text of a
+tree (T3) is a table of ordered rows, placed by an Euler tour.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sporeframe.operators.ranking import running_total
 from sporeframe.session import reliable_checkpoint
 
 MAX_ROUNDS = 40  # 2^40 levels: more can only be a cycle
-LEVELS_PER_PLAN = 8
 
 
 def _pointers(edges: DataFrame) -> DataFrame:
@@ -99,33 +99,78 @@ def name_nodes(tree: DataFrame, names: DataFrame) -> DataFrame:
     return tree.join(n, "child", "left")
 
 
-def newick(tree: DataFrame, branch_length: str | None = "1") -> DataFrame:
-    """One-row Newick string of a named tree ``(child, parent, name)``.
+def subtree_totals(tree: DataFrame, value: str) -> DataFrame:
+    """``(child, parent, total)``: sum of ``value`` over each node's subtree.
 
-    Built bottom-up one level at a time, with a checkpoint every few levels: a
-    node's text is its children's texts, sorted and comma-joined in
-    parentheses, then its name; leaves are their names.  The result is one
-    string, so the tree must fit in one row (2 GB).  ``branch_length`` is written after every non-root node
-    (ete3's format 1 writes the default length 1).
+    By doubling: after round k a node holds the sum of the nodes less than 2^k levels below; each node
+    2^k levels below then adds its own.  Rounds are the logarithm of the depth, rows never multiply, and a hot
+    parent's children are summed before the shuffle."""
+    state = tree.select("child", "parent", F.col("parent").alias("up"), F.col(value).cast("long").alias("total"))
+    for _ in _rounds():
+        state = reliable_checkpoint(state)
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("child", "parent", "total")
+        more = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_to")).agg(F.sum("total").alias("_more"))
+        via = state.select(F.col("child").alias("_via"), F.col("up").alias("_far"))
+        state = state.join(more, F.col("child") == F.col("_to"), "left").join(via, F.col("up") == F.col("_via"), "left").select(
+            "child", "parent", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+
+
+def path_totals(tree: DataFrame, value: str) -> DataFrame:
+    """``(child, total)``: sum of ``value`` over each node and all its ancestors, by pointer doubling."""
+    state = tree.select("child", F.col("parent").alias("up"), F.col(value).cast("long").alias("total"))
+    for _ in _rounds():
+        state = reliable_checkpoint(state)
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("child", "total")
+        via = state.select(F.col("child").alias("_via"), F.col("up").alias("_far"), F.col("total").alias("_more"))
+        state = state.join(via, F.col("up") == F.col("_via"), "left").select(
+            "child", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+
+
+def newick_rows(tree: DataFrame, branch_length: str | None = "1") -> DataFrame:
+    """The Newick text of a named tree ``(child, parent, name)`` as ordered rows ``(place, text)``.
+
+    The texts in the order of ``place`` (0, 1, 2, ...) are the tree: ``(`` for each inner node, then its
+    children, then ``)`` and its name; a leaf is its name; commas come before all children but the first.
+    Children go by name, then id.  A root ends with ``;``; several roots follow one another.  ``branch_length``
+    is written after every non-root node (the usual default length is 1); a node without a name shows its id,
+    and brackets, commas, colons and semicolons in names become ``_``.
+
+    A node's place is its place in the Euler tour: the steps from the root down to it, each 1 + the rows of the earlier
+    siblings' subtrees.  Subtree sizes and path sums come from doubling, sibling sums from one running total, so
+    no row holds more than one node's text and any depth, width and size will do.
     """
-    suffix = F.lit(f":{branch_length}") if branch_length else F.lit("")
-    depth_tbl = node_depths(tree, tree.select(F.col("child").alias("node")))
-    t = reliable_checkpoint(tree.join(depth_tbl.withColumnRenamed("node", "child"), "child"))
-    max_depth = t.agg(F.max("depth")).first()[0] or 0
     label = F.regexp_replace(F.coalesce(F.col("name"), F.col("child").cast("string")), "[(),:;]", "_")
-    text = t.select("child", "parent", "depth", label.alias("label"), F.lit(None).cast("string").alias("sub"))
-    done = None
-    for d in range(max_depth, -1, -1):
-        level = text.where(F.col("depth") == d)
-        if done is not None:
-            kids = done.groupBy(F.col("parent").alias("child")).agg(
-                F.array_join(F.sort_array(F.collect_list("txt")), ",").alias("kids"))
-            level = level.join(kids, "child", "left")
-        else:
-            level = level.withColumn("kids", F.lit(None).cast("string"))
-        own = F.when(F.col("kids").isNull(), F.col("label")).otherwise(F.concat(F.lit("("), "kids", F.lit(")"), "label"))
-        done = level.select("child", "parent", F.when(F.col("parent").isNull(), own)
-                            .otherwise(F.concat(own, suffix)).alias("txt"))
-        if d and (max_depth - d) % LEVELS_PER_PLAN == LEVELS_PER_PLAN - 1:
-            done = reliable_checkpoint(done)
-    return done.where(F.col("parent").isNull()).select(F.concat("txt", F.lit(";")).alias("newick"))
+    t = reliable_checkpoint(tree.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"), label.alias("label")))
+    inner = t.where("parent IS NOT NULL").select(F.col("parent").alias("_inner")).distinct()
+    t = t.join(inner, F.col("child") == F.col("_inner"), "left").withColumn("rows", F.when(F.col("_inner").isNull(), 1).otherwise(2).cast("long")).drop("_inner")
+    t = reliable_checkpoint(t)
+    sized = t.drop("parent").join(subtree_totals(t, "rows"), "child")
+    laid = reliable_checkpoint(running_total(sized, ["parent", "label", "child"], "total"))
+    first = laid.groupBy("parent").agg(F.min("before").alias("_first")).withColumnRenamed("parent", "_parent")
+    laid = laid.join(reliable_checkpoint(first), F.col("parent").eqNullSafe(F.col("_parent"))).withColumn("earlier", F.col("before") - F.col("_first"))
+    laid = reliable_checkpoint(laid.withColumn("step", F.col("earlier") + F.when(F.col("parent").isNull(), 0).otherwise(1)))
+    placed = laid.join(path_totals(laid, "step").toDF("_node", "place"), F.col("child") == F.col("_node"))
+    root = F.col("parent").isNull()
+    comma = F.when(root | (F.col("earlier") == 0), F.lit("")).otherwise(F.lit(","))
+    end = F.when(root, F.lit(";")).otherwise(F.lit(f":{branch_length}" if branch_length else ""))
+    leaf = F.array(F.struct(F.col("place"), F.concat(comma, "label", end).alias("text")))
+    both = F.array(F.struct(F.col("place"), F.concat(comma, F.lit("(")).alias("text")),
+                   F.struct((F.col("place") + F.col("total") - 1).alias("place"), F.concat(F.lit(")"), "label", end).alias("text")))
+    return placed.select(F.explode(F.when(F.col("rows") == 1, leaf).otherwise(both)).alias("_r")).select("_r.place", "_r.text")
+
+
+def write_newick(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``newick_rows`` as text files in order; each row is a line, and the files one after another are the tree
+    (white space between the parts of a Newick text has no meaning)."""
+    ordered = rows.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select(F.col("text").alias("value")).write.mode(mode).text(path)
+
+
+def newick(tree: DataFrame, branch_length: str | None = "1", most_rows: int = 1_000_000) -> DataFrame:
+    """A small tree's ``newick_rows`` as one row and string; a tree of more than ``most_rows`` rows is an error."""
+    rows = reliable_checkpoint(newick_rows(tree, branch_length))
+    if rows.count() > most_rows:
+        raise ValueError("the tree is too large for one row: use newick_rows")
+    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda r: r["text"]), "").alias("newick"))

@@ -1165,7 +1165,7 @@ def q_taxonomy_subtree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The stand-in taxonomy is at most three levels deep (region, nation,
-# customer), so the oracle builds the Newick text level by level.
+# customer), so the oracle places the Newick text level by level.
 _NEWICK_SQL = _TREE_SQL[:-1] + """,
 tt AS (SELECT k.node AS child,
               CASE WHEN anc.a1 IN (SELECT node FROM kept) THEN anc.a1 WHEN anc.a2 IN (SELECT node FROM kept) THEN anc.a2 END
@@ -1174,21 +1174,29 @@ tt AS (SELECT k.node AS child,
        FROM kept k LEFT JOIN anc ON k.node = anc.node LEFT JOIN names ON k.node = names.node),
 d AS (SELECT t.*, CASE WHEN t.parent IS NULL THEN 0 WHEN p.parent IS NULL THEN 1 ELSE 2 END AS depth
       FROM tt t LEFT JOIN tt p ON t.parent = p.child),
-t2 AS (SELECT child, parent, label || ':1' AS txt FROM d WHERE depth = 2),
-t1 AS (SELECT d.child, d.parent,
-              CASE WHEN count(t2.txt) > 0 THEN '(' || string_agg(t2.txt, ',' ORDER BY t2.txt) || ')' || d.label
-                   ELSE d.label END || ':1' AS txt
-       FROM d LEFT JOIN t2 ON t2.parent = d.child WHERE d.depth = 1 GROUP BY d.child, d.parent, d.label)
-SELECT CASE WHEN count(t1.txt) > 0 THEN '(' || string_agg(t1.txt, ',' ORDER BY t1.txt) || ')' || d.label
-            ELSE d.label END || ';' AS newick
-FROM d LEFT JOIN t1 ON t1.parent = d.child WHERE d.depth = 0 GROUP BY d.child, d.label
+z2 AS (SELECT child, parent, label, 1 AS ev FROM d WHERE depth = 2),
+z1 AS (SELECT d.child, d.parent, d.label, CASE WHEN count(z2.child) = 0 THEN 1 ELSE 2 + sum(z2.ev) END AS ev
+       FROM d LEFT JOIN z2 ON z2.parent = d.child WHERE d.depth = 1 GROUP BY d.child, d.parent, d.label),
+z0 AS (SELECT d.child, d.label, CASE WHEN count(z1.child) = 0 THEN 1 ELSE 2 + sum(z1.ev) END AS ev
+       FROM d LEFT JOIN z1 ON z1.parent = d.child WHERE d.depth = 0 GROUP BY d.child, d.label),
+p0 AS (SELECT child, label, ev, sum(ev) OVER (ORDER BY label, child) - ev AS place, '' AS comma, ';' AS tail FROM z0),
+p1 AS (SELECT z.child, z.label, z.ev, p.place + 1 + sum(z.ev) OVER w - z.ev AS place,
+              CASE WHEN row_number() OVER w > 1 THEN ',' ELSE '' END AS comma, ':1' AS tail
+       FROM z1 z JOIN p0 p ON z.parent = p.child WINDOW w AS (PARTITION BY z.parent ORDER BY z.label, z.child)),
+p2 AS (SELECT z.child, z.label, z.ev, p.place + 1 + sum(z.ev) OVER w - z.ev AS place,
+              CASE WHEN row_number() OVER w > 1 THEN ',' ELSE '' END AS comma, ':1' AS tail
+       FROM z2 z JOIN p1 p ON z.parent = p.child WINDOW w AS (PARTITION BY z.parent ORDER BY z.label, z.child)),
+p AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)
+SELECT CAST(place AS BIGINT) AS place, comma || CASE WHEN ev = 1 THEN label || tail ELSE '(' END AS text FROM p
+UNION ALL SELECT CAST(place + ev - 1 AS BIGINT), ')' || label || tail FROM p WHERE ev > 1
 """
 
 
 @register("taxonomy_newick", _NEWICK_SQL)
 def q_taxonomy_newick(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 as ordered rows: their texts by place are the Newick text."""
     edges, names = taxonomy(spark, sf)
-    return tr.newick(tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names))
+    return tr.newick_rows(tr.name_nodes(tr.induced_subtree(edges, chosen_taxa(spark, sf)), names))
 
 
 # ---------------------------------------------------------------------------

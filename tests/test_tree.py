@@ -40,3 +40,46 @@ def test_a_cycle_is_an_error(spark, monkeypatch):
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
     with pytest.raises(ValueError, match="cycle"):
         tr.with_ancestors(loop, loop.select(F.col("child").alias("node")))
+
+
+def plain_newick(edges, name):
+    kids = {}
+    for child, parent in edges:
+        kids.setdefault(parent, []).append(child)
+
+    def text(node, length=":1"):
+        below = sorted(kids.get(node, []), key=lambda c: (name(c), c))
+        return (f"({','.join(map(text, below))})" if below else "") + name(node) + length
+
+    return "".join(text(r, ";") for r in sorted(kids[None], key=lambda c: (name(c), c)))
+
+
+def test_newick_rows_of_random_forests(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    edges = [("r0", None), ("r1", None), ("lone", None)] + [(f"n{i}", rng.choice(["r0", "r1"] + [f"n{j}" for j in range(max(0, i - 30), i)])) for i in range(400)]
+    edges += [(f"w{i}", "n3") for i in range(500)] + [(f"c{i}", f"c{i - 1}" if i else "n5") for i in range(70)]
+    label = lambda c: f"same{len(c)}" if c.startswith("n") else c  # noqa: E731  many equal names
+    tree = spark.createDataFrame([(c, p, label(c)) for c, p in edges], "child string, parent string, name string")
+    rows = tr.newick_rows(tree).collect()
+    assert sorted(r["place"] for r in rows) == list(range(len(rows)))
+    want = plain_newick(edges, label)
+    assert "".join(r["text"] for r in sorted(rows, key=lambda r: r["place"])) == want
+    tr.write_newick(tr.newick_rows(tree), str(tmp_path / "tree"))
+    files = sorted((tmp_path / "tree").glob("part-*"))
+    assert "".join(f.read_text() for f in files).replace("\n", "") == want
+
+
+def test_newick_names_and_sizes(spark):
+    import pytest
+
+    tree = spark.createDataFrame([("a", None, "x(y):z;"), ("b", "a", None)], "child string, parent string, name string")
+    assert tr.newick(tree).first()[0] == "(b:1)x_y__z_;" and tr.newick(tree, None).first()[0] == "(b)x_y__z_;"
+    with pytest.raises(ValueError):
+        tr.newick(tree, most_rows=1)
+    assert tr.newick_rows(tree.limit(0)).collect() == []
+    wide = spark.range(200_000).select(F.concat(F.lit("c"), "id").alias("child"), F.lit("root").alias("parent"), F.lit(None).cast("string").alias("name"))
+    wide = wide.union(spark.sql("SELECT 'root', CAST(NULL AS STRING), 'r'"))
+    sizes = tr.newick_rows(wide).agg(F.count(F.lit(1)), F.max(F.length("text")), F.max("place")).first()
+    assert tuple(sizes) == (200_002, 10, 200_001)
