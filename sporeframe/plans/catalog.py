@@ -9,6 +9,7 @@ carries the same alias on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from sporeframe.plans import mapping as mp
 from sporeframe.plans import models as md
 from sporeframe.plans import reports as rp
 from sporeframe.plans import validate as va
-from sporeframe.session import reliable_checkpoint
+from sporeframe.session import ensure_checkpoint_dir, reliable_checkpoint
 from sporeframe.sources import files as fl
 from sporeframe.sources import tables as tb
 
@@ -1336,6 +1337,21 @@ def q_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("gene_id", "piece", F.array_join(slots, "").alias("hot_slots"), F.array_join(classes, "").alias("classes"))
 
 
+@register("matrix_round_trip", """
+SELECT 'sp' || label AS species, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_idx, len(embedding) AS width,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
+FROM embeddings""")
+def q_matrix_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """One matrix file for each species, written in the shared checkpoint folder, and read back by row ranges."""
+    from sporeframe.sources import npy
+    folder = f"{ensure_checkpoint_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    e = tb.read_table(spark, sf, "embeddings").select(F.concat(F.lit("sp"), "label").alias("species"), "vec_id", "embedding")
+    npy.write_npy(e, folder, "species", ["vec_id"], "embedding")
+    back = npy.read_npy(spark, folder)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(F.regexp_extract("source", "([^/]+)[.]npy$", 1).alias("species"), "row_idx", F.size("embedding").cast("long").alias("width"), F.round(total, 4).alias("total"))
+
+
 @register("embedding_columns", """
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS embed_0, round(CAST(embedding[2] AS DOUBLE), 7) AS embed_1, round(CAST(embedding[3] AS DOUBLE), 7) AS embed_2,
        round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[3] AS DOUBLE), 7) AS back FROM embeddings""")

@@ -4,10 +4,12 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sporeframe.functions.clean import int_without_nbsp
 from sporeframe.sources import files as fl
+from sporeframe.sources import npy
 
 
 def _write(path, text, encoding="utf-8"):
@@ -59,12 +61,50 @@ def test_npy_rows_keep_order(spark, tmp_path):
     a = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "x_three_embeddings.npy", a)
     np.save(tmp_path / "y_three_embeddings.npy", a[:2] * 2)
-    df = fl.read_npy(spark, str(tmp_path), "*_three_embeddings.npy")
+    df = npy.read_npy(spark, str(tmp_path), "*_three_embeddings.npy")
     got = {(os.path.basename(r["source"]), r["row_idx"]): r["embedding"] for r in df.collect()}
     assert got[("x_three_embeddings.npy", 3)] == [9.0, 10.0, 11.0]
     assert len(got) == 6
 
 
+@pytest.mark.parametrize("dtype", ["<f4", "<f8", ">i4", "u1"])
+def test_one_matrix_is_read_by_several_tasks(spark, tmp_path, dtype):
+    a = (np.arange(700).reshape(100, 7) % 200).astype(dtype)
+    (tmp_path / "deep").mkdir()
+    np.save(tmp_path / "rows.npy", a)
+    np.save(tmp_path / "deep" / "columns.npy", np.asfortranarray(a))
+    np.save(tmp_path / "cube.npy", a.reshape(50, 2, 7))
+    np.save(tmp_path / "vector.npy", a[0])
+    np.save(tmp_path / "none.npy", a[:0])
+    df = npy.read_npy(spark, str(tmp_path), split_bytes=7 * a.dtype.itemsize * 30)
+    assert df.where("source like '%rows.npy'").select(F.spark_partition_id()).distinct().count() == 4
+    got = {}
+    for r in df.collect():
+        got.setdefault(os.path.basename(r["source"]), {})[r["row_idx"]] = r["embedding"]
+    want = {"rows.npy": a, "columns.npy": a, "cube.npy": a.reshape(50, 14), "vector.npy": a[:1]}
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v.astype(float).tolist() for k, v in want.items()}
+    assert npy.read_npy(spark, f"file:{tmp_path}/rows.npy").count() == 100
+    assert npy.read_npy(spark, str(tmp_path), "*.nothing").collect() == []
+
+
+def test_a_matrix_file_for_each_species(spark, tmp_path):
+    rows = [(s, i, [float(i), float(len(str(s))), -1.5]) for s, n in (("Sp a", 5000), ("b", 3), (None, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "species string, gene int, v array<double>")
+    npy.write_npy(df.orderBy(F.rand(1)), str(tmp_path / "out"), "species", ["gene"], "v", "float64")
+    files = {f.name: np.load(f) for f in (tmp_path / "out").iterdir()}
+    assert set(files) == {"Sp_a.npy", "b.npy", "null.npy"}
+    assert files["Sp_a.npy"].tolist() == [v for s, _, v in rows if s == "Sp a"] and files["null.npy"].tolist() == [v for s, _, v in rows if s is None]
+    back = npy.read_npy(spark, str(tmp_path / "out"), split_bytes=24 * 1000)
+    assert back.where("source like '%Sp_a.npy' and embedding[0] = row_idx").count() == 5000
+    npy.write_npy(df.where("species = 'b'"), str(tmp_path / "out"), "species", ["gene"], "v")  # overwrites the folder's matrices
+    assert [f.name for f in (tmp_path / "out").iterdir()] == ["b.npy"]
+    with pytest.raises(Exception, match="share the file"):
+        npy.write_npy(spark.createDataFrame([("x y", 1, [1.0]), ("x_y", 1, [1.0])], df.schema), str(tmp_path / "clash"), "species", ["gene"], "v")
+    with pytest.raises(Exception, match="vectors of"):
+        npy.write_npy(spark.createDataFrame([("x", 1, [1.0]), ("x", 2, [1.0, 2.0])], df.schema), str(tmp_path / "ragged"), "species", ["gene"], "v")
+    assert not list((tmp_path / "ragged").glob("*.npy"))
+
+
 def test_per_species_writes_and_skipped(spark, tmp_path):
     df = spark.createDataFrame([("sp a", "g1", 1.0), ("sp b", "g2", None)], "species string, geneId string, TPM double")
     out = str(tmp_path / "out")
