@@ -116,7 +116,12 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     max_voters: int = 6000, rank: int = 64, neighbours: int = 25, seed: int = 7,
 ) -> Model:
-    """Fit on at most `max_voters` labelled rows for which `usable` (an expression over the id) holds."""
+    """Fit on at most `max_voters` labelled ids for which `usable` (an expression over the id) holds.
+
+    Defined cases: an id with several labels has the larger one; an id with several rows counts once, with its
+    smallest text; a null text counts as empty; null ids, null and other labels, and labels without a row
+    are left out; document frequencies count every row of `docs`; without any labelled row every score is 1.
+    """
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(usable)
@@ -127,6 +132,7 @@ def fit(
         chosen = known.where(F.col("label") == label).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_voters // 2)
         parts.append(chosen.select(F.col(id_col).alias("_id"), "label"))
     sample = docs.select(id_col, text_col).join(F.broadcast(parts[0].unionAll(parts[1])), F.col(id_col) == F.col("_id"))
+    sample = sample.groupBy(F.col("_id").cast("string").alias("key"), "label").agg(F.coalesce(F.min(text_col), F.lit("")).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +143,7 @@ def fit(
                     yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), packed], names=["key", "label", "counts"])
 
     # a row of counts holds its non-zero terms only; the id's hash puts the rows in a repeatable order
-    rows = sample.select(F.col(id_col).cast("string").alias("key"), "label", text_col).mapInArrow(count, "key string, label int, counts binary")
-    rows = sorted(rows.dropDuplicates(["key"]).collect())
+    rows = sorted(sample.mapInArrow(count, "key string, label int, counts binary").collect())
     if not rows:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.ones(1), np.full(1, 1.0), 1, 1.0)
     y = np.array([r["label"] for r in rows], dtype=np.float64)

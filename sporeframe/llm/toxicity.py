@@ -97,9 +97,12 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_rows: int = 8000, vocabulary: int = 1500, min_rows: int = 4,
 ) -> Model:
-    """Fit on at most `max_rows` labelled rows (half of each label, equal texts once) for which `usable` holds.
+    """Fit on at most `max_rows` labelled ids (half of each label, equal texts once) for which `usable` holds.
 
-    Without labelled rows of both labels every document gets severity zero.
+    Defined cases: an id with several labels has the larger one; an id with several rows counts once, with its
+    smallest text, so `max_rows` bounds what reaches the driver; a null text counts as empty; null ids, null and
+    other labels, and labels without a row are left out; without labelled rows of both labels every
+    document gets severity zero.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(usable)
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
@@ -108,6 +111,7 @@ def fit(
         .select(F.col(id_col).alias("_id"), "label") for label in (0, 1)
     ]
     sample = docs.select(id_col, text_col).join(F.broadcast(parts[0].unionAll(parts[1])), F.col(id_col) == F.col("_id"))
+    sample = sample.groupBy("_id", "label").agg(F.coalesce(F.min(text_col), F.lit("")).alias("_text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +123,7 @@ def fit(
                     [*mine.columns[:3], pa.array([h.view(np.int64) for h, _ in pairs], pa.list_(pa.int64())), pa.array([n for _, n in pairs], pa.list_(pa.int64()))],
                     names=["k1", "k2", "label", "words", "counts"])
 
-    rows = sample.select(*text_key(F.col(text_col)), "label", text_col).dropDuplicates(["k1", "k2", "label"])
+    rows = sample.select(*text_key(F.col("_text")), "label", "_text").dropDuplicates(["k1", "k2", "label"])
     rows = materialise(rows.mapInArrow(count, "k1 long, k2 long, label int, words array<long>, counts array<long>"), "toxic-words")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
