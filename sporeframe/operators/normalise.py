@@ -33,43 +33,57 @@ def power_transform(x: Column, lam: Column, method: str) -> Column:
     return F.when(x >= 0, one(size, lam)).otherwise(-one(size, 2 - lam))
 
 
-def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str = "boxcox",
-               name: str = "lam") -> DataFrame:
-    """Maximum-likelihood lambda per group: ``(group..., <name>, llf)``.
-
-    Box-Cox needs positive values: a group holding x <= 0 gets no row.
-    Groups with fewer than two values get none either.  Each stage is one
-    grouped aggregate over (value, candidate) pairs, combined before the
-    shuffle, so a group of any size spreads over all tasks; only (group,
-    lambda) rows pass from stage to stage.
+def fit_lambdas(df: DataFrame, group_cols: Sequence[str], value: str, methods: dict[str, str]) -> DataFrame:
+    """Maximum-likelihood lambdas per group, one column for each of ``methods`` (column name -> ``boxcox`` or
+    ``yeojohnson``): ``(group..., <name>..., <name>_llf...)``.
+
+    Box-Cox needs positive values: its lambda is NULL in a group holding x <= 0.  Groups with fewer than two
+    values get no row.  Each stage is one grouped aggregate over (value, method, candidate) rows, combined
+    before the shuffle, so a group of any size spreads over all tasks; only
+    (group, method, lambda) rows pass from stage to stage, for all methods at once.
     """
     group_cols = list(group_cols)
-    x = F.col("_x")
+    x, name = F.col("_x"), F.col("_name")
     d = df.select(*group_cols, F.col(value).cast("double").alias("_x")).where(x.isNotNull())
     # read by every stage; dealt evenly, as each row becomes a hundred candidates that few small partitions would compute
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = reliable_checkpoint(d.repartition(parts))
-    slope = F.log(x) if method == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
-    groups = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.sum(slope).alias("_jac"), F.min("_x").alias("_least"))
+    slope = {"boxcox": F.log(x), "yeojohnson": F.signum(x) * F.log1p(F.abs(x))}
+    groups = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), *[F.sum(slope[m]).alias(f"_jac_{m}") for m in set(methods.values())])
+    each = [F.when(F.col("_least") > 0 if m == "boxcox" else F.lit(True), F.struct(F.lit(k).alias("name"), F.col(f"_jac_{m}").alias("jac"))) for k, m in methods.items()]
     groups = groups.where(F.col("_n") >= 2)
-    if method == "boxcox":
-        groups = groups.where(F.col("_least") > 0)
-    best = reliable_checkpoint(groups.select(*group_cols, "_n", "_jac", F.lit(0.0).alias("_center")))
+    best = groups.select(*group_cols, "_n", F.explode(F.filter(F.array(*each), lambda e: e.isNotNull())).alias("_e"))
+    best = reliable_checkpoint(best.select(*group_cols, "_n", F.col("_e.name").alias("_name"), F.col("_e.jac").alias("_jac"), F.lit(0.0).alias("_center")))
+
+    def transformed(lam: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for k, m in methods.items():
+            out = F.when(name == k, power_transform(x, lam, m)).otherwise(out)
+        return out
+
     for lo, hi, step in STAGES:
         grid = [round(lo + step * i, 10) for i in range(int(round((hi - lo) / step)) + 1)]
         # rounded, so a candidate that should be 0 is exactly 0 (the log case)
         lams = F.transform(F.array(*[F.lit(g) for g in grid]), lambda g: F.round(F.col("_center") + g, 10))
-        now = best.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_n", "_jac", "_center")
+        now = best.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_name", "_n", "_jac", "_center")
         on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols], F.lit(True))
-        pairs = d.join(small_side(now), on).select(*group_cols, "_n", "_jac", "_x", F.explode(lams).alias("_lam"))
-        var = pairs.groupBy(*group_cols, "_n", "_jac", "_lam").agg(F.var_pop(power_transform(x, F.col("_lam"), method)).alias("_var"))
+        keys = [*group_cols, "_name", "_n", "_jac"]
+        pairs = d.join(small_side(now), on).select(*keys, "_x", F.explode(lams).alias("_lam"))
+        var = pairs.groupBy(*keys, "_lam").agg(F.var_pop(transformed(F.col("_lam"))).alias("_var"))
         llf = (F.col("_lam") - 1) * F.col("_jac") - F.col("_n") / 2 * F.log("_var")
         # likelihoods equal to 9 decimals are ties (flat ones of tiny groups differ by rounding noise): the smaller |lambda| wins
         order = F.struct(F.round(F.coalesce(llf, F.lit(float("-inf"))), 9).alias("l"), (-F.abs("_lam")).alias("a"), (-F.col("_lam")).alias("b"))
-        top = var.groupBy(*group_cols, "_n", "_jac").agg(F.max(order).alias("_best"))
-        best = reliable_checkpoint(top.select(*group_cols, "_n", "_jac", (-F.col("_best.b")).alias("_center"), F.col("_best.l").alias("_llf")))
-    return best.select(*group_cols, F.col("_center").alias(name), F.col("_llf").alias("llf"))
+        top = var.groupBy(*keys).agg(F.max(order).alias("_best"))
+        best = reliable_checkpoint(top.select(*keys, (-F.col("_best.b")).alias("_center"), F.col("_best.l").alias("_llf")))
+    outs = [F.max(F.when(name == k, F.col(c))).alias(k + tail) for tail, c in (("", "_center"), ("_llf", "_llf")) for k in methods]
+    return best.groupBy(*group_cols).agg(*outs)
+
+
+def fit_lambda(df: DataFrame, group_cols: Sequence[str], value: str, method: str = "boxcox",
+               name: str = "lam") -> DataFrame:
+    """`fit_lambdas` for one method: ``(group..., <name>, llf)``; a group without a lambda gets no row."""
+    return fit_lambdas(df, group_cols, value, {name: method}).withColumnRenamed(f"{name}_llf", "llf")
 
 
 def apply_fitted(df: DataFrame, lambdas: DataFrame, group_cols: Sequence[str], value: str, method: str,

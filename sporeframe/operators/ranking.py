@@ -202,3 +202,82 @@ def drop_position(df: DataFrame, order_cols: Sequence[str], position: int) -> Da
     """
     numbered = group_row_number(df.withColumn("_all", F.lit(1)), ["_all"], order_cols, "_pos")
     return numbered.where(F.col("_pos") != position).drop("_all", "_pos")
+
+
+def nested_percentiles(df: DataFrame, group_cols: Sequence[str], level_col: str, value_col: str, probs: dict[str, float],
+                       levels: int, buckets: int = 1024, few_rows: int = 4096) -> DataFrame:
+    """Exact linearly interpolated percentiles for nested sets: ``(group..., level, <prob>...)``, where set ``level`` of a
+    group has its rows with ``level_col >= level`` (0 .. levels - 1).
+
+    Values are found by refinement: rows are counted by (group, level, bucket of the value's range), the buckets that
+    hold a wanted rank of any set are kept, and their rows are counted again in the narrower range, until a
+    bucket has one value or at most ``few_rows`` rows, which are sorted.  No group is buffered, rows are not copied for the sets, counts are combined
+    before the shuffle, and every round reads only the rows of wanted buckets.  NULL and NaN are left out; values
+    must be finite.
+    """
+    g = list(group_cols)
+    names = [f"_g{i}" for i in range(len(g))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(g, names)], F.col(level_col).cast("int").alias("_level"), F.col(value_col).cast("double").alias("_v"))
+    rows = reliable_checkpoint(rows.where((F.col("_level") >= 0) & F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_cell", F.lit(0).cast("long")))
+
+    def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Null-safe join of `a` with the small table `b`."""
+        from sporeframe.operators.joins import small_side
+
+        renamed = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+        on = reduce(lambda p, q: p & q, [a[k].eqNullSafe(renamed[f"{k}_"]) for k in keys])
+        return a.join(small_side(renamed), on).drop(*[f"{k}_" for k in keys])
+
+    sets = rows.groupBy(*names, "_level").agg(F.count(F.lit(1)).alias("_c")).select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("_level"), F.lit(levels - 1)))).alias("_t"))
+    sets = sets.groupBy(*names, "_t").agg(F.sum("_c").alias("_n"))
+    at = {k: F.lit(float(p)) * (F.col("_n") - 1) for k, p in probs.items()}  # places from 0
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()])))
+    sizes = reliable_checkpoint(sets)
+    wanted = (sizes.select(*names, "_t", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_cell"), F.lit(0).cast("long").alias("_base")))
+    bounds = reliable_checkpoint(rows.groupBy(*names, "_cell").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+    cell = [*names, "_cell"]
+    finds = []
+    while True:
+        # halves first, so the width of a range of any finite values is finite
+        share = (F.col("_v") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2)
+        sub = F.when(F.col("_b") > F.col("_a"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
+        placed = same(rows, bounds, cell).withColumn("_sub", sub).drop("_a", "_b")
+        counts = reliable_checkpoint(placed.groupBy(*cell, "_sub", "_level").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        by_set = counts.withColumn("_all", F.sum("_c").over(Window.partitionBy(*cell, "_sub"))).select(
+            "*", F.explode(F.sequence(F.lit(0), F.least(F.col("_level"), F.lit(levels - 1)))).alias("_t"))
+        by_set = by_set.groupBy(*cell, "_sub", "_t").agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_all").alias("_all"))
+        # a row for each bucket of a cell, at most `buckets`
+        up_to = Window.partitionBy(*cell, "_t").orderBy("_sub").rowsBetween(Window.unboundedPreceding, 0)
+        by_set = by_set.withColumn("_before", F.sum("_c").over(up_to) - F.col("_c"))
+        renamed = by_set.withColumnsRenamed({k: f"{k}_" for k in [*cell, "_t"]})
+        on = reduce(lambda p, q: p & q, [wanted[k].eqNullSafe(renamed[f"{k}_"]) for k in [*cell, "_t"]])
+        hit = wanted.join(renamed, on).where((F.col("_rank") >= F.col("_base") + F.col("_before")) & (F.col("_rank") < F.col("_base") + F.col("_before") + F.col("_c")))
+        hit = hit.select(*names, "_t", "_rank", "_cell", "_sub", (F.col("_base") + F.col("_before")).alias("_base"), "_lo", "_hi", "_all")
+        hit = reliable_checkpoint(hit)
+        finds.append(hit.where("_lo = _hi").select(*names, "_t", "_rank", F.col("_lo").alias("_v")))
+        open_ = hit.where("_lo < _hi")
+        # cells are numbered anew in each group: at most two a probability and set
+        number = F.row_number().over(Window.partitionBy(*names).orderBy("_cell", "_sub")).cast("long")
+        kept = reliable_checkpoint(open_.select(*cell, "_sub", "_all").distinct().withColumn("_new", number))
+        few = kept.where(F.col("_all") <= few_rows).drop("_all")
+        lists = same(placed, few, [*cell, "_sub"]).groupBy(*names, "_new").agg(F.sort_array(F.collect_list(F.struct("_v", "_level"))).alias("_list"))
+        small = open_.where(F.col("_all") <= few_rows)
+        small = same(small, few, [*cell, "_sub"]).select(*names, "_t", "_rank", "_base", "_new")
+        lists = lists.withColumnsRenamed({k: f"{k}_" for k in [*names, "_new"]})
+        on = reduce(lambda p, q: p & q, [small[k].eqNullSafe(lists[f"{k}_"]) for k in [*names, "_new"]])
+        mine = F.filter("_list", lambda e: e["_level"] >= F.col("_t"))
+        finds.append(small.join(lists, on).select(*names, "_t", "_rank", F.get(mine, F.col("_rank") - F.col("_base"))["_v"].alias("_v")))
+        kept = kept.where(F.col("_all") > few_rows).drop("_all")
+        if kept.isEmpty():
+            break
+        wanted = reliable_checkpoint(same(open_.where(F.col("_all") > few_rows), kept, [*cell, "_sub"]).select(*names, "_t", "_rank", F.col("_new").alias("_cell"), "_base"))
+        rows = reliable_checkpoint(same(placed, kept, [*cell, "_sub"]).select(*names, "_level", "_v", F.col("_new").alias("_cell")))
+        bounds = reliable_checkpoint(rows.groupBy(*cell).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+    found = reduce(DataFrame.unionAll, finds)
+    values = found.groupBy(*names, "_t").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))  # two entries a probability
+    out = same(sizes, reliable_checkpoint(values), [*names, "_t"])
+    outs = []
+    for k, a in at.items():
+        lo, hi = F.element_at("_m", F.floor(a)), F.element_at("_m", F.ceil(a))
+        outs.append((lo + (hi - lo) * (a - F.floor(a))).alias(k))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(g, names)], F.col("_t").alias("level"), *outs)

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sporeframe.functions.clean import clean_numeric, lenient_double
 from sporeframe.functions.metrics import rsd
 from sporeframe.functions.transform import boxcox, yeojohnson
 from sporeframe.operators.joins import lookup
-from sporeframe.operators.ranking import exact_percentiles, first_per_key
+from sporeframe.operators.ranking import exact_percentiles, first_per_key, nested_percentiles
+from sporeframe.session import reliable_checkpoint
 
 # Threshold grids and describe() percentiles of the reference.
 REFERENCE_TPM_THRESHOLDS = (1, 5)
@@ -71,35 +72,26 @@ def rsd_sweep(stats: DataFrame, medians: Sequence[int] = SWEEP_MEDIANS,
               percentiles: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
     """``describe()`` of gene RSD for each ``median > i`` (A6), tagged ``tmp_threshold``.
 
-    Each gene is exploded once per threshold it passes (at most
-    ``len(medians)`` copies, a constant), so the six group-bys of the
-    reference become one.
+    No gene is copied and no species is gathered: a gene has the level of the largest threshold it passes,
+    statistics are merged from levels, and percentiles come from ``ranking.nested_percentiles``.
     """
-    lo, hi = min(medians), max(medians)
-    passing = (
-        stats.where(F.col("median") > lo)
-        .select(
-            "species",
-            "rsd",
-            F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi), F.ceil("median").cast("int") - 1))).alias("tmp_threshold"),
-        )
-        .where(F.col("tmp_threshold").isin(list(medians)))
-    )
-    keys = ["species", "tmp_threshold"]
-    # A group here holds one species' genes: its size is bounded by the
-    # genome (tens of thousands), not by the number of samples, so the exact
-    # ``percentile`` aggregate (one buffer per group) is safe and one pass.
-    pct = F.percentile("rsd", F.array(*[F.lit(float(p)) for p in percentiles]))
-    agg = passing.groupBy(*keys).agg(
-        F.count("rsd").alias("count"),
-        F.avg("rsd").alias("mean"),
-        F.stddev_samp("rsd").alias("std"),
-        F.min("rsd").alias("min"),
-        F.max("rsd").alias("max"),
-        pct.alias("_p"),
-    )
-    return agg.select(*keys, "count", "mean", "std", "min",
-                      *[F.col("_p")[i].alias(pct_name(p)) for i, p in enumerate(percentiles)], "max")
+    steps = sorted(medians)
+    level = sum((F.col("median") > i).cast("int") for i in steps) - 1
+    genes = stats.select("species", level.alias("level"), "rsd").where(F.col("level") >= 0)
+    parts = genes.groupBy("species", "level").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("rsd").alias("n"), F.avg("rsd").alias("m"), F.var_pop("rsd").alias("v"), F.min("rsd").alias("least"), F.max("rsd").alias("most"))
+    # from here on a row for each species and level
+    parts = reliable_checkpoint(parts).select("*", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("t"))
+    parts = parts.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w := Window.partitionBy("species", "t")) / F.sum("n").over(w))
+    spread = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))))
+    n = F.sum("n")
+    agg = parts.groupBy("species", "t").agg(
+        n.alias("count"), F.max("mean").alias("mean"), F.when(n > 1, F.sqrt(spread / F.when(n > 1, n - 1))).alias("std"), F.min("least").alias("min"), F.max("most").alias("max"))
+    names = {pct_name(p): float(p) for p in percentiles}
+    pct = nested_percentiles(genes, ["species"], "level", "rsd", names, len(steps)).withColumnsRenamed({"species": "_s", "level": "_t"})
+    out = agg.join(pct, F.col("species").eqNullSafe(F.col("_s")) & (F.col("t") == F.col("_t")), "left")
+    threshold = F.element_at(F.array(*[F.lit(i) for i in steps]), F.col("t") + 1).cast("int")
+    return out.select("species", threshold.alias("tmp_threshold"), "count", "mean", "std", "min", *names, "max")
 
 
 def _combos(tpm_thresholds: Sequence[float], rsd_thresholds: Sequence[float]) -> list[tuple[int, float, float]]:
@@ -199,17 +191,14 @@ def threshold_search_fitted(samples: DataFrame, tpm_thresholds: Sequence[float]
     Returns ``(best, genes, lambdas)``; ``genes`` (one row per gene and
     passing pair) is materialised once because four jobs read it.
     """
-    from sporeframe.operators.normalise import fit_lambda
-    from sporeframe.session import reliable_checkpoint
+    from sporeframe.operators.normalise import fit_lambdas
 
     stats = gene_stats(samples)
     genes = filter_genes(stats, tpm_thresholds, rsd_thresholds)
     if checkpoint:
         genes = reliable_checkpoint(genes)
     keys = ["species", "combo"]
-    lam_bc = fit_lambda(genes, keys, "TPM", "boxcox", "lam_bc").drop("llf")
-    lam_yj = fit_lambda(genes, keys, "TPM", "yeojohnson", "lam_yj").drop("llf")
-    lambdas = lam_bc.join(lam_yj, keys, "full")
+    lambdas = reliable_checkpoint(fit_lambdas(genes, keys, "TPM", {"lam_bc": "boxcox", "lam_yj": "yeojohnson"}).select(*keys, "lam_bc", "lam_yj"))
     best = best_thresholds(score_combos(genes, fitted=lambdas))
     return best, genes, lambdas
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sporeframe.operators import ranking as rk
+from sporeframe.operators.ranking import nested_percentiles
 from sporeframe.operators.split import group_kfold, holdout_split
 
 
@@ -88,3 +89,33 @@ def test_group_kfold_never_splits_a_group(spark, skewed):
     per_block = f.groupBy("blk").agg(F.countDistinct("fold").alias("n")).where("n > 1").count()
     assert per_block == 0
     assert f.select("fold").distinct().count() == 10
+
+
+@pytest.mark.parametrize("buckets, few", [(64, 3), (1024, 4096)])
+def test_nested_percentiles_by_refinement(spark, buckets, few):
+    rng = np.random.default_rng(7)
+    rows = [("a", int(rng.integers(-1, 3)), float(v)) for v in rng.lognormal(0, 3, 700)] + [("a", 2, 0.25)] * 300  # a heavy tie
+    rows += [(None, 0, float(v)) for v in rng.normal(size=7)] + [("one", 1, 5.0), ("same", 2, -1.5), ("same", 0, -1.5)]
+    rows += [("wide", 0, 1e300), ("wide", 0, -1e300), ("wide", 1, 1e-300), ("wide", 1, 0.0), ("nothing", -1, 3.0), ("a", 1, None), ("a", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, lev int, v double")
+    probs = {"p0": 0.0, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
+    got = {(r["g"], r["level"]): r for r in nested_percentiles(df, ["g"], "lev", "v", probs, 3, buckets, few).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for t in range(3):
+            vals = [v for x, lev, v in rows if x == g and lev >= t and v is not None and v == v]
+            if vals:
+                want[g, t] = np.percentile(vals, [100 * p for p in probs.values()])
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert [got[k][p] for p in probs] == pytest.approx(w.tolist(), rel=1e-12)
+    assert nested_percentiles(df.limit(0), ["g"], "lev", "v", probs, 3).collect() == []
+
+
+def test_running_total_over_partitions(spark):
+    from sporeframe.operators.ranking import running_total
+
+    df = spark.range(5000).selectExpr("id AS k", "id % 7 AS v", "'x' AS s").repartition(9)
+    got = {r["k"]: r["before"] for r in running_total(df, ["k"], "v").collect()}
+    assert got == {k: before for k, before in zip(range(5000), np.cumsum([0, *(k % 7 for k in range(4999))]).tolist())}
+    assert running_total(df.limit(0), ["k"], "v").collect() == []
