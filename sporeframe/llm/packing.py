@@ -18,7 +18,8 @@ Memory: at most ``buffer_tokens`` plus one document are held at a time.
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -37,7 +38,10 @@ _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def _little(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -75,7 +79,7 @@ class WordCache:
     the young become old and the old are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
