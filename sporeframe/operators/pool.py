@@ -3,7 +3,7 @@
 The language model of the reference is an external download; here any
 callable ``encoder(input_ids, attention_mask) -> hidden_states`` (numpy
 ``[layers, batch, tokens, hidden]``) runs inside ``mapInPandas`` on batches
-of ``batch_size`` rows, and the layer / token pooling happens in the same
+of ``batch_size`` rows (made once per worker, see ``Resident``), and the layer / token pooling happens in the same
 task, so the per-token hidden states never become Spark rows.  A small
 deterministic encoder is built in for tests and the bench.
 """
@@ -47,29 +47,70 @@ def window_mean(layer: np.ndarray, pos: np.ndarray, width: int = 5) -> np.ndarra
     return np.stack([layer[b, lo[b]:hi[b] + 1].mean(axis=0) for b in range(layer.shape[0])])
 
 
+class Resident:
+    """An encoder that each Python worker makes once: only the maker and its arguments travel with the tasks.
+
+    ``files`` are names of files that the application ships to every executor once (``SparkContext.addFile``, as
+    ``--files`` does); their local paths are passed to the maker after the arguments.  Two encoders of equal makers,
+    arguments and files share one object in a worker.
+    """
+
+    _made: dict = {}
+
+    def __init__(self, maker: Callable[..., Encoder], *args, files: Sequence[str] = ()):
+        self.maker, self.args, self.files = maker, args, tuple(files)
+
+    def __call__(self, input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
+        key = (f"{self.maker.__module__}.{self.maker.__qualname__}", repr(self.args), self.files)
+        if key not in Resident._made:
+            from pyspark import SparkFiles
+
+            Resident._made[key] = self.maker(*self.args, *(SparkFiles.get(f) for f in self.files))
+        return Resident._made[key](input_ids, attention_mask)
+
+
 def embed(df: DataFrame, id_cols: Sequence[str], encoder: Encoder, ids_col: str = "input_ids",
           mask_col: str = "attention_mask", batch_size: int = 50, target_layer: int | Sequence[int] = (8,),
-          masked: bool = False, name: str = "embedding") -> DataFrame:
+          masked: bool = False, name: str = "embedding", window: tuple[str, int] | None = None) -> DataFrame:
     """``(id..., embedding ARRAY<FLOAT>)``, one row per input row, order
-    inside each task kept.  Rows are fed to ``encoder`` ``batch_size`` at a
-    time; the encoder object is shipped once per task with the closure."""
+    inside each task kept.
+
+    Rows are fed to ``encoder`` ``batch_size`` at a time, rows of like length together; with ``masked`` (the mean over a row's own
+    tokens) a batch is cut to its longest row.  ``window`` names a column of places and a width: the mean of
+    the tokens from ``place - width`` to ``place`` (F33).  A large model goes in a `Resident`, else the encoder
+    is shipped with the closure.
+    """
     id_cols = list(id_cols)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     schema = f"{fields}, `{name}` array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
+            lengths = np.array([int(np.sum(m)) for m in pdf[mask_col]])
+            order = np.argsort(lengths, kind="stable")
+            pooled: list = [None] * len(pdf)
             for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
+                mine = order[start:start + batch_size]
+                part = pdf.iloc[mine]
                 ids = np.stack(part[ids_col].to_numpy()).astype(np.int64)
                 mask = np.stack(part[mask_col].to_numpy()).astype(np.int64)
-                hidden = np.asarray(encoder(ids, mask))
-                pooled = token_mean(select_layers(hidden, target_layer), mask if masked else None)
-                out = part[id_cols].copy()
-                out[name] = list(pooled.astype(np.float32))
-                yield out
-
-    return df.select(*id_cols, ids_col, mask_col).mapInPandas(run, schema)
+                if masked and window is None and (mask[:, 1:] <= mask[:, :-1]).all():  # padding on the right only
+                    longest = max(1, int(lengths[mine].max()))
+                    ids, mask = ids[:, :longest], mask[:, :longest]
+                layer = select_layers(np.asarray(encoder(ids, mask)), target_layer)
+                if window is not None:
+                    found = window_mean(layer, part[window[0]].to_numpy().astype(np.int64), window[1])
+                else:
+                    found = token_mean(layer, mask if masked else None)
+                for k, v in zip(mine, found.astype(np.float32)):
+                    pooled[k] = v
+            out = pdf[id_cols].copy()
+            out[name] = pooled
+            yield out
+
+    return df.select(*id_cols, ids_col, mask_col, *([window[0]] if window else [])).mapInPandas(run, schema)
 
 
 class ProjectionEncoder:

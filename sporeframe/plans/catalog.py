@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sporeframe.functions import seq as sq
+from sporeframe.functions.clean import clean_numeric
 from sporeframe.functions.transform import boxcox as _boxcox
 from sporeframe.functions.transform import log10p1
 from sporeframe.operators import aggregates as ag
@@ -1220,6 +1221,51 @@ def q_rule_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return emb.select("gene_id", F.posexplode("embedding").alias("dim", "value")).select("gene_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
+@register("window_embeddings", _TOKEN_SQL.replace("AS lead FROM seqs)", "AS lead FROM seqs QUALIFY length(seq) >= 300)", 1) + """,
+padded AS (SELECT gene_id, CAST(gene_id AS BIGINT) % 600 AS p, body || list_transform(range(0, 512 - len(body)), lambda i: 0) AS ids FROM ids),
+windows AS (SELECT gene_id, ids[least(511, greatest(0, p - 5)) + 1 : least(511, p) + 1] AS ids FROM padded),
+dims AS (SELECT unnest(range(0, 4)) AS dim)
+SELECT gene_id, CAST(dim AS INTEGER) AS dim, round(list_avg(list_transform(ids, lambda t: sin((t + 1) * (dim + 1) * 0.01 + 1))), 4) AS value
+FROM windows, dims""")
+def q_window_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """F33 and M12 with an encoder that each worker makes once: the mean of the six tokens up to a place, clamped to the sequence."""
+    t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s")).where(F.length("s") == 300)
+    ids = fe.species_vocabulary(tb.sequences(spark, sf), "source")
+    toks = fe.token_table(t, "gene_id", "source", "s", k=6, max_len=512, species_ids=ids).withColumn("pos", F.col("gene_id").cast("long") % 600)
+    emb = pl.embed(toks, ["gene_id"], pl.Resident(pl.SineEncoder, 4, 2), target_layer=1, window=("pos", 5))
+    return emb.select("gene_id", F.posexplode("embedding").alias("dim", "value")).select("gene_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@register("finite_ratios", """
+SELECT l_returnflag, count(*) AS n_rows, count(*) FILTER (isfinite(v)) AS n_finite, round(avg(v) FILTER (isfinite(v)), 7) AS mean
+FROM (SELECT l_returnflag, CASE WHEN l_discount > 0 THEN CAST(l_tax AS DOUBLE) / CAST(l_discount AS DOUBLE) WHEN l_tax > 0.04 THEN 'inf'::DOUBLE
+             WHEN l_tax > 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS v FROM lineitem) GROUP BY l_returnflag""")
+def q_finite_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Infinite and NaN ratios become NULL before the aggregates."""
+    x, y = F.col("l_tax").cast("double"), F.col("l_discount").cast("double")
+    odd = F.when(F.col("l_tax") > 0.04, F.lit(float("inf"))).when(F.col("l_tax") > 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    v = F.when(F.col("l_discount") > 0, F.try_divide(x, y)).otherwise(odd)
+    d = tb.read_table(spark, sf, "lineitem").select("l_returnflag", clean_numeric(v).alias("v"))
+    return rnd(d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.count("v").alias("n_finite"), F.avg("v").alias("mean")))
+
+
+@register("downstream_sets", _with(*_SETS2_SQL[:5]) + """
+SELECT name AS feature_set, count(*) AS n_genes, count(*) FILTER (is_test) AS n_test
+FROM g JOIN zip ON g.gene_id = zip.gene_id, (SELECT unnest(['Downstream: embedding', 'Combined: Downstream: embedding ! Upstream: embedding']) AS name) GROUP BY name""")
+def q_downstream_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature sets picked by their names, the sets of both ends included."""
+    data = feature_set_input(spark, sf, name_filter=F.col("feature_set").contains("Downstream") & ~F.col("feature_set").contains("6-mer"), kmer_sets=False)
+    return data.groupBy("feature_set").agg(F.count(F.lit(1)).alias("n_genes"), F.count_if("is_test").alias("n_test"))
+
+
+@register("fold_spread_two_features", _with(*_MPRA2_SQL) + """
+SELECT 'shape' AS model, round(2 * stddev_samp(pr2), 7) AS r2 FROM model""")
+def q_fold_spread_two(spark: SparkSession, sf: str) -> DataFrame:
+    """A24 over the outer folds' scores."""
+    folds, _ = md.group_kfold_ridge(mpra_two_features(spark, sf))
+    return rnd(md.bootstrap_spread(folds.select(F.col("model").alias("feature_set"), F.col("r2").alias("pearson_r2"))))
+
+
 @register("sequence_embeddings")
 def q_sequence_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     t = tb.sequences(spark, sf).select("gene_id", "source", sq.truncate("seq", 300).alias("s"))

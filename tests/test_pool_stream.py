@@ -47,3 +47,30 @@ def test_streaming_etl_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["geneId"], r["TPM"], r["taxon"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("G1", 1.5, "Candida albicans"), ("G4", 7.0, "")]
+
+
+def test_resident_encoder_windows_and_lengths(spark, tmp_path):
+    from sporeframe.operators.pool import ProjectionEncoder, Resident, embed, select_layers, token_mean, window_mean
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(0, 30, 12).tolist(), [1] * n + [0] * (12 - n), int(p)) for i, (n, p) in enumerate(zip(rng.integers(1, 13, 40), rng.integers(-3, 20, 40)))]
+    df = spark.createDataFrame(rows, "id int, input_ids array<int>, attention_mask array<int>, pos long").repartition(3)
+    encoder = ProjectionEncoder(30, 5, 3)
+    hidden = select_layers(encoder(np.array([r[1] for r in rows]), None), (1,))
+    mask = np.array([r[2] for r in rows])
+    resident = Resident(ProjectionEncoder, 30, 5, 3)
+    for options, want in (({}, token_mean(hidden)), ({"masked": True}, token_mean(hidden, mask)),
+                          ({"window": ("pos", 4)}, window_mean(hidden, np.array([r[3] for r in rows]), 4))):
+        got = {r["id"]: r["embedding"] for r in embed(df, ["id"], resident, batch_size=7, target_layer=(1,), **options).collect()}
+        assert np.allclose([got[i] for i in range(40)], want, atol=1e-6)
+    (tmp_path / "table.txt").write_text("3")
+
+    def scaled_encoder(factor, path):
+        with open(path) as f:
+            scale = factor * float(f.read())
+        return lambda ids, mask: (ids * scale)[None, :, :, None]
+
+    spark.sparkContext.addFile(str(tmp_path / "table.txt"))
+    scaled = Resident(scaled_encoder, 2.0, files=["table.txt"])
+    got = {r["id"]: r["embedding"] for r in embed(df, ["id"], scaled, target_layer=0).collect()}
+    assert got[0] == [pytest.approx(6.0 * np.mean(rows[0][1]))]
