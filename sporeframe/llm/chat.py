@@ -6,10 +6,11 @@ roles), so no control string can occur in them and the parse is unique.
 
 Conversations that share their initial turns share the nodes of a tree: a
 node is a turn after all turns before it, named by a chained hash.  The nodes
-of all trees are laid out depth-first, each once: ordering by path (the chained
-hashes from the root) is depth-first order, so one range shuffle and a prefix
-sum over its partitions place every node, however large a tree or a node's
-family is.  A node has its place in its tree's token sequence, the position id
+of all trees are laid out depth-first, each once: a node starts after its parent's tokens and
+the subtrees of its earlier siblings.  Subtree sizes and sums along paths come
+from pointer doubling over the parents, sums over siblings from one range shuffle, so
+a node's row has a fixed width however long its conversation is, and neither a
+large tree nor a node's family lies in one task.  A node has its place in its tree's token sequence, the position id
 of its first token (the tokens before it in its own conversations) and the
 intervals of its ancestors, which its tokens attend to besides their own node
 up to themselves.  The loss mask covers the (escaped) texts of assistant turns.
@@ -21,16 +22,16 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sporeframe.llm.common import materialise
+from sporeframe.operators.ranking import running_total
+from sporeframe.operators.tree import path_totals, subtree_totals
 
 # fixed values: the template's control strings
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
@@ -80,7 +81,7 @@ class Tree(NamedTuple):
 
 _TURNS = T.StructType([
     T.StructField("conv", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("tree", T.BinaryType()), T.StructField("node", T.BinaryType()),
-    T.StructField("path", T.BinaryType()), T.StructField("position", T.LongType()), T.StructField("length", T.LongType()),
+    T.StructField("parent", T.BinaryType()), T.StructField("position", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_from", T.LongType()), T.StructField("loss_to", T.LongType()),
 ])
 
@@ -93,15 +94,16 @@ def _chain(vocabulary: str, pattern: str):
             for lo in range(0, batch.num_rows, 256):
                 rows = []
                 for r in batch.slice(lo, 256).to_pylist():
-                    node, path, position, tree = b"", b"", 0, None
+                    node, position, tree = None, 0, None
                     for depth, t in enumerate(r["turns"]):
                         role, text = t["role"], t["text"]
-                        node = hashlib.blake2b(b"".join([node, len(role).to_bytes(8, "big"), role.encode(), text.encode()]), digest_size=16).digest()
-                        tree, path = tree or node, path + node[:8]
+                        parent = node
+                        node = hashlib.blake2b(b"".join([parent or b"", len(role).to_bytes(8, "big"), role.encode(), text.encode()]), digest_size=16).digest()
+                        tree = tree or node
                         head, body, tail = (encode(x) for x in (f"{OPEN}{escape(role, ':')}{MIDDLE}", escape(text), CLOSE))
                         ids = head + body + tail
                         loss = (len(head), len(head) + len(body)) if role == LEARNED_ROLE else (0, 0)
-                        rows.append((r["conv"], depth, tree, node, path, position, len(ids), ids, *loss))
+                        rows.append((r["conv"], depth, tree, node, parent, position, len(ids), ids, *loss))
                         position += len(ids)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW)], names=_TURNS.names)
@@ -112,24 +114,17 @@ def _chain(vocabulary: str, pattern: str):
 _ARROW = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
 
 
-def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the lengths before each row of a sorted partition."""
-    part, total = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ends = [*accumulate(batch.column("length").to_pylist(), initial=total)]
-        total = ends[-1]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("length"), pa.array([part] * batch.num_rows, pa.int32()), pa.array(ends[:-1], pa.int64())],
-                                         names=["node", "length", "part", "before"])
-
-
 def place_nodes(nodes: DataFrame) -> DataFrame:
-    """``(node, at)``: tokens before each node when all are laid out by path."""
-    ordered = nodes.select("path", "node", "length").repartitionByRange("path", "node").sortWithinPartitions("path", "node")
-    placed = materialise(ordered.mapInArrow(_running, "node binary, length long, part int, before long"), "chat-order")
-    parts = placed.groupBy("part").agg(F.sum("length").alias("n")).collect()  # one number per partition
-    sums = dict(zip((p for p, _ in sorted(parts)), accumulate((n for _, n in sorted(parts)), initial=0)))
-    base = placed.sparkSession.createDataFrame([(p, n) for p, n in sums.items()], "part int, base long")
-    return placed.join(F.broadcast(base), "part").select("node", (F.col("base") + F.col("before")).alias("at"))
+    """``(node, start)``: tokens before each node in its tree when all are laid out depth-first, siblings by their names."""
+    edges = materialise(nodes.select(F.col("node").alias("child"), "parent", "length"), "chat-edges")
+    sized = subtree_totals(edges, "length")
+    laid = running_total(sized.where("parent IS NOT NULL"), ["parent", "child"], "total")
+    # a row for each parent: what its first child's running total and its own tokens make of a child's
+    families = laid.groupBy("parent").agg(F.min("before").alias("first")).join(edges.select(F.col("child").alias("parent"), "length"), "parent")
+    families = materialise(families.select("parent", (F.col("length") - F.col("first")).alias("shift")), "chat-families")
+    steps = laid.join(families, "parent").select("child", "parent", (F.col("before") + F.col("shift")).alias("step"))
+    roots = sized.where("parent IS NULL").select("child", "parent", F.lit(0).cast("long").alias("step"))
+    return path_totals(materialise(roots.unionAll(steps), "chat-steps"), "step").toDF("node", "start")
 
 
 def prefix_trees(
@@ -150,14 +145,10 @@ def prefix_trees(
     whole = materialise(turns.withColumn("conv", F.monotonically_increasing_id()), "chat-conversations", "zstd")
     chained = materialise(whole.select("conv", "turns").mapInArrow(_chain(vocabulary, pattern), _TURNS), "chat-turns", "zstd")
     nodes = chained.groupBy("node").agg(
-        F.min("conv").alias("owner"), *[F.first(c).alias(c) for c in ("tree", "depth", "path", "position", "length", "ids", "loss_from", "loss_to")]
+        F.min("conv").alias("owner"), *[F.first(c).alias(c) for c in ("tree", "depth", "parent", "position", "length", "ids", "loss_from", "loss_to")]
     )
     nodes = materialise(nodes, "chat-nodes", "zstd")
-    at = materialise(place_nodes(nodes), "chat-places")
-    roots = nodes.where("depth = 0").select("node", F.col("tree").alias("root")).join(at, "node").select("root", F.col("at").alias("root_at"))
-    # the tree's own coordinates, by turn of every conversation
-    spots = nodes.select("node", "tree", "length", "owner").join(at, "node").join(roots, F.col("tree") == F.col("root"))
-    spots = materialise(spots.select("node", "length", "owner", (F.col("at") - F.col("root_at")).alias("start")), "chat-spots")
+    spots = materialise(nodes.select("node", "length", "owner").join(place_nodes(nodes), "node"), "chat-spots")
     met = chained.select("conv", "depth", "node").join(spots, "node")
     line = F.array_sort(F.collect_list(F.struct("depth", "start", "length", "node", (F.col("owner") == F.col("conv")).alias("owned"))))
     lines = materialise(met.groupBy("conv").agg(line.alias("line")), "chat-lines")

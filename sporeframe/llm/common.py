@@ -43,9 +43,41 @@ def materialise(df: DataFrame, tag: str, compression: str = "none") -> DataFrame
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: paths of this process's scratch tables, by application
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that this process wrote, by the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the scratch tables of this application's finished operators; returns how many.
+
+    To be called when results have been written: a DataFrame that an operator returned reads its scratch tables.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes scratch tables that nothing will read again (`materialise`'s results, as they are)."""
+    for df in tables:
+        spark, folder = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        known = _SCRATCH.get(spark.sparkContext.applicationId, [])
+        for path in [p for p in known if any(f.endswith(p.rsplit("/", 1)[-1]) for f in folder)]:
+            known.remove(path)
+            _delete(spark, path)
+
+
 def replace_columns(df: DataFrame, new: dict[str, Column], drop: tuple[str, ...] = ()) -> list[Column]:
     """Select list: the columns of `df` but those named in `new` or `drop`, then `new`."""
     gone = {c.lower() for c in [*new, *drop]}
@@ -242,6 +274,9 @@ def windows(bounds: np.ndarray, width: int) -> np.ndarray:
 # ---------------------------------------------------------------------------
 
 
+MAX_ROUNDS = 200
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)``: the smallest node that links reach, for every node with a link.
 
@@ -251,7 +286,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rows never grows; a hub's rows are combined before the shuffle (`min`), and
     as the minima are written out, both sides of its join are exchanges that
     Spark can split.  The number of rounds grows with the logarithm of the
-    longest path.  Nothing comes to the driver but a count and a sum.
+    longest path (more than `MAX_ROUNDS` is an error); a round's tables are removed
+    after it.  Nothing comes to the driver but a count and a sum.
     """
     # columns of the link table are renamed once; a link runs from the larger to the smaller node
     def tidy(df: DataFrame) -> DataFrame:
@@ -262,9 +298,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     edges = materialise(tidy(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
     seen = signature(edges)
-    while True:
+    for _ in range(MAX_ROUNDS):
+        old = [edges]
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "link-minima")
+        old.append(least)
         large = tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = materialise(large, "large-stars")
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "link-minima")
@@ -274,9 +312,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         edges = materialise(tidy(small), "links")
         now = signature(edges)
+        forget(*old, large, least)
         if now == seen:
             break
         seen = now
+    else:
+        raise ValueError(f"components are not settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

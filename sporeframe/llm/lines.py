@@ -7,7 +7,7 @@
    first level where it has its bit to itself, and its slot is the rank of
    that bit) and fills a fingerprint, a count and a last-id array by slot.
 3. Documents probe the arrays; lines are never joined and texts never shuffled.
-   The arrays take about 21 bytes a key and go out by broadcast in waves of at
+   The arrays take about 25 bytes a key and go out by broadcast in waves of at
    most ``wave_bytes``; if there is more than one wave, documents are written
    between waves, so memory is bounded and the result is the same.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from sporeframe.llm.common import LOWER, NOT_SPACE, byte_slices, materialise, mix, replace_columns, span_hash
 
 MIN_CHARS, MIN_DOCS = 40, 5
-KEY_BYTES = 21
+KEY_BYTES = 25
 SHARD_KEYS = 1 << 18
 
 
@@ -172,7 +172,7 @@ def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
             "sizes": pa.array([mph.sizes], pa.list_(pa.int64())),
             "bits": pa.array([mph.bits.tobytes()], pa.binary()),
             "fingerprints": pa.array([h2[order].tobytes()], pa.binary()),
-            "counts": pa.array([group["n"].to_numpy()[order].astype(np.int32).tobytes()], pa.binary()),
+            "counts": pa.array([group["n"].to_numpy()[order].astype(np.int64).tobytes()], pa.binary()),
             "last": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
         })
 
@@ -187,7 +187,7 @@ class Shard:
     def __init__(self, row) -> None:
         self.mph = PerfectHash(list(row["sizes"]), np.frombuffer(row["bits"], dtype=np.uint8))
         self.fingerprints = np.frombuffer(row["fingerprints"], dtype=np.uint64)
-        self.counts = np.frombuffer(row["counts"], dtype=np.int32)
+        self.counts = np.frombuffer(row["counts"], dtype=np.int64)
         self.last = pa.ipc.open_stream(row["last"]).read_all()["last"].combine_chunks()
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:

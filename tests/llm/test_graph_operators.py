@@ -82,6 +82,20 @@ def test_sharding(spark, n):
     if n == 400:  # a group fills as many shards as it needs and two more at most
         assert all(len(s) <= -(-count[g] // 50) + 2 for g, s in groups.items())
         assert sum(len(s) > 1 for g, s in groups.items() if count[g] < 25) <= 4
+        # filling shards of 50 group by group cuts at most one group at each of the 7 borders: no more families than that
+        order, at, greedy = sorted(count.values(), reverse=True), 0, 0
+        for size in order:
+            greedy += (at + size - 1) // 50 - at // 50 + 1
+            at += size
+        assert sum(map(len, groups.values())) <= greedy + 4
+
+
+def test_sharding_of_a_long_text_and_a_hot_group(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"own {i}") for i in range(900)] + [(900, "é" * 3_000_000)]
+    out = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    sizes, hot = Counter(r["shard"] for r in out), Counter(r["shard"] for r in out if r["size"] == 4)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and max(r["size"] for r in out) == 6_000_001
+    assert sum(n for _, n in hot.most_common(3)) >= 0.8 * 300  # in shards of 113
 
 
 # --- chat ---------------------------------------------------------------------------------------------
@@ -133,6 +147,22 @@ def test_prefix_trees(spark):
             seen = [i for a in open_at for i in range(a, a + starts[a]["length"])]
             assert [i for s in n["attends"] for i in range(s["start"], s["end"])] == seen and n["position"] == len(seen)
             open_at.append(n["start"])
+    long = spark.createDataFrame([(c, k, "user", f"t{k}") for c in (1, 2) for k in range(700 + 100 * c)], "conv_id long, turn long, role string, text string")
+    chain = prefix_trees(long, vocabulary, pattern)
+    assert chain.nodes.count() == 900 and {r["conv_id"]: len(r["path"]) for r in chain.conversations.collect()} == {1: 800, 2: 900}
     empty = prefix_trees(df.limit(0), vocabulary, pattern)
     assert empty.nodes.collect() == [] and read_back(empty, vocabulary, pattern).collect() == []
     assert hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want[100]).encode()).hexdigest()
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from sporeframe.llm.common import components, drop_scratch, materialise
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    found = components(links)
+    assert found.where("component <> 0").count() == 0 and found.count() == 201
+    table = materialise(links, "kept")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and drop_scratch(spark) >= 2 and not folder.exists() and drop_scratch(spark) == 0
