@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of ``documents``.
+
+Defined cases of all stages: a null text counts as empty; null ids and repeated rows are
+rows like any other; an empty table stays empty; other columns pass as they are, also if
+their names are an operator's own.
 """
 
 from __future__ import annotations
@@ -35,13 +39,21 @@ def _on_cluster(stage: Stage) -> Stage:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (fitted without held-out labels) gives 0.5 or more."""
+    """Documents that the quality classifier (fitted without held-out labels) gives 0.5 or more.
+
+    A text without words gets label 1's share among the labelled rows, so it stays if that is at least a half; equal
+    texts share their fate; an id with several labels has the larger one; without any label all documents stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
     return quality.score(docs, model, score_col="_quality").where(F.col("_quality") >= 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines stay in one document only; ``n_chars`` follows the text."""
+    """Frequent lines stay in one document only; ``n_chars`` (if there) follows the text.
+
+    No document goes: one that loses all its lines has an empty text.  Lines stay in all rows of the largest id that
+    holds them (null is the smallest); a null text becomes empty.
+    """
     kept = dedup_lines(docs.select("*"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -49,17 +61,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one of the smallest id, null being the largest; of equal rows one.
+
+    Texts without words have fingerprint zero and are near copies of each other.
+    """
     return keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window.
+
+    Texts without words, and all texts if the benchmark has no words, stay; each row is judged by itself.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    A null or empty text is its end token alone; equal rows are packed one by one.
+    """
     pieces = pack_documents(docs, word_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
