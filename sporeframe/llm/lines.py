@@ -6,10 +6,13 @@
    builds a minimal perfect hash (a cascade of bit arrays: a key sits in the
    first level where it has its bit to itself, and its slot is the rank of
    that bit) and fills a fingerprint, a count and a last-id array by slot.
-3. Documents probe the arrays; lines are never joined and texts never shuffled.
-   The arrays take about 25 bytes a key and go out by broadcast in waves of at
-   most ``wave_bytes``; if there is more than one wave, documents are written
-   between waves, so memory is bounded and the result is the same.
+3. Documents probe the arrays, which take about 25 bytes a key; lines are never joined.
+   An index of at most ``index_bytes`` goes out by broadcast, and texts are not
+   shuffled.  A larger one stays where it is: documents are dealt into chunks, each
+   sends a shard the packed hashes of its distinct lines, the shard's arrays answer
+   with the hits and their last ids, and the chunk drops the lines.  Texts are
+   shuffled once then, hashes (16 bytes a line) twice, whatever the index's size, and a task
+   holds one shard and about ``block_bytes`` of hashes.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sporeframe.llm.common import LOWER, NOT_SPACE, byte_slices, materialise, mix, replace_columns, span_hash
+from sporeframe.llm.common import LOWER, NOT_SPACE, byte_slices, materialise, mix, replace_columns, span_hash, text_key
 
 MIN_CHARS, MIN_DOCS = 40, 5
 KEY_BYTES = 25
@@ -196,7 +200,21 @@ class Shard:
         return np.where((slot >= 0) & (self.fingerprints[slot] == h2), slot, -1)
 
 
-def _drop_lines(id_col: str, text_col: str, names: list[str], shared, n_shards: int, min_chars: int, min_docs: int, first: bool):
+def _rest(texts: list[bytes], data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Appends each text without its lines that are gone; returns how many those are by text."""
+    raw = data.tobytes()
+    n_gone = np.concatenate([[0], np.cumsum(gone)])
+    n_gone = n_gone[bounds[1:]] - n_gone[bounds[:-1]]
+    for i, n in enumerate(n_gone.tolist()):
+        if not n:
+            texts.append(raw[offsets[i] : offsets[i + 1]])
+        else:
+            keep = np.flatnonzero(~gone[bounds[i] : bounds[i + 1]]) + bounds[i]
+            texts.append(b"\n".join([raw[a:b] for a, b in zip(starts[keep], ends[keep])]))
+    return n_gone
+
+
+def _drop_lines(id_col: str, text_col: str, names: list[str], shared, n_shards: int, min_chars: int, min_docs: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {r["shard"]: Shard(r) for r in shared.value}
         for batch in batches:
@@ -219,30 +237,115 @@ def _drop_lines(id_col: str, text_col: str, names: list[str], shared, n_shards:
                     own, last = ids.take(pa.array(lo + row[mine])), shards[k].last.take(pa.array(slot))
                     same = pc.or_(pc.fill_null(pc.equal(own, last), False), pc.and_(pc.is_null(own), pc.is_null(last)))
                     gone[at[mine[~same.to_numpy(zero_copy_only=False)]]] = True
-                raw = data.tobytes()
-                n_gone = np.concatenate([[0], np.cumsum(gone)])
-                n_gone = n_gone[bounds[1:]] - n_gone[bounds[:-1]]
-                for i in range(hi - lo):
-                    if not n_gone[i]:
-                        texts.append(raw[offsets[i] : offsets[i + 1]])
-                    else:
-                        keep = np.flatnonzero(~gone[bounds[i] : bounds[i + 1]]) + bounds[i]
-                        texts.append(b"\n".join([raw[a:b] for a, b in zip(starts[keep], ends[keep])]))
+                n_gone = _rest(texts, data, offsets, starts, ends, bounds, gone)
                 lines.append(np.diff(bounds))
                 dropped.append(n_gone)
             if not texts:
                 continue
-            n_lines = pa.array(np.concatenate(lines)) if first else batch.column("n_lines")
-            new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": n_lines,
-                   "n_dropped": pc.add(batch.column("n_dropped"), pa.array(np.concatenate(dropped)))}
+            new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(np.concatenate(lines)), "n_dropped": pa.array(np.concatenate(dropped))}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
     return run
 
 
+# ---------------------------------------------------------------------------
+# an index that is too large for a broadcast
+# ---------------------------------------------------------------------------
+
+class ChunkKeys:
+    """The distinct keys of a chunk's lines, in order of their hashes, and the key of every line."""
+
+    def __init__(self, texts: pa.ChunkedArray, min_chars: int) -> None:
+        self.slices, h1, h2 = [], [], []
+        for lo, _, data, offsets in byte_slices(texts):
+            starts, ends, bounds = line_spans(data, offsets)
+            at, a, b = line_keys(data, starts, ends, min_chars)
+            self.slices.append((lo, data, offsets, starts, ends, bounds, at))
+            h1.append(a)
+            h2.append(b)
+        h1, h2 = np.concatenate(h1), np.concatenate(h2)
+        order = np.lexsort((h2, h1))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        self.h1, self.h2 = h1[order][new], h2[order][new]
+        self.of_line = np.empty(len(order), dtype=np.int64)
+        self.of_line[order] = np.cumsum(new) - 1
+
+    def by_shard(self, n_shards: int) -> dict[int, np.ndarray]:
+        shard = self.h1.view(np.int64) % n_shards
+        order = np.argsort(shard, kind="stable")
+        found, first = np.unique(shard[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(order, first[1:])))
+
+
+def _probe_chunks(chunked: DataFrame, shards: DataFrame, id_col: str, text_col: str, n_shards: int, n_parts: int, min_chars: int) -> DataFrame:
+    """`chunked` (columns ``_chunk``, ``n_lines``, ``n_dropped`` and the rest) without the lines of `shards`."""
+    id_type = chunked.schema[id_col].dataType
+
+    def send(docs: pa.Table) -> pa.Table:
+        keys = ChunkKeys(docs[text_col], min_chars)
+        mine = keys.by_shard(n_shards)
+        chunk = docs["_chunk"][0].as_py()
+        return pa.table({
+            "shard": pa.array(list(mine), pa.int64()), "part": pa.array([chunk % n_parts] * len(mine), pa.int64()), "chunk": pa.array([chunk] * len(mine), pa.int64()),
+            "keys": pa.array([np.concatenate([keys.h1[i], keys.h2[i]]).tobytes() for i in mine.values()], pa.binary()),
+        })
+
+    def answer(blocks: pa.Table, index: pa.Table) -> pa.Table:
+        rows = []
+        if blocks.num_rows and index.num_rows:
+            shard = Shard({c: index[c][0].as_py() for c in ("sizes", "bits", "fingerprints", "counts", "last")})
+            for number, chunk, packed in zip(*(blocks[c].to_pylist() for c in ("shard", "chunk", "keys"))):
+                h1, h2 = np.frombuffer(packed, dtype=np.uint64).reshape(2, -1)
+                slot = shard.probe(h1, h2)
+                hit = np.flatnonzero(slot >= 0)
+                if len(hit):
+                    rows.append((chunk, number, hit.astype("<u4").tobytes(), shard.last.take(pa.array(slot[hit])).to_pylist()))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(to_arrow_type(id_type))]
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("chunk", "shard", "hits", "last"), cols, kinds)})
+
+    def drop(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        keys = ChunkKeys(docs[text_col], min_chars)
+        mine = keys.by_shard(n_shards)
+        found = np.full(len(keys.h1), -1, dtype=np.int64)  # of each key, the place of its last id
+        base = 0
+        for shard, hits in zip(replies["shard"].to_pylist(), replies["hits"].to_pylist()):
+            at = mine[shard][np.frombuffer(hits, dtype="<u4")]
+            found[at] = base + np.arange(len(at))
+            base += len(at)
+        last, ids = replies["last"].combine_chunks().flatten(), docs[id_col].combine_chunks()
+        texts, lines, dropped, done = [], [], [], 0
+        for lo, data, offsets, starts, ends, bounds, at in keys.slices:
+            key = keys.of_line[done : done + len(at)]
+            done += len(at)
+            often = found[key] >= 0
+            row = np.searchsorted(bounds, at[often], "right") - 1
+            own, kept_in = ids.take(pa.array(lo + row)), last.take(pa.array(found[key[often]]))
+            same = pc.or_(pc.fill_null(pc.equal(own, kept_in), False), pc.and_(pc.is_null(own), pc.is_null(kept_in)))
+            gone = np.zeros(len(starts), dtype=bool)
+            gone[at[often][~same.to_numpy(zero_copy_only=False)]] = True
+            dropped.append(_rest(texts, data, offsets, starts, ends, bounds, gone))
+            lines.append(np.diff(bounds))
+        new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(np.concatenate(lines)), "n_dropped": pa.array(np.concatenate(dropped))}
+        return pa.table({c: new[c] if c in new else docs[c] for c in docs.column_names})
+
+    by_chunk = chunked.groupBy("_chunk")
+    sent = by_chunk.applyInArrow(send, "shard long, part long, chunk long, keys binary")
+    # a shard's arrays go to each part of the chunks, so no task holds all hashes that meet a shard
+    spread = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("part"))
+    replies = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("last", T.ArrayType(id_type))])
+    answered = sent.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInArrow(answer, replies)
+
+    def drop_any(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        return drop(docs, replies) if docs.num_rows else docs
+
+    return by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(drop_any, chunked.schema)
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-    shard_keys: int = SHARD_KEYS, wave_bytes: int = 64 << 20,
+    shard_keys: int = SHARD_KEYS, index_bytes: int = 64 << 20, chunk_bytes: int = 8 << 20, block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """`docs` with frequent lines removed from the text, plus ``n_lines`` (before) and ``n_dropped``.
 
@@ -259,13 +362,16 @@ def dedup_lines(
     keys = materialise(line_index(docs, id_col, text_col, min_chars, min_docs), "line-keys")
     n_keys = keys.count()
     n_shards = max(1, math.ceil(n_keys / shard_keys))
-    n_waves = max(1, math.ceil(n_keys * KEY_BYTES / wave_bytes))
     shards = materialise(build_shards(keys, n_shards), "line-shards")
     out = docs.select(replace_columns(docs, {"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}))
-    names, schema = out.columns, out.schema
-    for w in range(n_waves):
-        rows = shards.where(F.col("shard") % n_waves == w).collect()  # at most about wave_bytes
+    if n_keys * KEY_BYTES <= index_bytes:
+        rows = shards.collect()  # at most about index_bytes
         shared = spark.sparkContext.broadcast([r.asDict() for r in rows])
-        step = out.mapInArrow(_drop_lines(id_col, text_col, names, shared, n_shards, min_chars, min_docs, w == 0), schema)
-        out = step if w == n_waves - 1 else materialise(step, "line-wave", "zstd")
-    return out
+        return out.mapInArrow(_drop_lines(id_col, text_col, out.columns, shared, n_shards, min_chars, min_docs), out.schema)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_chunks = max(1, math.ceil(n_bytes / chunk_bytes))
+    # at most 16 bytes of hashes for each `min_chars` bytes of text, dealt over the shards
+    n_parts = max(1, math.ceil(n_bytes / max(1, min_chars) * 16 / n_shards / block_bytes))
+    chunk = F.pmod(F.xxhash64(F.col(id_col), *text_key(F.col(text_col))), F.lit(n_chunks))
+    chunked = out.withColumn("_chunk", chunk)
+    return _probe_chunks(chunked, shards, id_col, text_col, n_shards, n_parts, min_chars).select(*out.columns)

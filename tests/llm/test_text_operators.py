@@ -66,7 +66,7 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_keys": 2, "wave_bytes": 40}, {"min_chars": 1, "min_docs": 2}])
+@pytest.mark.parametrize("options", [{}, {"shard_keys": 2, "index_bytes": 40}, {"min_chars": 1, "min_docs": 2}, {"min_chars": 1, "min_docs": 2, "index_bytes": 0, "chunk_bytes": 2000, "block_bytes": 1000, "shard_keys": 5}])
 def test_line_dedup(spark, options):
     rows = docs_fixture()
     got = dedup_lines(frame(spark, rows), **options)
