@@ -9,7 +9,6 @@ skew-safe ``group_row_number``.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -73,27 +72,55 @@ def kfold(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n
     return ranked.withColumn(name, fold).drop("_rn", "_n", "_in")
 
 
+def deal_runs(runs: Sequence[tuple[int, int]], n_folds: int) -> list[list[tuple[int, list[int]]]]:
+    """The greedy rule over runs of blocks of one size: ``(size, count)``, largest size first.
+
+    For each run its segments ``(first, folds)``: from block ``first`` on (from 0), blocks go to ``folds`` in turn.
+    A fold with load ``q * size + r`` takes its next block when the lightest folds have reached it, so folds join in
+    the order of q, and inside a turn they go by (r, fold): at most ``n_folds`` segments a run, whatever its count.
+    """
+    loads, out = [0] * n_folds, []
+    for size, count in runs:
+        q, r = [x // size for x in loads], [x % size for x in loads]
+        segments, at, level = [], 0, min(q)
+        while at < count:
+            active = sorted((f for f in range(n_folds) if q[f] <= level), key=lambda f: (r[f], f))
+            joins = min((x for x in q if x > level), default=None)
+            take = count - at if joins is None else min(count - at, (joins - level) * len(active))
+            segments.append((at, [f + 1 for f in active]))
+            turns, rest = divmod(take, len(active))
+            for place, f in enumerate(active):
+                loads[f] += size * (turns + (place < rest))
+            at, level = at + take, joins
+        out.append(segments)
+    return out
+
+
 def group_kfold(df: DataFrame, group_cols: Sequence[str], block: str, n_folds: int, name: str = "fold") -> DataFrame:
     """Folds 1..k that never split a block.  Blocks go, largest first
     (name breaks ties), to the fold that holds the fewest rows so far (the
-    first of equal ones).  The greedy rule is sequential: it runs on the block
-    sizes, one row per block, never on the rows."""
+    first of equal ones).
+
+    The greedy rule is sequential, but blocks of equal size are dealt in closed form (``deal_runs``): one task a group sees a row
+    for each distinct size, of which n rows have at most about sqrt(2 n); blocks are only numbered within their size."""
     keys = [*group_cols, block]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    schema = T.StructType([sizes.schema[c] for c in keys] + [T.StructField(name, T.IntegerType())])
+    numbered = group_row_number(sizes, [*group_cols, "_size"], [block], "_i", count_name="_count")
+    runs = numbered.where("_i = 1").select(*group_cols, "_size", "_count")
+    segment = T._parse_datatype_string("array<struct<first: long, folds: array<int>>>")
+    schema = T.StructType([*[runs.schema[c] for c in group_cols], runs.schema["_size"], T.StructField("_segments", segment)])
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", block], ascending=[False, True], na_position="first", kind="stable")
-        loads = [(0, f) for f in range(1, n_folds + 1)]
-        folds = []
-        for size in pdf["_size"]:
-            load, fold = heapq.heappop(loads)
-            folds.append(fold)
-            heapq.heappush(loads, (load + int(size), fold))
-        return pdf[keys].assign(**{name: folds})
-
-    assign = sizes.groupBy(*group_cols).applyInPandas(deal, schema)
-    assign = assign.select(*[F.col(c).alias(f"_k_{c}") for c in keys], name)
+        pdf = pdf.sort_values("_size", ascending=False)
+        dealt = deal_runs(list(zip(pdf["_size"].tolist(), pdf["_count"].tolist())), n_folds)
+        return pdf[[*group_cols, "_size"]].assign(_segments=[[{"first": a, "folds": f} for a, f in s] for s in dealt])
+
+    dealt = runs.groupBy(*group_cols).applyInPandas(deal, schema).withColumnsRenamed({c: f"_g_{c}" for c in [*group_cols, "_size"]})
+    on = reduce(lambda a, b: a & b, [numbered[c].eqNullSafe(dealt[f"_g_{c}"]) for c in [*group_cols, "_size"]])
+    place = F.col("_i") - 1
+    mine = F.element_at(F.filter("_segments", lambda s: s["first"] <= place), -1)
+    fold = F.get(mine["folds"], F.pmod(place - mine["first"], F.size(mine["folds"])).cast("int"))
+    assign = numbered.join(dealt, on).select(*[F.col(c).alias(f"_k_{c}") for c in keys], fold.alias(name))
     on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(assign[f"_k_{c}"]) for c in keys])
     return df.drop(name).join(assign, on).drop(*[f"_k_{c}" for c in keys])
 

@@ -98,3 +98,28 @@ def test_kmer_pairs_equal_the_dense_vector(spark):
             job.collect()
     loo = df.where("id = 3").select(sq.kmer_vector("s", 2, leave_one_out=True).alias("v")).first()["v"]
     assert len(loo) == 16 and loo[15] == 0
+
+
+def test_dealing_runs_equals_dealing_blocks():
+    import heapq
+    import random
+
+    from sporeframe.operators.split import deal_runs
+
+    rng = random.Random(3)
+    for _ in range(400):
+        k = rng.randrange(1, 8)
+        runs = sorted({rng.randrange(1, 40): rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))}.items(), reverse=True)
+        loads, want = [(0, f) for f in range(1, k + 1)], []
+        for size, count in runs:
+            for _ in range(count):
+                load, fold = heapq.heappop(loads)
+                want.append(fold)
+                heapq.heappush(loads, (load + size, fold))
+        got = []
+        for (_, count), segments in zip(runs, deal_runs(runs, k)):
+            assert len(segments) <= k
+            for (first, folds), end in zip(segments, [*(s[0] for s in segments[1:]), count]):
+                got += [folds[i % len(folds)] for i in range(end - first)]
+        assert got == want
+    assert deal_runs([(1, 10 ** 12)], 3) == [[(0, [1, 2, 3])]]
