@@ -206,14 +206,17 @@ class SpanHash:
         self._powers(1)
 
     def _powers(self, n: int) -> None:
+        """Powers of the base and of its inverse, 16 bytes each two; the former as factors of 2^31 and of 1."""
+        n = -(-n // (1 << 16)) << 16
+
         def powers(b: int) -> np.ndarray:
             p = np.ones(1, dtype=np.uint64)
             while len(p) < n:
-                p = np.concatenate([p, reduce61(times61(p, np.uint64(pow(b, len(p), PRIME))))])
+                p = np.concatenate([p, reduce61(times61(p[: n - len(p)], np.uint64(pow(b, len(p), PRIME))))])
             return p
 
-        self.up, self.down = powers(self.base), powers(pow(self.base, -1, PRIME))
-        self.up_high, self.up_low = self.up >> np.uint64(31), self.up & _M31
+        up, self.down = powers(self.base), powers(pow(self.base, -1, PRIME))
+        self.up_high, self.up_low = (up >> np.uint64(31)).astype(np.uint32), (up & _M31).astype(np.uint32)
 
     def _sums(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Two rows of prefix sums, for terms below 2^40."""
@@ -228,15 +231,16 @@ class SpanHash:
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
         """Prefix sums of 64-bit codes."""
-        if len(self.up) <= len(codes):
-            self._powers(len(codes) + 1)
-        terms = times61(fold61(codes), self.up[: len(codes)])
+        n = len(codes)
+        if len(self.down) <= n:
+            self._powers(n + 1)
+        terms = times61(fold61(codes), (self.up_high[:n].astype(np.uint64) << np.uint64(31)) | self.up_low[:n])
         return self._sums(terms >> np.uint64(31), terms & _M31)
 
     def byte_prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of bytes (as codes 1 to 256, so no span equals a longer one)."""
         n = len(data)
-        if len(self.up) <= n:
+        if len(self.down) <= n:
             self._powers(n + 1)
         codes = data.astype(np.uint64)
         codes += np.uint64(1)
