@@ -10,6 +10,8 @@ tree (T3) is a table of ordered rows, placed by an Euler tour.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,15 +107,23 @@ def subtree_totals(tree: DataFrame, value: str) -> DataFrame:
     By doubling: after round k a node holds the sum of the nodes less than 2^k levels below; each node
     2^k levels below then adds its own.  Rounds are the logarithm of the depth, rows never multiply, and a hot
     parent's children are summed before the shuffle."""
-    state = tree.select("child", "parent", F.col("parent").alias("up"), F.col(value).cast("long").alias("total"))
+    own = reliable_checkpoint(tree.select("child", "parent", F.col(value).cast("long").alias("total")))
+    live = own.where("parent IS NOT NULL").select("child", F.col("parent").alias("up"), "total")
+    log = []
     for _ in _rounds():
-        state = reliable_checkpoint(state)
-        if state.where("up IS NOT NULL").isEmpty():
-            return state.select("child", "parent", "total")
-        more = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_to")).agg(F.sum("total").alias("_more"))
-        via = state.select(F.col("child").alias("_via"), F.col("up").alias("_far"))
-        state = state.join(more, F.col("child") == F.col("_to"), "left").join(via, F.col("up") == F.col("_via"), "left").select(
-            "child", "parent", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+        live = reliable_checkpoint(live)
+        if live.isEmpty():
+            break
+        more = reliable_checkpoint(live.groupBy(F.col("up").alias("_to")).agg(F.sum("total").alias("_more")))
+        log.append(more)
+        # only nodes with an ancestor that far up go on: each round has those of twice the depth
+        via = live.select(F.col("child").alias("_via"), F.col("up").alias("_far"))
+        live = live.join(via, F.col("up") == F.col("_via")).join(more, F.col("child") == F.col("_to"), "left").select(
+            "child", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+    if not log:
+        return own
+    added = reduce(DataFrame.unionAll, log).groupBy("_to").agg(F.sum("_more").alias("_more"))
+    return own.join(added, F.col("child") == F.col("_to"), "left").select("child", "parent", (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
 
 
 def path_totals(tree: DataFrame, value: str) -> DataFrame:
@@ -124,8 +134,8 @@ def path_totals(tree: DataFrame, value: str) -> DataFrame:
         if state.where("up IS NOT NULL").isEmpty():
             return state.select("child", "total")
         via = state.select(F.col("child").alias("_via"), F.col("up").alias("_far"), F.col("total").alias("_more"))
-        state = state.join(via, F.col("up") == F.col("_via"), "left").select(
-            "child", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+        on = state.where("up IS NOT NULL").join(via, F.col("up") == F.col("_via"), "left")
+        state = state.where("up IS NULL").unionAll(on.select("child", F.col("_far").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
 
 
 def newick_rows(tree: DataFrame, branch_length: str | None = "1") -> DataFrame:
