@@ -19,6 +19,9 @@ in the block's order.
 
 A block has a window's hash once, so the rows and bytes of a passage that every
 document shares grow with the chunks, not with the documents.
+
+A bitmap means the same windows to both its ends whatever order a shuffle brings
+a chunk's rows in: every step puts them in the order of id and text first.
 """
 
 from __future__ import annotations
@@ -58,6 +61,12 @@ def _id_ranks(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
 
 
+def in_order(docs: pa.Table) -> pa.Table:
+    """A chunk's rows by id and text: each step reads the exchange anew, and blocks from other executors arrive in any order."""
+    keyed = pa.table({"id": pa.array(_id_ranks(docs["id"].combine_chunks())), "text": docs["text"].combine_chunks()})
+    return docs.take(pc.sort_indices(keyed, sort_keys=[("id", "ascending"), ("text", "ascending")]))
+
+
 class Chunk(NamedTuple):
     """All windows of a chunk's documents."""
 
@@ -185,6 +194,7 @@ def _answer_coarse(blocks: pa.Table) -> pa.Table:
 
 def _send_windows(width: int, n_buckets: int, id_type: pa.DataType):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = in_order(docs)
         chunk = chunk_windows(docs["text"], width)
         ids = docs["id"].combine_chunks()
         c = candidates(chunk, _id_ranks(ids), may_repeat(chunk, _answers(replies, 1), n_buckets))
@@ -224,6 +234,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _remove(width: int, n_buckets: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = in_order(docs)
         chunk = chunk_windows(docs["text"], width)
         c = candidates(chunk, _id_ranks(docs["id"].combine_chunks()), may_repeat(chunk, _answers(replies, 1), n_buckets))
         late = np.zeros(len(c.lead), dtype=bool)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
@@ -14,6 +15,7 @@ from sporeframe.llm.common import byte_slices, windows, word_spans, ALNUM, LOWER
 from sporeframe.llm.decontaminate import contamination, drop_contaminated
 from sporeframe.llm.lines import PerfectHash, dedup_lines
 from sporeframe.llm.packing import Packer, best_fill, pack_documents
+from sporeframe.llm import substring
 from sporeframe.llm.substring import dedup_substrings
 
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -173,6 +175,31 @@ def test_substring_dedup(spark, width, chunk, bucket):
         assert sum(b - a for a, b in spans) == r["n_removed"] and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_substring_dedup_rows_that_each_shuffle_brings_in_another_order():
+    """Blocks from other executors arrive in any order, so the steps may read the rows of a chunk in different orders."""
+    rng = random.Random(8)
+    shared = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(30)) for _ in range(6)]
+    rows = [(rng.randrange(40), rng.choice(shared) + f" own{k} " + rng.choice(shared)) for k in range(40)] + [(None, shared[0]), (7, None), (7, None)]
+    width, n_buckets = 5, 3
+    chunks = [rows[:15], rows[15:30], rows[30:]]
+
+    def read(c):
+        mixed = rng.sample(chunks[c], len(chunks[c]))
+        return pa.table({"chunk": pa.array([c] * len(mixed), pa.int64()), "id": pa.array([i for i, _ in mixed], pa.int64()), "text": pa.array([t or "" for _, t in mixed])})
+
+    def grouped(tables, by):
+        t = pa.concat_tables(tables)
+        return {k: t.filter(pa.array([x == k for x in t[by].to_pylist()])) for k in set(t[by].to_pylist())}
+
+    coarse = [substring._send_coarse(width, n_buckets)[0](read(c)) for c in range(3)]
+    replies = [substring._answer_coarse(t) for t in grouped(coarse, "bucket").values()]
+    mine = lambda c: grouped(replies, "chunk").get(c, replies[0].slice(0, 0))
+    sent = [substring._send_windows(width, n_buckets, pa.int64())(read(c), mine(c)) for c in range(3)]
+    replies += [substring._answer_windows(t) for t in grouped(sent, "bucket").values()]
+    found = [r for c in range(3) for r in substring._remove(width, n_buckets)(read(c), mine(c)).to_pylist()]
+    assert bag((r["id"], r["n_words"], r["n_removed"], r["kept"]) for r in found) == bag(brute_substrings(rows, width))
+
+
 def mirrored(n):
     """A sequence of two letters and its complement, which collide under every polynomial hash modulo a power of two."""
     t = [0]
