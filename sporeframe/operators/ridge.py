@@ -45,6 +45,8 @@ from sporeframe.session import reliable_checkpoint
 REFERENCE_ALPHAS = (10.0, 100.0, 1000.0)
 #: rows and columns of a block of a scatter matrix
 BLOCK = 192
+#: feature values of the rows that a worker copies at a time (16 MB)
+PIECE_VALUES = 1 << 21
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "_k_") -> Column:
@@ -169,8 +171,10 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
     def add(a: tuple | None, b: tuple) -> tuple:
         if a is None:
             return b
-        n, c = a[0] + b[0], b[1] - a[1]
-        return n, a[1] + c * (b[0] / n), a[2] + b[2] + np.outer(c, c) * (a[0] * b[0] / n)
+        n, c, q = a[0] + b[0], b[1] - a[1], a[2]
+        q += b[2]
+        q += np.outer(c * (a[0] * b[0] / n), c)
+        return n, a[1] + c * (b[0] / n), q
 
     def blocks(key: tuple, cell, stats: tuple) -> Iterator[pa.RecordBatch]:
         n, mu, q = stats
@@ -197,15 +201,18 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
             ids = list(zip(*(rb.column(c).to_pylist() for c in names))) if names else [()] * rb.num_rows
             cells = rb.column(cell_col).to_pylist()
             cuts = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if ids[lo] != key or (not weights and cells[lo] not in open_sets):
+            # copies are made of a piece of the batch at a time
+            piece_rows = max(1, PIECE_VALUES * rb.num_rows // max(1, len(rb.column(features).flatten())))
+            pieces = [(at, min(at + piece_rows, hi)) for lo, hi in zip(cuts[:-1], cuts[1:]) for at in range(lo, hi, piece_rows)]
+            for lo, hi in pieces:
+                model = ids[lo] if weights else ids[lo][:-1]
+                if model != key or (not weights and cells[lo] not in open_sets):
                     yield from close()
-                    key = ids[lo] if weights else ids[lo][:-1]
+                    key = model
                 # one model's rows share a width; models in a batch may not
                 z = np.column_stack([_feature_matrix(rb.column(features).slice(lo, hi - lo)), yv[lo:hi]])
                 if not weights:
                     open_sets[cells[lo]] = add(open_sets.get(cells[lo]), moments(z))
-                    key = ids[lo][:-1]
                     continue
                 part = rb.column(weights).slice(lo, hi - lo)
                 drawn = ~np.asarray(part.is_null().to_numpy(zero_copy_only=False))

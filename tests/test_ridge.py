@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,37 @@ def test_a_scorer_of_the_users_own(spark):
     beta, b0 = ridge_fit(Z[cell > 0], y[cell > 0], best)
     assert got["alpha"] == best and got["cv_score"] == pytest.approx(-errors[best])
     assert got["test_score"] == pytest.approx(-np.abs(y[cell == 0] - Z[cell == 0] @ beta - b0).mean())
+
+
+def test_moments_copy_a_piece_at_a_time_and_make_one_partial_of_a_set(spark, monkeypatch):
+    from sporeframe.operators import ridge
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(5.0, 2.0, (200, 4)), rng.normal(size=200)
+    sizes = []
+    matrix = ridge._feature_matrix
+    monkeypatch.setattr(ridge, "PIECE_VALUES", 64)
+    monkeypatch.setattr(ridge, "_feature_matrix", lambda col: sizes.append(len(col)) or matrix(col))
+    made = {}
+
+    class Frame:
+        """Runs the fold here on one batch."""
+
+        schema = ridge.T.StructType([ridge.T.StructField("k", ridge.T.StringType()), ridge.T.StructField("cell", ridge.T.IntegerType())])
+
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, fold, schema):
+            batch = pa.RecordBatch.from_pydict({"k": ["m"] * 200, "cell": pa.array([1] * 150 + [2] * 50, pa.int32()), "f": list(x), "y": y})
+            made["rows"] = [r for b in fold(iter([batch.slice(at, 40) for at in range(0, 200, 40)])) for r in b.to_pylist()]
+
+    ridge.moment_partials(Frame(), ["k"], "cell", "f", "y")
+    # copies are small, and a set is one partial however many batches it comes in
+    assert max(sizes) <= 16 and [(r["cell"], r["n"]) for r in made["rows"]] == [(1, 150.0), (2, 50.0)]
+    for r, part in zip(made["rows"], (slice(0, 150), slice(150, 200))):
+        z = np.column_stack([x, y])[part]
+        c = z - z.mean(axis=0)
+        assert r["n"] == len(z) and np.allclose(r["mi"], z.mean(axis=0)) and np.allclose(np.reshape(r["q"], (5, 5)), c.T @ c)
