@@ -57,8 +57,7 @@ def feature_registry(df: DataFrame, id_col: str = "gene_id", ks: Sequence[int] =
     matrices, so every feature set is a key of later grouped jobs.  Each
     vector is computed once per row; the sets are exploded from them, with
     the ``keep`` columns carried along."""
-    vecs = df.select(id_col, *keep, *[sq.kmer_vector(f"{end}_prime_seq", k).alias(f"_{end}{k}")
-                               for k in ks for end in ("five", "three")])
+    vecs = sq.with_kmer_vectors(df, {f"_{end}{k}": (f"{end}_prime_seq", k) for k in ks for end in ("five", "three")}, keep=[id_col, *keep])
     sets = []
     for k in ks:
         f, t = F.col(f"_five{k}"), F.col(f"_three{k}")

@@ -11,6 +11,7 @@ from sporeframe.functions import seq as sq
 from sporeframe.operators import aggregates as ag
 from sporeframe.operators.ridge import ridge_cv
 from sporeframe.operators.split import group_kfold, holdout_split, kfold
+from sporeframe.plans import features as fe
 from sporeframe.plans.validate import three_way_r
 
 ROWS = [("s", "a", 1), ("s", "b", 2), ("s", "b", 3), ("s", None, 4), ("s", None, 5), ("t", "a", 6), (None, "z", 7)] + [("s", f"k{i}", 10 + i) for i in range(20)]
@@ -123,3 +124,19 @@ def test_dealing_runs_equals_dealing_blocks():
                 got += [folds[i % len(folds)] for i in range(end - first)]
         assert got == want
     assert deal_runs([(1, 10 ** 12)], 3) == [[(0, [1, 2, 3])]]
+
+
+def test_with_kmer_vectors_is_kmer_vector_in_small_batches(spark):
+    rows = [(i, None if i % 7 == 3 else "ACGTN"[i % 5] * (i % 9) + "GATTACA" * (i % 4), "" if i % 5 else "ACGTACGT" * i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a string, `b c` string").coalesce(1)
+    vectors = {"a2": ("a", 2), "b2": ("b c", 2), "a5": ("a", 5)}
+    made = sq.with_kmer_vectors(df, vectors, keep=["id"])
+    assert made.columns == ["id", "a2", "b2", "a5"] and sq.with_kmer_vectors(df, vectors).columns == ["id", "a", "b c", "a2", "b2", "a5"]
+    want = df.select("id", sq.kmer_vector("a", 2).alias("a2"), sq.kmer_vector(F.col("`b c`"), 2).alias("b2"), sq.kmer_vector("a", 5).alias("a5"))
+    assert {r["id"]: r for r in made.collect()} == {r["id"]: r for r in want.collect()}
+
+
+def test_feature_registry_has_no_python_column_of_whole_batches(spark):
+    df = spark.createDataFrame([("g", "ACGT", "GGTA")], "gene_id string, five_prime_seq string, three_prime_seq string")
+    plan = fe.feature_registry(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
