@@ -856,7 +856,7 @@ def mpra_input(spark: SparkSession, sf: str, ks: Sequence[int] = (2, 3, 4, 5)) -
     )
     feats = fe.mpra_features(oligo, keep=("gene_id", "row_order", "Oligo Sequence"))
     # every k in one pass over the sequences
-    vecs = feats.select("gene_id", "row_order", "block", "y", *[sq.kmer_vector(F.col("`Oligo Sequence`"), k).alias(f"_k{k}") for k in ks])
+    vecs = sq.with_kmer_vectors(feats, {f"_k{k}": ("Oligo Sequence", k) for k in ks}, keep=["gene_id", "row_order", "block", "y"])
     sets = F.array(*[F.struct(F.lit(f"{k}-mer counts").alias("feature_set"), F.col(f"_k{k}").alias("features")) for k in ks])
     e = vecs.select("gene_id", "row_order", "block", "y", F.explode(sets).alias("_s"))
     return reliable_checkpoint(e.select("_s.feature_set", "gene_id", "row_order", "block", "y", "_s.features"))
