@@ -139,36 +139,54 @@ def exact_percentiles(
     group_cols: Sequence[str],
     value_col: str,
     probs: dict[str, float],
-    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group (same rule as
     ``percentile`` / ``quantile_cont``), with no group buffered in one task.
 
-    Only the two rows around each wanted position survive the filter, so the
-    final aggregate sees at most 2 x len(probs) rows per group.
+    Rows of a value are counted before the shuffle, so a value that most rows of a group
+    have is one row.  Values are range-partitioned on (group, value); a value's places are its running count in
+    its partition and the counts of the partitions before.  Only the
+    values at the wanted places survive the filter: at most 2 x len(probs) rows per group.
     """
-    clean = df.where(F.col(value_col).isNotNull())
-    ranked = group_row_number(clean, group_cols, [value_col, *tiebreak], "_rn", count_name="_n")
+    group_cols = list(group_cols)
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(
+        *[F.col(c).alias(k) for c, k in zip(group_cols, names)], F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # fixed, as the partitions are read twice
+    placed = reliable_checkpoint(counts.repartitionByRange(*names, "_v").withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy(*names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*names, "_pid").agg(F.sum("_c").alias("_here"))
+    parts = parts.select("*", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_off"), F.sum("_here").over(Window.partitionBy(*names)).alias("_n"))
     pos = {k: F.lit(1.0) + F.lit(float(p)) * (F.col("_n") - 1) for k, p in probs.items()}
     wanted = F.array(*[f(pos[k]) for k in probs for f in (F.floor, F.ceil)]).cast("array<long>")
-    near = ranked.where(F.array_contains(wanted, F.col("_rn")))
+    # only partitions of a group that hold a wanted place are read again
+    parts = parts.where(F.exists(wanted, lambda w: (w > F.col("_off")) & (w <= F.col("_off") + F.col("_here"))))
+    keys = [*names, "_pid"]
+    parts = parts.drop("_here").withColumnsRenamed({k: f"{k}_" for k in keys})
+    met = placed.join(parts, reduce(lambda x, y: x & y, [placed[k].eqNullSafe(parts[f"{k}_"]) for k in keys]))
+    up_to = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_end", F.col("_off") + F.sum("_c").over(up_to))
+
+    def holds(place: Column) -> Column:
+        return (place > F.col("_end") - F.col("_c")) & (place <= F.col("_end"))
+
+    near = met.where(F.exists(wanted, holds))
     aggs = [F.first("_n").alias("_n")]
     for k in probs:
-        aggs.append(F.max(F.when(F.col("_rn") == F.floor(pos[k]), F.col(value_col))).alias(f"_lo_{k}"))
-        aggs.append(F.max(F.when(F.col("_rn") == F.ceil(pos[k]), F.col(value_col))).alias(f"_hi_{k}"))
-    agg = near.groupBy(*group_cols).agg(*aggs)
+        aggs.append(F.max(F.when(holds(F.floor(pos[k])), F.col("_v"))).alias(f"_lo_{k}"))
+        aggs.append(F.max(F.when(holds(F.ceil(pos[k])), F.col("_v"))).alias(f"_hi_{k}"))
+    agg = near.groupBy(*names).agg(*aggs)
     outs = []
     for k, p in probs.items():
         at = F.lit(1.0) + F.lit(float(p)) * (F.col("_n") - 1)
         frac = at - F.floor(at)
         outs.append((F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * frac).alias(k))
-    return agg.select(*group_cols, *outs)
+    return agg.select(*[F.col(k).alias(c) for c, k in zip(group_cols, names)], *outs)
 
 
-def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, name: str = "median",
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
+def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, name: str = "median") -> DataFrame:
     """Exact median per group for groups too large for one task (A1, whole-species)."""
-    return exact_percentiles(df, group_cols, value_col, {name: 0.5}, tiebreak)
+    return exact_percentiles(df, group_cols, value_col, {name: 0.5})
 
 
 def keep_repeated(df: DataFrame, key_cols: Sequence[str], min_count: int = 2) -> DataFrame:

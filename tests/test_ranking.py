@@ -119,3 +119,19 @@ def test_running_total_over_partitions(spark):
     got = {r["k"]: r["before"] for r in running_total(df, ["k"], "v").collect()}
     assert got == {k: before for k, before in zip(range(5000), np.cumsum([0, *(k % 7 for k in range(4999))]).tolist())}
     assert running_total(df.limit(0), ["k"], "v").collect() == []
+
+
+def test_exact_percentiles_shuffle_a_value_not_its_rows(spark):
+    """Rows of a value that a whole group shares do not meet in one task; null keys and NaN, as before."""
+    nan = float("nan")
+    rows = [("a", 4.0)] * 5000 + [("a", 1.0)] * 3 + [("b", v) for v in (2.0, 7.0, 7.0, 9.0)] + [(None, 1.0), (None, 2.0), ("c", None), ("d", nan), ("d", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    placed, kept = [], rk.reliable_checkpoint
+    rk.reliable_checkpoint = lambda d: placed.append(kept(d)) or placed[-1]
+    try:
+        got = {r["g"]: (r["q1"], r["m"], r["q3"]) for r in rk.exact_percentiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5, "q3": 0.75}).collect()}
+    finally:
+        rk.reliable_checkpoint = kept
+    assert max(d.count() for d in placed) == 9
+    assert got["a"] == (4.0, 4.0, 4.0) and got["b"] == (5.75, 7.0, 7.5) and got[None] == (1.25, 1.5, 1.75) and "c" not in got
+    assert got["d"][0] != got["d"][0]
