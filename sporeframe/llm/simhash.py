@@ -107,7 +107,8 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         .bitwiseOR(F.lit(_signed(j << 57)))
         for j in range(BITS)
     ]
-    index = distinct.select("fingerprint", F.explode(F.array(*variants)).alias("variant"))
+    # Spark sizes the index as one row a fingerprint, not 64: without the hint it broadcasts either side
+    index = distinct.select("fingerprint", F.explode(F.array(*variants)).alias("variant")).hint("merge")
     x, y = index.alias("x"), index.alias("y")
     diff = F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))
     bit = F.shiftrightunsigned("x.variant", 57)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sporeframe.llm.simhash import link_fingerprints, near_duplicates
 
@@ -79,3 +80,13 @@ def test_every_link_once_for_several_distances(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_index_of_variants_is_not_broadcast(spark):
+    """64 rows a fingerprint, of which Spark's sizes know nothing."""
+    found = link_fingerprints(spark.range(0, 3000, 7).select((F.col("id") * 1_000_003).alias("fingerprint")))
+    pairs = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    made = [i * 1_000_003 for i in range(0, 3000, 7)]
+    assert {tuple(r) for r in pairs} == {(a, b) for a in made for b in made if a < b and (a ^ b).bit_count() <= 4}
