@@ -8,7 +8,9 @@ Data flow (no model's rows, and no model's whole matrix of more than one set, ar
    rows_per_task)`` salts; rows go to a salt by the hash of their id, are
    shuffled once on (key, cell, salt) and sorted by it, so a model holding a
    third of all rows is spread over many tasks and a task holds one cell's
-   matrix at a time.
+   matrix at a time.  Where a row's features are wide but made from little
+   (`Source`), the narrow rows are shuffled, one for all its models, and the
+   features are made behind the shuffle: they are never on disk.
 2. ``moment_partials`` (``mapInArrow``) folds them into count, mean and scatter
    of z = [x, y], cut into blocks of at most ``BLOCK`` rows and columns (the
    lower triangle), so that no later group depends on the width as a whole.
@@ -36,7 +38,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,18 @@ REFERENCE_ALPHAS = (10.0, 100.0, 1000.0)
 BLOCK = 192
 #: feature values of the rows that a worker copies at a time (16 MB)
 PIECE_VALUES = 1 << 21
+#: narrow rows of a task that makes their features itself
+MADE_ROWS = 50_000
+
+
+class Source(NamedTuple):
+    """Narrow rows that several models share, and how to make features of them.
+
+    ``make(rows, keep)`` gives ``(key columns, features, *keep)``, one row for each row and model.  It is to need no shuffle, as it
+    runs once for each reading; all its models see all the rows."""
+
+    rows: DataFrame
+    make: Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "_k_") -> Column:
@@ -142,11 +156,12 @@ def _from_rows(pdf: pd.DataFrame, prefix: str = "") -> list[Moments]:
 
 
 def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, features: str, y: str,
-                    weights: str | None = None, block: int = BLOCK) -> DataFrame:
+                    weights: str | None = None, block: int = BLOCK, shared: str | None = None) -> DataFrame:
     """Per stretch of rows of one (key, cell): the blocks ``(bi, bj, n, mi, mj, di, dj, q)`` of z = [features, y].
 
     Rows of a (key, cell) should come one after another (see `model_statistics`): a set is sent on when
-    its key or cell ends, so one matrix is in memory at a time.
+    its key or cell ends, so one matrix is in memory at a time.  With ``shared``, one of the keys, the rows of one value
+    of it and one cell should: the matrices of all other keys' values there are in memory then.
 
     With ``weights`` (``ARRAY<DOUBLE>`` of R replicate weights, NULL on test
     rows) a weighted row adds to cells 1..R with its weights instead of to
@@ -186,10 +201,10 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
             yield pa.RecordBatch.from_arrays(made + [_list_array([r[k] for r in rows]) for k in range(3, 8)], schema=arrow)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, open_sets = None, {}
+        mark, open_sets = None, {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            for cell, stats in open_sets.items():
+            for (key, cell), stats in open_sets.items():
                 yield from blocks(key, cell, stats)
             open_sets.clear()
 
@@ -197,33 +212,42 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
             if rb.num_rows == 0:
                 continue
             yv = rb.column(y).to_numpy(zero_copy_only=False).astype(np.float64)
-            names = [*key_cols] if weights else [*key_cols, cell_col]
-            ids = list(zip(*(rb.column(c).to_pylist() for c in names))) if names else [()] * rb.num_rows
+            ids = list(zip(*(rb.column(c).to_pylist() for c in key_cols))) if key_cols else [()] * rb.num_rows
             cells = rb.column(cell_col).to_pylist()
-            cuts = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
-            # copies are made of a piece of the batch at a time
-            piece_rows = max(1, PIECE_VALUES * rb.num_rows // max(1, len(rb.column(features).flatten())))
-            pieces = [(at, min(at + piece_rows, hi)) for lo, hi in zip(cuts[:-1], cuts[1:]) for at in range(lo, hi, piece_rows)]
-            for lo, hi in pieces:
-                model = ids[lo] if weights else ids[lo][:-1]
-                if model != key or (not weights and cells[lo] not in open_sets):
+            # what the rows of a stretch have in common
+            common = rb.column(shared).to_pylist() if shared else ids
+            marks = ids if weights else list(zip(common, cells))
+            cuts = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1]), len(marks)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if marks[lo] != mark:
                     yield from close()
-                    key = model
-                # one model's rows share a width; models in a batch may not
-                z = np.column_stack([_feature_matrix(rb.column(features).slice(lo, hi - lo)), yv[lo:hi]])
-                if not weights:
-                    open_sets[cells[lo]] = add(open_sets.get(cells[lo]), moments(z))
-                    continue
-                part = rb.column(weights).slice(lo, hi - lo)
-                drawn = ~np.asarray(part.is_null().to_numpy(zero_copy_only=False))
-                if drawn.any():
-                    w = _feature_matrix(part.filter(pa.array(drawn)))
-                    for r in range(w.shape[1]):
-                        if w[:, r].any():
-                            open_sets[r + 1] = add(open_sets.get(r + 1), moments(z[drawn], w[:, r]))
-                own = np.array(cells[lo:hi], dtype=object)[~drawn]
-                for cell in dict.fromkeys(own):
-                    open_sets[cell] = add(open_sets.get(cell), moments(z[~drawn][own == cell]))
+                    mark = marks[lo]
+                places: dict[tuple, list[int]] = {}
+                for at in range(lo, hi):
+                    places.setdefault(ids[at], []).append(at)
+                for key, rows in places.items():
+                    # one model's rows share a width; models in a batch may not
+                    piece_rows = max(1, PIECE_VALUES // max(1, len(rb.column(features)[rows[0]])))
+                    for at in range(0, len(rows), piece_rows):
+                        # copies are made of a piece of the batch at a time
+                        mine = rows[at : at + piece_rows]
+                        column = rb.column(features)
+                        column = column.take(pa.array(mine)) if shared else column.slice(mine[0], len(mine))
+                        z = np.column_stack([_feature_matrix(column), yv[mine]])
+                        if not weights:
+                            at_key = key, cells[lo]
+                            open_sets[at_key] = add(open_sets.get(at_key), moments(z))
+                            continue
+                        part = rb.column(weights).slice(mine[0], len(mine))
+                        drawn = ~np.asarray(part.is_null().to_numpy(zero_copy_only=False))
+                        if drawn.any():
+                            w = _feature_matrix(part.filter(pa.array(drawn)))
+                            for r in range(w.shape[1]):
+                                if w[:, r].any():
+                                    open_sets[key, r + 1] = add(open_sets.get((key, r + 1)), moments(z[drawn], w[:, r]))
+                        own = np.array([cells[i] for i in mine], dtype=object)[~drawn]
+                        for cell in dict.fromkeys(own):
+                            open_sets[key, cell] = add(open_sets.get((key, cell)), moments(z[~drawn][own == cell]))
         yield from close()
 
     return d.mapInArrow(fold, schema)
@@ -262,13 +286,17 @@ def model_statistics(data: DataFrame, key_cols: Sequence[str], cell_col: str, fe
     salted = salted.select(*key_cols, cell_col, features, y, *([weights] if weights else []), "_salt")
     salted = salted.repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     parts = moment_partials(salted, [*key_cols, "_salt"], cell_col, features, y, weights, block)
+    return _merged(parts, key_cols, max_salts, fanin)
+
+
+def _merged(parts: DataFrame, key_cols: Sequence[str], level: int, fanin: int) -> DataFrame:
+    """The partials of ``level`` salts at most, added up in levels of ``fanin``."""
     merge_on = [*key_cols, "_salt", "cell", "bi", "bj"]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         row = {c: pdf[c].iloc[0] for c in merge_on} | _as_row(reduce(Moments.__add__, _from_rows(pdf)))
         return pd.DataFrame([row], columns=[*merge_on, *_SET_FIELDS])
 
-    level = max_salts
     while level > 1:
         parts = parts.withColumn("_salt", F.floor(F.col("_salt") / fanin).cast("long"))
         parts = parts.groupBy(*merge_on).applyInPandas(merge, T.StructType([parts.schema[c] for c in [*merge_on, *_SET_FIELDS]]))
@@ -276,6 +304,25 @@ def model_statistics(data: DataFrame, key_cols: Sequence[str], cell_col: str, fe
     return parts.drop("_salt")
 
 
+def source_statistics(source: Source, key_cols: Sequence[str], cell_col: str, features: str, y: str, id_col: str | None = None,
+                      rows_per_task: int = MADE_ROWS, fanin: int = 64, block: int = BLOCK) -> DataFrame:
+    """`model_statistics` of a source's models; only its narrow rows are shuffled.
+
+    A task makes the features of one cell's rows, ``rows_per_task`` about, and adds them up at once; it holds one matrix for each model."""
+    from sporeframe.operators.joins import small_side
+
+    key_cols, rows = list(key_cols), source.rows.where(F.col(y).isNotNull() & ~F.isnan(y))
+    counts = rows.groupBy(cell_col).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("long").alias("_salts"))
+    before = Window.orderBy(cell_col).rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    counts = reliable_checkpoint(counts.withColumn("_first", F.coalesce(F.sum("_salts").over(before), F.lit(0))))
+    max_salts, n_tasks = counts.agg(F.coalesce(F.max("_salts"), F.lit(1)), F.coalesce(F.sum("_salts"), F.lit(1))).first()
+    by = [id_col] if id_col else rows.columns
+    placed = with_keys(rows, small_side(counts), [cell_col]).withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_salts")))
+    placed = placed.repartitionById(n_tasks, (F.col("_first") + F.col("_salt")).cast("int")).drop("_salts", "_first")
+    made = source.make(placed, [cell_col, y, "_salt"])
+    return _merged(moment_partials(made, [*key_cols, "_salt"], cell_col, features, y, None, block, "_salt"), key_cols, max_salts, fanin)
+
+
 # --------------------------------------------------------------------------- fits
 
 class Fit(NamedTuple):
@@ -468,7 +515,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features: str, y: str,
+def ridge_cv(data: DataFrame | Sequence[Source], key_cols: Sequence[str], cell_col: str, features: str, y: str,
              alphas: Sequence[float] = REFERENCE_ALPHAS, n_folds: int = 5, cv_metric: str | Scorer = "r2", id_col: str | None = None,
              rows_per_task: int = 500_000, fanin: int = 64, block: int = BLOCK) -> DataFrame:
     """M3 (+ M1, M4, M6, M7, X4): one ridge model per key.
@@ -477,6 +524,8 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
     Alpha is chosen by the mean fold score, the model is refit on all training
     rows, and the test cell gives ``test_r2`` / ``test_pearson_r2``.
 
+    ``data`` may be sources of different models; their rows hold ``cell_col``, ``id_col`` and ``y``.
+
     ``cv_metric``: "r2" (as ``RidgeCV(cv=k)``), "pearson_r2", or any scorer: a function of two columns, the
     target and the prediction, that returns an aggregate Column (larger is better).  A scorer reads the folds' rows once more,
     for all alphas and folds at once, and also scores the test rows (``test_score``).
@@ -484,7 +533,12 @@ def ridge_cv(data: DataFrame, key_cols: Sequence[str], cell_col: str, features:
     key_cols = list(key_cols)
     if isinstance(cv_metric, str) and cv_metric not in ("r2", "pearson_r2"):
         raise ValueError(f"cv_metric must be 'r2', 'pearson_r2' or a function of two columns, not {cv_metric!r}")
-    stats = model_statistics(data, key_cols, cell_col, features, y, id_col=id_col, rows_per_task=rows_per_task, fanin=fanin, block=block)
+    if isinstance(data, DataFrame):
+        stats = model_statistics(data, key_cols, cell_col, features, y, id_col=id_col, rows_per_task=rows_per_task, fanin=fanin, block=block)
+    else:
+        each = min(rows_per_task, MADE_ROWS)
+        stats = reduce(DataFrame.unionByName, [source_statistics(s, key_cols, cell_col, features, y, id_col, each, fanin, block) for s in data])
+        data = reduce(DataFrame.unionByName, [s.make(s.rows, [cell_col, y]) for s in data])
     fits = reliable_checkpoint(solve(fit_sets(stats, key_cols, cv_plan(n_folds)), key_cols, [float(a) for a in alphas]))
     extra = []
     if isinstance(cv_metric, str):

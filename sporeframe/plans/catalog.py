@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from sporeframe.operators import pool as pl
 from sporeframe.operators import ranking as rk
 from sporeframe.operators import split as spl
 from sporeframe.operators import tree as tr
+from sporeframe.operators.ridge import Source
 from sporeframe.plans import expression as ex
 from sporeframe.plans import features as fe
 from sporeframe.plans import mapping as mp
@@ -740,28 +742,38 @@ def q_r2_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(md.r2_trend(models.select("end", "species", F.col("test_r2").alias("R2")), group_cols=("end",)))
 
 
-def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets: bool = True) -> DataFrame:
-    """M7 input: the C7 gene table's k-mer feature sets (M10) plus the
-    embedding set attached by position (J8), target = median Box-Cox TPM.
-    ``kmer_sets=False`` skips computing the k-mer vectors when the caller's
-    filter keeps none of them (a filter after the explode would not)."""
+def feature_set_sources(spark: SparkSession, sf: str, kmer_sets: bool = True) -> list[Source]:
+    """M7 input: the C7 gene table's k-mer feature sets (M10) and the embedding set attached by
+    position (J8), target = median Box-Cox TPM, as narrow rows and the functions that make features of them.
+    ``kmer_sets=False`` leaves the k-mer sets out."""
     genes = gene_table(spark, sf).select(F.col("geneId").alias("gene_id"), "five_prime_seq", "three_prime_seq",
-                                         F.col("boxcox_tpm").alias("y"), "is_test")
+                                         F.col("boxcox_tpm").alias("y"), "is_test", F.col("geneId").cast("long").alias("row_order"))
+    if kmer_sets:
+        genes = reliable_checkpoint(genes)  # read by both sources, for folds and for statistics
     docs = tb.read_table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("gene_id"),
                                                         F.lit(1).alias("_g"))
     emb = tb.read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(1).alias("_g"))
     z = jn.positional_zip(docs, emb, ["_g"], ["doc_id"], ["vec_id"], how="left", check_counts=False)
     z = z.where(F.col("embedding").isNotNull())  # a gene beyond the embedding rows has no embedding set
-    vec, half = F.transform("embedding", lambda v: v.cast("double")), F.floor(F.size("embedding") / 2).cast("int")
-    # the set of both ends names its downstream part first, so a filter on that name takes it, too
-    ends = [("Upstream", F.slice(vec, F.lit(1), half)), ("Downstream", F.slice(vec, half + 1, F.size("embedding") - half)),
-            ("Combined: Downstream: embedding ! Upstream", vec)]
-    sets = F.array(*[F.struct(F.lit(f"{end}: embedding").alias("feature_set"), v.alias("features")) for end, v in ends])
-    emb_set = z.select("gene_id", F.explode(sets).alias("s")).select("s.feature_set", "gene_id", "s.features")
-    emb_set = emb_set.join(genes.select("gene_id", "y", "is_test"), "gene_id")
-    if kmer_sets:
-        emb_set = fe.feature_registry(genes, keep=("y", "is_test")).unionByName(emb_set)
-    out = emb_set.withColumn("row_order", F.col("gene_id").cast("long"))
+
+    def embedding_sets(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        vec, half = F.transform("embedding", lambda v: v.cast("double")), F.floor(F.size("embedding") / 2).cast("int")
+        # the set of both ends names its downstream part first, so a filter on that name takes it, too
+        ends = [("Upstream", F.slice(vec, F.lit(1), half)), ("Downstream", F.slice(vec, half + 1, F.size("embedding") - half)),
+                ("Combined: Downstream: embedding ! Upstream", vec)]
+        sets = F.array(*[F.struct(F.lit(f"{end}: embedding").alias("feature_set"), v.alias("features")) for end, v in ends])
+        return rows.select("gene_id", *keep, F.explode(sets).alias("s")).select("s.feature_set", "gene_id", "s.features", *keep)
+
+    z = z.select("gene_id", "embedding").join(genes.select("gene_id", "y", "is_test", "row_order"), "gene_id")
+    kmers = [Source(genes, lambda rows, keep: fe.feature_registry(rows, keep=keep))] if kmer_sets else []
+    return [*kmers, Source(z, embedding_sets)]
+
+
+def feature_set_input(spark: SparkSession, sf: str, name_filter=None, kmer_sets: bool = True) -> DataFrame:
+    """The rows of all sets of `feature_set_sources`.  ``kmer_sets=False`` skips computing the k-mer vectors when the
+    caller's filter keeps none of them (a filter after the explode would not)."""
+    made = [s.make(s.rows, ["y", "is_test", "row_order"]) for s in feature_set_sources(spark, sf, kmer_sets)]
+    out = reduce(DataFrame.unionByName, made)
     if name_filter is not None:
         out = out.where(name_filter)
     # features feed CV, refit, bootstrap and predictions: compute them once
@@ -818,7 +830,9 @@ def q_feature_set_predictions_two(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("feature_set_ridge_metrics")
 def q_feature_set_ridge(spark: SparkSession, sf: str) -> DataFrame:
-    metrics, _ = md.feature_set_ridge(feature_set_input(spark, sf))
+    kmers, vectors = feature_set_sources(spark, sf)
+    # folds and statistics read the rows again; the vectors made of them are never written
+    metrics, _ = md.feature_set_ridge([kmers, vectors._replace(rows=reliable_checkpoint(vectors.rows))])
     return rnd(metrics)
 
 

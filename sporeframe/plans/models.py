@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sporeframe.functions.metrics import line_fit, r2_score
 from sporeframe.operators.joins import small_side
 from sporeframe.operators.ranking import group_row_number, ntile_of
-from sporeframe.operators.ridge import REFERENCE_ALPHAS, Scorer, nested_ridge, predict, ridge_bootstrap, ridge_cv, with_keys
+from sporeframe.operators.ridge import REFERENCE_ALPHAS, Scorer, Source, nested_ridge, predict, ridge_bootstrap, ridge_cv, with_keys
 from sporeframe.operators.split import bootstrap_weights, group_kfold, holdout_split, kfold
 from sporeframe.session import reliable_checkpoint
 
@@ -52,12 +52,17 @@ def r2_from_predictions(preds: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     return preds.groupBy(*key_cols).agg(r2_score("True_Value", "Predicted_Value").alias("R2"))
 
 
-def feature_set_ridge(data: DataFrame, id_col: str = "gene_id", order_col: str = "row_order", n_folds: int = 5,
+def feature_set_ridge(data: DataFrame | Sequence[Source], id_col: str = "gene_id", order_col: str = "row_order", n_folds: int = 5,
                       alphas: Sequence[float] = REFERENCE_ALPHAS, cv_metric: str | Scorer = "r2") -> tuple[DataFrame, DataFrame]:
     """M7: per feature set, train on non-test genes (``is_test`` from J7)
     with contiguous CV folds in table order, score Pearson r2 on the test
-    genes.  Returns ``(metrics(model, r2, alpha), models)``."""
-    folded = kfold(data, ["feature_set"], [order_col, id_col], n_folds, where=~F.col("is_test"))
+    genes.  Returns ``(metrics(model, r2, alpha), models)``.
+
+    ``data`` may be sources: all sets of one have the same rows, so these are folded once."""
+    if isinstance(data, DataFrame):
+        folded = kfold(data, ["feature_set"], [order_col, id_col], n_folds, where=~F.col("is_test"))
+    else:
+        folded = [s._replace(rows=kfold(s.rows, [], [order_col, id_col], n_folds, where=~F.col("is_test"))) for s in data]
     models = ridge_cv(folded, ["feature_set"], "fold", "features", "y", alphas, n_folds, cv_metric, id_col)
     metrics = models.select(F.col("feature_set").alias("model"), F.col("test_pearson_r2").alias("r2"), "alpha")
     return metrics, models

@@ -214,3 +214,61 @@ def test_moments_copy_a_piece_at_a_time_and_make_one_partial_of_a_set(spark, mon
         z = np.column_stack([x, y])[part]
         c = z - z.mean(axis=0)
         assert r["n"] == len(z) and np.allclose(r["mi"], z.mean(axis=0)) and np.allclose(np.reshape(r["q"], (5, 5)), c.T @ c)
+
+
+def test_features_of_a_source_are_made_behind_the_shuffle(spark):
+    """The same models as from rows of features; no exchange carries a vector."""
+    from sporeframe.operators import ridge
+
+    rng = np.random.default_rng(6)
+    n = 240
+    x, cell = rng.normal(size=(n, 4)), np.arange(n) % 6
+    y = x[:, 0] + 0.3 * rng.normal(size=n)
+    rows = [(f"g{i}", int(c), None if i % 40 == 7 else float(v), *map(float, r)) for i, (c, v, r) in enumerate(zip(cell, y, x))]
+    rows += [rows[5], (None, 2, 1.0, 0.5, 0.5, 0.5, 0.5), ("nan", 3, float("nan"), 1.0, 1.0, 1.0, 1.0)]
+    narrow = spark.createDataFrame(rows, "id string, cell int, y double, a double, b double, c double, d double").repartition(3)
+
+    def make(df, keep):
+        sets = F.array(F.struct(F.lit("two").alias("k"), F.array("a", "b").alias("x")), F.struct(F.lit(None).alias("k"), F.array("a", "b", "c", "d").alias("x")))
+        return df.select(*keep, F.explode(sets).alias("s")).select("s.k", "s.x", *keep)
+
+    def one(df, keep):
+        return df.select(F.lit("one").alias("k"), F.array("d").alias("x"), *keep)
+
+    sources = [ridge.Source(narrow, make), ridge.Source(narrow.where("id <> 'g3'"), one)]
+    wide = make(sources[0].rows, ["id", "cell", "y"]).unionByName(one(sources[1].rows, ["id", "cell", "y"]))
+    want = {r["k"]: r for r in ridge.ridge_cv(wide, ["k"], "cell", "x", "y", id_col="id").collect()}
+    assert set(want) == {"one", "two", None}
+    for options in ({}, {"id_col": "id", "rows_per_task": 7, "fanin": 2, "block": 2}):
+        got = ridge.ridge_cv(sources, ["k"], "cell", "x", "y", **options).collect()
+        assert len(got) == 3
+        for r in got:
+            w = want[r["k"]]
+            assert (r["alpha"], r["n_train"], r["n_test"]) == (w["alpha"], w["n_train"], w["n_test"])
+            assert np.allclose(r["coef"], w["coef"], rtol=1e-9, atol=1e-12) and r["test_r2"] == pytest.approx(w["test_r2"], rel=1e-9)
+    error = lambda t, p: -F.avg(F.abs(t - p))
+    scored = {r["k"]: r["test_score"] for r in ridge.ridge_cv(sources, ["k"], "cell", "x", "y", cv_metric=error).collect()}
+    assert scored == pytest.approx({r["k"]: r["test_score"] for r in ridge.ridge_cv(wide, ["k"], "cell", "x", "y", cv_metric=error).collect()})
+    plan = ridge.source_statistics(sources[0], ["k"], "cell", "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionBy") :]
+    assert "Generate explode" in plan[: plan.index("RepartitionBy")] and "explode" not in below and "array(" not in below
+
+
+def test_feature_sets_write_no_vectors(spark, monkeypatch):
+    """What the job of all feature sets checkpoints before the fits are narrow rows."""
+    from conftest import SF001
+    from sporeframe.operators import ranking, ridge
+    from sporeframe.plans import catalog
+
+    written = []
+
+    def keep(df):
+        written.append(df.schema)
+        return checkpoint(df)
+
+    checkpoint = ridge.reliable_checkpoint
+    for module in (catalog, ranking, ridge, md):
+        monkeypatch.setattr(module, "reliable_checkpoint", keep)
+    rows = catalog.QUERIES["feature_set_ridge_metrics"](spark, SF001).collect()
+    assert len(rows) == 12 and len({r["model"] for r in rows}) == 12
+    assert written and not [s for s in written if "features" in s.names]
