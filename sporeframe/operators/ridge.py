@@ -47,8 +47,8 @@ from sporeframe.session import reliable_checkpoint
 REFERENCE_ALPHAS = (10.0, 100.0, 1000.0)
 #: rows and columns of a block of a scatter matrix
 BLOCK = 192
-#: feature values of the rows that a worker copies at a time (16 MB)
-PIECE_VALUES = 1 << 21
+#: feature values of the rows that a worker copies at a time (8 MB)
+PIECE_VALUES = 1 << 20
 #: narrow rows of a task that makes their features itself
 MADE_ROWS = 50_000
 
@@ -177,19 +177,19 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
 
     arrow = to_arrow_schema(schema)
 
-    def moments(z: np.ndarray, w: np.ndarray | None = None) -> tuple:
+    def add(a: tuple | None, z: np.ndarray, w: np.ndarray | None = None) -> tuple:
+        """Rows z added to a set; the lower triangle only, a band of blocks at a time, so that no second matrix is made."""
         n = float(len(z) if w is None else w.sum())
         mu = z.mean(axis=0) if w is None else w @ z / n
         c = z - mu
-        return n, mu, c.T @ c if w is None else (c * w[:, None]).T @ c
-
-    def add(a: tuple | None, b: tuple) -> tuple:
-        if a is None:
-            return b
-        n, c, q = a[0] + b[0], b[1] - a[1], a[2]
-        q += b[2]
-        q += np.outer(c * (a[0] * b[0] / n), c)
-        return n, a[1] + c * (b[0] / n), q
+        before, mean, q = a or (0.0, mu, np.zeros((len(mu), len(mu))))
+        off, share = mu - mean, before * n / (before + n)
+        for lo, hi in _edges(len(mu), block):
+            left = c[:, lo:hi] if w is None else c[:, lo:hi] * w[:, None]
+            q[lo:hi, :hi] += left.T @ c[:, :hi]
+            if share:
+                q[lo:hi, :hi] += np.outer(off[lo:hi] * share, off[:hi])
+        return before + n, mean + off * (n / (before + n)), q
 
     def blocks(key: tuple, cell, stats: tuple) -> Iterator[pa.RecordBatch]:
         n, mu, q = stats
@@ -236,7 +236,7 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
                         z = np.column_stack([_feature_matrix(column), yv[mine]])
                         if not weights:
                             at_key = key, cells[lo]
-                            open_sets[at_key] = add(open_sets.get(at_key), moments(z))
+                            open_sets[at_key] = add(open_sets.get(at_key), z)
                             continue
                         part = rb.column(weights).slice(mine[0], len(mine))
                         drawn = ~np.asarray(part.is_null().to_numpy(zero_copy_only=False))
@@ -244,10 +244,10 @@ def moment_partials(df: DataFrame, key_cols: Sequence[str], cell_col: str, featu
                             w = _feature_matrix(part.filter(pa.array(drawn)))
                             for r in range(w.shape[1]):
                                 if w[:, r].any():
-                                    open_sets[key, r + 1] = add(open_sets.get((key, r + 1)), moments(z[drawn], w[:, r]))
+                                    open_sets[key, r + 1] = add(open_sets.get((key, r + 1)), z[drawn], w[:, r])
                         own = np.array([cells[i] for i in mine], dtype=object)[~drawn]
                         for cell in dict.fromkeys(own):
-                            open_sets[key, cell] = add(open_sets.get((key, cell)), moments(z[~drawn][own == cell]))
+                            open_sets[key, cell] = add(open_sets.get((key, cell)), z[~drawn][own == cell])
         yield from close()
 
     return d.mapInArrow(fold, schema)

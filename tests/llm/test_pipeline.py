@@ -94,3 +94,17 @@ def test_stages_on_empty_documents(spark, folder, tmp_path):
         stage(spark, docs, folder).write.parquet(out)
         docs = spark.read.parquet(out)
         assert docs.count() == 0
+
+
+def test_near_copies_broadcast_no_index(spark, folder, monkeypatch):
+    """The links of the near-dedup stage come from two exchanges, whatever size Spark takes the index for."""
+    from sporeframe.llm import simhash
+
+    components, links = simhash.components, []
+    monkeypatch.setattr(simhash, "components", lambda found: links.append(found) or components(found))
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() > 0
+    found, = links
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
